@@ -99,10 +99,31 @@ def flight(units: list[tuple[float, float]], rng: random.Random, both: bool = Tr
     return p
 
 
+def _large_first(units: list[tuple[float, float]], rng: random.Random) -> list[float]:
+    """Settle the largest third by lot and let the rest make up for the tokens that each won or lost.
+
+    A large document among small ones hardly moves in flight and would be left to be rounded at the end.
+    """
+    p = [x for _, x in units]
+    order = sorted((k for k in range(len(p)) if 0 < p[k] < 1), key=lambda k: -units[k][0])
+    for i, k in enumerate(order[: len(order) // 3]):
+        z = 1.0 if rng.random() < p[k] else 0.0
+        owed = (p[k] - z) * units[k][0]
+        rest = [j for j in order[i + 1 :] if 0 < p[j] < 1]
+        room = sum(((1 - p[j]) if owed > 0 else p[j]) * units[j][0] for j in rest)
+        if room <= abs(owed):
+            break
+        p[k] = z
+        for j in rest:
+            p[j] += ((1 - p[j]) if owed > 0 else p[j]) * owed / room
+    return p
+
+
 def land(units: list[tuple[float, float]], rng: random.Random) -> list[float]:
-    """Last stage: tokens alone, then the nearer side for what is left."""
-    p = flight(units, rng)
-    p = flight([(s, x) for (s, _), x in zip(units, p)], rng, both=False)
+    """Last stage: the largest, then a flight, then tokens alone, then the nearer side for what is left."""
+    p = [x for _, x in units]
+    for step in (_large_first, flight, lambda u, r: flight(u, r, both=False)):
+        p = step([(s, x) for (s, _), x in zip(units, p)], rng)
     return [float(x >= 0.5) if 0 < x < 1 else x for x in p]
 
 

@@ -136,9 +136,14 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All measures, ``failed_rules`` and ``kept`` for each row."""
+    """All measures, ``failed_rules`` and ``kept`` for each row.
+
+    ``kept`` counts as non-deterministic, though it is not: else a filter on it would be pushed below the
+    projection and the measures, copied into it, would be made anew for each word.
+    """
     out = measure(df, text, lang).withColumn("failed_rules", compile_rules(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    fixed = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & fixed)
 
 
 def good_documents(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
