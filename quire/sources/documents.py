@@ -204,7 +204,7 @@ def with_model(df: DataFrame, inputs: list[str], output: str, kind: str, model:
         f = model()
         for cols in parts:
             out = []
-            for row in zip(*cols):
+            for row in zip(*(cols if isinstance(cols, tuple) else (cols,))):
                 try:
                     out.append((f(*row), None))
                 except Exception as e:  # an error is a value here, not a lost task
