@@ -12,6 +12,7 @@ from quire.operators import blocks as B
 from quire.operators import glossary as G
 from quire.operators import jobs as J
 from quire.operators import overlap as O
+from quire.operators import pages as P
 from quire.operators import paged, translate
 from quire.plans import views as V
 from quire.session import table
@@ -558,3 +559,53 @@ def page_selection(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     spec = F.concat((F.col("doc_id") % 7 + 1).cast("string"), F.lit("-"), (F.col("doc_id") % 7 + 3).cast("string"), F.lit(","), (F.col("doc_id") % 5 + 2).cast("string"))
     return d.select("doc_id", D.selected_pages(spec, F.lit(10)).cast("string").alias("pages"))
+
+
+# --- trees, overlays, evaluation
+
+
+@query(f"""WITH {V.BLOCKS} SELECT doc_id, count(*) AS block_count, count(*) FILTER (NOT (x0 >= 0 AND x0 < x1 AND x1 <= 1 AND y0 >= 0 AND y0 < y1 AND y1 <= 1)) AS invalid_bbox_count,
+  avg(CASE WHEN block_index % 2 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS reading_order_coverage FROM blocks GROUP BY doc_id""")
+def evaluation(spark, sf):
+    b = V.blocks(spark, sf).withColumn("reading_order", F.when(F.col("block_index") % 2 == 0, F.col("block_index")))
+    return P.evaluation(b)
+
+
+@query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, string_agg(text, chr(10) ORDER BY CASE WHEN page_index % 2 = 0 THEN 7 - block_index ELSE block_index END) AS texts FROM blocks GROUP BY doc_id, page_index")
+def pages_data(spark, sf):
+    """Pages with a full reading order go by it, the others as they lie; every even page is read backwards."""
+    order = F.when((F.col("page_index") % 2 == 0) | (F.col("block_index") % 2 == 0), 7 - F.col("block_index"))
+    b = V.blocks(spark, sf).withColumn("reading_order", F.when((F.col("page_index") % 2 == 1) & (F.col("block_index") == 0), None).otherwise(F.coalesce(order, F.col("block_index"))))
+    return P.to_pages_data(b).select("doc_id", "page_index", F.array_join(F.transform("items", lambda r: r["text"]), "\n").alias("texts"))
+
+
+@query(f"WITH {V.BLOCKS} SELECT b.doc_id, b.page_index, b.block_index, p.page_size FROM blocks b LEFT JOIN (SELECT doc_id, page_index, 0 AS block_index, count(*) AS page_size FROM blocks GROUP BY ALL) p USING (doc_id, page_index, block_index)")
+def overlay_join(spark, sf):
+    b = V.blocks(spark, sf)
+    extra = b.groupBy("doc_id", "page_index").agg(F.count("*").alias("page_size")).withColumn("block_index", F.lit(0).cast("long"))
+    return P.overlay(b.select(*KEY), extra)
+
+
+@query()
+def recall_report(spark, sf):
+    return P.recall_report(paged.greedy_match(V.candidates(spark, sf), V.boxes(spark, sf)))
+
+
+@query()
+def trust_layer(spark, sf):
+    b = V.blocks(spark, sf).withColumn("confidence", classify.estimate_confidence(F.col("text")))
+    return P.score_trust(b, watermarks=V.boxes(spark, sf).where("block_index = 3"), script=paged.script(F.col("text")), calibration=(1.5, 0.1)).select(*KEY, "trust_score", "trust_flags")
+
+
+@query(f"WITH {V.BLOCKS}, pl AS (SELECT doc_id, page_index, list(text ORDER BY block_index) FILTER ({V.strip('text')} <> '') AS lines FROM blocks GROUP BY ALL) SELECT doc_id, page_index, coalesce(len(lines), 0)::BIGINT AS n, coalesce(lines[1], '') AS first FROM pl")
+def page_lines(spark, sf):
+    out = P.page_lines(V.blocks(spark, sf))
+    return out.select("doc_id", "page_index", F.size("lines").cast("long").alias("n"), F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("first"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations) SELECT conv_id, turn, CASE WHEN length(other) > length(text) THEN other ELSE text END AS chosen FROM p""")
+def arbitration(spark, sf):
+    from pyspark.sql.window import Window
+
+    c = table(spark, sf, "conversations").withColumn("other", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", P.arbitrate(F.col("text"), F.length("text"), F.col("other"), F.length("other")).alias("chosen"))
