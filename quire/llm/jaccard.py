@@ -7,8 +7,11 @@ rest is done by pivots:
 
 1. Documents with equal sets are one class; classes are joined from here on.
 2. Each class emits its first shingles, frequent ones ordered last. Classes that share such a shingle in a
-   group of at most SMALL are compared pair by pair (linear in the rows, as SMALL is fixed).
-3. Larger groups are dense places. Groups that share a class form one region. A region of over
+   group of at most SMALL are paired (linear in the rows, as SMALL is fixed); a pair goes on only if its
+   places allow enough common shingles and its images under CELLS pivots are near enough. An image counts a
+   set's shingles in each cell of hash space; it is a contraction, so by the triangle inequality sets whose
+   images differ by more than (n + m) / 9 can't be linked. Larger groups are dense places, taken as a whole.
+3. What pairs and dense groups connect is a region: all links lie inside regions. A region of over
    REGION shingles is split: pivots create Voronoi cells, and a class x joins every cell q with
    d(x, q) <= d(x, own) + 0.4, so that each linked pair meets in a cell (triangle inequality). Cells that
    stay too large are cut into blocks and every pair of blocks meets, which is exact for what remains.
@@ -27,7 +30,7 @@ its smallest id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ SMALL = 32
 REGION = 3_000_000
 HOT_SHINGLES = 1_000_000
 PIVOTS = 32
+CELLS = 128
 
 
 class Vocabulary(dict):
@@ -58,17 +62,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Odd multipliers, one for each place of a shingle: powers of one.
+_PLACES = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
+
+
+def shingle_sets(texts: Iterable[bytes | None], known: Vocabulary) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes (int64) of each text; texts are hashed together, some megabytes at a time."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        ids = np.fromiter((known[w] for words in held for w in words), np.uint64, size)
+        full = np.zeros(max(0, size - SHINGLE + 1), np.uint64)
+        for k, m in enumerate(_PLACES):
+            full += ids[k : k + len(full)] * m
+        full = _mix(full)
+        at = 0
+        for words in held:
+            n = len(words)
+            if n >= SHINGLE:
+                yield np.unique(full[at : at + n - SHINGLE + 1].view(np.int64))
+            elif n:
+                whole = np.array([(ids[at : at + n] * np.array(_PLACES[:n])).sum()], np.uint64)
+                yield _mix(whole + np.uint64(n)).view(np.int64)
+            else:
+                yield np.empty(0, np.int64)
+            at += n
+
+    for t in texts:
+        words = (t or b"").lower().split()
+        held.append(words)
+        size += len(words)
+        if size > 500_000:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def shingles(text: bytes | None, known: Vocabulary) -> np.ndarray:
-    """Sorted distinct shingle hashes (int64) of a text."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(ids))
-    h = np.full(len(ids) - size + 1, size, np.uint64)
-    for k in range(size):
-        h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + ids[k : k + len(h)])
-    return np.unique(h.view(np.int64))
+    return next(shingle_sets([text], known))
+
+
+def image(s: np.ndarray) -> bytes:
+    """Shingles per cell of hash space, at most 255 each: no two images are farther apart than their sets."""
+    return np.minimum(np.bincount((s & (CELLS - 1)).astype(np.intp), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def node_of(s: np.ndarray) -> int:
@@ -80,12 +118,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Kind 0: (id, n, node) of each document. Kind 1: (shingle, sets with it) as seen by one task, from 2."""
+    """Kind 0: (id, n, node, image) of each document. Kind 1: (shingle, sets with it) as seen by one task, from 2."""
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, waiting, size, counts = Vocabulary(), set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
-        names = ["kind", "a", "b", "c"]
+        names = ["kind", "a", "b", "c", "image"]
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             if not waiting:
@@ -100,10 +138,10 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             return keys, n
 
         for batch in batches:
-            n, nodes = [], []
-            for t in _texts(batch, 1):
-                s = shingles(t, known)
+            n, nodes, images = [], [], []
+            for s in shingle_sets(_texts(batch, 1), known):
                 n.append(len(s))
+                images.append(image(s))
                 node = node_of(s) if len(s) else None
                 nodes.append(node)
                 if len(s) and node not in seen:
@@ -114,33 +152,37 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 if size > 6_000_000:
                     counts, waiting, size = merged(), [], 0
             m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(images, pa.binary())], names)
         keys, n = merged()
         for k in range(0, len(keys), 100_000):
             part = slice(k, k + 100_000)
             m = len(keys[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[part]), pa.array(n[part]), pa.nulls(m, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[part]), pa.array(n[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
 
-    return slim.mapInArrow(run, "kind int, a long, b long, c long")
+    return slim.mapInArrow(run, "kind int, a long, b long, c long, image binary")
 
 
-def frequent(counts: DataFrame) -> np.ndarray:
-    """At most HOT_SHINGLES shingles in more than SMALL sets, the most frequent, sorted."""
-    top = counts.groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > SMALL).orderBy(F.desc("n"), "a").limit(HOT_SHINGLES)
-    return np.sort(top.select("a").toArrow().column(0).to_numpy().astype(np.int64))
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most HOT_SHINGLES shingles, the most frequent, sorted, and the logarithm of how many sets have each."""
+    top = counts.groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HOT_SHINGLES).toArrow()
+    keys, n = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(keys)
+    return keys[order], np.minimum(np.log2(n[order] + 1) * 2, 100).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shingle, node, n): the first n - ceil(0.8 n) + 1 shingles of each set, once per task."""
+def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(shingle, node, place): the first n - ceil(0.8 n) + 1 shingles of each set, once per task.
+
+    ``place`` holds n in its upper and the shingle's place in its lower 32 bits.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     slim = docs.select(F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, late = Vocabulary(), set(), shared.value
+        known, seen, (late, level) = Vocabulary(), set(), shared.value
         for batch in batches:
-            out, nodes, sizes = [], [], []
-            for t in _texts(batch, 0):
-                s = shingles(t, known)
+            out, nodes, places = [], [], []
+            for s in shingle_sets(_texts(batch, 0), known):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 if len(seen) < 500_000:
@@ -150,20 +192,19 @@ def prefixes(docs: DataFrame, hot: np.ndarray, doc_id: str = "doc_id", text: str
                 if len(late):
                     at = np.searchsorted(late, s)
                     at[at == len(late)] = 0
-                    is_late = late[at] == s
-                    s = np.concatenate((s[~is_late], s[is_late]))
-                out.append(s[:take]), nodes.append(node), sizes.append(n)
+                    rank = np.where(late[at] == s, level[at], 0)
+                    s = s[np.argsort(rank, kind="stable")]
+                out.append(s[:take]), nodes.append(node), places.append((n << 32) + np.arange(take))
             if out:
-                many = [len(x) for x in out]
-                cols = [np.concatenate(out), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int64), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "node", "n"])
+                cols = [np.concatenate(out), np.repeat(np.array(nodes, np.int64), [len(x) for x in out]), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "node", "place"])
 
-    return slim.mapInArrow(run, "shingle long, node long, n long")
+    return slim.mapInArrow(run, "shingle long, node long, place long")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Kind 0: pairs (a, b) from small groups. Kind 1: (shingle, node) of groups of over SMALL classes."""
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "place", "node")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         rest: list[np.ndarray] | None = None
@@ -179,21 +220,24 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, node, n in groups(batches):
+        for s, node, place in groups(batches):
             first = np.ones(len(s), bool)
             first[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
-            s, node, n = s[first], node[first], n[first]
+            s, node, place = s[first], node[first], place[first]
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             size = np.repeat(np.diff(np.append(starts, len(s))), np.diff(np.append(starts, len(s))))
             large = size > SMALL
             kinds, a, b = [np.ones(int(large.sum()), np.int32)], [s[large]], [node[large]]
             few = (size > 1) & ~large
-            s, node, n = s[few], node[few], n[few]
+            s, node, n, at = s[few], node[few], place[few] >> 32, place[few] & 0xFFFFFFFF
             pairs = []
             for k in range(1, SMALL):
-                near = (s[k:] == s[:-k]) & (5 * n[:-k] >= 4 * n[k:])
-                if not (s[k:] == s[:-k]).any():
+                same = s[k:] == s[:-k]
+                if not same.any():
                     break
+                # common shingles are at most this one and those after it, at the first that a pair has in common
+                most = 1 + np.minimum(n[:-k] - at[:-k], n[k:] - at[k:]) - 1
+                near = same & (5 * n[:-k] >= 4 * n[k:]) & (9 * most >= 4 * (n[:-k] + n[k:]))
                 x, y = node[:-k][near], node[k:][near]
                 pairs.append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1))
             if pairs:
@@ -309,22 +353,39 @@ def shared_count(a, b):
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def split_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(task, node): tasks of bounded size such that each linked pair of a region meets in one."""
-    size = sets.select("node", "n")
-    sized = materialise(members.join(size, "node"), "members")
-    total = materialise(sized.groupBy("region").agg(F.sum("n").alias("total")), "regions")
+def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose images allow a link."""
+    side = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("image").alias(f"i{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ia", "ib")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = 9 * np.abs(a - b).sum(axis=1, dtype=np.int64) <= n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def split_regions(members: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(task, node): tasks of bounded size such that each linked pair of a region meets in one.
+
+    ``members``: node, region, n. ``sets`` makes (task, node, n, s) of rows (task, node).
+    """
+    total = materialise(members.groupBy("region").agg(F.sum("n").alias("total")), "regions")
     large = total.where(F.col("total") > REGION)
-    small = sized.join(total.where(F.col("total") <= REGION), "region").select(F.col("region").alias("task"), "node")
     if not large.limit(1).count():
-        return small
-    inside = sized.join(large, "region")
-    # the PIVOTS members of smallest hash: partial top-k per region by slots of the hash
+        return members.select(F.col("region").alias("task"), "node")
+    small = members.join(total.where(F.col("total") <= REGION), "region").select(F.col("region").alias("task"), "node")
+    inside = materialise(members.join(large, "region").select("region", "node", "n"), "large")
+    made = materialise(sets(inside.select(F.col("region").alias("task"), "node")), "sets")
+    # one pivot for each slot of the hash: the class that the hash puts first there
     slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
     chosen = inside.withColumn("slot", slot).groupBy("region", "slot").agg(F.min_by("node", F.xxhash64("node", F.lit(7))).alias("pivot"))
-    chosen = materialise(chosen.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn")), "pivot"), "pivots")
-    pairs = inside.select("region", "node", "n").join(sets.select("node", "s"), "node").join(chosen.select("region", "pivot", "ps", "pn"), "region")
-    i = shared_count(F.col("s"), F.col("ps"))
+    chosen = materialise(chosen.join(made.select(F.col("node").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn")), "pivot"), "pivots")
+    pairs = made.withColumnRenamed("task", "region").join(chosen, "region")
+    i = F.size(F.array_intersect("s", "ps")).cast("long")
     far = materialise(pairs.select("region", "node", "n", "pivot", (1 - i / (F.col("n") + F.col("pn") - i)).alias("d")), "distances")
     own = far.groupBy("region", "node").agg(F.min("d").alias("own"))
     cells = far.join(own, ["region", "node"]).where(F.col("d") <= F.col("own") + 0.4 + 1e-9)
@@ -340,31 +401,27 @@ def split_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     seen = materialise(signatures(docs, doc_id, text), "signatures")
-    own = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("node"))
-    classes = materialise(own.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n")), "classes")
+    own = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("node"), "image")
+    classes = materialise(own.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("image").alias("image")), "classes")
     hot = frequent(seen.where("kind = 1"))
     found = materialise(candidates(prefixes(docs, hot, doc_id, text)), "candidates")
-    pairs = materialise(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    dense = found.where("kind = 1").select("a", "b").distinct()
+    near = near_pairs(found.where("kind = 0").select("a", "b").distinct(), classes)
+    edges = materialise(near.union(found.where("kind = 1").select("a", "b").distinct()), "near")
 
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(dense.select("b")).distinct()
-    sets = materialise(sets_of(docs, own, needed, doc_id, text), "sets")
+    # ends of dense edges that are shingles are no classes and fall away here
+    members = components(edges).join(classes, "node").select("node", F.col("label").alias("region"), "n", "first")
+    members = materialise(members, "members")
 
-    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
-    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(a, "a").join(b, "b")
-    links = both.where(linked(shared_count(F.col("sa"), F.col("sb")), F.col("na"), F.col("nb"))).select("a", "b")
+    def sets(tasks: DataFrame) -> DataFrame:
+        return sets_of(docs, tasks.join(members.select("node", "first"), "node"), doc_id, text)
 
-    regions = components(dense)
-    members = regions.join(dense.select(F.col("b").alias("node")).distinct(), "node").select("node", F.col("label").alias("region"))
-    tasks = split_regions(members, sets)
-    work = tasks.join(sets.select("node", "s"), "node").select("task", "node", "s").repartition("task").sortWithinPartitions("task", "node")
-    links = materialise(links.union(work.mapInArrow(_solve_groups, "a long, b long")), "links")
+    work = sets(split_regions(members, sets)).select("task", "node", "s").repartition("task").sortWithinPartitions("task", "node")
+    links = materialise(work.mapInArrow(_solve_groups, "a long, b long"), "links")
 
     label = components(links)
-    known = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = known.groupBy("label").agg(F.min("first").alias("component"))
-    named = materialise(materialise(known.select("node", "label"), "known").join(materialise(lowest, "lowest"), "label").select("node", "component"), "named")
+    known = materialise(classes.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "known")
+    lowest = materialise(known.groupBy("label").agg(F.min("first").alias("component")), "lowest")
+    named = materialise(known.join(lowest, "label").select("node", "component"), "named")
     out = own.join(named, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -382,30 +439,31 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return one.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
 
 
-def sets_of(docs: DataFrame, own: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, n, s) of the needed classes, made anew from the document of smallest id of each.
+def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(task, node, n, s) for rows (task, node, first): sets made anew from the document of smallest id.
 
-    Documents without an id can't be joined, so all of them are looked at. A class may come more than
-    once where ids repeat; that only repeats links.
+    Documents without an id can't be joined by it; all of them are looked at and joined by class. A class may
+    come more than once where ids repeat; that only repeats links.
     """
-    first = own.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi")
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    some = slim.join(first.select("id").distinct(), "id", "left_semi").union(slim.where("id is null"))
+    some = slim.join(wanted.where("first is not null").select(F.col("first").alias("id"), "task", "node"), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done = Vocabulary(), set()
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
         for batch in batches:
-            nodes, sizes, sets = [], [], []
-            for t in _texts(batch, 1):
-                s = shingles(t, known)
-                if len(s) and (node := node_of(s)) not in done:
-                    if len(done) < 500_000:
-                        done.add(node)
-                    nodes.append(node), sizes.append(len(s)), sets.append(s)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["node", "n", "s"])
-
-    made = some.mapInArrow(run, "node long, n long, s array<long>")
-    return made.join(needed, "node", "left_semi")
+            tasks, nodes, sets = [], [], []
+            for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0), known)):
+                if len(s):
+                    node = node_of(s)
+                    if want is None or want == node:
+                        tasks.append(task), nodes.append(node), sets.append(s)
+            sizes = [len(s) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["task", "node", "n", "s"])
+
+    kind = "task long, node long, n long, s array<long>"
+    made = some.select("t", "task", "node").mapInArrow(make, kind)
+    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("long").alias("node")).mapInArrow(make, kind)
+    more = nameless.drop("task").join(wanted.where("first is null").select("task", "node"), "node").select("task", "node", "n", "s")
+    return made.union(more)
