@@ -75,7 +75,7 @@ def rule_of(host: Column, path: Column, rules: list[UrlRule], what: str) -> Colu
 
 def _strength(level: DataFrame) -> float:
     """Prior strength 1 / rho - 1 of children (n, b) within parents (pn, pb), fitted by moments."""
-    p, q = F.col("b") / F.col("n"), F.col("pb") / F.col("pn")
+    p, q = F.try_divide("b", "n"), F.try_divide("pb", "pn")
     by = level.where("n > 0").groupBy("parent").agg(
         F.first("pn").alias("pn"), F.first("pb").alias("pb"),
         F.sum(F.col("n") * (p - q) * (p - q)).alias("s"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("k"),
@@ -83,7 +83,7 @@ def _strength(level: DataFrame) -> float:
     v = q * (1 - q)
     r = by.agg(
         F.sum(F.col("s") - (F.col("k") - 1) * v).alias("over"),
-        F.sum(v * (F.col("pn") - F.col("n2") / F.col("pn") - (F.col("k") - 1))).alias("room"),
+        F.sum(v * (F.col("pn") - F.try_divide("n2", "pn") - (F.col("k") - 1))).alias("room"),
     ).first()
     if not r or not r["room"] or r["room"] <= 0:
         return 10.0
