@@ -277,26 +277,55 @@ def sanitize_prompt(text: str, most: int = 16384, boundary: str = "<<<") -> str:
     return text if len(text) <= most else text[:most] + "\n[truncated]"
 
 
-def correct_words(text: str, known: set[str]) -> str:
-    """Unknown words with exactly one known word at edit distance one are replaced, casing kept (STR-31)."""
-    abc = sorted({c for w in known for c in w})
-
-    def near(w: str) -> set[str]:
-        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
-        one = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-        one |= {a + c + b[1:] for a, b in cuts if b for c in abc} | {a + c + b for a, b in cuts for c in abc}
-        return (one & known) - {w}
-
-    def fix(m: re.Match) -> str:
-        w = m[0]
-        low = w.lower()
-        found = set() if low in known else near(low)
-        if len(found) != 1:
-            return w
-        new = found.pop()
-        return new.upper() if w.isupper() and len(w) > 1 else new.capitalize() if w[0].isupper() else new
-
-    return re.sub(r"[^\W\d_]+", fix, text)
+class Speller:
+    """Known words indexed by what is left when one letter goes, so a look-up costs a word's length, not the alphabet's."""
+
+    def __init__(self, known) -> None:
+        self.known = frozenset(known)
+        self.index: dict[str, set[str]] = {}
+        for w in self.known:
+            for d in self._without_one(w):
+                self.index.setdefault(d, set()).add(w)
+        self.seen: dict[str, str | None] = {}
+
+    @staticmethod
+    def _without_one(w: str) -> set[str]:
+        return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+    @staticmethod
+    def one_apart(a: str, b: str) -> bool:
+        """One letter more, less, other, or two neighbours swapped."""
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or a == b:
+            return False
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        if len(a) < len(b):
+            return a[k:] == b[k + 1 :]
+        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+
+    def correction(self, low: str) -> str | None:
+        if low not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            near: set[str] = set()
+            if low not in self.known:
+                for d in self._without_one(low):
+                    near |= {w for w in self.index.get(d, ()) if self.one_apart(low, w)}
+            self.seen[low] = near.pop() if len(near) == 1 else None
+        return self.seen[low]
+
+    def correct(self, text: str) -> str:
+        """Unknown words with exactly one known word at edit distance one are replaced, casing kept (STR-31)."""
+
+        def fix(m: re.Match) -> str:
+            w = m[0]
+            new = self.correction(w.lower())
+            if new is None:
+                return w
+            return new.upper() if w.isupper() and len(w) > 1 else new.capitalize() if w[0].isupper() else new
+
+        return re.sub(r"[^\W\d_]+", fix, text)
 
 
 def redact(value, keys: frozenset[str] = frozenset({"password", "secret", "token", "email", "path", "filename", "api_key"}), longest: int = 500):

@@ -152,3 +152,43 @@ def repair_blocks(blocks: DataFrame, retry: Callable[[str], tuple[str, float]],
     some = blocks.where(low).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("attempts", F.lit(0).cast("long"))
     done = some.mapInPandas(run, some.schema)
     return done.unionByName(blocks.where(~low).withColumn("attempts", F.lit(0).cast("long")))
+
+
+MAX_WORDS = 2_000_000
+MAX_TERMS = 100_000
+
+
+def spell(texts: DataFrame, words: DataFrame, text: str = "text", word: str = "word") -> DataFrame:
+    """Texts with certain misspellings replaced (STR-31); the dictionary is sent along, behind a check of its size."""
+    known = [r[0] for r in words.select(word).distinct().limit(MAX_WORDS + 1).collect()]
+    if len(known) > MAX_WORDS:
+        raise ValueError(f"a dictionary has at most {MAX_WORDS} words")
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        speller = k.Speller(shared.value)
+        for s in batches:
+            yield s.map(lambda x: None if x is None else speller.correct(x))
+
+    return texts.withColumn(text, run(F.col(text)))
+
+
+def apply_glossary(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
+    """Terms replaced one after another (STR-18); the glossary is sent along, behind a check of its size."""
+    rows = entries.select("source", "target", "case_sensitive").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a glossary to apply has at most {MAX_TERMS} terms")
+    terms = sorted((tuple(r) for r in rows), key=lambda e: (-len(e[0]), e))
+    return texts.withColumn(text, mapped(F.col(text), lambda x: k.apply_glossary(x, terms), "string"))
+
+
+def salvage(c: Column, objects_only: bool = False) -> Column:
+    """The JSON in a model's answer as text, null where there is none (STR-25, STR-44)."""
+    import json
+
+    def found(x: str) -> str | None:
+        v = k.find_json(x, objects_only)
+        return None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    return mapped(c, found, "string")

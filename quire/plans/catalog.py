@@ -609,3 +609,53 @@ def arbitration(spark, sf):
 
     c = table(spark, sf, "conversations").withColumn("other", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.select("conv_id", "turn", P.arbitrate(F.col("text"), F.length("text"), F.col("other"), F.length("other")).alias("chosen"))
+
+
+# --- kernels over whole tables
+
+
+@query()
+def spell_suggest(spark, sf):
+    """Conversations against the words of the test items."""
+    w = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).where("length(word) > 4")
+    return paged.spell(table(spark, sf, "conversations").select("conv_id", "turn", "text"), w)
+
+
+@query()
+def glossary_apply(spark, sf):
+    terms = spark.createDataFrame([("the", "THE", True), ("le", "LE", True), ("the and", "BOTH", False)], "source string, target string, case_sensitive boolean")
+    return paged.apply_glossary(table(spark, sf, "conversations").select("conv_id", "turn", "text"), terms)
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract(props, '$.k') || '}' AS found FROM events")
+def json_salvage(spark, sf):
+    """Objects found again in prose around them."""
+    e = table(spark, sf, "events")
+    said = F.concat(F.lit("Sure, here it is [ok]:\n```json\n"), "props", F.lit("\n```"))
+    return e.select("event_id", paged.salvage(said, objects_only=True).alias("found"))
+
+
+@query()
+def prompt_safety(spark, sf):
+    from quire.operators import kernels
+
+    return table(spark, sf, "pages").select("page_id", paged.mapped(F.col("html"), kernels.sanitize_prompt, "string").alias("safe"))
+
+
+@query()
+def line_slices(spark, sf):
+    b = V.blocks(spark, sf).where(~text.is_blank(F.col("text")))
+    return b.select(*KEY, F.posexplode(geometry.line_slices(F.col("text"), geometry.Box.of())).alias("line", "s")).select(*KEY, "line", "s.*")
+
+
+@query()
+def repaired_blocks(spark, sf):
+    """Blocks below the quality target through a stub reader that adds a word."""
+    b = V.blocks(spark, sf).select(*KEY, "text", classify.estimate_confidence(F.col("text")).alias("confidence"))
+    return paged.repair_blocks(b, lambda t: (f"{t} again", 0.99))
+
+
+@query("SELECT doc_id, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')), 0)::BIGINT AS lines FROM documents")
+def markdown_kinds(spark, sf):
+    m = table(spark, sf, "documents").select("doc_id", X.markdown_lines(F.col("text")).alias("m"))
+    return m.select("doc_id", F.size(F.filter("m", lambda r: r["kind"] != "blank")).cast("long").alias("lines"))
