@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions.classify import is_table_cell
 from quire.functions.geometry import Box
@@ -15,65 +17,91 @@ from quire.operators import kernels as k
 from quire.operators.blocks import PAGE
 
 _BOX = ["x0", "y0", "x1", "y1"]
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_AT = "doc_id long, page_index long, block_index long"
 
 
-def _boxes(t: pd.DataFrame) -> list[tuple]:
-    return list(t[_BOX].itertuples(index=False, name=None))
+def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows of each group, in order, through a kernel that gives output rows.
+
+    One exchange on the keys and a sort inside partitions; groups stream past, many to an Arrow batch, so small
+    groups cost no set-up each. A group is a page, or a document's page edges: never more than one fits.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+    n = len(keys)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        out: list[tuple] = []
+        for key, group in groupby(rows(), key=lambda r: r[:n]):
+            out.extend(kernel(key, list(group)))
+            if len(out) >= 4096:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    rest = [c for c in df.columns if c not in keys]
+    dealt = df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, schema)
+
+
+def _box(r: tuple, at: int) -> tuple[float, ...]:
+    """Four columns of a row as a box, a missing one as zeros."""
+    return tuple(0.0 if v is None else v for v in r[at : at + 4])
 
 
 def column_order(blocks: DataFrame) -> DataFrame:
     """Rank of each block in column-major order (WIN-03)."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("block_index").reset_index(drop=True)
-        rank = pd.Series(range(len(t)), index=k.column_major(_boxes(t))).sort_index()
-        return t.assign(column_rank=rank.astype("int64"))[[*PAGE, "block_index", "column_rank"]]
+    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
+        order = k.column_major([_box(r, 3) for r in rows])
+        return [(*rows[i][:3], rank) for rank, i in enumerate(order)]
 
-    slim = blocks.select(*PAGE, "block_index", *_BOX)
-    return slim.groupBy(*PAGE).applyInPandas(run, "doc_id long, page_index long, block_index long, column_rank long")
+    return by_group(blocks.select(*PAGE, "block_index", *_BOX), list(PAGE), ["block_index"], kernel, f"{_AT}, column_rank long")
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:
     """Cells of the one table of a page (WIN-04). Pages without candidates don't reach Python."""
     slim = blocks.where(is_table_cell(F.col("text"), Box.of())).select(*PAGE, "block_index", *_BOX, "text")
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("block_index").reset_index(drop=True)
-        cells = k.table_grid(_boxes(t), list(range(len(t))))
-        at = [i for _, _, i in cells]
-        out = t.iloc[at][[*PAGE, "block_index", "text"]].reset_index(drop=True)
-        return out.assign(table_index=0, row_index=[r for r, _, _ in cells], column_index=[c for _, c, _ in cells]).astype({"row_index": "int64", "column_index": "int64"})
+    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
+        cells = k.table_grid([_box(r, 3) for r in rows], list(range(len(rows))))
+        return [(*rows[i][:3], rows[i][7], 0, r, c) for r, c, i in cells]
 
-    return slim.groupBy(*PAGE).applyInPandas(run, "doc_id long, page_index long, block_index long, text string, table_index long, row_index long, column_index long")
+    return by_group(slim, list(PAGE), ["block_index"], kernel, f"{_AT}, text string, table_index long, row_index long, column_index long")
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Greedy best-IoU match per page; unmatched truth keeps its best IoU (JN-01)."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (t.sort_values("block_index").reset_index(drop=True) for t in (a, b))
-        got = k.greedy_match(_boxes(a), _boxes(b), threshold)
-        match = pd.array([None if i is None else int(b["block_index"][i]) for i, _ in got], dtype="Int64")
-        return a[[*PAGE, "block_index"]].assign(match_index=match, iou=[v for _, v in got])
+    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
+        a, b = ([r for r in rows if r[2] == side] for side in (0, 1))
+        got = k.greedy_match([_box(r, 4) for r in a], [_box(r, 4) for r in b], threshold)
+        return [(*key, r[3], None if i is None else b[i][3], v) for r, (i, v) in zip(a, got)]
 
-    cols = [*PAGE, "block_index", *_BOX]
-    both = truth.select(*cols).groupBy(*PAGE).cogroup(found.select(*cols).groupBy(*PAGE))
-    return both.applyInPandas(run, "doc_id long, page_index long, block_index long, match_index long, iou double")
+    side = lambda df, n: df.select(*PAGE, F.lit(n).alias("side"), "block_index", *_BOX)
+    return by_group(side(truth, 0).union(side(found, 1)), list(PAGE), ["side", "block_index"], kernel, f"{_AT}, match_index long, iou double")
 
 
 def align(boxes: DataFrame, texts: DataFrame) -> DataFrame:
     """Text of a page (doc_id, page_index, llm_text) bound to its boxes (JN-10)."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("block_index").reset_index(drop=True)
-        text = "\n".join(x for x in b["llm_text"] if x)
-        key = (a if len(a) else b).iloc[0] if len(a) or len(b) else None
-        rows = k.align_page(_boxes(a), text)
-        return pd.DataFrame([(int(key["doc_id"]), int(key["page_index"]), i, *box, t) for i, (box, t) in enumerate(rows)], columns=[*PAGE, "block_index", *_BOX, "text"])
+    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
+        text = "\n".join(r[8] for r in rows if r[2] == 1 and r[8])
+        out = k.align_page([_box(r, 4) for r in rows if r[2] == 0], text)
+        return [(*key, i, *box, t) for i, (box, t) in enumerate(out)]
 
-    left = boxes.select(*PAGE, "block_index", *_BOX).groupBy(*PAGE)
-    out = left.cogroup(texts.select(*PAGE, "llm_text").groupBy(*PAGE))
-    return out.applyInPandas(run, "doc_id long, page_index long, block_index long, x0 double, y0 double, x1 double, y1 double, text string")
+    none = F.lit(None).cast("double")
+    left = boxes.select(*PAGE, F.lit(0).alias("side"), "block_index", *_BOX, F.lit(None).cast("string").alias("llm_text"))
+    right = texts.select(*PAGE, F.lit(1).alias("side"), F.lit(0).cast("long").alias("block_index"), *[none.alias(c) for c in _BOX], "llm_text")
+    return by_group(left.union(right), list(PAGE), ["side", "block_index", "llm_text"], kernel, f"{_AT}, x0 double, y0 double, x1 double, y1 double, text string")
 
 
 def cross_page_merge(blocks: DataFrame) -> DataFrame:
@@ -81,21 +109,18 @@ def cross_page_merge(blocks: DataFrame) -> DataFrame:
 
     Only the first non-blank and the last block of a page can change, so only those reach the kernel.
     """
-    from pyspark.sql.window import Window
-
     page = Window.partitionBy(*PAGE)
     blank = F.trim(F.regexp_replace("text", r"(?U)\s", "")) == ""
     b = blocks.withColumn("_first", F.min(F.when(~blank, F.col("block_index"))).over(page)).withColumn("_last", F.max("block_index").over(page))
     edge = (F.col("block_index") == F.col("_first")) | (F.col("block_index") == F.col("_last"))
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["page_index", "block_index"]).reset_index(drop=True)
-        merged = k.merge_pages([g["text"].tolist() for _, g in t.groupby("page_index", sort=True)])
-        return t.assign(text=[x for p in merged for x in p])
+    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
+        pages = [list(g) for _, g in groupby(rows, key=lambda r: r[1])]
+        merged = k.merge_pages([[r[3] or "" for r in p] for p in pages])
+        return [(*r[:3], t) for p, ts in zip(pages, merged) for r, t in zip(p, ts)]
 
-    moved = b.where(edge).select(*PAGE, "block_index", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, page_index long, block_index long, text string")
-    new = moved.withColumnRenamed("text", "_text")
-    out = blocks.join(new, [*PAGE, "block_index"], "left")
+    moved = by_group(b.where(edge).select(*PAGE, "block_index", "text"), ["doc_id"], ["page_index", "block_index"], kernel, f"{_AT}, text string")
+    out = blocks.join(moved.withColumnRenamed("text", "_text"), [*PAGE, "block_index"], "left")
     return out.withColumn("text", F.coalesce("_text", "text")).drop("_text")
 
 
