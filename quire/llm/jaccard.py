@@ -30,6 +30,7 @@ its smallest id.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,16 +48,6 @@ PIVOTS = 32
 CELLS = 128
 
 
-class Vocabulary(dict):
-    """64-bit hashes of words, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -66,42 +57,90 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _PLACES = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 
-def shingle_sets(texts: Iterable[bytes | None], known: Vocabulary) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes (int64) of each text; texts are hashed together, some megabytes at a time."""
-    held: list[list[bytes]] = []
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+_BASE = 0x9E3779B97F4A7C15
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 20
+_powers = [np.empty(0, np.uint64)] * 2
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and places of the words of some lower-case bytes: polynomials over all words at once.
+
+    A running sum of bytes times powers of an odd base gives each word's polynomial as a difference, moved to
+    the word's own start by an inverse power.
+    """
+    n = len(data)
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.multiply.accumulate(np.full(max(n, PIECE + 4096), b, np.uint64))
+    a = np.frombuffer(data, np.uint8)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _SPACES[a]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _powers[1][starts] if len(starts) else np.empty(0, np.uint64)
+    return _mix(h + (ends - starts).astype(np.uint64)), starts
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Stretches of about PIECE bytes that end between words."""
+    at = 0
+    while at < len(data):
+        found = _GAP.search(data, at + PIECE)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end
+
+
+def shingle_sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes (int64) of each text; texts are hashed together, a megabyte at a time."""
+    held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
-        ids = np.fromiter((known[w] for words in held for w in words), np.uint64, size)
-        full = np.zeros(max(0, size - SHINGLE + 1), np.uint64)
+        if len(held) == 1:
+            found = [word_hashes(p)[0] for p in _pieces(held[0])]
+            ids = np.concatenate(found) if found else np.empty(0, np.uint64)
+            cuts = [0, len(ids)]
+        else:
+            ids, starts = word_hashes(b"\n".join(held))
+            cuts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in held])).tolist()
+        full = np.zeros(max(0, len(ids) - SHINGLE + 1), np.uint64)
         for k, m in enumerate(_PLACES):
             full += ids[k : k + len(full)] * m
-        full = _mix(full)
-        at = 0
-        for words in held:
-            n = len(words)
+        full = _mix(full).view(np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            n = b - a
             if n >= SHINGLE:
-                yield np.unique(full[at : at + n - SHINGLE + 1].view(np.int64))
+                yield distinct(full[a : b - SHINGLE + 1])
             elif n:
-                whole = np.array([(ids[at : at + n] * np.array(_PLACES[:n])).sum()], np.uint64)
+                whole = np.array([(ids[a:b] * np.array(_PLACES[:n])).sum()], np.uint64)
                 yield _mix(whole + np.uint64(n)).view(np.int64)
             else:
                 yield np.empty(0, np.int64)
-            at += n
 
     for t in texts:
-        words = (t or b"").lower().split()
-        held.append(words)
-        size += len(words)
-        if size > 500_000:
+        t = (t or b"").lower()
+        if held and size + len(t) > PIECE:
             yield from flush()
             held, size = [], 0
+        held.append(t)
+        size += len(t) + 1
     if held:
         yield from flush()
 
 
-def shingles(text: bytes | None, known: Vocabulary) -> np.ndarray:
-    return next(shingle_sets([text], known))
+def shingles(text: bytes | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def image(s: np.ndarray) -> bytes:
@@ -122,16 +161,17 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, waiting, size, counts = Vocabulary(), set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
+        seen, waiting, size, counts = set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         names = ["kind", "a", "b", "c", "image"]
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             if not waiting:
                 return counts
             keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            twice = n > 1
-            keys, where = np.unique(np.concatenate((counts[0], keys[twice])), return_inverse=True)
-            n = np.bincount(where, np.concatenate((counts[1], n[twice])), len(keys)).astype(np.int64)
+            keys, n = keys[n > 1], n[n > 1]
+            if len(counts[0]):
+                keys, where = np.unique(np.concatenate((counts[0], keys)), return_inverse=True)
+                n = np.bincount(where, np.concatenate((counts[1], n)), len(keys)).astype(np.int64)
             if len(keys) > HOT_SHINGLES:
                 top = np.sort(np.argpartition(-n, HOT_SHINGLES)[:HOT_SHINGLES])
                 keys, n = keys[top], n[top]
@@ -139,7 +179,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
         for batch in batches:
             n, nodes, images = [], [], []
-            for s in shingle_sets(_texts(batch, 1), known):
+            for s in shingle_sets(_texts(batch, 1)):
                 n.append(len(s))
                 images.append(image(s))
                 node = node_of(s) if len(s) else None
@@ -179,20 +219,23 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], doc_id: str =
     slim = docs.select(F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, (late, level) = Vocabulary(), set(), shared.value
+        seen, (late, level) = set(), shared.value
+        maybe = np.zeros(1 << 22, bool)
+        maybe[late & (len(maybe) - 1)] = True
         for batch in batches:
             out, nodes, places = [], [], []
-            for s in shingle_sets(_texts(batch, 0), known):
+            for s in shingle_sets(_texts(batch, 0)):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(node)
                 n = len(s)
                 take = n - (4 * n + 4) // 5 + 1
-                if len(late):
-                    at = np.searchsorted(late, s)
-                    at[at == len(late)] = 0
-                    rank = np.where(late[at] == s, level[at], 0)
+                some = np.flatnonzero(maybe[s & (len(maybe) - 1)])
+                if len(some):
+                    at = np.minimum(np.searchsorted(late, s[some]), len(late) - 1)
+                    rank = np.zeros(n, np.uint8)
+                    rank[some] = np.where(late[at] == s[some], level[at], 0)
                     s = s[np.argsort(rank, kind="stable")]
                 out.append(s[:take]), nodes.append(node), places.append((n << 32) + np.arange(take))
             if out:
@@ -254,19 +297,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes minima over the neighbours, then over the label's own label. Rounds are written to
     the shared folder. Minima are combined before they are dealt, so a node of any degree is one row a task.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        heard = both.join(labels, both.b == labels.node).select("a", "label")
-        near = heard.union(labels.select(F.col("node").alias("a"), "label")).groupBy("a").agg(F.min("label").alias("label"))
-        near = materialise(near.select(F.col("a").alias("node"), "label"), "near")
+        heard = both.join(labels, both.b == labels.node).select("a", "label", F.lit(None).cast("long").alias("was"))
+        own = labels.select(F.col("node").alias("a"), "label", F.col("label").alias("was"))
+        near = heard.union(own).groupBy("a").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        near = materialise(near.select(F.col("a").alias("node"), "label", "was"), "near")
+        if not near.where("label <> was").limit(1).count():
+            return near.select("node", "label")
         up = near.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = near.join(up, "label", "left").select("node", F.least("label", "up").alias("label"))
-        new = materialise(jumped, "labels")
-        old = labels.select("node", F.col("label").alias("was"))
-        if not new.join(old, "node").where("label <> was").limit(1).count():
-            return new
-        labels = new
+        labels = materialise(near.join(up, "label", "left").select("node", F.least("label", "up").alias("label")), "labels")
 
 
 def linked(i, na, nb):
@@ -275,7 +316,7 @@ def linked(i, na, nb):
 
 
 def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a region: a pivot at a time, unsettled parts only."""
+    """Links of a region, a pivot at a time, unsettled parts only: (smallest of its part, node) for each node."""
     m = len(nodes)
     n = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
@@ -287,7 +328,6 @@ def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     order = np.argsort(-central, kind="stable")
     pivots: list[np.ndarray] = []
     mark = np.zeros(len(df), np.int32)
-    out = []
     turn = 0
     while True:
         if turn < 2:  # the most central members first: their links join most of a cluster
@@ -322,9 +362,11 @@ def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             pivots.append(1 - inter / (n + n[x] - inter))
         for y in np.flatnonzero(linked(inter, n, n[x]) & (part != part[x])):
             if part[y] != part[x]:
-                out.append((int(nodes[x]), int(nodes[y])))
                 part[part == part[y]] = part[x]
-    return out
+    least: dict[int, int] = {}
+    for p, node in zip(part.tolist(), nodes.tolist()):
+        least[p] = min(node, least.get(p, node))
+    return [(least[p], node) for p, node in zip(part.tolist(), nodes.tolist()) if node != least[p]]
 
 
 def _solve_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,10 +491,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     some = slim.join(wanted.where("first is not null").select(F.col("first").alias("id"), "task", "node"), "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary()
         for batch in batches:
             tasks, nodes, sets = [], [], []
-            for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0), known)):
+            for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0))):
                 if len(s):
                     node = node_of(s)
                     if want is None or want == node:
