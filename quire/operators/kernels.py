@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from difflib import SequenceMatcher
 
 import numpy as np
 
@@ -197,7 +196,51 @@ _MARKS, _SPACE = re.compile(r"[*_`#\-]+"), re.compile(r"\s+")
 def similarity(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio of the plain lower-case texts (STR-33)."""
     clean = lambda s: _SPACE.sub(" ", _MARKS.sub(" ", s.lower())).strip()
-    return SequenceMatcher(None, clean(a), clean(b)).ratio()
+    return ratio(clean(a), clean(b))
+
+
+def ratio(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b).ratio()``, its popular characters included, by searches for parts of ``b`` in ``a``.
+
+    A block starts from characters of ``b`` that aren't popular and grows over all; the longest is taken, of those
+    the first in ``a``, of those the first in ``b``, and then what lies before and after it.
+    """
+    if not a and not b:
+        return 1.0
+    end = list(range(len(b)))  # of the stretch without popular characters that holds a place
+    popular = {c for c in set(b) if b.count(c) > len(b) // 100 + 1} if len(b) >= 200 else set()
+    for j in range(len(b) - 1, -1, -1):
+        end[j] = j if b[j] in popular else j + 1 if j + 1 == len(b) or b[j + 1] in popular else end[j + 1]
+    todo, total = [(0, len(a), 0, len(b))], 0
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, size = alo, blo, 0
+        for k in range(blo, bhi):
+            stop = min(end[k], bhi)
+            if k + size > stop or k == stop:
+                continue
+            at = a.find(b[k : k + size + 1], alo, ahi) if k + size < stop else -1
+            if at < 0:
+                at = a.find(b[k : k + size], alo, i + size - 1) if size else -1
+                if at >= 0:
+                    i, j = at, k
+                continue
+            while at >= 0:
+                i, j, size = at, k, size + 1
+                while k + size < stop and i + size < ahi and a[i + size] == b[k + size]:
+                    size += 1
+                at = a.find(b[k : k + size + 1], i + 1, ahi) if k + size < stop else -1
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                todo.append((i + size, ahi, j + size, bhi))
+    return 2.0 * total / (len(a) + len(b))
 
 
 def chunks(text: str, most: int = 4000) -> list[str]:

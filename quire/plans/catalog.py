@@ -348,9 +348,9 @@ def script_detect(spark, sf):
 
 @query()
 def similarity(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("x"))
-    b = table(spark, sf, "benchmark").select("item_id", "text")
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "item_id", paged.similarity(F.col("x"), F.col("text")).alias("ratio"))
+    """Whole documents with one test item each, all items in turn."""
+    p = V.paired(spark, sf)
+    return p.select("doc_id", "item_id", paged.similarity(F.col("text"), F.col("item")).alias("ratio"))
 
 
 # --- glossaries and lexicon

@@ -1,5 +1,11 @@
 """Queries and operators that take all rows, against brute force."""
 
+import random
+from difflib import SequenceMatcher
+
+import pytest
+
+from quire.operators import kernels
 from quire.plans import catalog
 
 TEXTS = ["naïve café", "plain ascii", "日本語のテキスト", "", None, "plain ascii", "Ünï"]
@@ -30,3 +36,24 @@ def test_distance_of_all_documents(spark, tmp_path):
         want[i, item] = None if a is None else edits(a, b) / max(len(a), len(b))
     got = {(r.doc_id, r.item_id): r.distance for r in catalog.QUERIES["norm_levenshtein_all"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ratio_equals_difflib(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        letters = rng.choice(["ab", "abc é", "abcdefghijklmnop ", "abcdefgh日本語 .,;:"])
+        make = lambda n: "".join(rng.choices(letters, [rng.random() ** 4 + 0.001 for _ in letters], k=rng.randrange(n)))
+        a, b = make(rng.choice([8, 60, 700])), make(rng.choice([8, 60, 260, 500]))
+        if rng.random() < 0.4 and a:
+            at = rng.randrange(len(a))
+            b = b[: len(b) // 2] + a[at : at + 80] + b[len(b) // 2 :]
+        assert kernels.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_similarity_of_whole_documents(spark, tmp_path):
+    item = "the passage that stands at the end of a long text"
+    rows = tables(spark, tmp_path, [*TEXTS, "x y " * 200 + item, "x y " * 200 + item], [item, "naïve café", "日本語"])
+    got = {(r.doc_id, r.item_id): r.ratio for r in catalog.QUERIES["similarity"](spark, str(tmp_path)).collect()}
+    clean = lambda t: " ".join(t.lower().split())
+    assert got == {(i, k): None if a is None else SequenceMatcher(None, clean(a), clean(b)).ratio() for i, k, a, b in rows}
