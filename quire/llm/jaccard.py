@@ -35,8 +35,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from quire.llm.common import materialise
 
@@ -440,8 +442,8 @@ def split_regions(members: DataFrame, sets: Callable[[DataFrame], DataFrame]) ->
     return small.union(tiles.select(task.alias("task"), "node"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, node) of ``docs`` and, for each class, (node, first, label): its smallest id and its component."""
     seen = materialise(signatures(docs, doc_id, text), "signatures")
     own = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("node"), "image")
     classes = materialise(own.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("image").alias("image")), "classes")
@@ -462,23 +464,45 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     label = components(links)
     known = materialise(classes.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "known")
+    return own, known
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    own, known = linked_classes(docs, doc_id, text)
     lowest = materialise(known.groupBy("label").agg(F.min("first").alias("component")), "lowest")
     named = materialise(known.join(lowest, "label").select("node", "component"), "named")
     out = own.join(named, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+@F.arrow_udf(LongType())
+def _node(t: pa.Array) -> pa.Array:
+    """Class of a text, null for an empty set."""
+    return pa.array([node_of(s) if len(s) else None for s in shingle_sets(x.as_py() for x in t)], pa.int64())
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that of smallest id, with its columns as they were.
 
-    Of rows with the same id and set one stays. Rows without an id stay where no row of their component has one.
+    Rows are told apart by id and set, so those that share an id only are each judged by their own component;
+    of rows with the same id and set the one of least text stays. A component without any id keeps one row too.
     """
-    out = join(docs.select(doc_id, text), doc_id, text)
-    kept = out.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col(doc_id).cast("long") == F.col("_id"), "left_semi").dropDuplicates([doc_id])
-    if not out.where("doc_id is null and component_id is null").limit(1).count():
-        return one
-    return one.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
+    own, known = linked_classes(docs.select(doc_id, text), doc_id, text)
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("k")
+    heads = known.groupBy("label").agg(least).select(F.col("k.first").alias("id"), "k.node")
+    empty = own.where("n = 0").select("id", "node").distinct()
+
+    def key(id_: Column, node: Column) -> list[Column]:
+        missing = id_.isNull().cast("int") + 2 * node.isNull().cast("int")
+        return [F.coalesce(id_, F.lit(0)).alias("_id"), F.coalesce(node, F.lit(0)).alias("_node"), missing.alias("_missing")]
+
+    keys = ["_id", "_node", "_missing"]
+    kept = heads.union(empty).select(*key(F.col("id"), F.col("node")))
+    made = docs.withColumn("_class", _node(F.col(text).cast("binary")))
+    some = made.select(*docs.columns, *key(F.col(doc_id).cast("long"), F.col("_class"))).join(kept, keys, "left_semi")
+    w = Window.partitionBy(*keys).orderBy(text, F.xxhash64(*docs.columns))
+    return some.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*docs.columns)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
