@@ -127,16 +127,23 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | None = None, vector: str = "vector", max_queries: int = 10_000) -> DataFrame:
     """Exact cosine top k of each query over terms that pass its filters (JN-13, JN-14).
 
-    ``queries``: query_id, qvec, and lang to filter by where not null. The stated query set meets all terms in
-    blocks: it is broadcast, behind a check of its size, and terms are scored where they lie; each task keeps
-    partial top lists, so what is shuffled is k rows per query and task, not all scores.
+    ``queries``: query_id, qvec, and lang to filter by where not null. Up to ``max_queries`` are broadcast and terms
+    are scored where they lie. More are dealt by hash into blocks of about that size, terms into slices, and each block
+    meets each slice in a join, so none is left out. Each task keeps partial top lists: k rows per query are shuffled.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"over {max_queries} queries; run them in parts")
-    q = F.broadcast(queries.select("query_id", "qvec", F.col("lang").alias("_qlang")))
+    q = queries.select("query_id", "qvec", F.col("lang").alias("_qlang"))
     fits = F.col("_qlang").isNull() | (F.col("_qlang") == F.col("lang"))
-    scored = terms.join(q, fits).select("query_id", "term_id", cosine(F.col("qvec"), F.col(vector)).alias("score"))
+    n = queries.limit(max_queries + 1).count()
+    if n <= max_queries:
+        met = terms.join(F.broadcast(q), fits)
+    else:
+        blocks, slices = (-(-df.count() // max_queries) for df in (queries, terms))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+        q = q.withColumn("_block", dealt("query_id", blocks)).withColumn("_slice", every(slices))
+        t = terms.withColumn("_slice", dealt("term_id", max(slices, 1))).withColumn("_block", every(blocks))
+        met = t.join(q, (t["_block"] == q["_block"]) & (t["_slice"] == q["_slice"]) & fits)
+    scored = met.select("query_id", "term_id", cosine(F.col("qvec"), F.col(vector)).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term_id")

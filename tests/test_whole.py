@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from quire.operators import kernels
+from quire.operators import glossary, kernels
 from quire.plans import catalog
 
 TEXTS = ["naïve café", "plain ascii", "日本語のテキスト", "", None, "plain ascii", "Ünï"]
@@ -57,3 +57,18 @@ def test_similarity_of_whole_documents(spark, tmp_path):
     got = {(r.doc_id, r.item_id): r.ratio for r in catalog.QUERIES["similarity"](spark, str(tmp_path)).collect()}
     clean = lambda t: " ".join(t.lower().split())
     assert got == {(i, k): None if a is None else SequenceMatcher(None, clean(a), clean(b)).ratio() for i, k, a, b in rows}
+
+
+def test_nearest_of_any_number_of_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], f"l{i % 3}") for i in range(60)]
+    t = spark.createDataFrame(rows, "term_id long, vector array<double>, lang string")
+    q = spark.createDataFrame([(i, v, None if i % 7 == 0 else g) for i, v, g in rows[:25]], "query_id long, qvec array<double>, lang string")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    want = set()
+    for i, v, g in rows[:25]:
+        near = sorted((-cos(v, w), k) for k, w, h in rows if i % 7 == 0 or g == h)[:3]
+        want |= {(i, k, r) for r, (_, k) in enumerate(near, 1)}
+    for most in (4, 100):
+        got = [(r.query_id, r.term_id, r["rank"]) for r in glossary.nearest(t, q, max_queries=most).collect()]
+        assert set(got) == want and len(got) == len(want)
