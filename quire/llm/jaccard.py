@@ -5,49 +5,52 @@ share no shingle are at distance 1, where no pivot tells them apart; they are ke
 linked pair must share: of its n shingles in one fixed order, one of the first n - ceil(0.8 n) + 1. The
 rest is done by pivots:
 
-1. Documents with equal sets are one class; classes are joined from here on.
-2. Each class emits its first shingles, frequent ones ordered last. Classes that share such a shingle in a
-   group of at most SMALL are paired (linear in the rows, as SMALL is fixed); a pair goes on only if its
-   places allow enough common shingles and its images under CELLS pivots are near enough. An image counts a
-   set's shingles in each cell of hash space; it is a contraction, so by the triangle inequality sets whose
-   images differ by more than (n + m) / 9 can't be linked. Larger groups are dense places, taken as a whole.
-3. What pairs and dense groups connect is a region: all links lie inside regions. A region of over
-   REGION shingles is split: pivots create Voronoi cells, and a class x joins every cell q with
-   d(x, q) <= d(x, own) + 0.4, so that each linked pair meets in a cell (triangle inequality). Cells that
-   stay too large are cut into blocks and every pair of blocks meets, which is exact for what remains.
-4. In a region pivots are processed one after another: their distances to all members give links, and
+1. Documents with equal sets are one class (128-bit key); classes are joined from here on.
+2. Each class emits its first shingles, frequent ones ordered last. A group that shares one is spanned by
+   stars: in groups of at most SMALL between classes whose lengths and places allow a link, in larger ones
+   between classes whose lengths do. A group gives fewer edges than it has rows, and the groups of frequent
+   shingles are dealt over several tasks. What stars connect is a region: all links lie inside regions.
+3. A region of over SHARE shingles is split, whatever its size, over tasks of about SHARE shingles each:
+   PIVOTS of its classes meet all its members. A member within 0.2 of a pivot is linked with it and belongs to the
+   nearest one's Voronoi cell. By the triangle inequality a class that is linked with a member of cell p
+   is within 0.4 of p: classes in that window that no link connects with p yet are replicated to the cell, and
+   cells with such guests are solved, cut into blocks where they exceed SHARE. Classes that no pivot is
+   near to are the next round's region, recursively; whatever links two of them is found there. What is left
+   after ROUNDS falls back to groups that share one of their first shingles in hash order.
+4. In a task pivots are processed one after another: their distances to all members give links, and
    |d(x, p) - d(y, p)| > 0.2 rules out pairs. It ends when no pair of unlinked parts can be within 0.2.
 5. Links become components by minimum labels with pointer jumping.
 
-The order of shingles is a matter of speed only: any order gives the same links.
+The order of shingles is a matter of speed only: any order gives the same links. Regions are named by 64-bit
+hashes, where a collision makes a region larger and nothing else.
 
 A text's words are its runs of characters other than ASCII white space, A-Z lower-cased; a shingle is
 five words, and a text of fewer words is one shingle. Null and empty texts have an empty set and link
 with nothing. Rows that repeat an id, or have none, count as documents of their own; a component's id is
-its smallest id.
+its smallest id. Ids may be of any ordered type.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from quire.llm.common import materialise
+from quire.llm.common import heavy_keys, materialise, salted_join
 
 SHINGLE = 5
 SMALL = 32
-REGION = 3_000_000
+SHARE = 65_536
+ROUNDS = 6
 HOT_SHINGLES = 1_000_000
 PIVOTS = 32
-CELLS = 128
+SALTED = 4_096
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -145,13 +148,12 @@ def shingles(text: bytes | None) -> np.ndarray:
     return next(shingle_sets([text]))
 
 
-def image(s: np.ndarray) -> bytes:
-    """Shingles per cell of hash space, at most 255 each: no two images are farther apart than their sets."""
-    return np.minimum(np.bincount((s & (CELLS - 1)).astype(np.intp), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def key_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
@@ -159,12 +161,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Kind 0: (id, n, node, image) of each document. Kind 1: (shingle, sets with it) as seen by one task, from 2."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
+    """Kind 0: (id, n, key, node) of each document. Kind 1: (node: shingle, n: sets with it) as seen by one task, from 2."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
+    names = ["kind", "id", "n", "key", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, size, counts = set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
-        names = ["kind", "a", "b", "c", "image"]
+        seen, waiting, size, counts, id_type = set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64)), None
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             if not waiting:
@@ -180,42 +182,42 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             return keys, n
 
         for batch in batches:
-            n, nodes, images = [], [], []
+            n, keys, id_type = [], [], batch.column(0).type
             for s in shingle_sets(_texts(batch, 1)):
                 n.append(len(s))
-                images.append(image(s))
-                node = node_of(s) if len(s) else None
-                nodes.append(node)
-                if len(s) and node not in seen:
+                key = key_of(s) if len(s) else None
+                keys.append(key)
+                if len(s) and key not in seen:
                     if len(seen) < 500_000:
-                        seen.add(node)
+                        seen.add(key)
                     waiting.append(s)
                     size += len(s)
                 if size > 6_000_000:
                     counts, waiting, size = merged(), [], 0
-            m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(images, pa.binary())], names)
+            nodes = [None if k is None else node_of(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names)
         keys, n = merged()
         for k in range(0, len(keys), 100_000):
             part = slice(k, k + 100_000)
             m = len(keys[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[part]), pa.array(n[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, id_type), pa.array(n[part]), pa.nulls(m, pa.binary()), pa.array(keys[part])], names)
 
-    return slim.mapInArrow(run, "kind int, a long, b long, c long, image binary")
+    return slim.mapInArrow(run, f"kind int, id {slim.schema['id'].dataType.simpleString()}, n long, key binary, node long")
 
 
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most HOT_SHINGLES shingles, the most frequent, sorted, and the logarithm of how many sets have each."""
-    top = counts.groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HOT_SHINGLES).toArrow()
+    """At most HOT_SHINGLES shingles, the most frequent, sorted, and twice the logarithm of how many sets have each."""
+    top = counts.groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(HOT_SHINGLES).toArrow()
     keys, n = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
     order = np.argsort(keys)
     return keys[order], np.minimum(np.log2(n[order] + 1) * 2, 100).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shingle, node, place): the first n - ceil(0.8 n) + 1 shingles of each set, once per task.
+def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+    """(shingle, salt, node, place): the first n - ceil(0.8 n) + 1 shingles of each set, once per task.
 
-    ``place`` holds n in its upper and the shingle's place in its lower 32 bits.
+    ``place`` holds n in its upper and the shingle's place in its lower 32 bits. A shingle of over SALTED sets is
+    dealt over as many salts, from 1, as keep a group near that size; others have salt 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     slim = docs.select(F.col(text).cast("binary").alias("t"))
@@ -225,84 +227,139 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], doc_id: str =
         maybe = np.zeros(1 << 22, bool)
         maybe[late & (len(maybe) - 1)] = True
         for batch in batches:
-            out, nodes, places = [], [], []
+            out, nodes, places, ranks = [], [], [], []
             for s in shingle_sets(_texts(batch, 0)):
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (key := key_of(s)) in seen:
                     continue
                 if len(seen) < 500_000:
-                    seen.add(node)
+                    seen.add(key)
                 n = len(s)
                 take = n - (4 * n + 4) // 5 + 1
                 some = np.flatnonzero(maybe[s & (len(maybe) - 1)])
+                rank = np.zeros(n, np.uint8)
                 if len(some):
                     at = np.minimum(np.searchsorted(late, s[some]), len(late) - 1)
-                    rank = np.zeros(n, np.uint8)
                     rank[some] = np.where(late[at] == s[some], level[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
-                out.append(s[:take]), nodes.append(node), places.append((n << 32) + np.arange(take))
+                    order = np.argsort(rank, kind="stable")[:take]
+                    s, rank = s[order], rank[order]
+                out.append(s[:take]), ranks.append(rank[:take]), nodes.append(node_of(key)), places.append((n << 32) + np.arange(take))
             if out:
-                cols = [np.concatenate(out), np.repeat(np.array(nodes, np.int64), [len(x) for x in out]), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "node", "place"])
-
-    return slim.mapInArrow(run, "shingle long, node long, place long")
+                node = np.repeat(np.array(nodes, np.int64), [len(x) for x in out])
+                salts = (np.exp2(np.concatenate(ranks) / 2.0) / SALTED).astype(np.int64)
+                salt = np.where(salts > 1, 1 + np.abs(node % np.maximum(salts, 1)), 0)
+                cols = [np.concatenate(out), salt, node, np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "salt", "node", "place"])
+
+    return slim.mapInArrow(run, "shingle long, salt long, node long, place long")
+
+
+def _stars(x: np.ndarray, y: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Edges (smallest node of its part, node) of the parts that pairs of places (x, y) connect."""
+    label = np.arange(len(node))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        if (label[x] == low).all() and (label[y] == low).all():
+            break
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    centre = least[label]
+    own = centre != node
+    return np.stack((centre[own], node[own]), 1)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Kind 0: pairs (a, b) from small groups. Kind 1: (shingle, node) of groups of over SMALL classes."""
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "place", "node")
+    """Edges (a, b) of stars that span each group of classes with a common first shingle; fewer than rows.
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield [c[:cut] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield rest
+    Groups stream past: of one that is still open at the end of a batch at most SMALL rows are held, and of a
+    larger one the last chain of lengths. Salted groups of one shingle are tied together by the shingle itself, an
+    end that is no class.
+    """
+    dealt = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "place", "node")
+
+    def small(s: np.ndarray, node: np.ndarray, place: np.ndarray) -> np.ndarray:
+        n, at, xs, ys = place >> 32, place & 0xFFFFFFFF, [], []
+        for k in range(1, SMALL):
+            same = s[k:] == s[:-k]
+            if not same.any():
+                break
+            # common shingles are at most this one and those after it, at the first that a pair has in common
+            most = np.minimum(n[:-k] - at[:-k], n[k:] - at[k:])
+            near = np.flatnonzero(same & (5 * n[:-k] >= 4 * n[k:]) & (9 * most >= 4 * (n[:-k] + n[k:])))
+            xs.append(near), ys.append(near + k)
+        return _stars(np.concatenate(xs), np.concatenate(ys), node) if xs else np.empty((0, 2), np.int64)
+
+    def chains(group: np.ndarray, s: np.ndarray, salt: np.ndarray, node: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Stars of runs of rows in which each length allows a link with the next; the last run's centre and length."""
+        n = place >> 32
+        breaks = np.ones(len(n), bool)
+        breaks[1:] = (group[1:] != group[:-1]) | (5 * n[:-1] < 4 * n[1:])
+        starts = np.flatnonzero(breaks)
+        centres = np.minimum.reduceat(node, starts)
+        each = np.repeat(centres, np.diff(np.append(starts, len(n))))
+        ties = salt[starts] > 0
+        edges = np.concatenate((np.stack((each, node), 1), np.stack((s[starts][ties], centres[ties]), 1)))
+        return edges[edges[:, 0] != edges[:, 1]], (centres[-1], place[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, node, place in groups(batches):
-            first = np.ones(len(s), bool)
-            first[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
-            s, node, place = s[first], node[first], place[first]
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            size = np.repeat(np.diff(np.append(starts, len(s))), np.diff(np.append(starts, len(s))))
-            large = size > SMALL
-            kinds, a, b = [np.ones(int(large.sum()), np.int32)], [s[large]], [node[large]]
+        held: list[np.ndarray] | None = None
+        long_: tuple | None = None  # (shingle, salt) of a group that is known to be large
+
+        def edges_of(cols: list[np.ndarray], cut: int) -> tuple[np.ndarray, tuple | None]:
+            """Edges of the first ``cut`` rows, all of their groups ended but for the last one's."""
+            s, salt, node, place = (c[:cut] for c in cols)
+            group = np.concatenate(([0], np.cumsum((s[1:] != s[:-1]) | (salt[1:] != salt[:-1]))))
+            size = np.bincount(group)[group]
+            large = (size > SMALL) | (salt > 0)
+            if long_ is not None:
+                large |= (s == long_[0]) & (salt == long_[1])
             few = (size > 1) & ~large
-            s, node, n, at = s[few], node[few], place[few] >> 32, place[few] & 0xFFFFFFFF
-            pairs = []
-            for k in range(1, SMALL):
-                same = s[k:] == s[:-k]
-                if not same.any():
-                    break
-                # common shingles are at most this one and those after it, at the first that a pair has in common
-                most = 1 + np.minimum(n[:-k] - at[:-k], n[k:] - at[k:]) - 1
-                near = same & (5 * n[:-k] >= 4 * n[k:]) & (9 * most >= 4 * (n[:-k] + n[k:]))
-                x, y = node[:-k][near], node[k:][near]
-                pairs.append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1))
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                kinds.append(np.zeros(len(p), np.int32)), a.append(p[:, 0]), b.append(p[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, a, b)], ["kind", "a", "b"])
+            found, last = [small(s[few], node[few], place[few])], None
+            if large.any():
+                more, last = chains(group[large], s[large], salt[large], node[large], place[large])
+                found.append(more)
+            return np.unique(np.concatenate(found), axis=0), last
 
-    return dealt.mapInArrow(run, "kind int, a long, b long")
+        def out(e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, k])) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            end = (cols[0][-1], cols[1][-1])
+            cut = int(np.searchsorted(cols[0], end[0]))
+            cut += int(np.searchsorted(cols[1][cut:], end[1]))
+            if len(cols[0]) - cut > SMALL or end == long_:
+                long_ = end
+                e, (centre, place) = edges_of(cols, len(cols[0]))
+                held = [np.array([v], np.int64) for v in (*end, centre, place)]
+            else:
+                e, _ = edges_of(cols, cut) if cut else (np.empty((0, 2), np.int64), None)
+                held = [c[cut:] for c in cols]
+            yield out(e)
+        if held is not None:
+            yield out(edges_of(held, len(held[0]))[0])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each end of an edge (a, b): the smallest node that it can reach.
 
     Each round takes minima over the neighbours, then over the label's own label. Rounds are written to
-    the shared folder. Minima are combined before they are dealt, so a node of any degree is one row a task.
+    the shared folder. Minima are combined before they are dealt, and ends with over 1/500 of the edges are salted.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    kind = edges.schema["a"].dataType
+    both = materialise(edges.select("a", F.col("b").alias("node")).union(edges.select(F.col("b").alias("a"), F.col("a").alias("node"))), "edges")
+    heavy = heavy_keys(both.groupBy("node").count(), "node", "count")
+    labels = materialise(both.groupBy("a").agg(F.min("node").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        heard = both.join(labels, both.b == labels.node).select("a", "label", F.lit(None).cast("long").alias("was"))
+        heard = salted_join(both, labels, "node", heavy).select("a", "label", F.lit(None).cast(kind).alias("was"))
         own = labels.select(F.col("node").alias("a"), "label", F.col("label").alias("was"))
         near = heard.union(own).groupBy("a").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         near = materialise(near.select(F.col("a").alias("node"), "label", "was"), "near")
@@ -317,14 +374,19 @@ def linked(i, na, nb):
     return 100 * i >= 80 * (na + nb - i)
 
 
-def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a region, a pivot at a time, unsettled parts only: (smallest of its part, node) for each node."""
+def solve(nodes: list, sets: list[np.ndarray], guest: np.ndarray | None = None) -> list[tuple]:
+    """Links of a task, a pivot at a time, unsettled parts only: (smallest of its part, node) for each node.
+
+    With ``guest`` the others are one part already, and only links between guests and them are looked for.
+    """
     m = len(nodes)
     n = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     _, codes, df = np.unique(flat, return_inverse=True, return_counts=True)
     bounds = np.concatenate(([0], np.cumsum(n)[:-1]))
     part = np.arange(m)
+    if guest is not None and not guest.all():
+        part[~guest] = int(np.flatnonzero(~guest)[0])
     settled = np.zeros(m, bool)
     central = np.add.reduceat(df[codes], bounds) / n
     order = np.argsort(-central, kind="stable")
@@ -348,6 +410,8 @@ def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             x = open_[0]
         turn += 1
         rest = ~settled & (part != part[x])
+        if guest is not None:
+            rest &= guest != guest[x]
         if turn > 2 and rest.any():
             near = np.ones(m, bool)
             for d in pivots[:16]:
@@ -362,124 +426,230 @@ def solve(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         mark[mine] = 0
         if len(pivots) < 16:
             pivots.append(1 - inter / (n + n[x] - inter))
-        for y in np.flatnonzero(linked(inter, n, n[x]) & (part != part[x])):
+        for y in np.flatnonzero(linked(inter, n, n[x]) & (part != part[x]) & (rest if guest is not None else True)):
             if part[y] != part[x]:
                 part[part == part[y]] = part[x]
-    least: dict[int, int] = {}
-    for p, node in zip(part.tolist(), nodes.tolist()):
+    least: dict = {}
+    for p, node in zip(part.tolist(), nodes):
         least[p] = min(node, least.get(p, node))
-    return [(least[p], node) for p, node in zip(part.tolist(), nodes.tolist()) if node != least[p]]
+    return [(least[p], node) for p, node in zip(part.tolist(), nodes) if node != least[p]]
+
+
+_LINKS = "a binary, b binary"
 
 
 def _solve_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task: (task, node, s)."""
-    task, nodes, sets = None, [], []
+    """Rows sorted by task: (task, side, key, s); side 0 is one part already, 1 its guests, 2 a task without sides."""
+    task, keys, sides, sets = None, [], [], []
 
     def flush() -> pa.RecordBatch:
-        found = solve(np.array(nodes, np.int64), sets) if len(nodes) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        guest = np.array(sides) == 1
+        found = solve(keys, sets, guest if 0 in sides else None) if len(keys) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for t, node, s in zip(*(batch.column(i) for i in range(3))):
-            t, node = t.as_py(), node.as_py()
+        for t, side, key, s in zip(*(batch.column(i) for i in range(4))):
+            t, key = t.as_py(), key.as_py()
             if t != task:
-                if nodes:
+                if keys:
                     yield flush()
-                task, nodes, sets = t, [], []
-            if not nodes or nodes[-1] != node:
-                nodes.append(node)
+                task, keys, sides, sets = t, [], [], []
+            if not keys or keys[-1] != key:
+                keys.append(key), sides.append(side.as_py())
                 sets.append(s.values.to_numpy())
-    if nodes:
+    if keys:
         yield flush()
 
 
-def shared_count(a, b):
-    return F.size(F.array_intersect(a, b)).cast("long")
+def _partitions(shingles: int, each: int) -> int:
+    """An explicit number of partitions: adaptive execution would merge them by bytes, not by work."""
+    return int(min(20_000, max(1, -(-shingles // each))))
 
 
-def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose images allow a link."""
-    side = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("image").alias(f"i{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ia", "ib")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            near = 9 * np.abs(a - b).sum(axis=1, dtype=np.int64) <= n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
-
-    return both.mapInArrow(run, "a long, b long")
+def meet_pivots(work: DataFrame, sums: DataFrame, turn: int) -> DataFrame:
+    """Members of large tasks (task, key, n, s) against PIVOTS members of their task.
 
+    ``sums``: task, total (shingles). Kind 1: (task, key, n, own, other, near): the nearest pivot within 0.2 as a
+    place and a key, and the places of those beyond it within 0.4. Kind 2: (task, key, other, own, near): two
+    pivots that members connect.
+    """
+    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PIVOTS)).cast("int")
+    chosen = work.groupBy("task", slot.alias("slot")).agg(F.min_by("key", F.xxhash64("key", F.lit(turn + 1000))).alias("key"))
+    wide = sums.select("task", F.ceil(F.col("total") / SHARE).cast("int").alias("salts"))
+    pivots = work.join(chosen, ["task", "key"]).join(wide, "task").select("task", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "key", "n", "s")
+    heavy = heavy_keys(sums, "task", "total")
+    members = salted_join(work, wide, "task", heavy).select("task", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "n", "s")
+    n = _partitions(sums.agg(F.sum("total")).first()[0] or 0, 2 * SHARE)
+    dealt = pivots.union(members).repartition(n, "task", "salt").sortWithinPartitions("task", "salt", "kind", "key")
 
-def split_regions(members: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(task, node): tasks of bounded size such that each linked pair of a region meets in one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets = None, [], []
+        table: tuple | None = None
+        joined = np.zeros((PIVOTS, PIVOTS), bool)
+
+        def connected(task: int) -> Iterator[pa.RecordBatch]:
+            left, pairs = list(range(len(names))), []
+            for i in range(len(names)):
+                for j in range(i):
+                    if joined[i, j] and left[i] != left[j]:
+                        left = [left[j] if x == left[i] else x for x in left]
+                        pairs.append((j, i))
+            if pairs:
+                m = len(pairs)
+                a, b = zip(*pairs)
+                yield batch_of([2] * m, [task] * m, [names[i] for i in a], [0] * m, a, [names[i] for i in b], [[i] for i in b])
 
-    ``members``: node, region, n. ``sets`` makes (task, node, n, s) of rows (task, node).
-    """
-    total = materialise(members.groupBy("region").agg(F.sum("n").alias("total")), "regions")
-    large = total.where(F.col("total") > REGION)
-    if not large.limit(1).count():
-        return members.select(F.col("region").alias("task"), "node")
-    small = members.join(total.where(F.col("total") <= REGION), "region").select(F.col("region").alias("task"), "node")
-    inside = materialise(members.join(large, "region").select("region", "node", "n"), "large")
-    made = materialise(sets(inside.select(F.col("region").alias("task"), "node")), "sets")
-    # one pivot for each slot of the hash: the class that the hash puts first there
-    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    chosen = inside.withColumn("slot", slot).groupBy("region", "slot").agg(F.min_by("node", F.xxhash64("node", F.lit(7))).alias("pivot"))
-    chosen = materialise(chosen.join(made.select(F.col("node").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn")), "pivot"), "pivots")
-    pairs = made.withColumnRenamed("task", "region").join(chosen, "region")
-    i = F.size(F.array_intersect("s", "ps")).cast("long")
-    far = materialise(pairs.select("region", "node", "n", "pivot", (1 - i / (F.col("n") + F.col("pn") - i)).alias("d")), "distances")
-    own = far.groupBy("region", "node").agg(F.min("d").alias("own"))
-    cells = far.join(own, ["region", "node"]).where(F.col("d") <= F.col("own") + 0.4 + 1e-9)
-    cells = materialise(cells.select(F.xxhash64("region", "pivot").alias("cell"), "node", "n"), "cells")
-    held = materialise(cells.groupBy("cell").agg(F.ceil(F.sum("n") * 2 / REGION).alias("blocks")), "held")
-    blocks = cells.join(held, "cell").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = blocks.select("cell", "node", "mine", other.alias("with"))
-    task = F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with"))
-    return small.union(tiles.select(task.alias("task"), "node"))
+        for batch in batches:
+            task, salt, kind, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            new = np.flatnonzero(np.concatenate(([True], (task[1:] != task[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1]))))
+            for i, j in zip(new, np.append(new[1:], len(task))):
+                if (task[i], salt[i]) != now:
+                    if now is not None:
+                        yield from connected(now[0])
+                    now, names, sets, table = (task[i], salt[i]), [], [], None
+                    joined[:] = False
+                keys, s = batch.column(3).slice(i, j - i).to_pylist(), batch.column(5).slice(i, j - i)
+                if kind[i] == 0:
+                    for key, x in zip(keys, s):
+                        if key not in names:
+                            names.append(key), sets.append(x.values.to_numpy())
+                    continue
+                if table is None:
+                    known, where = np.unique(np.concatenate(sets), return_inverse=True)
+                    bits = np.zeros(len(known), np.uint64)
+                    np.bitwise_or.at(bits, where, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(x) for x in sets]))
+                    table = known, bits, np.array([len(x) for x in sets], np.int64)
+                known, bits, sizes = table
+                flat, size = s.flatten().to_numpy(), n[i:j]
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                mask = np.where(known[at] == flat, bits[at], np.uint64(0))
+                first = np.concatenate(([0], np.cumsum(size)[:-1]))
+                common = np.stack([np.add.reduceat(((mask >> np.uint64(k)) & np.uint64(1)).astype(np.int64), first) for k in range(len(sets))])
+                every = size[None, :] + sizes[:, None] - common
+                close, window = linked(common, size[None, :], sizes[:, None]), 10 * common >= 6 * every
+                own = np.where(close.any(0), np.where(close, common / every, -1.0).argmax(0), -1)
+                c = close.astype(np.int32)
+                joined[: len(sets), : len(sets)] |= (c @ c.T) > 0
+                window &= ~close
+                yield batch_of([1] * (j - i), task[i:j], keys, size, own, [names[k] if k >= 0 else None for k in own.tolist()], [np.flatnonzero(w) for w in window.T])
+        if now is not None:
+            yield from connected(now[0])
+
+    def batch_of(*cols) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "task", "key", "n", "own", "other", "near"])
+
+    return dealt.mapInArrow(run, "kind int, task long, key binary, n long, own int, other binary, near array<int>")
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _parts(pairs: pa.Array) -> pa.Array:
+    """Part of each pivot, from the pairs that members connect."""
+    out = []
+    for p in pairs.to_pylist():
+        part = list(range(PIVOTS))
+        for x in p or ():
+            a, b = sorted((part[x["own"]], part[x["other"]]))
+            part = [a if q == b else q for q in part]
+        out.append(part)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def tiles(cells: DataFrame) -> DataFrame:
+    """(task, side, key) of cells (cell, side, key, n): hosts (0) and guests (1) meet whole or, beyond SHARE, in blocks."""
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0))
+    held = materialise(cells.groupBy("cell").agg(side(0).alias("v"), side(1).alias("f")).where("v > 0 and f > 0"), "held")
+    blocks = lambda c: F.when(F.col("v") + F.col("f") <= SHARE, 1).otherwise(F.ceil(F.col(c) * 2 / SHARE)).cast("int").alias(f"b{c}")
+    heavy = heavy_keys(held.select("cell", (F.col("v") + F.col("f")).alias("all")), "cell", "all")
+    met = salted_join(cells, held.select("cell", blocks("v"), blocks("f")), "cell", heavy).where("bv is not null")
+    host = F.col("side") == 0
+    mine = F.pmod(F.xxhash64("key", F.lit(11)), F.when(host, F.col("bv")).otherwise(F.col("bf")))
+    every = F.explode(F.sequence(F.lit(0), F.when(host, F.col("bf")).otherwise(F.col("bv")) - 1))
+    met = met.select("cell", "side", "key", mine.cast("int").alias("mine"), every.alias("other"))
+    host = F.col("side") == 0
+    task = F.xxhash64("cell", F.when(host, F.col("mine")).otherwise(F.col("other")), F.when(host, F.col("other")).otherwise(F.col("mine")))
+    return met.select(task.alias("task"), "side", "key")
+
+
+def groups_in_order(work: DataFrame) -> DataFrame:
+    """(task, side, key): members (task, key, n, s) that share one of their first shingles, in blocks of which each pair meets."""
+    take = (F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1).cast("int")
+    rows = work.select("task", "key", "n", F.explode(F.slice("s", F.lit(1), take)).alias("shingle")).select(F.xxhash64("task", "shingle").alias("cell"), "key", "n")
+    held = rows.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").select("cell", F.ceil(F.col("total") * 2 / SHARE).alias("blocks"))
+    met = rows.join(held, "cell").withColumn("mine", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select(F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with")).alias("task"), F.lit(2).alias("side"), "key")
+
+
+def links_of(work: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked, from regions (task, key, n, s), split by pivots until tasks fit."""
+    links, ready = [], []
+    own = work.select("task", "key", "n").distinct()
+    for turn in range(ROUNDS + 1):
+        sums = materialise(own.groupBy("task").agg(F.sum("n").alias("total")), "totals")
+        large = sums.where(F.col("total") > SHARE)
+        ready.append(own.join(sums.where(F.col("total") <= SHARE), "task").select("task", F.lit(2).alias("side"), "key"))
+        if not large.limit(1).count():
+            break
+        sets = work.select("key", "s").join(own.join(large, "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
+        sets = materialise(sets, "large")
+        if turn == ROUNDS:
+            ready.append(groups_in_order(sets))
+            break
+        met = materialise(meet_pivots(sets, large, turn), "met")
+        links.append(met.where("other is not null and key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
+        pairs = met.where("kind = 2").select("task", "own", F.get("near", F.lit(0)).alias("other")).groupBy("task").agg(F.collect_set(F.struct("own", "other")).alias("pairs"))
+        parts = pairs.select("task", _parts("pairs").alias("parts"))
+        one = salted_join(met.where("kind = 1").select("task", "key", "n", "own", "near"), parts, "task", heavy_keys(large, "task", "total"))
+        part = lambda k: F.coalesce(F.get("parts", k), k)
+        foreign = F.filter("near", lambda q: (F.col("own") < 0) | (part(q) != part(F.col("own"))))
+        one = materialise(one.select("task", "key", "n", "own", foreign.alias("near")), "cells")
+        hosts = one.where("own >= 0").select(F.xxhash64("task", "own").alias("cell"), F.lit(0).alias("side"), "key", "n")
+        guests = one.select("task", F.explode("near").alias("q"), "key", "n").select(F.xxhash64("task", "q").alias("cell"), F.lit(1).alias("side"), "key", "n")
+        ready.append(tiles(hosts.union(guests)))
+        own = materialise(one.where("own < 0").select(F.xxhash64("task", F.lit(turn)).alias("task"), "key", "n"), "rest")
+    dealt = ready[0]
+    for more in ready[1:]:
+        dealt = dealt.union(more)
+    dealt = materialise(dealt, "tasks")
+    total = dealt.join(work.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
+    full = dealt.join(work.select("key", "s"), "key").select("task", "side", "key", "s")
+    full = full.repartition(_partitions(total, 4 * SHARE), "task").sortWithinPartitions("task", "side", "key")
+    out = full.mapInArrow(_solve_groups, _LINKS)
+    for more in links:
+        out = out.union(more)
+    return materialise(out, "links")
 
 
 def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n, node) of ``docs`` and, for each class, (node, first, label): its smallest id and its component."""
+    """Rows (id, n, key) of ``docs`` and, for each class, (key, first, copies, label): its smallest id and its component."""
     seen = materialise(signatures(docs, doc_id, text), "signatures")
-    own = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("node"), "image")
-    classes = materialise(own.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("image").alias("image")), "classes")
+    own = seen.where("kind = 0").select("id", "n", "key")
+    classes = seen.where("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("node").alias("node"), F.count("*").alias("copies"))
+    classes = materialise(classes, "classes")
     hot = frequent(seen.where("kind = 1"))
-    found = materialise(candidates(prefixes(docs, hot, doc_id, text)), "candidates")
-    near = near_pairs(found.where("kind = 0").select("a", "b").distinct(), classes)
-    edges = materialise(near.union(found.where("kind = 1").select("a", "b").distinct()), "near")
-
-    # ends of dense edges that are shingles are no classes and fall away here
-    members = components(edges).join(classes, "node").select("node", F.col("label").alias("region"), "n", "first")
-    members = materialise(members, "members")
-
-    def sets(tasks: DataFrame) -> DataFrame:
-        return sets_of(docs, tasks.join(members.select("node", "first"), "node"), doc_id, text)
+    edges = materialise(candidates(prefixes(docs, hot, text)), "stars")
 
-    work = sets(split_regions(members, sets)).select("task", "node", "s").repartition("task").sortWithinPartitions("task", "node")
-    links = materialise(work.mapInArrow(_solve_groups, "a long, b long"), "links")
-
-    label = components(links)
-    known = materialise(classes.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "known")
-    return own, known
+    # ends that are shingles are no classes and fall away here
+    members = materialise(components(edges).join(classes, "node").select("key", F.col("label").alias("task"), "first"), "members")
+    label = components(links_of(materialise(sets_of(docs, members, doc_id, text), "sets"))).withColumnRenamed("node", "key")
+    known = classes.join(label, "key", "left").select("key", "first", "copies", F.coalesce("label", "key").alias("label"))
+    return own, materialise(known, "known")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     own, known = linked_classes(docs, doc_id, text)
-    lowest = materialise(known.groupBy("label").agg(F.min("first").alias("component")), "lowest")
-    named = materialise(known.join(lowest, "label").select("node", "component"), "named")
-    out = own.join(named, "node", "left")
+    lowest = materialise(known.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("classes")), "lowest")
+    named = salted_join(known, lowest.select("label", "component"), "label", heavy_keys(lowest, "label", "classes")).select("key", "component")
+    out = salted_join(own, materialise(named, "named"), "key", heavy_keys(known, "key", "copies"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-@F.arrow_udf(LongType())
-def _node(t: pa.Array) -> pa.Array:
+@F.arrow_udf(BinaryType())
+def _key(t: pa.Array) -> pa.Array:
     """Class of a text, null for an empty set."""
-    return pa.array([node_of(s) if len(s) else None for s in shingle_sets(x.as_py() for x in t)], pa.int64())
+    return pa.array([key_of(s) if len(s) else None for s in shingle_sets(x.as_py() for x in t)], pa.binary())
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -487,48 +657,59 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows are told apart by id and set, so those that share an id only are each judged by their own component;
     of rows with the same id and set the one of least text stays. A component without any id keeps one row too.
+    Rows whose id no other row has are found by it alone; only the others are hashed once more, and one row of
+    each id and set is chosen by an aggregate, so no group is listed.
     """
     own, known = linked_classes(docs.select(doc_id, text), doc_id, text)
-    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("k")
-    heads = known.groupBy("label").agg(least).select(F.col("k.first").alias("id"), "k.node")
-    empty = own.where("n = 0").select("id", "node").distinct()
-
-    def key(id_: Column, node: Column) -> list[Column]:
-        missing = id_.isNull().cast("int") + 2 * node.isNull().cast("int")
-        return [F.coalesce(id_, F.lit(0)).alias("_id"), F.coalesce(node, F.lit(0)).alias("_node"), missing.alias("_missing")]
-
-    keys = ["_id", "_node", "_missing"]
-    kept = heads.union(empty).select(*key(F.col("id"), F.col("node")))
-    made = docs.withColumn("_class", _node(F.col(text).cast("binary")))
-    some = made.select(*docs.columns, *key(F.col(doc_id).cast("long"), F.col("_class"))).join(kept, keys, "left_semi")
-    w = Window.partitionBy(*keys).orderBy(text, F.xxhash64(*docs.columns))
-    return some.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*docs.columns)
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("k")
+    heads = known.groupBy("label").agg(least).select(F.col("k.first").alias("id"), "k.key")
+    empty = own.where("n = 0").select("id", "key").distinct()
+    kept = materialise(heads.union(empty), "kept")
+    ids = materialise(own.groupBy("id").agg(F.count("*").alias("rows")), "ids")
+    many = materialise(ids.where("rows > 1 and id is not null"), "repeated")
+    heavy = heavy_keys(ids.where("rows > 1"), "id", "rows")
+    name = lambda c: F.col(f"`{c}`")
+    hot = F.coalesce(name(doc_id).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    plain = kept.where("id is not null").join(many, "id", "left_anti").select(F.col("id").alias("_id"))
+    first = docs.where(~hot).join(plain, name(doc_id) == F.col("_id"), "left_semi")
+    if not many.limit(1).count() and not ids.where("id is null and rows > 0").limit(1).count():
+        return first
+    some = docs.where(name(doc_id).isNull() | hot).union(docs.where(~hot).join(many.select(F.col("id").alias("_id")), name(doc_id) == F.col("_id"), "left_semi"))
+    wanted = kept.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    row = F.struct(*[name(c) for c in docs.columns])
+    slim = some.select(name(doc_id).alias("_i"), _key(name(text).cast("binary")).alias("_k"), F.struct(name(text).alias("t"), F.xxhash64(*[name(c) for c in docs.columns]).alias("h")).alias("_o"), row.alias("_row"))
+    one = slim.groupBy("_i", "_k").agg(F.min_by("_row", "_o").alias("_row"))
+    on = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_k").eqNullSafe(F.col("_key"))
+    return first.union(one.join(wanted, on, "left_semi").select("_row.*"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(task, node, n, s) for rows (task, node, first): sets made anew from the document of smallest id.
+    """(task, key, n, s) for rows (task, key, first): sets made anew from the document of smallest id.
 
     Documents without an id can't be joined by it; all of them are looked at and joined by class. A class may
-    come more than once where ids repeat; that only repeats links.
+    come more than once where ids repeat, at most once a task; that only repeats links.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    some = slim.join(wanted.where("first is not null").select(F.col("first").alias("id"), "task", "node"), "id")
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
+    some = slim.join(wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key"), "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            tasks, nodes, sets = [], [], []
+            tasks, keys, sets = [], [], []
             for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0))):
                 if len(s):
-                    node = node_of(s)
-                    if want is None or want == node:
-                        tasks.append(task), nodes.append(node), sets.append(s)
+                    key = key_of(s)
+                    if (want is None or want == key) and key not in seen:
+                        if len(seen) < 500_000:
+                            seen.add(key)
+                        tasks.append(task), keys.append(key), sets.append(s)
             sizes = [len(s) for s in sets]
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["task", "node", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["task", "key", "n", "s"])
 
-    kind = "task long, node long, n long, s array<long>"
-    made = some.select("t", "task", "node").mapInArrow(make, kind)
-    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("long").alias("node")).mapInArrow(make, kind)
-    more = nameless.drop("task").join(wanted.where("first is null").select("task", "node"), "node").select("task", "node", "n", "s")
+    kind = "task long, key binary, n long, s array<long>"
+    made = some.select("t", "task", "key").mapInArrow(make, kind)
+    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("binary").alias("key")).mapInArrow(make, kind)
+    more = nameless.drop("task").join(wanted.where("first is null").select("task", "key"), "key").select("task", "key", "n", "s")
     return made.union(more)

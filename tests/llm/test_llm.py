@@ -173,11 +173,55 @@ def test_join_equals_brute_force(spark, monkeypatch):
     want = brute_components(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(d).collect()}
     assert got == want
-    # large regions: pivots, windows, cells and blocks
-    monkeypatch.setattr(jaccard, "REGION", 1500)
-    monkeypatch.setattr(jaccard, "SMALL", 4)
-    monkeypatch.setattr(jaccard, "PIVOTS", 4)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(d).collect()} == want
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_regions_split_by_pivots_equal_brute_force(spark, monkeypatch, rounds):
+    shared = " ".join(f"common{i}" for i in range(60))
+    texts = noisy(1, 60, 120, 6) + noisy(2, 8, 40, 3) + noisy(3, 5, 300, 9) + noisy(11, 40, 60, 9) + noisy(12, 30, 60, 4)
+    texts += [f"{shared} {t}" for t in noisy(4, 30, 40, 9) + noisy(5, 20, 30, 9)]
+    for name, value in (("SHARE", 1500), ("SMALL", 4), ("PIVOTS", 4), ("SALTED", 2), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_components(texts)
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2), st.integers(0, 12), st.integers(5, 14), st.integers(0, 3)), max_size=120), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_stars_connect_what_may_be_linked(rows, size):
+    """Rows (shingle, salt, node, n, place) in batches of any size: pairs that may be linked are connected."""
+    import pyarrow as pa
+
+    rows = sorted({(s, t, (n << 32) + at, node) for s, t, node, n, at in rows if at < n})
+    made: list = []
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def mapInArrow(self, run, schema):
+            cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+            made.extend(run(iter([pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in (0, 1, 3, 2)], list("stnp")) for part in cut])))
+            return self
+
+    jaccard.candidates(Frame())
+    part: dict = {}
+
+    def find(x):
+        while part.get(x, x) != x:
+            x = part[x]
+        return x
+
+    for b in made:
+        for x, y in zip(*b.to_pydict().values()):
+            part[find(x)] = find(y)
+    groups = collections.Counter((s, t) for s, t, _, _ in rows)
+    for s, t, p, x in rows:
+        for s2, t2, q, y in rows:
+            if (s, t) == (s2, t2) and x != y and p <= q and 5 * (p >> 32) >= 4 * (q >> 32):
+                most = min((p >> 32) - (p & 0xFFFFFFFF), (q >> 32) - (q & 0xFFFFFFFF))
+                if groups[s, t] > jaccard.SMALL or t or 9 * most >= 4 * ((p >> 32) + (q >> 32)):
+                    assert find(x) == find(y)
 
 
 def test_join_of_repeated_and_missing_ids(spark):
@@ -199,7 +243,7 @@ def test_region_solver_connects_what_is_linked(seed):
     rng = random.Random(seed)
     base = rng.sample(range(1000), 60)
     sets = [np.unique(np.array([x if rng.random() > 0.06 else rng.randrange(1000) for x in base], np.int64)) for _ in range(25)]
-    out = jaccard.solve(np.arange(25), sets)
+    out = jaccard.solve(list(range(25)), sets)
 
     def parts(edges):
         part = list(range(25))
