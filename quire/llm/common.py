@@ -41,13 +41,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str, share: int = 500) -> list:
+def heavy_keys(counts: DataFrame, key: str, n: str, share: int = 500, least: int = 10_000) -> list:
     """Keys that hold over one row in ``share``: fewer than ``share`` of them, whatever the input.
 
-    ``counts`` has one row per key with its number of rows in column ``n``.
+    ``counts`` has one row per key with its number of rows in column ``n``; keys of fewer than ``least`` rows fit any task.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
-    rows = counts.where(F.col(n) * share > total).where(F.col(key).isNotNull())
+    rows = counts.where((F.col(n) * share > total) & (F.col(n) >= least)).where(F.col(key).isNotNull())
     return [r[0] for r in rows.select(key).collect()]
 
 

@@ -8,11 +8,11 @@ from pyspark.sql.window import Window
 
 from quire.operators import blocks as B
 from quire.operators import jobs as J
-from quire.session import table
+from quire.session import spread, table
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.blocks_view(table(spark, sf, "documents"))
+    return B.blocks_view(spread(table(spark, sf, "documents")))
 
 
 def structured(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,7 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
     n = max(1, items.count())
     items = items.withColumn("_turn", F.row_number().over(Window.orderBy("item_id", "item")) - 1)
     turn = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n))
-    return table(spark, sf, "documents").select("doc_id", "text", turn.alias("_turn")).join(items, "_turn").drop("_turn")
+    return spread(table(spark, sf, "documents")).select("doc_id", "text", turn.alias("_turn")).join(items, "_turn").drop("_turn")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
