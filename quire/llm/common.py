@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.session import spread
 
@@ -66,3 +67,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: list, salts:
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     b = right.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
     return a.join(b, [key, "_salt"], "left").drop("_salt")
+
+
+def rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Number rows from 0 in an order, over all partitions: ranges are sorted on their own and start where those before end.
+
+    The ranges are written first, so that counts and rows come from one dealing. Only a count per range is sent along.
+    """
+    at = F.spark_partition_id()
+    ranges = materialise(df.repartitionByRange(*order).select("*", at.alias("_range")), "ranges")
+    size = ranges.groupBy("_range").count()
+    rows = sorted(size.collect())
+    starts, total = [], 0
+    for r, n in rows:
+        starts.append((r, total))
+        total += n
+    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn(name, within).join(F.broadcast(table), "_range").withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")

@@ -4,14 +4,19 @@ A source's target over its size is the number of times each of its words is want
 part is taken of every document; the rest is an inclusion probability. The cube method moves these
 probabilities along the null space of two balancing constraints, the tokens and the documents of the source,
 until they are 0 or 1: of three open documents one at least is settled by each move, and the expected
-value of each stays what it was. Buckets of documents fly on their own, the few documents that each leaves open
-meet in fewer buckets, and so on until one bucket is left; there the constraint on documents is dropped, and
-the last open document of a source is rounded to the nearer side.
-
-Documents are dealt by a hash of id and size and every random number comes from a seed and the bucket, so a
-rerun takes the same documents whatever the layout. Null texts have size 0 and nothing is taken of them. Sources
-that are null form one source, the last. Equal rows are documents of their own; which of them is taken
-can't be told. An empty table gives an empty result.
+value of each stays what it was. Each source is dealt into buckets of about BUCKET documents that fly on their own;
+the two documents that each leaves open at most meet in fewer buckets of their source, and so on. A source
+lands as soon as its open documents fit one bucket, so any number of sources ends in some log n levels.
+
+Landing: the larger two thirds fly, or fewer, so that the smaller ones left have room for the tokens of the largest; the
+one that stays open is settled by lot and those left make up for the tokens won or lost; they land in turn. The
+last few fly under both constraints, then under that on tokens alone, and the last open one is rounded to the nearer side.
+
+Documents are dealt by a hash of id and size and every random number comes from a seed, the source and the bucket,
+so a rerun takes the same documents whatever the layout. Null texts have size 0 and nothing is taken of them. Sources
+that are null form one source, the last. Equal rows are documents of their own, dealt by their number; which of
+them is taken can't be told. An empty table gives an empty result. Ids may be of any type; columns of the
+caller may have any name.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import materialise
+from quire.llm.common import heavy_keys, materialise, rank, salted_join
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 CAP = 2.0
 BUCKET = 4_000
-MAX_SOURCES = 50_000
+#: Up to this many sources the targets are worked out on the driver and sent along; beyond it both are done by aggregates and joins.
+DRIVER_SOURCES = 50_000
+REPEATS = 100_000
 
 
 def size_of(text: str):
@@ -99,112 +106,169 @@ def flight(units: list[tuple[float, float]], rng: random.Random, both: bool = Tr
     return p
 
 
-def _large_first(units: list[tuple[float, float]], rng: random.Random) -> list[float]:
-    """Settle the largest third by lot and let the rest make up for the tokens that each won or lost.
-
-    A large document among small ones hardly moves in flight and would be left to be rounded at the end.
-    """
-    p = [x for _, x in units]
-    order = sorted((k for k in range(len(p)) if 0 < p[k] < 1), key=lambda k: -units[k][0])
-    for i, k in enumerate(order[: len(order) // 3]):
+def _settle(p: list[float], units: list[tuple[float, float]], among: list[int], by: list[int], rng: random.Random) -> None:
+    """Settle the last open of ``among`` by lot; the open ones of ``by`` make up for the tokens won or lost."""
+    for k in (k for k in among if 0 < p[k] < 1):
         z = 1.0 if rng.random() < p[k] else 0.0
         owed = (p[k] - z) * units[k][0]
-        rest = [j for j in order[i + 1 :] if 0 < p[j] < 1]
+        rest = [j for j in by if 0 < p[j] < 1]
         room = sum(((1 - p[j]) if owed > 0 else p[j]) * units[j][0] for j in rest)
-        if room <= abs(owed):
-            break
-        p[k] = z
-        for j in rest:
-            p[j] += ((1 - p[j]) if owed > 0 else p[j]) * owed / room
-    return p
+        if room > abs(owed):
+            p[k] = z
+            for j in rest:
+                p[j] += ((1 - p[j]) if owed > 0 else p[j]) * owed / room
 
 
 def land(units: list[tuple[float, float]], rng: random.Random) -> list[float]:
-    """Last stage: the largest, then a flight, then tokens alone, then the nearer side for what is left."""
+    """Last stage of a source: flights of the larger documents, again and again, then the nearer side for what is left."""
     p = [x for _, x in units]
-    for step in (_large_first, flight, lambda u, r: flight(u, r, both=False)):
-        p = step([(s, x) for (s, _), x in zip(units, p)], rng)
+
+    def fly(part: list[int]) -> None:
+        for both in (True, False):
+            for k, x in zip(part, flight([(units[k][0], p[k]) for k in part], rng, both)):
+                p[k] = x
+
+    while True:
+        order = sorted((k for k in range(len(p)) if 0 < p[k] < 1), key=lambda k: -units[k][0])
+        cut, room = len(order), 0.0
+        while cut and (len(order) - cut < len(order) / 3 or room < units[order[0]][0]):
+            cut -= 1
+            room += min(p[order[cut]], 1 - p[order[cut]]) * units[order[cut]][0]
+        if not cut:
+            break
+        fly(order[:cut])
+        _settle(p, units, order[:cut], order[cut:], rng)
+        if any(0 < p[k] < 1 for k in order[:cut]):
+            break
+    fly([k for k in order if 0 < p[k] < 1])
     return [float(x >= 0.5) if 0 < x < 1 else x for x in p]
 
 
-def _fly(rows: DataFrame, buckets: int, seed: int, last: bool) -> DataFrame:
-    """One level: rows (doc_id, source, size, base, p) with p moved; dealt into ``buckets`` by hash."""
-    place = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)) if buckets > 1 else F.lit(0).cast("long")
-    names = ["doc_id", "source", "size", "base", "p"]
-    dealt = rows.select(*names, place.alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "source", F.desc("size"), "doc_id", "p")
+def _fly(rows: DataFrame, seed: int, bucket: int) -> DataFrame:
+    """One level: open rows (doc_id, k, sid, size, base, p) with p moved; sources of at most ``bucket`` rows land."""
+    counts = materialise(rows.groupBy("sid").agg(F.count("*").alias("open")), "open")
+    total = counts.agg(F.sum("open")).first()[0] or 0
+    buckets = counts.select("sid", F.ceil(F.col("open") / bucket).alias("buckets"))
+    each = salted_join(rows, buckets, "sid", heavy_keys(counts, "sid", "open"))
+    place = F.pmod(F.xxhash64("doc_id", "size", "k", F.lit(seed)), F.col("buckets"))
+    names = ["doc_id", "k", "sid", "size", "base", "p"]
+    n = min(20_000, max(1, -(-total // bucket)))
+    dealt = each.select(*names, place.alias("bucket"), (F.col("buckets") == 1).alias("last")).repartition(n, "sid", "bucket").sortWithinPartitions("sid", "bucket", F.desc("size"), "doc_id", "k", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list = []
+
         def each() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(6)))
+                types[:] = b.schema.types[:6]
+                yield from zip(*(b.column(i).to_pylist() for i in range(8)))
 
-        for (bucket, source), group in groupby(each(), key=lambda r: (r[5], r[1])):
+        for (sid, bucket_), group in groupby(each(), key=lambda r: (r[2], r[6])):
             group = list(group)
-            rng = random.Random(f"{seed}/{bucket}/{source}")
-            units = [(float(r[2]), r[4]) for r in group]
-            p = land(units, rng) if last else flight(units, rng)
-            ids, sources, sizes, bases, _, _ = zip(*group)
-            cols = [pa.array(ids, kind), pa.array(sources, pa.string()), pa.array(sizes, pa.int64()), pa.array(bases, pa.int32()), pa.array(p, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    kind = pa.int64()
-    return dealt.mapInArrow(run, "doc_id long, source string, size long, base int, p double")
+            rng = random.Random(f"{seed}/{bucket_}/{sid}")
+            units = [(float(r[3]), r[5]) for r in group]
+            p = land(units, rng) if group[0][7] else flight(units, rng)
+            cols = [*list(zip(*group))[:5], p]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    out = dealt.select(*names)
+    return dealt.mapInArrow(run, out.schema)
+
+
+def _key(c):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+
+
+def source_table(by: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> tuple[DataFrame, bool]:
+    """(skey, sid, source_size, target) of sources (source, source_size, n) and whether the table may be broadcast."""
+    spark = by.sparkSession
+    known = by.limit(DRIVER_SOURCES + 1).collect()
+    if len(known) <= DRIVER_SOURCES:
+        want = targets([(r["source"], r["source_size"]) for r in known], weights, total, cap)
+        order = sorted((r for r in known if r["source"] is not None), key=lambda r: r["source"].encode()) + [r for r in known if r["source"] is None]
+        rows = [("" if r["source"] is None else "=" + r["source"], i, r["source_size"], float(want[r["source"]])) for i, r in enumerate(order)]
+        return spark.createDataFrame(rows, "skey string, sid long, source_size long, target double"), True
+    ranked = rank(by.select(_key(F.col("source")).alias("skey"), F.col("source").isNull().alias("none"), "source_size"), ["none", "skey"], "sid")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    ranked = materialise(ranked.select("skey", "sid", "source_size", weight.alias("weight")), "sources")
+    whole = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    want, unit = total * (whole[0] or 0), 0.0
+    unit, last = want / whole[1], -1
+    while True:  # the unit only grows, so what is over stays over
+        over = F.lit(unit) * F.col("weight") > cap * F.col("source_size")
+        r = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if r[0] == last or not r[2]:
+            break
+        last, unit = r[0], (want - cap * (r[1] or 0)) / r[2]
+    target = F.when(over, cap * F.col("source_size")).otherwise(F.lit(unit) * F.col("weight"))
+    return materialise(ranked.select("skey", "sid", "source_size", target.cast("double").alias("target")), "targets"), False
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 17, bucket: int = BUCKET, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each row of ``docs``."""
-    sized = materialise(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size")), "sized")
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    known = by.limit(MAX_SOURCES + 1).collect()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources; their targets are worked out in one place")
-    want = targets([(r["source"], r["source_size"]) for r in known], weights, total, cap)
-    n = sum(r["n"] for r in known)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r["source"], r["source_size"], float(want[r["source"]])) for r in known], "source string, source_size long, target double")
-    table = F.broadcast(table.withColumnRenamed("source", "_source"))  # at most MAX_SOURCES rows
+    one = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"))
+    sized = materialise(one.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sized")
+    by = materialise(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n")), "by_source")
+    table, small = source_table(by, weights, total, cap)
+    sized = sized.withColumn("skey", _key(F.col("source")))
+    if small:
+        known = sized.join(F.broadcast(table), "skey")  # at most DRIVER_SOURCES rows
+    else:
+        known = salted_join(sized, table, "skey", heavy_keys(by.select(_key(F.col("source")).alias("skey"), "n"), "skey", "n"))
+    # equal rows are numbered, a stretch of numbers to a task
+    known = known.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(REPEATS).cast("long"))))
+    k = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + REPEATS, F.col("rows")) - 1)).alias("k")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    open_ = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("p"))
+    open_ = known.select("doc_id", k, "sid", "size", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("p"))
     settled, level = [], 0
     while True:
         level += 1
-        buckets = -(-n // bucket)
-        last = buckets <= 1
-        flown = materialise(_fly(open_, max(1, buckets), seed + level, last), f"flight{level}")
+        flown = materialise(_fly(open_, seed + level, bucket), f"flight{level}")
         settled.append(flown.where("p <= 0 or p >= 1"))
-        if last:
-            break
         open_ = flown.where("p > 0 and p < 1")
-        n = min(open_.count(), n - 1)
+        if not open_.limit(1).count():
+            break
     done = settled[0]
     for more in settled[1:]:
         done = done.union(more)
     copies = (F.col("base") + F.when(F.col("p") >= 1, 1).otherwise(0)).cast("int")
-    return done.join(table, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    name = F.when(F.col("skey") != "", F.substring("skey", 2, 1 << 30)).alias("source")
+    table = table.select("sid", name, "source_size", "target")
+    if small:
+        out = done.join(F.broadcast(table), "sid")
+    else:
+        out = salted_join(done, table, "sid", heavy_keys(materialise(done.groupBy("sid").count(), "rows"), "sid", "count"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the plan takes it, with their columns as they were.
 
-    Rows are found again by id and text hash; equal rows share the copies that the plan gives them.
+    Rows are found again by id and source, words being counted anew only where rows share both; of rows that
+    agree in size too the copies go round.
     """
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    source = options.get("source", "source")
-    own = docs.columns
-    got = plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    got = materialise(got.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "_copies", "_rows"), "copies")
-    key = [F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), F.col(source).cast("string").eqNullSafe(F.col("_src")), size_of(text) == F.col("_size")]
-    on = key[0] & key[1] & key[2]
-    one = docs.join(got.where("_rows = 1"), on)
-    one = one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in own])
-    # of rows that agree in id, source and size, the copies go round
-    return one.union(_spread(docs.join(got.where("_rows > 1"), on), own))
-
-
-def _spread(both: DataFrame, own: list[str]) -> DataFrame:
-    w = Window.partitionBy("_id", "_src", "_size")
-    nth = F.row_number().over(w.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in own])))
-    many = F.count("*").over(w)
-    mine = F.floor(F.col("_copies") / F.col("_many")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_many"), 1).otherwise(0)
-    out = both.withColumn("_nth", nth).withColumn("_many", many).withColumn("_mine", mine.cast("int")).where("_mine > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*[F.col(f"`{c}`") for c in own])
+    name = lambda c: F.col(f"`{c}`")
+    doc_id, source = (name(options.get(c, c)) for c in ("doc_id", "source"))
+    whole = F.struct(*[name(c) for c in docs.columns]).alias("row")
+    got = plan(docs, **options)
+    got = got.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    got = got.groupBy("doc_id", "source").agg(F.sum("rows").alias("rows"), F.sum("copies").alias("copies"), F.collect_list(F.struct("size", "copies", "rows")).alias("each"))
+    got = materialise(got.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "rows", "copies", "each"), "copies")
+    rows = docs.select(whole, doc_id.alias("id"), source.cast("string").alias("src"), name(options.get("text", "text")).alias("t"))
+    on = F.col("id").eqNullSafe(F.col("i")) & F.col("src").eqNullSafe(F.col("s"))
+    one = rows.join(got.where("rows = 1"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    many = got.where("rows > 1").select("i", "s", F.explode("each").alias("e")).select("i", "s", F.col("e.size").alias("size"), F.col("e.copies").alias("copies"), F.col("e.rows").alias("rows"))
+    if not many.limit(1).count():
+        return one.select("row.*")
+    # equal keys: each task numbers its rows, and the numbers of the tasks before it are added
+    same = rows.join(many, on & (size_of("t") == F.col("size"))).where("copies > 0")
+    same = materialise(same.select("row", F.xxhash64("i", "s", "size").alias("key"), F.col("copies").alias("c"), F.col("rows").alias("m")), "same")
+    part = same.select("*", F.spark_partition_id().alias("at"))
+    nth = F.row_number().over(Window.partitionBy("key", "at").orderBy(F.lit(1)))
+    before = part.groupBy("key", "at").count().withColumn("before", F.sum("count").over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = part.withColumn("nth", nth).join(before.select("key", "at", "before"), ["key", "at"])
+    at = F.col("nth") + F.coalesce("before", F.lit(0))
+    mine = F.floor(F.col("c") / F.col("m")) + F.when(at <= F.col("c") % F.col("m"), 1).otherwise(0)
+    again = placed.withColumn("mine", mine.cast("int")).where("mine > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mine"))))
+    return one.union(again).select("row.*")

@@ -460,11 +460,46 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixed == collections.Counter({r.doc_id: r.copies for r in out if r.copies})
 
 
+def test_many_sources_land_in_few_levels(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 30), "en", f"s{i % 1500}", 0) for i in range(9000)]
+    rows += [(9000 + i, "w " * rng.randrange(1, 30), "en", "large", 0) for i in range(900)]
+    d = spark.createDataFrame(rows, DOCS)
+    levels = []
+    own = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, tag: levels.append(tag) or own(df, tag))
+    out = sorted(map(tuple, mixing.plan(d, bucket=100).collect()))
+    assert sum(t.startswith("flight") for t in levels) <= 3
+    by = collections.Counter()
+    for _, source, size, _, target, copies in out:
+        by[source, target] += size * copies
+    assert len(out) == len(rows) and all(abs(v - t) <= 30 for (_, t), v in by.items())
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 10)
+    again = sorted(map(tuple, mixing.plan(d, bucket=100).collect()))
+    assert [(*r[:4], round(r[4], 6), r[5]) for r in again] == [(*r[:4], round(r[4], 6), r[5]) for r in out]
+
+
+def test_landing_keeps_tokens_near():
+    rng = random.Random(8)
+    for _ in range(200):
+        units = [(float(rng.choice([3, 10, 40, 40, 40, 900])), 0.4) for _ in range(rng.randrange(40, 400))]
+        p = mixing.land(units, rng)
+        assert set(p) <= {0.0, 1.0}
+        few = sum(s for s, _ in units if s < 900) < 2500  # then the large ones can't be made up for
+        assert abs(sum(s * (x - 0.4) for (s, _), x in zip(units, p))) <= (450 if few else 40)
+        assert abs(sum(x - 0.4 for x in p)) <= 0.5 * len(units)
+
+
 def test_mix_of_repeated_rows_and_of_none(spark):
     d = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 6 + [(None, "c", "en", "t", 1)] * 2, DOCS)
     assert mixing.plan(d).count() == 8
     assert sum(r.copies for r in mixing.plan(d).collect()) == mixing.mix(d).count()
     assert mixing.mix(d.limit(0)).count() == 0
+    clash = d.withColumns({c: F.lit(1) for c in ("_k", "_id", "_src", "_size", "_copies", "_rows", "rows", "copies", "row", "id", "t", "i")})
+    out = mixing.mix(clash)
+    assert out.columns == clash.columns and out.count() == mixing.mix(d).count()
+    text_ids = mixing.plan(d.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))).collect()
+    assert {r.doc_id for r in text_ids} == {"x1", None}
 
 
 # --- the pipeline
