@@ -15,8 +15,9 @@ rest is done by pivots:
    nearest one's Voronoi cell. By the triangle inequality a class that is linked with a member of cell p
    is within 0.4 of p: classes in that window that no link connects with p yet are replicated to the cell, and
    cells with such guests are solved, cut into blocks where they exceed SHARE. Classes that no pivot is
-   near to are the next round's region, recursively; whatever links two of them is found there. What is left
-   after ROUNDS falls back to groups that share one of their first shingles in hash order.
+   near to are the next round's region, recursively; whatever links two of them is found there. A region of
+   which a round leaves over half is one that pivots don't part; it is cut into blocks of which every pair meets, whole
+   or by groups that share one of their first shingles, whichever compares less.
 4. In a task pivots are processed one after another: their distances to all members give links, and
    |d(x, p) - d(y, p)| > 0.2 rules out pairs. It ends when no pair of unlinked parts can be within 0.2.
 5. Links become components by minimum labels with pointer jumping.
@@ -571,12 +572,23 @@ def tiles(cells: DataFrame) -> DataFrame:
     return met.select(task.alias("task"), "side", "key")
 
 
-def groups_in_order(work: DataFrame) -> DataFrame:
-    """(task, side, key): members (task, key, n, s) that share one of their first shingles, in blocks of which each pair meets."""
+def blocks_of(work: DataFrame) -> DataFrame:
+    """(task, side, key): members (task, key, n, s) of regions that pivots don't part, in blocks of which each pair meets.
+
+    The whole region or, where that means fewer pairs of shingles, the groups that share one of their first
+    shingles in hash order: of a linked pair at least one is common.
+    """
     take = (F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1).cast("int")
-    rows = work.select("task", "key", "n", F.explode(F.slice("s", F.lit(1), take)).alias("shingle")).select(F.xxhash64("task", "shingle").alias("cell"), "key", "n")
-    held = rows.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").select("cell", F.ceil(F.col("total") * 2 / SHARE).alias("blocks"))
-    met = rows.join(held, "cell").withColumn("mine", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")))
+    rows = work.select("task", "key", "n", F.explode(F.slice("s", F.lit(1), take)).alias("shingle")).select("task", F.xxhash64("task", "shingle").alias("cell"), "key", "n")
+    held = rows.groupBy("task", "cell").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1")
+    held = materialise(held, "groups")
+    square = F.col("total").cast("double") * F.col("total")
+    apart = held.groupBy("task").agg(F.sum(square).alias("parted"))
+    whole = work.groupBy("task").agg(F.sum("n").alias("total")).join(apart, "task", "left")
+    whole = materialise(whole.select("task", "total", (F.coalesce("parted", F.lit(0.0)) < square).alias("part")), "whole")
+    cells = rows.join(held.join(whole.where("part").select("task"), "task").select("cell", "total"), "cell").select("cell", "key", "total")
+    cells = cells.union(work.join(whole.where("not part"), "task").select(F.col("task").alias("cell"), "key", "total"))
+    met = cells.withColumn("blocks", F.ceil(F.col("total") * 2 / SHARE)).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return met.select(F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with")).alias("task"), F.lit(2).alias("side"), "key")
 
@@ -585,17 +597,22 @@ def links_of(work: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is linked, from regions (task, key, n, s), split by pivots until tasks fit."""
     links, ready = [], []
     own = work.select("task", "key", "n").distinct()
+    own = own.withColumn("before", F.lit(None).cast("long"))
     for turn in range(ROUNDS + 1):
-        sums = materialise(own.groupBy("task").agg(F.sum("n").alias("total")), "totals")
-        large = sums.where(F.col("total") > SHARE)
+        sums = materialise(own.groupBy("task").agg(F.sum("n").alias("total"), F.max("before").alias("before")), "totals")
         ready.append(own.join(sums.where(F.col("total") <= SHARE), "task").select("task", F.lit(2).alias("side"), "key"))
+        large = sums.where(F.col("total") > SHARE)
         if not large.limit(1).count():
             break
-        sets = work.select("key", "s").join(own.join(large, "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
+        parts = (F.col("before").isNull() | (2 * F.col("total") <= F.col("before"))) & F.lit(turn < ROUNDS)
+        sets = work.select("key", "s").join(own.join(large.select("task"), "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
         sets = materialise(sets, "large")
-        if turn == ROUNDS:
-            ready.append(groups_in_order(sets))
-            break
+        stuck = large.where(~parts).select("task")
+        if stuck.limit(1).count():
+            ready.append(blocks_of(sets.join(stuck, "task")))
+            sets, large = sets.join(stuck, "task", "left_anti"), large.where(parts)
+            if not large.limit(1).count():
+                break
         met = materialise(meet_pivots(sets, large, turn), "met")
         links.append(met.where("other is not null and key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
         pairs = met.where("kind = 2").select("task", "own", F.get("near", F.lit(0)).alias("other")).groupBy("task").agg(F.collect_set(F.struct("own", "other")).alias("pairs"))
@@ -607,7 +624,8 @@ def links_of(work: DataFrame) -> DataFrame:
         hosts = one.where("own >= 0").select(F.xxhash64("task", "own").alias("cell"), F.lit(0).alias("side"), "key", "n")
         guests = one.select("task", F.explode("near").alias("q"), "key", "n").select(F.xxhash64("task", "q").alias("cell"), F.lit(1).alias("side"), "key", "n")
         ready.append(tiles(hosts.union(guests)))
-        own = materialise(one.where("own < 0").select(F.xxhash64("task", F.lit(turn)).alias("task"), "key", "n"), "rest")
+        rest = one.where("own < 0").select("task", "key", "n").join(large.select("task", F.col("total").alias("before")), "task")
+        own = materialise(rest.select(F.xxhash64("task", F.lit(turn)).alias("task"), "key", "n", "before"), "rest")
     dealt = ready[0]
     for more in ready[1:]:
         dealt = dealt.union(more)
