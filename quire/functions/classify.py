@@ -42,6 +42,11 @@ def structure_kind(text: Column) -> Column:
     )
 
 
+def kind_of(metadata: Column, kind: Column) -> Column:
+    """The kind that the structure part of a block's metadata names, else its own (PRJ-08). ``metadata``: JSON text."""
+    return F.coalesce(F.from_json(metadata, "structure struct<kind:string>")["structure"]["kind"], kind)
+
+
 # Confidence and signal of each kind.
 STRUCTURE = {
     "empty": (1.0, "blank_text"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.classify import is_section_heading, is_table_cell, layout_role, structure_kind
+from quire.functions.classify import LAYOUT, STRUCTURE, is_section_heading, is_table_cell, layout_role, structure_kind
 from quire.functions.geometry import Box
 from quire.functions.text import dedup_key, is_blank, squeeze, strip
 
@@ -69,15 +69,16 @@ def with_structure(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("kind", structure_kind(F.col("text")))
 
 
-def histogram(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Key-sorted map of counts per page, and the sum over the page."""
-    counts = rows.groupBy(*PAGE, by).count()
-    return counts.groupBy(*PAGE).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "count")))).alias(name))
+def histogram(rows: DataFrame, by: str, name: str, values: list[str]) -> DataFrame:
+    """Key-sorted map of counts per page of the values that occur: one aggregate, so one exchange on the page."""
+    counts = rows.groupBy(*PAGE).agg(*[F.count_if(F.col(by) == v).alias(f"_{v}") for v in values])
+    entries = F.array(*[F.struct(F.lit(v).alias("key"), F.col(f"_{v}").alias("value")) for v in sorted(values)])
+    return counts.select(*PAGE, F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0)).alias(name))
 
 
 def structure_summary(blocks: DataFrame) -> DataFrame:
     """Kinds of a page with their counts (AGG-02)."""
-    out = histogram(with_structure(blocks), "kind", "block_kinds")
+    out = histogram(with_structure(blocks), "kind", "block_kinds", list(STRUCTURE))
     has = lambda k: F.coalesce(F.col("block_kinds")[k] > 0, F.lit(False))
     return out.withColumn("has_key_values", has("key_value")).withColumn("has_tables", has("table_candidate"))
 
@@ -152,7 +153,7 @@ def with_layout(blocks: DataFrame) -> DataFrame:
 
 def layout_summary(rows: DataFrame) -> DataFrame:
     """Roles of a page with counts and flags (AGG-03)."""
-    out = histogram(rows, "role", "roles")
+    out = histogram(rows, "role", "roles", list(LAYOUT))
     has = lambda k: F.coalesce(F.col("roles")[k] > 0, F.lit(False))
     for flag, role in (("has_figures", "figure"), ("has_captions", "caption"), ("has_headers", "header"), ("has_footers", "footer")):
         out = out.withColumn(flag, has(role))

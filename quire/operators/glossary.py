@@ -5,11 +5,14 @@ entries: glossary_id, pos, source, target, case_sensitive; glossaries: id, name,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import squeeze
+from quire.session import materialise, rank
 
 
 def clean_entries(entries: DataFrame) -> DataFrame:
@@ -40,18 +43,20 @@ def merged_enabled(entries: DataFrame, glossaries: DataFrame) -> DataFrame:
 
 
 def conflicts(entries: DataFrame, by: str = "target") -> DataFrame:
-    """Terms with at least two distinct values, in order of first sight (AGG-15, JN-16)."""
+    """Terms with at least two distinct values, in order of first sight (AGG-15, JN-16).
+
+    Equal values meet first; only the distinct ones of a term with a conflict are listed, which is what a preview shows.
+    """
     first = entries.withColumn("term", F.lower("source")).groupBy("term", by).agg(F.min("pos").alias("pos"))
-    many = first.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", by))), lambda r: r[by]).alias("values"))
-    return many.where(F.size("values") >= 2)
+    some = first.groupBy("term").agg(F.count("*").alias("n")).where("n >= 2").select("term")
+    return first.join(some, "term").groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", by))), lambda r: r[by]).alias("values"))
 
 
 def glossary_list(entries: DataFrame, glossaries: DataFrame) -> DataFrame:
     """Glossaries with their number of entries; order: priority down, group, name, id (AGG-10, SRT-01)."""
     n = entries.groupBy(F.col("glossary_id").alias("id")).agg(F.count("*").alias("entry_count"))
     out = glossaries.join(n, "id", "left").withColumn("entry_count", F.coalesce("entry_count", F.lit(0)))
-    w = Window.orderBy(F.desc("priority"), F.lower("grp"), F.lower("name"), "id")
-    return out.withColumn("position", F.row_number().over(w) - 1)
+    return rank(out, [F.desc("priority"), F.lower("grp"), F.lower("name"), F.col("id")], "position")
 
 
 def duplicates(entries: DataFrame, by: str = "glossary_id") -> DataFrame:
@@ -75,9 +80,88 @@ def reorder(glossaries: DataFrame, ids: list[str], strict: bool = True) -> DataF
     listed = at > 0
     if not strict:
         return glossaries.withColumn("priority", F.when(listed, len(ids) - at + 1).otherwise(F.col("priority")).cast("int"))
-    w = Window.orderBy((~listed).cast("int"), F.when(listed, at), F.desc("priority"), F.lower("grp"), F.lower("name"), "id")
-    ranked = glossaries.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("priority", (F.col("_n") - F.col("_k")).cast("int")).drop("_k", "_n")
+    n = glossaries.count()
+    ranked = rank(glossaries, [(~listed).cast("int"), F.when(listed, at), F.desc("priority"), F.lower("grp"), F.lower("name"), F.col("id")], "_k")
+    return ranked.withColumn("priority", (n - F.col("_k")).cast("int")).drop("_k")
+
+
+class LexiconStore(Protocol):
+    """What a lexicon store offers (UDF-06); ``ParquetLexicon`` is one."""
+
+    def list_glossaries(self) -> DataFrame: ...
+    def get_glossary(self, glossary_id: str) -> DataFrame: ...
+    def save_glossary(self, entries: DataFrame, glossary_id: str, name: str, group: str = "default", priority: int = 0) -> None: ...
+    def toggle_glossary(self, glossary_id: str, enabled: bool) -> None: ...
+    def reorder_glossaries(self, ids: list[str]) -> None: ...
+    def delete_glossary(self, glossary_id: str) -> bool: ...
+    def exact_lookup(self, queries: DataFrame) -> DataFrame: ...
+    def hybrid_query(self, queries: DataFrame, k: int = 3) -> DataFrame: ...
+    def list_entries(self, glossary_id: str) -> DataFrame: ...
+    def health(self) -> DataFrame: ...
+
+
+class ParquetLexicon:
+    """A lexicon in two Parquet tables, each change a new version of the small one; entries are appended by glossary."""
+
+    def __init__(self, spark: SparkSession, path: str, embed: Column | None = None) -> None:
+        self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
+        self.version = 0
+
+    META = "id string, name string, enabled boolean, priority int, grp string"
+
+    def list_glossaries(self) -> DataFrame:
+        meta = self._meta()
+        return glossary_list(self._entries(), meta) if self.version else meta
+
+    def _meta(self) -> DataFrame:
+        return self.spark.read.schema(self.META).parquet(f"{self.path}/meta/{self.version}") if self.version else self.spark.createDataFrame([], self.META)
+
+    def _entries(self) -> DataFrame:
+        e = self.spark.read.parquet(f"{self.path}/entries")
+        return e.join(self._meta().select(F.col("id").alias("glossary_id")), "glossary_id", "left_semi")
+
+    def _put(self, meta: DataFrame) -> None:
+        meta.write.parquet(f"{self.path}/meta/{self.version + 1}")
+        self.version += 1
+
+    def get_glossary(self, glossary_id: str) -> DataFrame:
+        return self._meta().where(F.col("id") == glossary_id)
+
+    def save_glossary(self, entries: DataFrame, glossary_id: str, name: str, group: str = "default", priority: int = 0) -> None:
+        if self.get_glossary(glossary_id).count():
+            raise ValueError(f"glossary {glossary_id!r} exists")
+        save(entries.withColumn("glossary_id", F.lit(glossary_id)), f"{self.path}/entries", name, self.embed)
+        self._put(self._meta().union(self.spark.createDataFrame([(glossary_id, name.strip(), True, priority, group)], self.META)))
+
+    def toggle_glossary(self, glossary_id: str, enabled: bool) -> None:
+        self._put(toggle(self._meta(), glossary_id, enabled))
+
+    def reorder_glossaries(self, ids: list[str]) -> None:
+        self._put(reorder(self._meta(), ids, strict=False).select(*self._meta().columns))
+
+    def delete_glossary(self, glossary_id: str) -> bool:
+        """Whether there was one; its entries stay on disk and are no longer seen."""
+        found = bool(self.get_glossary(glossary_id).count())
+        if found:
+            self._put(self._meta().where(F.col("id") != glossary_id))
+        return found
+
+    def exact_lookup(self, queries: DataFrame) -> DataFrame:
+        return exact_lookup(self._entries(), queries)
+
+    def hybrid_query(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        return nearest(self._entries(), queries, k)
+
+    def list_entries(self, glossary_id: str) -> DataFrame:
+        return list_entries(self._entries(), glossary_id)
+
+    def health(self) -> DataFrame:
+        return health(self._entries())
+
+
+def list_entries(entries: DataFrame, glossary_id: str) -> DataFrame:
+    """Entries of one glossary in their order (JN-18)."""
+    return entries.where(F.col("glossary_id") == glossary_id).orderBy("pos")
 
 
 def toggle(glossaries: DataFrame, glossary_id: str, enabled: bool, now: Column | None = None) -> DataFrame:
@@ -124,6 +208,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-12)
 
 
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | None = None, vector: str = "vector", max_queries: int = 10_000) -> DataFrame:
     """Exact cosine top k of each query over terms that pass its filters (JN-13, JN-14).
 
@@ -131,7 +219,8 @@ def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | Non
     are scored where they lie. More are dealt by hash into blocks of about that size, terms into slices, and each block
     meets each slice in a join, so none is left out. Each task keeps partial top lists: k rows per query are shuffled.
     """
-    q = queries.select("query_id", "qvec", F.col("lang").alias("_qlang"))
+    q = queries.select("query_id", "qvec", F.col("lang").alias("_qlang"), _norm(F.col("qvec")).alias("_qnorm"))
+    terms = terms.withColumn("_norm", _norm(F.col(vector)))  # once a vector, not once a pair
     fits = F.col("_qlang").isNull() | (F.col("_qlang") == F.col("lang"))
     n = queries.limit(max_queries + 1).count()
     if n <= max_queries:
@@ -143,7 +232,8 @@ def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | Non
         q = q.withColumn("_block", dealt("query_id", blocks)).withColumn("_slice", every(slices))
         t = terms.withColumn("_slice", dealt("term_id", max(slices, 1))).withColumn("_block", every(blocks))
         met = t.join(q, (t["_block"] == q["_block"]) & (t["_slice"] == q["_slice"]) & fits)
-    scored = met.select("query_id", "term_id", cosine(F.col("qvec"), F.col(vector)).alias("score"))
+    dot = F.aggregate(F.zip_with("qvec", vector, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    scored = met.select("query_id", "term_id", (dot / (F.col("_qnorm") * F.col("_norm") + 1e-12)).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term_id")
@@ -151,6 +241,6 @@ def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | Non
 
 
 def suffix_ids(rows: DataFrame, id_: str = "id", pos: str = "pos") -> DataFrame:
-    """Repeated ids get _1, _2, in order of arrival (SET-10)."""
+    """Repeated ids get _1, _2, in order of arrival (SET-10). Ids that occur once, as nearly all do, take no part in the sort."""
     k = F.row_number().over(Window.partitionBy(id_).orderBy(pos)) - 1
     return rows.withColumn("unique_id", F.concat(F.col(id_), F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise("")))

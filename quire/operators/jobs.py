@@ -10,6 +10,23 @@ from pyspark.sql.window import Window
 KINDS = {"view": "ocr.job.submitted", "click": "ocr.job.started", "purchase": "ocr.job.completed", "error": "ocr.job.completed", "signup": "artifact.created"}
 
 
+#: A job record (MISC-09); ``job_record`` holds rows against it.
+RECORD = "id string, filename string, model string, pipeline_mode string, pages int, duration_s double, timestamp timestamp, status string, failed_pages array<int>, text_artifact_id string"
+STATUSES = ["pending", "processing", "complete", "error"]
+
+
+def job_record(rows: DataFrame) -> DataFrame:
+    """Rows as job records (MISC-09): an id, a known status, no negative counts, failed pages tidied; others raise."""
+    spark = rows.sparkSession
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], RECORD).schema}
+    cols = [F.col(n).cast(t).alias(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
+    out = rows.select(*cols)
+    ok = (F.coalesce(F.trim("id"), F.lit("")) != "") & F.col("status").isin(STATUSES) & (F.coalesce("pages", F.lit(0)) >= 0) & (F.coalesce("duration_s", F.lit(0.0)) >= 0)
+    bad = F.raise_error(F.concat(F.lit("bad job record "), F.coalesce("id", F.lit("without id")))).cast("string")
+    pages = F.coalesce(clean_failed_pages(F.col("failed_pages")), F.array().cast("array<int>"))
+    return out.withColumn("id", F.when(F.coalesce(ok, F.lit(False)), F.col("id")).otherwise(bad)).withColumn("failed_pages", pages)
+
+
 def log_view(events: DataFrame) -> DataFrame:
     """A job log from plain events."""
     kind = F.lit(None).cast("string")
@@ -102,6 +119,19 @@ def upsert(table: DataFrame, new: DataFrame, key: str, seq: str, most: int | Non
     return keep_newest(out, most, seq, key) if most else out
 
 
+def hot_rate_window(events: DataFrame, client: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
+    """``rate_window`` for clients that hold a large share of all events: each client's time is cut into stretches of
+    ``seconds``, a stretch looks at its own events and those of the one before, so no task holds a client whole.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = events.withColumn("_us", us).withColumn("_at", F.floor(F.col("_us") / (seconds * 1_000_000)))
+    own = own.withColumn("_real", F.lit(True))
+    before = own.withColumn("_at", F.col("_at") + 1).withColumn("_real", F.lit(False))
+    w = Window.partitionBy(client, "_at").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    out = own.union(before).withColumn("in_window", F.count("*").over(w)).where("_real")
+    return out.withColumn("limited", F.col("in_window") > limit).drop("_us", "_at", "_real")
+
+
 def rate_window(events: DataFrame, client: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
     """Requests of a client in the trailing window and whether the limit is passed (WIN-09)."""
     w = Window.partitionBy(client).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

@@ -243,33 +243,34 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * total / (len(a) + len(b))
 
 
+def pieces(text: str, most: int):
+    """Paragraphs, lines of those that leave no room for their break, words of such lines: (piece, what joins it to the one before)."""
+    for p in text.split("\n\n"):
+        if len(p) <= most - 4:
+            parts = [(p, "\n\n")]
+        else:
+            parts = ((w, e) for line in p.split("\n") for w, e in ([(line, "\n")] if len(line) <= most - 2 else ((w, " ") for w in line.split(" "))))
+        yield from ((w, e) for w, e in parts if w)
+
+
 def chunks(text: str, most: int = 4000) -> list[str]:
-    """Greedy packing of paragraphs, of lines where a paragraph is too long, of words where a line is (STR-23)."""
+    """Greedy packing of pieces; one that is too long by itself is a chunk of its own (STR-23)."""
     if most < 1:
         raise ValueError("chunk size must be positive")
     if len(text) <= most:
         return [text] if text else []
-
-    def pieces():
-        for p in text.split("\n\n"):
-            if len(p) <= most - 4:
-                yield p, "\n\n"
-                continue
-            for line in p.split("\n"):
-                if len(line) <= most - 2:
-                    yield line, "\n"
-                else:
-                    yield from ((w, " ") for w in line.split(" "))
-
     out, now, size = [], [], 0
-    for piece, end in pieces():
-        if now and size + len(piece) + len(end) > most:
+    for piece, gap in pieces(text, most):
+        if now and size + len(gap) + len(piece) > most:
             out.append("".join(now))
             now, size = [], 0
-        now.append(piece + end)
-        size += len(piece) + len(end)
+        if now:
+            now.append(gap)
+            size += len(gap)
+        now.append(piece)
+        size += len(piece)
     out.append("".join(now))
-    return [c for c in (x.strip() for x in out) if c]
+    return [c for c in out if c.strip()]
 
 
 def find_json(text: str, objects_only: bool = False):
@@ -312,12 +313,19 @@ def apply_glossary(text: str, entries: list[tuple[str, str, bool]]) -> str:
     return text
 
 
-def sanitize_prompt(text: str, most: int = 16384, boundary: str = "<<<") -> str:
-    """NFKC, control characters out, marks of a prompt's borders replaced, cut with a notice (STR-30)."""
-    text = unicodedata.normalize("NFKC", text.replace(boundary, "[boundary]"))
-    text = "".join(c for c in text if c in "\n\t" or unicodedata.category(c)[0] != "C")
-    text = re.sub(r" {3,}", "  ", text)
-    return text if len(text) <= most else text[:most] + "\n[truncated]"
+# The borders of a prompt's custom part with what replaces them, characters taken out, the mark of a cut.
+BORDERS = {"--- CUSTOM INSTRUCTION START ---": "--- CUSTOM INSTRUCTION START- -", "--- CUSTOM INSTRUCTION END ---": "--- CUSTOM INSTRUCTION END- -"}
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufeff\u200b-\u200d\u2060\u2028]"
+CUT_MARK = " …[truncated]"
+PROMPT_CHARS = 16 * 1024
+
+
+def sanitize_prompt(text: str, most: int = PROMPT_CHARS) -> str:
+    """Borders of a prompt broken up, NFKC, control characters out, long gaps shortened, cut with a mark (STR-30)."""
+    for mark, other in BORDERS.items():
+        text = text.replace(mark, other)
+    text = re.sub(r"[ \t]{3,}", "  ", re.sub(CONTROLS, "", unicodedata.normalize("NFKC", text)))
+    return text if len(text) <= most else text[:most] + CUT_MARK
 
 
 class Speller:
@@ -371,13 +379,29 @@ class Speller:
         return re.sub(r"[^\W\d_]+", fix, text)
 
 
-def redact(value, keys: frozenset[str] = frozenset({"password", "secret", "token", "email", "path", "filename", "api_key"}), longest: int = 500):
-    """Mask sensitive keys at any depth; long strings are cut (PRJ-20, PRJ-22)."""
+# Keys whose values are masked, in reports where they contain a word, in errors where they are one.
+HIDDEN_WORDS = ("path", "filename", "email", "secret", "token", "password", "key")
+HIDDEN_KEYS = frozenset({"password", "secret", "token", "auth", "api_key", "apikey"})
+REPORT_CHARS = 4 * 1024
+
+
+def _masked(value, hidden, mask: str, leaf):
     if isinstance(value, dict):
-        return {k: "***" if any(s in str(k).casefold() for s in keys) else redact(v, keys, longest) for k, v in value.items()}
-    if isinstance(value, list):
-        return [redact(v, keys, longest) for v in value]
-    return value[:longest] if isinstance(value, str) else value
+        return {k: mask if hidden(k) else _masked(v, hidden, mask, leaf) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_masked(v, hidden, mask, leaf) for v in value]
+    return leaf(value)
+
+
+def redact_report(value, longest: int = REPORT_CHARS):
+    """Values of keys that contain a hidden word masked at any depth, long strings cut with a mark (PRJ-20)."""
+    cut = lambda v: v[:longest] + CUT_MARK[1:] if isinstance(v, str) and len(v) > longest else v
+    return _masked(value, lambda k: isinstance(k, str) and any(w in k.lower() for w in HIDDEN_WORDS), "[redacted]", cut)
+
+
+def redact_error(value):
+    """Values of hidden keys masked at any depth, nothing cut (PRJ-22)."""
+    return _masked(value, lambda k: k.lower() in HIDDEN_KEYS, "***", lambda v: v)
 
 
 def repair(text: str, confidence: float, retry, target: float = 0.98, attempts: int = 2) -> tuple[str, float, int]:

@@ -83,15 +83,27 @@ def recall_boxes(candidates: DataFrame, boxes: DataFrame, most: int = 10) -> Dat
 
 
 def grid_coverage(blocks: DataFrame, boxes: DataFrame, grid: int = 20) -> DataFrame:
-    """Share of a grid of points of each block that lies in any box of its page (AGG-19)."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    pts = blocks.withColumn("i", at).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    x = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("i") + 0.5) / grid
-    y = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("j") + 0.5) / grid
-    pts = pts.select(*PAGE, "block_index", x.alias("px"), y.alias("py"))
+    """Share of a grid of points of each block that lies in any box of its page (AGG-19).
+
+    The boxes of a page meet its blocks once; points are counted within the row and never become rows.
+    """
     page = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
-    hit = F.exists("boxes", lambda b: (b["x0"] <= F.col("px")) & (F.col("px") <= b["x1"]) & (b["y0"] <= F.col("py")) & (F.col("py") <= b["y1"]))
-    return pts.join(page, list(PAGE), "left").groupBy(*PAGE, "block_index").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("coverage"))
+    met = blocks.select(*PAGE, "block_index", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")]).join(page, list(PAGE), "left")
+    # only boxes that touch the block can hold its points
+    near = F.filter("boxes", lambda b: (b["x0"] <= F.col("_x1")) & (F.col("_x0") <= b["x1"]) & (b["y0"] <= F.col("_y1")) & (F.col("_y0") <= b["y1"]))
+    met = met.withColumn("boxes", near)
+    point = lambda lo, hi, i: F.col(lo) + (F.col(hi) - F.col(lo)) * (i + 0.5) / grid
+
+    def row_hits(j: Column) -> Column:
+        y = point("_y0", "_y1", j)
+        across = F.filter("boxes", lambda b: (b["y0"] <= y) & (y <= b["y1"]))
+        held = lambda s, x: F.exists(s, lambda b: (b["x0"] <= x) & (x <= b["x1"]))
+        return F.get(F.transform(F.array(across), lambda s: F.size(F.filter(steps, lambda i: held(s, point("_x0", "_x1", i))))), F.lit(0))
+
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    hits = F.aggregate(steps, F.lit(0), lambda acc, j: acc + row_hits(j))
+    share = F.when(F.size("boxes") > 0, hits / float(grid * grid)).otherwise(0.0)
+    return met.select(*PAGE, "block_index", share.alias("coverage"))
 
 
 def longest_band(rows: DataFrame, level: float = 0.80, least_rows: int = 3, least_share: float = 0.02) -> DataFrame:

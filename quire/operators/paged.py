@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
@@ -135,14 +136,29 @@ def mapped(c: Column, f: Callable, kind: str) -> Column:
     return run(c)
 
 
+# Scripts by the name that the regular expressions of Java know them under.
+NAMED = {"Latin": "Latin", "CJK": "Han", "Hiragana": "Hiragana", "Katakana": "Katakana", "Arabic": "Arabic", "Devanagari": "Devanagari", "Cyrillic": "Cyrillic", "Greek": "Greek", "Hebrew": "Hebrew", "Hangul": "Hangul"}
+
+
 def script(c: Column) -> Column:
-    """struct(script, confidence) (STR-17)."""
+    """struct(script, confidence): the script of most letters and its share; kana and hangul are named CJK (STR-17).
 
-    @F.pandas_udf("script string, confidence double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([k.dominant_script(x) for x in s], columns=["script", "confidence"])
+    Letters are counted per range, and beyond all ranges by their script property. Of equals the one seen first wins.
+    """
+    spans = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in k.SCRIPTS.values())
+    counts = []
+    for name, (lo, hi) in k.SCRIPTS.items():
+        mine = F.lit(f"[\\p{{L}}&&[[\\x{{{lo:x}}}-\\x{{{hi:x}}}]" + f"[\\p{{Is{NAMED[name]}}}&&[^{spans}]]]]")
+        n = F.regexp_count(c, mine)
+        counts.append(F.struct(n.alias("n"), F.when(n > 0, -F.regexp_instr(c, mine)).alias("first"), F.lit(name).alias("name")))
 
-    return run(c)
+    def best(s: Column) -> Column:
+        total = F.aggregate(s, F.lit(0), lambda a, x: a + x["n"])
+        top = F.array_max(s)
+        named = F.when(top["name"].isin("Hiragana", "Katakana", "Hangul"), "CJK").otherwise(top["name"])
+        return F.struct(F.when(total > 0, named).alias("script"), F.when(total > 0, top["n"] / total).alias("confidence"))
+
+    return F.get(F.transform(F.array(F.array(*counts)), best), F.lit(0))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -181,6 +197,7 @@ def repair_blocks(blocks: DataFrame, retry: Callable[[str], tuple[str, float]],
 
 MAX_WORDS = 2_000_000
 MAX_TERMS = 100_000
+FOLDED = 64  # so few terms become one expression of built-in functions
 
 
 def spell(texts: DataFrame, words: DataFrame, text: str = "text", word: str = "word") -> DataFrame:
@@ -205,6 +222,12 @@ def apply_glossary(texts: DataFrame, entries: DataFrame, text: str = "text") ->
     if len(rows) > MAX_TERMS:
         raise ValueError(f"a glossary to apply has at most {MAX_TERMS} terms")
     terms = sorted((tuple(r) for r in rows), key=lambda e: (-len(e[0]), e))
+    if len(terms) <= FOLDED and not any(set(t) & set("\\$") for _, t, _ in terms):
+        out = F.col(text)
+        for source, target, case in terms:
+            if source.strip():
+                out = F.regexp_replace(out, ("" if case else "(?iu)") + re.escape(source), target)
+        return texts.withColumn(text, out)
     return texts.withColumn(text, mapped(F.col(text), lambda x: k.apply_glossary(x, terms), "string"))
 
 

@@ -11,6 +11,7 @@ from quire.functions.geometry import Box
 from quire.functions.text import is_blank, strip
 from quire.operators.blocks import PAGE
 from quire.operators.overlap import pairs
+from quire.session import rank
 
 
 def from_pages_data(pages: DataFrame) -> DataFrame:
@@ -103,21 +104,30 @@ def normal_page_text(pages: DataFrame) -> DataFrame:
 
 
 def hash_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """A split that any run and layout repeats, by a hash of the key (MATH-08)."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
-    return rows.withColumn("is_train", part < int(share * 10_000))
-
-
-# Error texts that are worth another try.
-TRANSIENT = ["timeout", "timed out", "connection", "temporarily", "rate limit", "overloaded", "429", "500", "502", "503", "504"]
-
-
-def is_transient(error: Column) -> Column:
-    """Errors that may pass: by status or wording (MISC-08)."""
-    low, out = F.lower(F.coalesce(error, F.lit(""))), F.lit(False)
-    for m in TRANSIENT:
-        out = out | F.contains(low, F.lit(m))
-    return out
+    """The first ``share`` of the rows, to a whole row, in an order of hashes that any run and layout repeats (MATH-08)."""
+    placed = rank(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_place")
+    return placed.withColumn("is_train", F.col("_place") < int(rows.count() * share)).drop("_h", "_place")
+
+
+# Statuses and wordings of errors that may pass, wordings of those that never do, kinds that are mistakes.
+RETRY_STATUS = [408, 425, 429, 500, 502, 503, 504]
+TRANSIENT = [
+    "rate limit", "rate_limit", "too many requests", "overloaded", "server overloaded", "connection reset", "connection refused", "connection aborted", "connection error",
+    "connecterror", "remote end closed connection", "eof occurred", "broken pipe", "temporarily unavailable", "service unavailable", "bad gateway", "gateway timeout",
+    "internal server error", "readtimeout", "connecttimeout", "network failure", "econnreset", "econnrefused", "timeout", "timed out",
+]
+PERMANENT = ["context size", "context_length_exceeded", "context length", "maximum context", "invalid api key", "unauthorized", "authentication", "permission denied", "model not found", "does not exist", "invalid request"]
+MISTAKES = ["KeyError", "TypeError", "AttributeError", "NameError", "IndexError", "ValueError", "AssertionError"]
+
+
+def is_transient(kind: Column, status: Column, message: Column) -> Column:
+    """Whether a failed call is worth another try (MISC-08): kind, then status, then wording; unknown ones are, but for RuntimeError."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    says = lambda terms: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    return (
+        F.when(F.coalesce(kind.isin(MISTAKES), F.lit(False)), False).when(status.isin(RETRY_STATUS), True).when(status.between(400, 499), False)
+        .when(says(PERMANENT), False).when(says(TRANSIENT), True).otherwise(F.coalesce(kind != "RuntimeError", F.lit(True)))
+    )
 
 
 def workflow(settings: dict[str, bool]) -> list[str]:

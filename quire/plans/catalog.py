@@ -15,7 +15,8 @@ from quire.operators import overlap as O
 from quire.operators import pages as P
 from quire.operators import paged, translate
 from quire.plans import views as V
-from quire.session import table
+from quire.plans import oracles
+from quire.session import spread, table
 from quire.sources import documents as D
 from quire.sources import exports as X
 from quire.sources import glossaries as S
@@ -170,10 +171,11 @@ def box_iou_pairs(spark, sf):
     return p.select("a.doc_id", "a.page_index", "a.block_index", F.col("b.block_index").alias("other"), geometry.iou(geometry.Box.of("a"), geometry.Box.of("b")).alias("iou"))
 
 
-@query(f"WITH {V.BOXES} SELECT doc_id, page_index, block_index, other FROM o")
+@query(f"WITH {V.BOXES} SELECT doc_id, page_index, block_index, other, inter AS overlap FROM o")
 def box_grid_pairs(spark, sf):
     p = O.pairs(V.candidates(spark, sf), V.boxes(spark, sf), grid=4)
-    return p.select("a.doc_id", "a.page_index", "a.block_index", F.col("b.block_index").alias("other"))
+    area = geometry.overlap(geometry.Box.of("a"), geometry.Box.of("b"))
+    return p.select("a.doc_id", "a.page_index", "a.block_index", F.col("b.block_index").alias("other"), area.alias("overlap"))
 
 
 @query(f"""WITH {V.BOXES}, hit AS (SELECT DISTINCT doc_id, page_index, block_index FROM o WHERE inter / greatest(1e-9, aa) >= 0.5 OR inter / (aa + ba - inter) >= 0.3),
@@ -259,10 +261,10 @@ def length_plausible(spark, sf):
 _LEVEL = f"CASE WHEN {V.strip('text')} = '' THEN 0 ELSE least(3, 2 * (({_GAVE_UP})::INT + (NOT ({_SHORT_AREA}))::INT)) END"
 
 
-@query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, block_index, {_LEVEL} AS level FROM blocks")
+@query()
 def hallucination_level(spark, sf):
     b = V.blocks(spark, sf)
-    level = trust.risk_level(F.col("text"), trust.gave_up(F.col("text")), ~trust.plausible_length(F.col("text"), geometry.Box.of().area, F.lit(500000)))
+    level = trust.risk_level(F.col("text"), trust.gave_up(F.col("text")), trust.repeats(F.col("text")), ~trust.plausible_length(F.col("text"), geometry.Box.of().area, F.lit(500000)))
     return b.select(*KEY, level.alias("level"))
 
 
@@ -342,7 +344,7 @@ def norm_levenshtein_all(spark, sf):
 
 @query()
 def script_detect(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", paged.script(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
@@ -555,10 +557,10 @@ def metadata_report(spark, sf):
     return X.metadata_report(pages, ["quality", "routing"])
 
 
-@query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, block_index, text FROM blocks")
+@query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, block_index, 'paragraph' AS node_type, text, x0, y0, x1, y1 FROM blocks")
 def tree_round_trip(spark, sf):
     nodes = V.blocks(spark, sf).withColumn("node_type", F.lit("paragraph"))
-    return X.read_tree(X.tree_json(nodes)).select(*KEY, "text")
+    return X.read_tree(X.tree_json(nodes)).select(*KEY, "node_type", "text", "x0", "y0", "x1", "y1")
 
 
 @query("""WITH s AS (SELECT doc_id, (doc_id % 7 + 1) || '-' || (doc_id % 7 + 3) || ',' || (doc_id % 5 + 2) AS spec FROM documents) SELECT doc_id, list_sort(list_distinct(list_concat(range(doc_id % 7, least(10, doc_id % 7 + 3)), CASE WHEN doc_id % 5 + 1 < 10 THEN [doc_id % 5 + 1] ELSE [] END)))::VARCHAR AS pages FROM s""")
@@ -604,10 +606,10 @@ def trust_layer(spark, sf):
     return P.score_trust(b, watermarks=V.boxes(spark, sf).where("block_index = 3"), script=paged.script(F.col("text")), calibration=(1.5, 0.1)).select(*KEY, "trust_score", "trust_flags")
 
 
-@query(f"WITH {V.BLOCKS}, pl AS (SELECT doc_id, page_index, list(text ORDER BY block_index) FILTER ({V.strip('text')} <> '') AS lines FROM blocks GROUP BY ALL) SELECT doc_id, page_index, coalesce(len(lines), 0)::BIGINT AS n, coalesce(lines[1], '') AS first FROM pl")
+@query(f"WITH {V.BLOCKS}, pl AS (SELECT doc_id, page_index, list(text ORDER BY block_index) FILTER ({V.strip('text')} <> '') AS lines FROM blocks GROUP BY ALL) SELECT doc_id, page_index, coalesce(len(lines), 0)::BIGINT AS n, coalesce(array_to_string(lines, chr(10)), '') AS lines FROM pl")
 def page_lines(spark, sf):
     out = P.page_lines(V.blocks(spark, sf))
-    return out.select("doc_id", "page_index", F.size("lines").cast("long").alias("n"), F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("first"))
+    return out.select("doc_id", "page_index", F.size("lines").cast("long").alias("n"), F.array_join("lines", "\n").alias("lines"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations) SELECT conv_id, turn, CASE WHEN length(other) > length(text) THEN other ELSE text END AS chosen FROM p""")
@@ -644,9 +646,7 @@ def json_salvage(spark, sf):
 
 @query()
 def prompt_safety(spark, sf):
-    from quire.operators import kernels
-
-    return table(spark, sf, "pages").select("page_id", paged.mapped(F.col("html"), kernels.sanitize_prompt, "string").alias("safe"))
+    return spread(table(spark, sf, "pages")).select("page_id", translate.safe(F.col("html")).alias("safe"))
 
 
 @query()
@@ -662,7 +662,11 @@ def repaired_blocks(spark, sf):
     return paged.repair_blocks(b, lambda t: (f"{t} again", 0.99))
 
 
-@query("SELECT doc_id, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')), 0)::BIGINT AS lines FROM documents")
+@query(r"""SELECT doc_id, (i - 1)::INT AS line, CASE WHEN regexp_matches(x, '^#{1,6}\s') THEN 'heading' WHEN regexp_matches(x, '^\s*[-*+]\s') THEN 'bullet' WHEN regexp_matches(x, '^\s*\d+\.\s') THEN 'number' WHEN regexp_matches(x, '^---+$') THEN 'break' WHEN x = '' THEN 'blank' ELSE 'text' END AS kind,
+  regexp_replace(x, '^(#{1,6}|\s*[-*+]|\s*\d+\.)\s+', '') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
 def markdown_kinds(spark, sf):
-    m = table(spark, sf, "documents").select("doc_id", X.markdown_lines(F.col("text")).alias("m"))
-    return m.select("doc_id", F.size(F.filter("m", lambda r: r["kind"] != "blank")).cast("long").alias("lines"))
+    m = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(X.markdown_lines(F.col("text"))).alias("line", "m"))
+    return m.select("doc_id", "line", "m.*")
+
+
+SQL |= oracles.more({"gave_up": _GAVE_UP, "short": _SHORT_AREA, "conf": _CONF, "quality": _QUALITY}, translate)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -24,3 +28,53 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan dealt over all cores where the input has fewer splits, as a file of one row group is one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _root(spark: SparkSession) -> str:
+    """The folder of a session's intermediate tables, under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a folder under /tmp and a cluster one in its warehouse, never a folder
+    local to one machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local")
+        base = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that the driver and all executors see; ``clean_up`` removes those of the session."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}/{tag}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Remove the session's intermediate tables, once no result that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    Unlike a cached or locally checkpointed frame it survives the loss of any executor.
+    """
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Number rows from 0 in an order, over all partitions: ranges are sorted on their own and start where those before end.
+
+    The ranges are written first, so that counts and rows come from one dealing. Only a count per range is sent along.
+    """
+    ranges = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    starts, total = [], 0
+    for r, n in sorted(ranges.groupBy("_range").count().collect()):
+        starts.append((r, total))
+        total += n
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start long"))  # a row per range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranges.withColumn(name, within).join(table, "_range")
+    return placed.withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import escape_html
-from quire.operators.blocks import PAGE
+from quire.operators.blocks import PAGE, page_text
 
 FORMATS = ("text", "markdown", "json", "docling", "mineru")
 
@@ -33,6 +34,38 @@ def export(pages: DataFrame, format: str) -> DataFrame:  # noqa: A002
     return g.select("doc_id", body.alias("body"))
 
 
+class DocumentExport(Protocol):
+    """What an exporter offers (UDF-07)."""
+
+    def export_tree(self, trees: DataFrame) -> DataFrame: ...
+    def export_pages(self, pages: DataFrame) -> DataFrame: ...
+
+
+class Exporter:
+    """An exporter of one format for whatever a document comes as (STR-41)."""
+
+    def __init__(self, format: str) -> None:  # noqa: A002
+        if format not in FORMATS:
+            raise ValueError(f"unknown export format {format!r}")
+        self.format = format
+
+    def export(self, source: DataFrame) -> DataFrame:
+        """Trees (doc_id, tree), page texts (doc_id, page_index, page_text) or blocks, told apart by their columns."""
+        if "tree" in source.columns:
+            return self.export_tree(source)
+        if "page_text" in source.columns:
+            return self.export_pages(source)
+        if {"block_index", "text"} <= set(source.columns):
+            return self.export_pages(page_text(source))
+        raise TypeError("neither trees, page texts nor blocks")
+
+    def export_tree(self, trees: DataFrame) -> DataFrame:
+        return self.export_pages(page_text(read_tree(trees)))
+
+    def export_pages(self, pages: DataFrame) -> DataFrame:
+        return export(pages, self.format)
+
+
 def render_block(node_type: Column, text: Column, block_id: Column, box: list[Column], confidence: Column | None = None, level: Column | None = None) -> Column:
     """One block as HTML (SNK-03)."""
     t = escape_html(F.coalesce(text, F.lit("")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import language_matches, parse_bool, squeeze, strip
+from quire.sources.documents import decode
 
 MAX_ENTRIES = 1_000_000
 FIELDS = ["source", "target", "case_sensitive", "notes", "grp"]
@@ -159,9 +160,31 @@ def read_jdbc(spark: SparkSession, url: str, table: str, source: str, target: st
     return read_table(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), source, target, clause)
 
 
+_REF = re.compile(r"[A-Za-z0-9_./][A-Za-z0-9_./-]*")
+
+
+def read_git(spark: SparkSession, checkout: str, ref: str = "HEAD", path: str = "GLOSSARY.md") -> DataFrame:
+    """Pairs of one file of a local git repository at a revision (SRC-19); the file is text of bounded size."""
+    import subprocess
+
+    if not checkout.strip() or not _REF.fullmatch(ref):
+        raise ValueError("bad git repository or revision")
+    if path.startswith("/") or ".." in path.split("/"):
+        raise ValueError("a path in a repository is relative and stays inside it")
+    done = subprocess.run(["git", "-C", checkout, "show", f"{ref}:{path}"], capture_output=True, timeout=30)
+    if done.returncode:
+        raise ValueError("the file could not be read from git")
+    text = spark.createDataFrame([(path, bytearray(done.stdout))], "doc string, data binary").select("doc", decode(F.col("data"))["text"].alias("text"))
+    lines = text.select("doc", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+    out = _pairs(parse_text(lines))
+    if not out.limit(1).count():
+        raise ValueError("the file has no valid pairs")
+    return out
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {
     "csv": lambda s, p, **k: read_delimited(s, p, ",", **k), "tsv": lambda s, p, **k: read_delimited(s, p, "\t", **k), "delimited": read_delimited,
-    "json": read_json_pairs, "tbx": read_tbx, "tmx": read_tmx, "xliff": read_xliff, "text": read_text,
+    "json": read_json_pairs, "tbx": read_tbx, "tmx": read_tmx, "xliff": read_xliff, "text": read_text, "git": read_git,
 }
 
 

@@ -1,13 +1,30 @@
-"""Stateful folds of the job log. State is keyed by job or client and bounded by its key's own record."""
+"""Stateful folds of the job log. State is keyed by job, client, endpoint or queue.
+
+A key's rows of one micro-batch may come in several frames of any order; folds that go by order take them together
+and sort them. The source's limits on a micro-batch (files or offsets per trigger) bound what that takes.
+"""
 
 from __future__ import annotations
 
+import logging
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.session import shared_dir
+
+log = logging.getLogger(__name__)
+
+def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """All rows of a key in this micro-batch, in order."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+
+
 JOB = "job_id long, status string, position long, duration_s double, failed_page long"
 JOB_STATE = "status string, position long, last_seq long, duration_s double, duration_seq long, failed_page long, failed_seq long"
 
@@ -52,17 +69,17 @@ def rate_limiter(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """Requests admitted or not by the number admitted to the client in the trailing window (STM-09)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for t in batches:
-            out = []
-            for seq, at in t.sort_values(["at", "seq"])[["seq", "at"]].itertuples(index=False, name=None):
-                times = [x for x in times if x > at - seconds * 1_000_000]
-                ok = len(times) < limit
-                if ok:
-                    times.append(int(at))
-                out.append((key[0], int(seq), ok))
-            yield pd.DataFrame(out, columns=["client", "seq", "admitted"])
-        state.update((times,))
+        times = deque(state.get[0]) if state.exists else deque()
+        out = []
+        for seq, at in _in_order(batches, ["at", "seq"])[["seq", "at"]].itertuples(index=False, name=None):
+            while times and times[0] <= at - seconds * 1_000_000:
+                times.popleft()
+            ok = len(times) < limit
+            if ok:
+                times.append(int(at))
+            out.append((key[0], int(seq), ok))
+        state.update((list(times),))
+        yield pd.DataFrame(out, columns=["client", "seq", "admitted"])
 
     return events.groupBy("client").applyInPandasWithState(run, "client long, seq long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
@@ -75,60 +92,106 @@ def breaker(calls: DataFrame, threshold: int = 5, cooldown: float = 30.0) -> Dat
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, opened = state.get if state.exists else (0, None)
-        for t in batches:
-            out = []
-            for seq, at, ok in t.sort_values("seq")[["seq", "at", "ok"]].itertuples(index=False, name=None):
-                mode = "closed" if opened is None else "half_open" if at - opened >= cooldown else "open"
-                if mode != "open":
-                    if ok:
-                        failures, opened = 0, None
-                    else:
-                        failures += 1
-                        if mode == "half_open" or failures >= threshold:
-                            opened = float(at)
-                out.append((key[0], int(seq), mode))
-            yield pd.DataFrame(out, columns=["endpoint", "seq", "state"])
+        out = []
+        for seq, at, ok in _in_order(batches, ["seq"])[["seq", "at", "ok"]].itertuples(index=False, name=None):
+            mode = "closed" if opened is None else "half_open" if at - opened >= cooldown else "open"
+            if mode != "open":
+                if ok:
+                    failures, opened = 0, None
+                else:
+                    failures += 1
+                    if mode == "half_open" or failures >= threshold:
+                        opened = float(at)
+            out.append((key[0], int(seq), mode))
         state.update((failures, opened))
+        yield pd.DataFrame(out, columns=["endpoint", "seq", "state"])
 
     return calls.groupBy("endpoint").applyInPandasWithState(run, "endpoint string, seq long, state string", "failures int, opened double", "append", GroupStateTimeout.NoTimeout)
 
 
-def queue(commands: DataFrame, most: int = 16) -> DataFrame:
+def queue(commands: DataFrame, most: int = 16, remember: int | None = None) -> DataFrame:
     """Bounded job queue (STM-06, STM-10). ``commands``: queue, seq, job_id, action submit, start, finish or cancel.
 
     A submit beyond ``most`` waiting jobs is refused; a cancelled waiting job is removed, a running one ends in
-    error, a finished one stays as it is and an unknown one has no status.
+    error, a finished one stays as it is and an unknown one has no status. Finished jobs stay in the state, as an
+    answer may depend on any of them; ``remember`` keeps the last so many of a queue instead, the retention.
     """
+    done = ("complete", "error")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         jobs = dict(zip(*state.get)) if state.exists else {}
-        for t in batches:
-            out = []
-            for seq, job, action in t.sort_values("seq")[["seq", "job_id", "action"]].itertuples(index=False, name=None):
-                now = jobs.get(job)
-                if action == "submit" and now is None:
-                    new = "pending" if sum(v == "pending" for v in jobs.values()) < most else "refused"
-                elif action == "start" and now == "pending":
-                    new = "processing"
-                elif action == "finish" and now == "processing":
-                    new = "complete"
-                elif action == "cancel" and now in ("pending", "processing"):
-                    new = "cancelled" if now == "pending" else "error"
-                else:
-                    new = now
-                if new in ("cancelled", "refused"):
-                    jobs.pop(job, None)
-                elif new:
-                    jobs[job] = new
-                out.append((key[0], int(seq), job, new))
-            yield pd.DataFrame(out, columns=["queue", "seq", "job_id", "status"])
-        # finished jobs are the retention's matter; the queue remembers those at work and the last thousand
-        kept = {k: v for k, v in jobs.items() if v in ("pending", "processing")} | dict([x for x in jobs.items() if x[1] not in ("pending", "processing")][-1000:])
-        state.update((list(kept), list(kept.values())))
+        waiting = sum(v == "pending" for v in jobs.values())
+        out = []
+        for seq, job, action in _in_order(batches, ["seq"])[["seq", "job_id", "action"]].itertuples(index=False, name=None):
+            now = jobs.get(job)
+            if action == "submit" and now is None:
+                new = "pending" if waiting < most else "refused"
+            elif action == "start" and now == "pending":
+                new = "processing"
+            elif action == "finish" and now == "processing":
+                new = "complete"
+            elif action == "cancel" and now in ("pending", "processing"):
+                new = "cancelled" if now == "pending" else "error"
+            else:
+                new = now
+            waiting += (new == "pending") - (now == "pending")
+            if new in ("cancelled", "refused"):
+                jobs.pop(job, None)
+            elif new:
+                if new in done and now not in done:
+                    jobs.pop(job)  # the order of the state is that of their ends
+                jobs[job] = new
+            out.append((key[0], int(seq), job, new))
+        if remember is not None:
+            ended = [k for k, v in jobs.items() if v in done]
+            for k in ended[: max(0, len(ended) - remember)]:
+                del jobs[k]
+        state.update((list(jobs), list(jobs.values())))
+        yield pd.DataFrame(out, columns=["queue", "seq", "job_id", "status"])
 
     return commands.groupBy("queue").applyInPandasWithState(run, "queue string, seq long, job_id string, status string", "ids array<string>, states array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def progress(listen: Callable[[str, dict], None]) -> StreamingQueryListener:
+    """Progress frames of every query of a session to a subscriber (STM-04); its failures are its own."""
+
+    class Progress(StreamingQueryListener):
+        def _send(self, name: str, frame: dict) -> None:
+            try:
+                listen(name, frame)
+            except Exception as e:
+                log.warning("progress subscriber failed: %s", e)
+
+        def onQueryStarted(self, event) -> None:
+            self._send(event.name or str(event.id), {"state": "started"})
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            self._send(p.name or str(p.id), {"state": "running", "batch": p.batchId, "rows": p.numInputRows})
+
+        def onQueryTerminated(self, event) -> None:
+            self._send(str(event.id), {"state": "ended", "error": event.exception})
+
+    return Progress()
+
+
+def replay(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
+    """A stream's folded rows once all that is there has been read, as a table in the shared folder (availableNow).
+
+    In update mode a key has a row for each micro-batch that changed it; ``batch`` tells the last.
+    """
+    spark = stream.sparkSession
+    out = shared_dir(spark, name)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}_")
+
+    folded = fold(stream)
+    q = folded.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_dir(spark, f"{name}_log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(folded.schema.add("batch", "int")).parquet(f"{out}/*")
+
+
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str, failed: Callable[[str, Exception], None] | None = None):
     """Every micro-batch to each subscriber; one that fails leaves the others alone (STM-03)."""
 
