@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.session import spread
+from quire.session import materialise, rank, shared_dir, spread
+
+__all__ = ["heavy_keys", "lower_ascii", "materialise", "rank", "read", "salted_join", "shared_dir"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,29 +21,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder that the driver and all executors see.
-
-    It lies under ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder
-    under /tmp and a cluster one in its warehouse, never a folder local to one machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}/{tag}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    Unlike a cached or locally checkpointed frame it survives the loss of any executor.
-    """
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def heavy_keys(counts: DataFrame, key: str, n: str, share: int = 500, least: int = 10_000) -> list:
     """Keys that hold over one row in ``share``: fewer than ``share`` of them, whatever the input.
 
@@ -67,21 +43,3 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: list, salts:
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     b = right.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
     return a.join(b, [key, "_salt"], "left").drop("_salt")
-
-
-def rank(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Number rows from 0 in an order, over all partitions: ranges are sorted on their own and start where those before end.
-
-    The ranges are written first, so that counts and rows come from one dealing. Only a count per range is sent along.
-    """
-    at = F.spark_partition_id()
-    ranges = materialise(df.repartitionByRange(*order).select("*", at.alias("_range")), "ranges")
-    size = ranges.groupBy("_range").count()
-    rows = sorted(size.collect())
-    starts, total = [], 0
-    for r, n in rows:
-        starts.append((r, total))
-        total += n
-    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranges.withColumn(name, within).join(F.broadcast(table), "_range").withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")

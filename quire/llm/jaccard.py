@@ -11,12 +11,12 @@ rest is done by pivots:
    between classes whose lengths do. A group gives fewer edges than it has rows, and the groups of frequent
    shingles are dealt over several tasks. What stars connect is a region: all links lie inside regions.
 3. A region of over SHARE shingles is split, whatever its size, over tasks of about SHARE shingles each:
-   PIVOTS of its classes meet all its members. A member within 0.2 of a pivot is linked with it and belongs to the
+   PIVOTS of its classes, the most central of a sample, meet all its members. A member within 0.2 of a pivot is linked with it and belongs to the
    nearest one's Voronoi cell. By the triangle inequality a class that is linked with a member of cell p
    is within 0.4 of p: classes in that window that no link connects with p yet are replicated to the cell, and
    cells with such guests are solved, cut into blocks where they exceed SHARE. Classes that no pivot is
    near to are the next round's region, recursively; whatever links two of them is found there. A region of
-   which a round leaves over half is one that pivots don't part; it is cut into blocks of which every pair meets, whole
+   which a round leaves over seven eighths is one that pivots don't part; it is cut into blocks of which every pair meets, whole
    or by groups that share one of their first shingles, whichever compares less.
 4. In a task pivots are processed one after another: their distances to all members give links, and
    |d(x, p) - d(y, p)| > 0.2 rules out pairs. It ends when no pair of unlinked parts can be within 0.2.
@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,11 @@ from quire.llm.common import heavy_keys, materialise, salted_join
 
 SHINGLE = 5
 SMALL = 32
-SHARE = 65_536
-ROUNDS = 6
+SHARE = 262_144
+ROUNDS = 8
+SAMPLE = 64
 HOT_SHINGLES = 1_000_000
-PIVOTS = 32
+PIVOTS = 8
 SALTED = 4_096
 
 
@@ -467,15 +469,58 @@ def _partitions(shingles: int, each: int) -> int:
     return int(min(20_000, max(1, -(-shingles // each))))
 
 
+def central(sets: list[np.ndarray], most: int) -> list[int]:
+    """At most ``most`` places: again and again the set within 0.2 of most that none is near to yet, of equals the most alike to all."""
+    m = len(sets)
+    known, where = np.unique(np.concatenate(sets), return_inverse=True)
+    bits = np.zeros(len(known), np.uint64)
+    np.bitwise_or.at(bits, where, np.repeat(np.uint64(1) << np.arange(m, dtype=np.uint64), [len(x) for x in sets]))
+    common = np.zeros((m, m), np.int64)
+    for i in range(m):
+        mine = bits[(bits >> np.uint64(i)) & np.uint64(1) == 1]
+        common[i] = [int(((mine >> np.uint64(j)) & np.uint64(1)).sum()) for j in range(m)]
+    n = np.array([len(x) for x in sets], np.int64)
+    alike = (common / (n[:, None] + n[None, :] - common)).mean(1)
+    near = linked(common, n[:, None], n[None, :])
+    open_, out = np.ones(m, bool), []
+    while len(out) < min(m, most):
+        gain = (near & open_[None, :]).sum(1) + alike
+        gain[out] = -1
+        best = int(gain.argmax())
+        out.append(best)
+        open_ &= ~near[best]
+    return out
+
+
+def choose_pivots(work: DataFrame, turn: int) -> DataFrame:
+    """(task, key): the most central of SAMPLE members of each task that the hash picks; no more of a task than these meet."""
+    most = PIVOTS
+    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(SAMPLE)).cast("int")
+    some = work.groupBy("task", slot.alias("slot")).agg(F.min_by("key", F.xxhash64("key", F.lit(turn + 1000))).alias("key")).select("task", "key")
+    rows = work.join(some, ["task", "key"]).select("task", "key", "s").repartition("task").sortWithinPartitions("task", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(i) for i in range(3)))
+
+        for task, group in groupby(each(), key=lambda r: r[0].as_py()):
+            sets = {r[1].as_py(): r[2].values.to_numpy() for r in group}
+            keys = list(sets)
+            best = [keys[i] for i in central(list(sets.values()), most)]
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(best), pa.int64()), pa.array(best, pa.binary())], ["task", "key"])
+
+    return materialise(rows.mapInArrow(run, "task long, key binary"), "chosen")
+
+
 def meet_pivots(work: DataFrame, sums: DataFrame, turn: int) -> DataFrame:
-    """Members of large tasks (task, key, n, s) against PIVOTS members of their task.
+    """Members of large tasks (task, key, n, s) against the pivots of their task.
 
     ``sums``: task, total (shingles). Kind 1: (task, key, n, own, other, near): the nearest pivot within 0.2 as a
     place and a key, and the places of those beyond it within 0.4. Kind 2: (task, key, other, own, near): two
     pivots that members connect.
     """
-    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PIVOTS)).cast("int")
-    chosen = work.groupBy("task", slot.alias("slot")).agg(F.min_by("key", F.xxhash64("key", F.lit(turn + 1000))).alias("key"))
+    chosen = choose_pivots(work, turn)
     wide = sums.select("task", F.ceil(F.col("total") / SHARE).cast("int").alias("salts"))
     pivots = work.join(chosen, ["task", "key"]).join(wide, "task").select("task", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "key", "n", "s")
     heavy = heavy_keys(sums, "task", "total")
@@ -604,7 +649,7 @@ def links_of(work: DataFrame) -> DataFrame:
         large = sums.where(F.col("total") > SHARE)
         if not large.limit(1).count():
             break
-        parts = (F.col("before").isNull() | (2 * F.col("total") <= F.col("before"))) & F.lit(turn < ROUNDS)
+        parts = (F.col("before").isNull() | (8 * F.col("total") <= 7 * F.col("before"))) & F.lit(turn < ROUNDS)
         sets = work.select("key", "s").join(own.join(large.select("task"), "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
         sets = materialise(sets, "large")
         stuck = large.where(~parts).select("task")
