@@ -231,6 +231,23 @@ def apply_glossary(texts: DataFrame, entries: DataFrame, text: str = "text") ->
     return texts.withColumn(text, mapped(F.col(text), lambda x: k.apply_glossary(x, terms), "string"))
 
 
+def evaluation_answer(c: Column) -> Column:
+    """struct(score, feedback) of a judge's answer (STR-24)."""
+
+    @F.pandas_udf("score double, feedback string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([k.parse_evaluation(x or "") for x in s], columns=["score", "feedback"])
+
+    return run(c)
+
+
+def redacted(c: Column, mask: Callable) -> Column:
+    """A JSON text with sensitive values masked by ``redact_report`` or ``redact_error`` (PRJ-20, PRJ-22)."""
+    import json
+
+    return mapped(c, lambda x: json.dumps(mask(json.loads(x)), ensure_ascii=False, separators=(",", ":")), "string")
+
+
 def salvage(c: Column, objects_only: bool = False) -> Column:
     """The JSON in a model's answer as text, null where there is none (STR-25, STR-44)."""
     import json

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,6 +138,14 @@ def workflow(settings: dict[str, bool]) -> list[str]:
     return [name for name, on in order if on]
 
 
+def prepared(pages: DataFrame, image: str, steps: list[tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Preprocessors one after another on the image column, the names of those that ran joined in ``done`` (UDF-12)."""
+    out = pages
+    for _, step in steps:
+        out = out.withColumn(image, step(F.col(image)))
+    return out.withColumn("done", F.lit(",".join(name for name, _ in steps)))
+
+
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, object]:
     """The frame and an observation filled while it runs (MISC-11, UDF-09)."""
     from pyspark.sql import Observation

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from quire.functions.text import letters, strip, truncate_words
@@ -98,7 +99,11 @@ def entities(text: Column) -> Column:
 def merge_entities(rows: DataFrame, by: str) -> DataFrame:
     """Union of the entity sets of a group (SET-01); equal ones meet before they are listed."""
     fields = ("names", "dates", "acronyms")
-    tagged = F.concat(*[F.transform(f"entities.{f}", lambda v, k=f: F.struct(F.lit(k).alias("field"), v.alias("value"))) for f in fields])
+
+    def tagged_as(f: str) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+
+    tagged = F.concat(*[F.transform(f"entities.{f}", tagged_as(f)) for f in fields])
     one = rows.select(by, F.explode_outer(tagged).alias("e")).select(by, "e.field", "e.value").distinct()
     every = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("value")))).alias(f)
     return one.groupBy(by).agg(*[every(f) for f in fields])
@@ -127,7 +132,7 @@ def safe(text: Column) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(kernels.CUT_MARK))).otherwise(F.coalesce(text, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 

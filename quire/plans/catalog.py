@@ -507,7 +507,7 @@ def newest_jobs(spark, sf):
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
 def rate_window(spark, sf):
-    return J.rate_window(table(spark, sf, "events"), "user_id", "ts", 10).select("event_id", "in_window")
+    return J.hot_rate_window(table(spark, sf, "events"), "user_id", "ts", 10).select("event_id", "in_window")
 
 
 @query(f"""WITH {V.BLOCKS}, p AS (SELECT DISTINCT doc_id, page_index + 1 AS p FROM blocks WHERE length(text) % 3 > 0 OR page_index % 2 = 0), i AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM p),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quire.session import shared_dir
 
@@ -184,12 +185,12 @@ def replay(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], name: str,
     out = shared_dir(spark, name)
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}_")
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b{batch}")
 
     folded = fold(stream)
     q = folded.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_dir(spark, f"{name}_log")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(folded.schema.add("batch", "int")).parquet(f"{out}/*")
+    return spark.read.schema(StructType([*folded.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/*")
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str, failed: Callable[[str, Exception], None] | None = None):

@@ -3,7 +3,7 @@
 import pytest
 
 import compare
-from quire.plans import catalog
+from quire.plans import catalog, catalog_more  # noqa: F401  the second adds to the first
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
