@@ -35,8 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and place in it."""
-    return shards.assign(docs)
+    """Documents with their shard and place in it."""
+    return shards.sharded(docs)
 
 
 STAGES = [

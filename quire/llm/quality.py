@@ -61,7 +61,7 @@ def base_columns(text: Column) -> dict[str, Column]:
 def repeated_words(words: Column) -> Column:
     """Number of words covered by three-word windows that occur at least twice.
 
-    Windows are hashed to 64 bits and sorted with their positions; a window with an equal neighbour
+    Windows are told apart by 64-bit hashes alone and sorted with their positions; a window with an equal neighbour
     is repeated. The positions, sorted again, each cover three words less the overlap with the next.
     """
     n = F.size(words)
@@ -138,12 +138,15 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def apply_rules(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All measures, ``failed_rules`` and ``kept`` for each row.
 
-    ``kept`` counts as non-deterministic, though it is not: else a filter on it would be pushed below the
-    projection and the measures, copied into it, would be made anew for each word.
+    The measures of a row come as the one element of an exploded array, behind which no filter on them can be pushed,
+    so each is made once.
     """
-    out = measure(df, text, lang).withColumn("failed_rules", compile_rules(rules))
-    fixed = F.monotonically_increasing_id() >= 0
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & fixed)
+    measured = measure(df, text, lang)
+    own = [c for c in measured.columns if c not in _MEASURES]
+    made = F.struct(*[F.col(c) for c in measured.columns if c in _MEASURES])
+    out = measured.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(made)).alias("_made")).select(*[F.col(f"`{c}`") for c in own], "_made.*")
+    out = out.withColumn("failed_rules", compile_rules(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def good_documents(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:

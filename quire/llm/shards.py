@@ -3,17 +3,22 @@
 Law ``bytes``: rows are ordered by a 128-bit key (hash of the text, hash of the id), so equal texts lie
 together, and cut into shards of near-equal bytes. Splitters are found by counting: exact bytes and rows below
 candidate key boundaries over all partitions, boundaries refined 256-fold a round where a splitter has not met
-its tolerance, down to a single row. Then rows are exchanged once, by bins far smaller than a shard: every
-boundary's exact count of rows below makes a slot from the place in its bin, so no task holds a shard.
+its tolerance, down to a single row. Only these counts, at most 256 for each splitter and round, reach the driver.
+
+Then rows are exchanged once, by bins far smaller than a shard: a bin is a prefix of the key long enough for some
+tens of thousands of rows; a prefix that equal texts fill further is cut by whole text hashes, and a text hash of
+too many rows by its ids. Counts of bins, summed along the order of keys as a table, make each bin's first slot.
 
 A shard's bytes differ from the mean by at most the tolerance or the largest row beside a splitter. A group of
 equal texts larger than a shard runs over several. Null texts have no bytes, equal empty ones and count 8 as
 each row does; rows without an id come as one id; equal rows take neighbouring slots. Rows that agree in text
-and id can't be told apart by key, so a splitter never parts them.
+and id can't be told apart by key, so a splitter never parts them. Columns of the caller may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,39 +105,63 @@ def _place(key: Column, bounds: list[str]) -> Column:
     return F.aggregate(rounds, start, step, lambda acc: acc["lo"])
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, rows_per_bin: int = 50_000, least_bins: int = 2048, tolerance: float = 1e-4) -> DataFrame:
+def _bins(rows: DataFrame, n: int, per_bin: int) -> DataFrame:
+    """Rows with the bin of their key: a prefix of it, longer where equal texts make a prefix large. Bins sort as their keys do."""
+    digits = max(1, math.ceil(math.log(max(n, 1) / per_bin, 16))) if n > per_bin else 1
+    levels = [digits, 16, 16 + digits]
+    out, open_ = None, rows.select("key")
+    names = []
+    for k, d in enumerate(levels[:-1]):
+        counts = open_.groupBy(F.substring("key", 1, d).alias("p")).agg(F.count("*").alias("rows"))
+        large = materialise(counts.where(F.col("rows") > 4 * per_bin).select("p"), f"large{k}")
+        names.append((d, large))
+        if not large.limit(1).count():
+            break
+        open_ = open_.join(large, F.substring("key", 1, d) == F.col("p"), "left_semi")
+    joined = rows
+    for k, (d, large) in enumerate(names):
+        # at most one prefix for each 4 * per_bin rows
+        joined = joined.join(large.select(F.col("p").alias(f"_p{k}")), F.substring("key", 1, d) == F.col(f"_p{k}"), "left")
+    for k in reversed(range(len(names))):
+        longer = F.substring("key", 1, levels[k + 1]) if out is None else out
+        out = F.when(F.col(f"_p{k}").isNull(), F.substring("key", 1, levels[k])).otherwise(longer)
+    return joined.withColumn("_bin", out).drop(*[f"_p{k}" for k in range(len(names))])
+
+
+def shard(rows: DataFrame, shards: int = SHARDS, rows_per_bin: int = 25_000, tolerance: float = 1e-4) -> DataFrame:
     """Add shard and slot to rows that have ``key`` and ``size``; further columns go along."""
-    whole = rows.agg(F.sum("size"), F.count("*")).first()
+    slim = rows.select("key", "size")
+    whole = slim.agg(F.sum("size"), F.count("*")).first()
     total, n = whole[0] or 0, whole[1]
-    bins = max(least_bins, -(-n // rows_per_bin))
     wants = [("bytes", -(-total * j // shards), tolerance * total / shards) for j in range(1, shards)]
-    cuts = boundaries(rows, wants) if n else []
-    finer = boundaries(rows, [("rows", -(-n * j // bins), 0.25 * n / bins) for j in range(1, bins)]) if n else []
-    starts = sorted({("", 0, 0), *cuts, *finer})
+    cuts = sorted(k for k, _, _ in boundaries(slim, wants)) if n else []
     # equal keys of boundaries have equal counts; a cut on the same key as another leaves a shard empty
-    keys = [k for k, _, _ in starts[1:]]
-    upper = sorted(k for k, _, _ in cuts)
-    shard_of, first_row, below = [], {}, 0
-    for k, _, r in starts:
-        while below < len(upper) and upper[below] <= k:
-            below += 1
-        shard_of.append(below)
-        first_row.setdefault(below, r)
-    offsets = [r - first_row[s] for (_, _, r), s in zip(starts, shard_of)]
-    const = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",")
-    out = rows.withColumn("_bin", _place(F.col("key"), keys))
-    within = F.row_number().over(Window.partitionBy("_bin").orderBy("key", *[c for c in ("doc_id",) if c in rows.columns]))
-    return (
-        out.withColumn("_row", within)
-        .withColumn("shard", F.get(const(shard_of), F.col("_bin")).cast("int"))
-        .withColumn("slot", (F.get(const(offsets), F.col("_bin")).cast("long") + F.col("_row") - 1).cast("long"))
-        .drop("_bin", "_row")
-    )
+    placed = _bins(rows, n, rows_per_bin).withColumn("shard", _place(F.col("key"), cuts).cast("int"))
+    counts = placed.groupBy("shard", "_bin").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    starts = materialise(counts.select("shard", "_bin", F.coalesce(before, F.lit(0)).alias("_start")), "starts")
+    within = F.row_number().over(Window.partitionBy("shard", "_bin").orderBy("key", *[c for c in ("doc_id",) if c in rows.columns]))
+    out = placed.withColumn("_row", within).join(starts, ["shard", "_bin"])
+    return out.withColumn("slot", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_bin", "_row", "_start")
+
+
+_DIGEST = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _digest(c: str) -> Column:
+    return {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}.get(c, F.col(c)).alias(c)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row of ``docs``."""
     narrow = materialise(keyed(docs, doc_id, text), "keyed")
-    return shard(narrow, shards).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    return shard(narrow, shards).select("doc_id", *map(_digest, _DIGEST))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with size, text_crc32, law, shard, slot and grown_shard, which replace columns of those names."""
+    own = [c for c in docs.columns if c not in _DIGEST]
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc")
+    narrow = docs.select(row, (F.octet_length(t) + OVERHEAD).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.concat(_hex(F.xxhash64(t)), _hex(F.xxhash64(F.col(f"`{doc_id}`")))).alias("key"))
+    return shard(narrow, shards).select("_doc.*", *map(_digest, _DIGEST))

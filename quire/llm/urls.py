@@ -100,22 +100,24 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))),
         "hosts",
     )
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    domains = materialise(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("hosts")), "domains")
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("domains")), "suffixes")
+    # a blog platform may hold most hosts and com most domains: such keys are salted
+    wide, broad = heavy_keys(domains, "domain", "hosts"), heavy_keys(suffixes, "suffix", "domains")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     n, b = whole["n"] or 0, whole["b"] or 0
     mu = (b + 1.0) / (n + 2.0)
     up = lambda d, k: d.select(F.col(k), F.col("n").alias("pn"), F.col("b").alias("pb"))
-    k_host = _strength(hosts.join(up(domains, "domain"), "domain").withColumn("parent", F.col("domain")))
-    k_domain = _strength(domains.join(up(suffixes, "suffix"), "suffix").withColumn("parent", F.col("suffix")))
+    k_host = _strength(salted_join(hosts, up(domains, "domain"), "domain", wide).withColumn("parent", F.col("domain")))
+    k_domain = _strength(salted_join(domains, up(suffixes, "suffix"), "suffix", broad).withColumn("parent", F.col("suffix")))
     top = suffixes.select(F.lit(0).alias("parent"), "n", "b", F.lit(n).cast("long").alias("pn"), F.lit(b).cast("long").alias("pb"))
     k_suffix = _strength(top)
     post = lambda k, prior: (F.col("b") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
     s = suffixes.select("suffix", post(k_suffix, F.lit(mu)).alias("m_s"))
-    d = domains.join(s, "suffix").select("domain", post(k_domain, F.col("m_s")).alias("m_d"))
+    d = salted_join(domains, s, "suffix", broad).select("domain", post(k_domain, F.col("m_s")).alias("m_d"))
     mean, size = post(k_host, F.col("m_d")), F.col("n") + F.lit(k_host)
     return (
-        hosts.join(d, "domain")
+        salted_join(hosts, d, "domain", wide)
         .select("host", "pages", "n", F.col("b").alias("bad"), mean.alias("mean"), (mean * (1 - mean) / (size + 1)).alias("_var"))
         .withColumn("sd", F.sqrt("_var")).drop("_var")
     )

@@ -20,12 +20,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.llm.common import heavy_keys, materialise, salted_join, shared_dir
 
@@ -34,7 +35,8 @@ ROLL_BYTES = 256 << 20
 MAX_RANGE = 8 << 20
 MAX_GAP = 256 << 10
 
-INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
+INDEX = "url string, digest string, record_type string, file string, offset long, length long"
+STRETCH = 2 << 20  # bytes of archives that one key of the reading exchange stands for
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -61,8 +63,8 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:quire:page:{'none' if page_id is None else page_id}>"
+def _name(page_id: int | str | None) -> str:
+    return "<urn:quire:none>" if page_id is None else f"<urn:quire:page:{quote(str(page_id), safe='-')}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -80,10 +82,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return _header(fields) + block + b"\r\n\r\n"
 
 
-_ID = re.compile(r"<urn:quire:page:(-?\d+|none)>")
+_ID = re.compile(r"<urn:quire:(?:page:([^>]*)|none)>")
 
 
-def parse(raw: bytes) -> dict:
+def parse(raw: bytes, id_of: type = int) -> dict:
     """The record in uncompressed bytes: its type, ids, payload length and digest, and the payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
@@ -93,7 +95,7 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    number = lambda v: None if v is None or v == "none" else int(v)
+    number = lambda v: None if v is None else id_of(unquote(v))
     refers = _ID.fullmatch(fields["WARC-Refers-To"])[1] if "WARC-Refers-To" in fields else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
@@ -101,9 +103,16 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(_ID.fullmatch(fields["WARC-Record-ID"])[1]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(refers), "payload": None if fields["WARC-Type"] == "revisit" else payload}
 
 
+def _whole(c: str, rows: DataFrame):
+    """An id as it is if text, else as a long."""
+    return F.col(c) if isinstance(rows.schema[c].dataType, StringType) else F.col(c).cast("long").alias(c)
+
+
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``roles`` as archives under ``folder``; return the committed index."""
 
+    slim = rows.select(_whole("page_id", rows), "url", F.col("html").cast("binary").alias("html"), "payload_bytes", "payload_digest", _whole("refers_to", rows))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(root, recursive=True)
@@ -124,19 +133,20 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
                     found.append((page_id, url, digest, "response" if other is None else "revisit", name, at, len(data)))
                     at += len(data)
                 cols = list(zip(*found)) or [()] * 7
-                kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
+                kinds = [batch.column(0).type, *[pa.string()] * 4, pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "digest", "record_type", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
 
-    slim = rows.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary").alias("html"), "payload_bytes", "payload_digest", F.col("refers_to").cast("long").alias("refers_to"))
-    return materialise(slim.mapInArrow(run, INDEX), "index")
+    return materialise(slim.mapInArrow(run, f"page_id {slim.schema['page_id'].dataType.simpleString()}, {INDEX}"), "index")
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Parse the records that ``index`` names, each byte range read once."""
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    named = isinstance(index.schema["page_id"].dataType, StringType)
+    id_of, kind, word = (str, pa.string(), "string") if named else (int, pa.int64(), "long")
+    kinds = [("page_id", kind), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", kind)]
     if payloads:
         kinds.append(("payload", pa.binary()))
 
@@ -163,14 +173,17 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                 opened = (file, store.open_input_file(f"{root}/{file}"))
             first, last = parts[0][0], parts[-1][0] + parts[-1][1]
             data = opened[1].read_at(last - first, first)
-            rows = [parse(gzip.decompress(data[a - first : a - first + n])) for a, n in parts]
+            rows = [parse(gzip.decompress(data[a - first : a - first + n]), id_of) for a, n in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds], [k for k, _ in kinds])
         if opened[1] is not None:
             opened[1].close()
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    schema = f"page_id {word}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {word}" + ", payload binary" * payloads
     slim = index.select("file", "offset", "length")
-    dealt = slim.repartition("file", F.floor(F.col("offset") / MAX_RANGE)).sortWithinPartitions("file", "offset")
+    # partitions by the bytes that will be read, not by those of the index: an explicit number isn't merged
+    stretches = -(-(slim.agg(F.sum("length")).first()[0] or 0) // STRETCH)
+    n = int(min(20_000, max(1, stretches)))
+    dealt = slim.repartition(n, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
