@@ -54,6 +54,7 @@ SAMPLE = 64
 HOT_SHINGLES = 1_000_000
 PIVOTS = 8
 SALTED = 4_096
+BROADCAST_IDS = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -638,20 +639,23 @@ def blocks_of(work: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with")).alias("task"), F.lit(2).alias("side"), "key")
 
 
-def links_of(work: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what is linked, from regions (task, key, n, s), split by pivots until tasks fit."""
+def links_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) that connect what is linked, from regions (task, key, n, first), split by pivots until tasks fit.
+
+    Sets of regions that fit a task go to it at once; only those of larger regions are written.
+    """
+    sums = materialise(members.groupBy("task").agg(F.sum("n").alias("total"), F.lit(None).cast("long").alias("before")), "totals")
+    large, few = sums.where(F.col("total") > SHARE), sums.where(F.col("total") <= SHARE).select("task")
+    whole = sets_of(docs, members.join(few, "task").select("key", "task", "first"), doc_id, text).select("task", F.lit(2).alias("side"), "key", "s")
+    total = members.join(few, "task").agg(F.sum("n")).first()[0] or 0
+    if not large.limit(1).count():
+        return materialise(_solved(whole, total), "links")
+    work = materialise(sets_of(docs, members.join(large.select("task"), "task").select("key", "task", "first"), doc_id, text), "sets")
     links, ready = [], []
     own = work.select("task", "key", "n").distinct()
-    own = own.withColumn("before", F.lit(None).cast("long"))
+    sets = work
     for turn in range(ROUNDS + 1):
-        sums = materialise(own.groupBy("task").agg(F.sum("n").alias("total"), F.max("before").alias("before")), "totals")
-        ready.append(own.join(sums.where(F.col("total") <= SHARE), "task").select("task", F.lit(2).alias("side"), "key"))
-        large = sums.where(F.col("total") > SHARE)
-        if not large.limit(1).count():
-            break
         parts = (F.col("before").isNull() | (8 * F.col("total") <= 7 * F.col("before"))) & F.lit(turn < ROUNDS)
-        sets = work.select("key", "s").join(own.join(large.select("task"), "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
-        sets = materialise(sets, "large")
         stuck = large.where(~parts).select("task")
         if stuck.limit(1).count():
             ready.append(blocks_of(sets.join(stuck, "task")))
@@ -661,8 +665,8 @@ def links_of(work: DataFrame) -> DataFrame:
         met = materialise(meet_pivots(sets, large, turn), "met")
         links.append(met.where("other is not null and key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
         pairs = met.where("kind = 2").select("task", "own", F.get("near", F.lit(0)).alias("other")).groupBy("task").agg(F.collect_set(F.struct("own", "other")).alias("pairs"))
-        parts = pairs.select("task", _parts("pairs").alias("parts"))
-        one = salted_join(met.where("kind = 1").select("task", "key", "n", "own", "near"), parts, "task", heavy_keys(large, "task", "total"))
+        parted = pairs.select("task", _parts("pairs").alias("parts"))
+        one = salted_join(met.where("kind = 1").select("task", "key", "n", "own", "near"), parted, "task", heavy_keys(large, "task", "total"))
         part = lambda k: F.coalesce(F.get("parts", k), k)
         foreign = F.filter("near", lambda q: (F.col("own") < 0) | (part(q) != part(F.col("own"))))
         one = materialise(one.select("task", "key", "n", "own", foreign.alias("near")), "cells")
@@ -671,19 +675,30 @@ def links_of(work: DataFrame) -> DataFrame:
         ready.append(tiles(hosts.union(guests)))
         rest = one.where("own < 0").select("task", "key", "n").join(large.select("task", F.col("total").alias("before")), "task")
         own = materialise(rest.select(F.xxhash64("task", F.lit(turn)).alias("task"), "key", "n", "before"), "rest")
+        sums = materialise(own.groupBy("task").agg(F.sum("n").alias("total"), F.max("before").alias("before")), "totals")
+        ready.append(own.join(sums.where(F.col("total") <= SHARE).select("task"), "task").select("task", F.lit(2).alias("side"), "key"))
+        large = sums.where(F.col("total") > SHARE)
+        if not large.limit(1).count():
+            break
+        sets = work.select("key", "s").join(own.join(large.select("task"), "task").select("task", "key", "n"), "key").select("task", "key", "n", "s")
+        sets = materialise(sets, "large")
     dealt = ready[0]
     for more in ready[1:]:
         dealt = dealt.union(more)
     dealt = materialise(dealt, "tasks")
-    total = dealt.join(work.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
+    total += dealt.join(work.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
     full = dealt.join(work.select("key", "s"), "key").select("task", "side", "key", "s")
-    full = full.repartition(_partitions(total, 4 * SHARE), "task").sortWithinPartitions("task", "side", "key")
-    out = full.mapInArrow(_solve_groups, _LINKS)
+    out = _solved(whole.union(full), total)
     for more in links:
         out = out.union(more)
     return materialise(out, "links")
 
 
+def _solved(tasks: DataFrame, total: int) -> DataFrame:
+    """Links of rows (task, side, key, s)."""
+    return tasks.repartition(_partitions(total, 4 * SHARE), "task").sortWithinPartitions("task", "side", "key").mapInArrow(_solve_groups, _LINKS)
+
+
 def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, n, key) of ``docs`` and, for each class, (key, first, copies, label): its smallest id and its component."""
     seen = materialise(signatures(docs, doc_id, text), "signatures")
@@ -694,8 +709,8 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     edges = materialise(candidates(prefixes(docs, hot, text)), "stars")
 
     # ends that are shingles are no classes and fall away here
-    members = materialise(components(edges).join(classes, "node").select("key", F.col("label").alias("task"), "first"), "members")
-    label = components(links_of(materialise(sets_of(docs, members, doc_id, text), "sets"))).withColumnRenamed("node", "key")
+    members = materialise(components(edges).join(classes, "node").select("key", F.col("label").alias("task"), "n", "first"), "members")
+    label = components(links_of(docs, members, doc_id, text)).withColumnRenamed("node", "key")
     known = classes.join(label, "key", "left").select("key", "first", "copies", F.coalesce("label", "key").alias("label"))
     return own, materialise(known, "known")
 
@@ -753,7 +768,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     come more than once where ids repeat, at most once a task; that only repeats links.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
-    some = slim.join(wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key"), "id")
+    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # some 60 bytes a row; beyond it the texts are dealt by id
+    some = slim.join(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

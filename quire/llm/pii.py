@@ -34,9 +34,27 @@ NAME = r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu
 
 BASE = ("email", "ip", "card", "phone")
 
-# The gazetteers and the words of the context labeler.
-GIVEN_NAMES = ["Alice", "Ana", "Anna", "Antonio", "Carlos", "Charles", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jan", "Jean", "John", "José", "Juan", "Karl", "Laura", "Louis", "Lucas", "Luis", "Maria", "Marie", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Sophie", "Thomas", "William"]
-MAIL_ENDINGS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "it", "nl", "ch", "at"]
+# The default gazetteers (callers give their own as ``Lists``) and the words of the context labeler.
+GIVEN_NAMES = (
+    "Alejandro Alexander Alice Amélie Ana Andrea Andrew Angela Anna Anne Antonio Antoine Barbara Ben Brigitte Camille Carlos Carmen Caroline Charles Charlotte Christian "
+    "Christine Claire Claudia Daniel David Diego Dorothy Eduardo Elena Elisabeth Elizabeth Emily Emma Eric Eva Fernando François Frank Frédéric George Hans Heinrich Helen Henry "
+    "Isabel Isabelle Jack Jacques James Jan Jane Javier Jean Jennifer Jessica Johann John Jorge José Joseph Juan Julia Julien Jürgen Karen Karl Katharina Klaus Laura Lena Léa "
+    "Linda Lisa Louis Louise Lucas Lucía Luis Lukas Manuel Manuela Marc Margaret Maria Marie Mark Markus Martin Mary Matthew Maximilian Michael Michel Miguel Monika Nancy Nicolas "
+    "Olivia Pablo Patricia Patrick Paul Pedro Peter Petra Philippe Pierre Rafael Richard Robert Rosa Sabine Sandra Sarah Sébastien Sofía Sophie Stefan Stephen Steven Susan Susanne "
+    "Thomas Ursula Valentina Victor Walter William Wolfgang"
+).split()
+MAIL_ENDINGS = "com org net edu gov mil int io co info biz app dev de fr es uk it nl ch at be pt pl se no dk fi ie eu us ca mx br ar cl jp cn in au nz ru za".split()
+
+
+@dataclass(frozen=True)
+class Lists:
+    """The gazetteers of the second labeler."""
+
+    given_names: tuple[str, ...] = tuple(GIVEN_NAMES)
+    mail_endings: tuple[str, ...] = tuple(MAIL_ENDINGS)
+
+
+LISTS = Lists()
 CUES = r"(?i)(?:phone|tel|call|mobile|fax|contact|reach|e-?mail|write|address|server|host|ip|card|visa|payment|ssn|social security|insurance|name|signed|dear|appel|téléphone|anruf|telefon|llama|teléfono)[^\n]{0,24}$"
 COUNTER_CUES = r"(?i)(?:order|invoice|ref|reference|version|isbn|serial|part no|ticket|total|section|page|chapter)[^\n]{0,12}$"
 
@@ -91,20 +109,24 @@ def _spans(t: Column, k: Kind) -> Column:
     matches = F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))
     pieces = F.split(t, k.pattern, -1)
     pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    # each step knows where the last match ended
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
+    # where each match ends: a running sum over lengths, then one span for each match
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(
-            F.lit(k.name).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"),
+        end = acc["at"] + F.length(x["p"]) + F.length(x["m"])
+        return F.struct(end.cast("long").alias("at"), F.concat(acc["ends"], F.array(end.cast("long"))).alias("ends"))
+
+    ends = F.aggregate(pairs, zero, step, lambda acc: acc["ends"])
+
+    def span(x: Column, end: Column) -> Column:
+        return F.struct(
+            F.lit(k.name).alias("kind"), (end - F.length(x["m"])).cast("long").alias("start"), end.alias("end"),
             x["m"].alias("value"), F.right(x["p"], F.lit(48)).alias("before"), F.lit(k.base).alias("base"),
         )
-        keep = k.valid(x["m"]) if k.valid else F.lit(True)
-        return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    found = F.zip_with(pairs, ends, span)
+    if k.valid:
+        found = F.filter(found, lambda s: k.valid(s["value"]))
     has = F.contains(t, F.lit(k.needs)) if k.needs == "@" else t.rlike(k.needs)
     return F.when(has, found).otherwise(F.array().cast(_SPAN))
 
@@ -120,21 +142,24 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.withColumn("loose", free)
 
 
-def votes(s: Column) -> dict[str, Column]:
+def votes(s: Column, lists: Lists = LISTS) -> dict[str, Column]:
     """Votes of the three labelers on a span (1 yes, -1 no, 0 none) and its form, in few values each."""
     v, kind = s["value"], s["kind"]
+    say = lambda pattern: F.when(v.rlike(pattern), 1).otherwise(-1)
     strict = (
-        F.when(s["base"], 1)
+        F.when(kind == "email", say("^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\\.[A-Za-z]{2,}$"))
+        .when(kind == "ip", say("^(?:0|[1-9][0-9]*)(?:\\.(?:0|[1-9][0-9]*)){3}$"))
+        .when(kind == "card", say("^(?:[0-9]{13,19}|[0-9]{4}(?:[\\x20-][0-9]{4}){3}|[0-9]{4}[\\x20-][0-9]{6}[\\x20-][0-9]{5})$"))
+        .when((kind == "phone") & s["base"], say("^\\+[1-9]"))
         .when(kind == "ssn", F.when(v.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(-1))
         .when(kind == "phone", F.when(v.rlike("^\\(?[2-9][0-9]{2}\\)?[\\x20.-][2-9]"), 1).otherwise(-1))
         .otherwise(0)
     )
     gazetteer = (
-        F.when(kind == "name", F.when(F.element_at(F.split(v, "\\x20"), -2).isin(GIVEN_NAMES), 1).otherwise(0))
-        .when(kind == "email", F.when(F.element_at(F.split(v, "\\."), -1).isin(MAIL_ENDINGS), 1).otherwise(0))
+        F.when(kind == "name", F.when(F.element_at(F.split(v, "\\x20"), -2).isin(list(lists.given_names)), 1).otherwise(0))
+        .when(kind == "email", F.when(F.element_at(F.split(v, "\\."), -1).isin(list(lists.mail_endings)), 1).otherwise(0))
         .when((kind == "ip") & v.rlike("^(?:0|127|255)\\."), -1)
         .when((kind == "card") & v.rlike("^[3-6]"), 1)
-        .when((kind == "phone") & v.rlike("555"), 0)
         .otherwise(0)
     )
     context = F.when(s["before"].rlike(COUNTER_CUES), -1).when(s["before"].rlike(CUES), 1).otherwise(0)
@@ -145,9 +170,9 @@ def votes(s: Column) -> dict[str, Column]:
 LABELERS = ("regex", "gazetteer", "context")
 
 
-def count_patterns(found: DataFrame) -> list[tuple[tuple[int, int, int], str, int]]:
+def count_patterns(found: DataFrame, lists: Lists = LISTS) -> list[tuple[tuple[int, int, int], str, int]]:
     """(votes, form, spans) of all spans: at most 27 vote patterns for each of 18 forms."""
-    one = found.select(F.explode(F.concat("base", "loose")).alias("s")).select(*[c.alias(n) for n, c in votes(F.col("s")).items()])
+    one = found.select(F.explode(F.concat("base", "loose")).alias("s")).select(*[c.alias(n) for n, c in votes(F.col("s"), lists).items()])
     rows = one.groupBy(*LABELERS, "form").count().collect()
     return sorted(((r["regex"], r["gazetteer"], r["context"]), r["form"], r["count"]) for r in rows)
 
@@ -202,9 +227,9 @@ def fit(patterns: list[tuple[tuple[int, int, int], str, int]], rounds: int = 50)
     return Model(prior, tuple(map(tuple, yes)), tuple(map(tuple, no)), tuple(weight.items()))
 
 
-def score(s: Column, model: Model) -> Column:
+def score(s: Column, model: Model, lists: Lists = LISTS) -> Column:
     """The classifier's log-odds as one expression."""
-    w, v = dict(model.weights), votes(s)
+    w, v = dict(model.weights), votes(s, lists)
     out = F.lit(w["bias"])
     for n in LABELERS:
         out = out + F.when(v[n] == 1, w[f"{n}=1"]).when(v[n] == -1, w[f"{n}=-1"]).otherwise(w[f"{n}=0"])
@@ -219,15 +244,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.concat(*[one(k) for k in RANK]), ",")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lists: Lists = LISTS) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as structs)."""
     found = extract(docs, doc_id, text)
-    model = fit(count_patterns(found))
-    added = F.filter("loose", lambda s: score(s, model) >= 0.0)
+    model = fit(count_patterns(found, lists))
+    added = F.filter("loose", lambda s: score(s, model, lists) >= 0.0)
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     every = F.concat("base", added)
     return found.select(
         "doc_id", *[n(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(every).alias("spans"),
+        _joined(every).alias("spans"), every.alias("found"),
     )

@@ -38,17 +38,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(read(spark, sf_dir, "conversations"))
+    """Each participant's dialogue, in parts, with the masked ranges of the whole."""
+    d = chat.dialogues(chat.rotate(read(spark, sf_dir, "conversations")))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return d.select("conv_id", "perspective", "part", "start", "text", masks.alias("masks"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """Counts from the last entry of each document's prefix table."""
+    out = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), prefixes=True)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", F.size("ends").cast("long").alias("n_prefixes"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read(spark, sf_dir, "documents"))
+    return pii.find(read(spark, sf_dir, "documents")).drop("found")
 
 
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +138,15 @@ both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b O
 link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.y) AS component_id FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
-    "op5_chat_rotation": """
+    "op5_chat_rotation": f"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations),
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
 e AS (SELECT m.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role FROM m JOIN w ON m.conv_id IS NOT DISTINCT FROM w.conv_id),
-h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') ELSE '' END || chr(10) AS head FROM e)
-SELECT conv_id, perspective, turn, speaker, role, head || said || '<|im_end|>' || chr(10) AS rendered,
-  CASE WHEN role = 'assistant' THEN length(head)::BIGINT END AS mask_start, CASE WHEN role = 'assistant' THEN (length(head) + length(said) + 11)::BIGINT END AS mask_end FROM h""",
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') ELSE '' END || chr(10) AS head FROM e),
+r AS (SELECT conv_id, perspective, turn, speaker, head || said || '<|im_end|>' || chr(10) AS rendered, CASE WHEN role = 'assistant' THEN length(head) END AS a, CASE WHEN role = 'assistant' THEN length(head) + length(said) + 11 END AS b FROM h),
+o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_ FROM r)
+SELECT conv_id, perspective, at_ // {chat.PART} AS part, min(at_) AS start, string_agg(rendered, '' ORDER BY at_) AS text,
+  coalesce(string_agg((at_ + a) || '-' || (at_ + b), ',' ORDER BY at_) FILTER (a IS NOT NULL), '') AS masks FROM o GROUP BY conv_id, perspective, at_ // {chat.PART}""",
     "op9_quality_rules": f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM d, LATERAL unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) >= 3),

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import compare
+from conftest import SF
 from quire.llm import chat, decontaminate, jaccard, mixing, pii, quality, shards, tokens, urls, warc
 from quire.llm import queries as Q
 
@@ -126,6 +127,18 @@ def test_warc_round_trip(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {5: ("revisit", 2), 2: ("response", None), 7: ("revisit", 2), 3: ("response", None), 4: ("response", None), 9: ("response", None), 10: ("response", None), 11: ("response", None)}
 
 
+def test_warc_of_missing_repeated_and_text_ids(spark):
+    big = "<p>x</p>" * 30
+    rows = [(None, "u", big), (4, "u", big), (4, "v", big), (8, None, big), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()), key=str)
+    assert got == sorted([(None, "revisit", 4), (4, "response", None), (4, "response", None), (8, "revisit", 4), (None, "response", None)], key=str)
+    named = spark.createDataFrame([("a>b", "u", big), ("none", "u", big), ("é", "u", "x")], pages.schema.simpleString()[7:-1].replace("bigint", "string").replace(":", " "))
+    got = {r.page_id: r.refers_to for r in warc.round_trip(spark, named).collect()}
+    assert got == {"a>b": None, "none": "a>b", "é": None}
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
 def test_warc_reads_a_selection_and_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string")
     index = warc.write(warc.roles(pages), str(tmp_path))
@@ -277,6 +290,32 @@ def test_rotation(spark):
     for r in chat.dialogues(chat.rotate(c)).collect():
         for m in r.masks:
             assert r.text[m.start : m.end].endswith(chat.CLOSE) and chat.OPEN not in r.text[m.start : m.end]
+    assert chat.dialogues(chat.rotate(c.limit(0))).count() == 0
+
+
+def test_parts_make_up_the_dialogue(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, rng.randrange(4), rng.choice(["ann", "bob", "system"]), "w" * rng.randrange(30)) for i in range(200)]
+    rows += [(7, 0, "ann", "same")] * 40
+    r = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    by = collections.defaultdict(list)
+    for x in chat.dialogues(r, part=100).collect():
+        by[x.conv_id, x.perspective].append(x)
+    messages = collections.defaultdict(list)
+    for x in r.collect():
+        messages[x.conv_id, x.perspective].append((x.turn, x.speaker, x.rendered, x.mask_start, x.mask_end))
+    assert set(by) == set(messages)
+    for k, parts in by.items():
+        parts.sort(key=lambda x: x.part)
+        whole = "".join(x.text for x in parts)
+        assert whole == "".join(m[2] for m in sorted(messages[k], key=lambda m: m[:3]))
+        at, masks = 0, []
+        for _, _, said, a, b in sorted(messages[k], key=lambda m: m[:3]):
+            if a is not None:
+                masks.append((at + a, at + b))
+            at += len(said)
+        assert masks == [tuple(m) for x in parts for m in x.masks]
+        assert all(whole[x.start :].startswith(x.text) and x.part == x.start // 100 or x.part == x.start // 100 for x in parts)
 
 
 # --- 6 tokens
@@ -298,10 +337,24 @@ def test_counts_at_every_prefix(counter, text, n):
 
 def test_special_strings_and_budgets(counter):
     assert counter.count("a<|endoftext|>b c") == counter.encode("a<|endoftext|>b c")
-    text = "some words of a longer text " * 20
-    cut = counter.fit(text, 17)
-    assert counter.encode(text[:cut]) <= 17 < counter.encode(text[: cut + 7])
+    text = "some words of a longer, unbelievably-long text; 12345 " * 5
+    for budget in range(0, 60):
+        cut = counter.fit(text, budget)
+        assert cut == max(k for k in range(len(text) + 1) if counter.encode(text[:k]) <= budget)
     assert counter.fit("word", 0) == 0
+    assert counter.fit("a " + "é" * 5000, 2) == 2
+
+
+def test_a_tokenizer_without_chunks_is_asked_for_whole_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c = tokens.Counter(path)
+    assert not c.exact and c.count("a  b c") == c.encode("a  b c") and c.at("a  b c", 3) == c.encode("a  ")
+    d = docs(spark, [None, "Hello  there", "x y " * 3000])
+    out = {r.doc_id: r for r in tokens.count_tokens(d, path, prefixes=True).collect()}
+    assert [out[i].n_tokens for i in range(3)] == [0, c.encode("Hello  there"), c.encode("x y " * 3000)]
+    assert out[2].fit_chars is None and out[1].fit_chars == 12
 
 
 def test_token_query_columns(spark, counter):
@@ -352,6 +405,32 @@ def test_labelers_add_spans_by_context(spark):
     assert "name" in got[80]
 
 
+def test_em_recovers_reliabilities():
+    rng = random.Random(4)
+    right = (0.9, 0.75, 0.65)  # chance that a labeler that votes is right
+    counts = collections.Counter()
+    for _ in range(40_000):
+        true = rng.random() < 0.4
+        votes = []
+        for p in right:
+            ok = rng.random() < p
+            votes.append(0 if rng.random() < 0.2 else 1 if true == ok else -1)
+        counts[tuple(votes)] += 1
+    model = pii.fit([(v, "phone/short", n) for v, n in sorted(counts.items())])
+    assert abs(model.prior - 0.4) < 0.06
+    for k, p in enumerate(right):
+        assert abs(model.yes[k][2] - 0.8 * p) < 0.06 and abs(model.no[k][0] - 0.8 * p) < 0.06
+
+
+def test_gazetteers_are_parameters(spark):
+    d = docs(spark, [f"Signed, Mr. Zebulon Smith{'abcdefgh'[i % 8]} here." for i in range(40)])
+    mine = pii.Lists(given_names=("Zebulon",))
+    assert sum("name" in r.spans for r in pii.find(d, lists=mine).collect()) == 40
+    r = pii.find(docs(spark, ["a@b.com"])).first()
+    assert [(x.kind, x.start, x.end, x.value) for x in r.found] == [("email", 0, 7, "a@b.com")]
+    assert pii.find(d.limit(0)).count() == 0
+
+
 # --- 8 shards
 
 
@@ -378,6 +457,21 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert again == {r.doc_id: (r.shard, r.slot) for r in out}
 
 
+def test_bins_of_a_hot_text_are_cut_by_id(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(3000)] + [(None, "the same text")] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = shards.keyed(d)
+    placed = shards._bins(keyed, 3050, 20).collect()
+    biggest = collections.Counter(r["_bin"] for r in placed).most_common(2)
+    assert biggest[0][1] <= 130 and biggest[1][1] <= 80
+    assert [r["_bin"] for r in sorted(placed, key=lambda r: r.key)] == sorted(r["_bin"] for r in placed)
+    out = shards.shard(keyed, 5, rows_per_bin=20).collect()
+    sizes = check_shards(out, 5)
+    assert len(out) == 3050 and max(sizes) - min(sizes) <= 2200
+    full = shards.sharded(d.withColumn("size", F.lit("clash")), 5)
+    assert full.count() == 3050 and "text" in full.columns and full.columns.count("size") == 1
+
+
 def test_shards_of_few_repeated_and_no_rows(spark):
     assert shards.assign(docs(spark, []), shards=4).count() == 0
     d = spark.createDataFrame([(1, "a")] * 7 + [(None, "b")] * 3, "doc_id long, text string")
@@ -502,9 +596,58 @@ def test_mix_of_repeated_rows_and_of_none(spark):
     assert {r.doc_id for r in text_ids} == {"x1", None}
 
 
+# --- empty tables, clashing columns, heavy keys
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none = docs(spark, [])
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert urls.judge(pages, spark.createDataFrame([], "page_id long, bad int"), Q.RULES).count() == 0
+    sam = decontaminate.build(spark, bench)
+    assert decontaminate.digest(none, sam).count() == 0 and decontaminate.clean(none, sam).count() == 0
+    some = docs(spark, ["a b c", None])
+    assert sorted(r.n_hit for r in decontaminate.digest(some, sam).collect()) == [0, 0]
+    assert tokens.count_tokens(none, public_tokenizers.path("word_bpe_49k.json"), prefixes=True).count() == 0
+    assert quality.apply_rules(none).count() == 0 and jaccard.keep_first(none).count() == 0
+    assert shards.sharded(none).count() == 0
+
+
+def test_heavy_keys_are_salted(spark):
+    from quire.llm.common import heavy_keys, salted_join
+
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 1), (None, 2), (3, 3)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
+    heavy = heavy_keys(left.groupBy("k").count(), "k", "count", share=3, least=5)
+    assert heavy == [1]
+    got = collections.Counter((r.k, r.w) for r in salted_join(left, right, "k", heavy).collect())
+    assert got == {(1, "a"): 300, (2, "b"): 1, (None, None): 1, (3, None): 1}
+    rows = spark.createDataFrame([(bytearray(b"x"), i) for i in range(9)], "k binary, v long")
+    table = spark.createDataFrame([(bytearray(b"x"), 1)], "k binary, w long")
+    assert salted_join(rows, table, "k", heavy_keys(rows.groupBy("k").count(), "k", "count", least=2)).where("w = 1").count() == 9
+
+
 # --- the pipeline
 
 
+def test_pipeline_of_nulls_repeats_and_long_texts(spark, tmp_path):
+    import corpus_pipeline as c
+
+    prose = lambda k, n: " ".join(f"the word{k} of it was {k + i} and" for i in range(n))
+    rows = [(i, prose(i * 1000, 20), "en", f"s{i % 2}", 0, "x") for i in range(40)]
+    rows += [(None, prose(7 * 1000, 20), "en", None, 0, "x"), (3, rows[3][1], "en", "s1", 0, "x"), (99, None, None, None, None, None), (98, "", "fr", "s1", 0, "x"), (97, prose(10**6, 4000), "en", "s0", 0, "x")]
+    d = spark.createDataFrame(rows, DOCS + ", row string")
+    for t in (d, d.limit(0)):
+        steps = t
+        for name, stage in c.STAGES:
+            steps = c.materialise(stage(spark, steps, SF), name.replace(" ", "_"))
+        assert "row" in steps.columns and "text" in steps.columns
+        ids = collections.Counter(r.doc_id for r in steps.collect())
+        assert not {98, 99, None} & set(ids) and (97 in ids or t is not d)
+
+
 def test_stages_keep_their_promises(spark, sf):
     import corpus_pipeline as c
 
