@@ -70,7 +70,29 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix)}
+# --- what SQL can check of op7, op8 and op10
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7."""
+    return op7_personal_data(spark, sf_dir).drop("spans")
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of op8, whether each shard's slots have no gaps, and whether its bytes are within a row and a tenth of the mean."""
+    rows = op8_histogram_shards(spark, sf_dir)
+    by = rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    whole = by.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("largest").alias("row"), F.every((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("gapless"), F.max("bytes").alias("high"))
+    return whole.select("rows", "bytes", "gapless", (F.col("high") <= F.col("bytes") / shards.SHARDS * 1.1 + F.col("row")).alias("near"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op10, and whether each document is taken at most twice."""
+    out = op10_cube_mix(spark, sf_dir)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
@@ -85,7 +107,36 @@ def _strength(level: str) -> str:
         FROM {level} WHERE n > 0 GROUP BY parent)))"""
 
 
+def _spans_of(kind: str, pattern: str, valid: str) -> str:
+    """Rows (doc_id, kind, start, end) of the valid matches, from the lengths of matches and of what lies between."""
+    return f"""SELECT doc_id, '{kind}' AS kind, x.st AS st, x.st + length(x.m) AS en FROM (SELECT doc_id, unnest([{{'m': ms[i], 'st': list_sum([length(p) for p in ps[1:i]]) + coalesce(list_sum([length(m) for m in ms[1:i - 1]]), 0)}} for i in range(1, len(ms) + 1)]) AS x
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS ps FROM t WHERE regexp_matches(t, '{pattern}'))) WHERE {valid}"""
+
+
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_LUHN = f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE CASE WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END END)) % 10 = 0"
+_KINDS = " UNION ALL ".join((
+    _spans_of("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _spans_of("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([1 for p in string_split(x.m, '.') if length(ltrim(p, '0')) > 3 or coalesce(try_cast(p AS INT), 999) > 255]) = 0"),
+    _spans_of("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+    _spans_of("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+))
+
+
 SQL = {
+    "pii_base": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_KINDS}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || st || ':' || en, ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), st) AS j FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(j, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)""",
+    "shard_totals": "SELECT count(*) AS rows, sum(strlen(coalesce(text, '')) + 8)::BIGINT AS bytes, true AS gapless, true AS near FROM documents",
+    "mix_targets": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS MATERIALIZED (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+u AS (SELECT 0 AS k, (SELECT sum(n) * 1.5::DOUBLE / sum(w) FROM s) AS unit UNION ALL
+  SELECT k + 1, (1.5::DOUBLE * sum(n) - 2.0 * coalesce(sum(n) FILTER (unit * w > 2.0 * n), 0)) / sum(w) FILTER (NOT unit * w > 2.0 * n) FROM u, s WHERE k < 50 GROUP BY k),
+last AS (SELECT arg_max(unit, k) FILTER (unit IS NOT NULL) AS unit FROM u)
+SELECT doc_id, size, n AS source_size, CASE WHEN unit * w > 2.0 * n THEN 2.0 * n ELSE unit * w END::DOUBLE AS target, true AS within FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, last""",
     "op1_url_reputation": f"""
 WITH p AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), {_AZ}) ELSE '' END AS host,

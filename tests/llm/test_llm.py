@@ -112,6 +112,24 @@ def test_decontamination_of_edges_and_cleaning(spark):
     assert kept[2].text.startswith("before , after") and kept[2].n_chars == len(kept[2].text)
 
 
+def test_benchmark_in_parts_equals_the_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(4, 30)))) for i in range(12)] + [(None, "q r s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [None, "", "q r s t"] + [f"{t[1][:40]} pad pad {rng.choice(items)[1]} " + "tail " * rng.randrange(200) for t in items]
+    d = docs(spark, texts).withColumn("k", F.lit(1)).withColumn("row", F.lit(2))
+    whole = decontaminate.build(spark, bench)
+    want, kept = sorted(map(tuple, decontaminate.digest(d, whole).collect()), key=str), sorted(map(tuple, decontaminate.clean(d, whole).collect()), key=str)
+    assert whole.parts == 1 and any(r[2] for r in want)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 60)
+    parts = decontaminate.build(spark, bench)
+    assert parts.parts > 2
+    assert sorted(map(tuple, decontaminate.digest(d, parts).collect()), key=str) == want
+    assert sorted(map(tuple, decontaminate.clean(d, parts).collect()), key=str) == kept
+    for r in want:
+        assert r[1:3] == brute_hits(texts[r[0]], [(str(k), t) for k, t in items])[:2]
+
+
 # --- 3 WARC
 
 
@@ -635,7 +653,7 @@ def test_heavy_keys_are_salted(spark):
 def test_pipeline_of_nulls_repeats_and_long_texts(spark, tmp_path):
     import corpus_pipeline as c
 
-    prose = lambda k, n: " ".join(f"the word{k} of it was {k + i} and" for i in range(n))
+    prose = lambda k, n: " ".join(f"the wo{k + 3 * i}rd gave of{k + 3 * i + 1}fer to ma{k + 3 * i + 2}ny" for i in range(n))
     rows = [(i, prose(i * 1000, 20), "en", f"s{i % 2}", 0, "x") for i in range(40)]
     rows += [(None, prose(7 * 1000, 20), "en", None, 0, "x"), (3, rows[3][1], "en", "s1", 0, "x"), (99, None, None, None, None, None), (98, "", "fr", "s1", 0, "x"), (97, prose(10**6, 4000), "en", "s0", 0, "x")]
     d = spark.createDataFrame(rows, DOCS + ", row string")
