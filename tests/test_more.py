@@ -87,3 +87,28 @@ def test_store_names_are_checked_and_folders_removed(spark, tmp_path):
 def test_clean_up_removes_the_sessions_tables(spark):
     df = materialise(spark.range(3), "x")
     assert df.count() == 3 and clean_up(spark)
+
+
+def test_alignment_costs_least_of_all_monotone_pairings():
+    rng = random.Random(3)
+
+    def cheapest(lines, room, i, j):
+        if i == len(lines) and j == len(room):
+            return 0.0
+        tries = []
+        if i < len(lines) and j < len(room):
+            tries.append(kernels.match_cost(len(lines[i]), room[j]) + cheapest(lines, room, i + 1, j + 1))
+        if i < len(lines):
+            tries.append(kernels.SKIP_LINE + cheapest(lines, room, i + 1, j))
+        if j < len(room):
+            tries.append(kernels.SKIP_BOX + cheapest(lines, room, i, j + 1))
+        return min(tries)
+
+    for _ in range(60):
+        lines = ["x" * rng.randrange(1, 40) for _ in range(rng.randrange(1, 6))]
+        boxes = [(0.0, 0.0, rng.random(), rng.random()) for _ in range(rng.randrange(1, 6))]
+        area = [max(1e-6, b[2] * b[3]) for b in boxes]
+        room = [a * sum(map(len, lines)) / sum(area) for a in area]
+        cost, texts, _ = kernels.align_lines(lines, boxes)
+        assert abs(cost - cheapest(lines, room, 0, 0)) < 1e-9
+        assert sorted(t for ts in texts.values() for t in ts) == sorted(lines)
