@@ -130,6 +130,6 @@ lo AS (SELECT DISTINCT lower(t) AS w FROM tok WHERE regexp_matches(t, '^\p{L}'))
 near AS (SELECT lo.w, kn.w AS new, CASE WHEN length(lo.w) <= length(kn.w) THEN lo.w ELSE kn.w END AS a, CASE WHEN length(lo.w) <= length(kn.w) THEN kn.w ELSE lo.w END AS b FROM lo JOIN kn ON abs(length(lo.w) - length(kn.w)) <= 1 WHERE lo.w NOT IN (SELECT w FROM kn)),
 pre AS (SELECT *, coalesce(list_min([i for i in range(1, length(a) + 1) if substr(a, i, 1) <> substr(b, i, 1)]), length(a) + 1) - 1 AS k FROM near),
 fix AS (SELECT w, any_value(new) AS new FROM pre WHERE CASE WHEN length(a) < length(b) THEN substr(a, k + 1) = substr(b, k + 2) ELSE substr(a, k + 2) = substr(b, k + 2) OR (substr(a, k + 1, 2) = reverse(substr(b, k + 1, 2)) AND substr(a, k + 3) = substr(b, k + 3)) END GROUP BY w HAVING count(*) = 1),
-o AS (SELECT conv_id, turn, i, CASE WHEN new IS NULL THEN t WHEN upper(t) = t AND length(t) > 1 THEN upper(new) WHEN upper(left(t, 1)) = left(t, 1) THEN upper(left(new, 1)) || substr(new, 2) ELSE new END AS t FROM tok LEFT JOIN fix ON fix.w = lower(tok.t))
+o AS (SELECT conv_id, turn, i, CASE WHEN new IS NULL THEN t WHEN upper(t) = t AND length(t) > 1 THEN replace(upper(new), 'ẞ', 'SS') WHEN upper(left(t, 1)) = left(t, 1) THEN replace(upper(left(new, 1)), 'ẞ', 'Ss') || substr(new, 2) ELSE new END AS t FROM tok LEFT JOIN fix ON fix.w = lower(tok.t))
 SELECT c.conv_id, c.turn, coalesce(string_agg(t, '' ORDER BY i), '') AS text FROM conversations c LEFT JOIN o USING (conv_id, turn) GROUP BY ALL""",
     }
