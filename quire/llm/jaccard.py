@@ -54,7 +54,6 @@ SAMPLE = 64
 HOT_SHINGLES = 1_000_000
 PIVOTS = 8
 SALTED = 4_096
-BROADCAST_IDS = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -749,7 +748,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     name = lambda c: F.col(f"`{c}`")
     hot = F.coalesce(name(doc_id).isin(heavy), F.lit(False)) if heavy else F.lit(False)
     plain = kept.where("id is not null").join(many, "id", "left_anti").select(F.col("id").alias("_id"))
-    first = docs.where(~hot).join(plain, name(doc_id) == F.col("_id"), "left_semi")
+    first = docs.where(~hot).join(plain.hint("merge"), name(doc_id) == F.col("_id"), "left_semi")
     if not many.limit(1).count() and not ids.where("id is null and rows > 0").limit(1).count():
         return first
     some = docs.where(name(doc_id).isNull() | hot).union(docs.where(~hot).join(many.select(F.col("id").alias("_id")), name(doc_id) == F.col("_id"), "left_semi"))
@@ -769,9 +768,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
     ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)  # some 60 bytes a row; beyond it the texts are dealt by id
-    some = slim.join(ids, "id")
+    some = slim.join(ids.hint("merge"), "id")  # as many ids as classes: dealt, at every size
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

@@ -257,7 +257,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     got = materialise(got.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "rows", "copies", "each"), "copies")
     rows = docs.select(whole, doc_id.alias("id"), source.cast("string").alias("src"), name(options.get("text", "text")).alias("t"))
     on = F.col("id").eqNullSafe(F.col("i")) & F.col("src").eqNullSafe(F.col("s"))
-    one = rows.join(got.where("rows = 1"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    one = rows.join(got.where("rows = 1").hint("merge"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     many = got.where("rows > 1").select("i", "s", F.explode("each").alias("e")).select("i", "s", F.col("e.size").alias("size"), F.col("e.copies").alias("copies"), F.col("e.rows").alias("rows"))
     if not many.limit(1).count():
         return one.select("row.*")
