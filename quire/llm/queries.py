@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over the standard tables, and their SQL where SQL can express them."""
+"""Queries op1 to op13 over the standard tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, jaccard, mixing, pii, quality, shards, tokens, urls, warc
+from quire.llm import chat, decontaminate, jaccard, mixing, pii, quality, shards, tokens, turns, urls, warc
 from quire.llm.common import read
 
 RULES = [
@@ -70,6 +70,18 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired; one of which the damage left nothing has zeros and the hash of no text."""
+    conversations = read(spark, sf_dir, "conversations")
+    report, repaired = turns.repair(turns.damage(conversations))
+    all_ = conversations.select("conv_id").distinct()
+    for part in (report, turns.digests(repaired)):
+        all_ = all_.unionByName(part, allowMissingColumns=True)
+    numbers = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return all_.groupBy("conv_id").agg(*numbers, *texts)
+
+
 # --- what SQL can check of op7, op8 and op10
 
 
@@ -92,7 +104,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("taken") <= 2 * F.col("size")).alias("within"))
 
 
-QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix)}
+QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix, op11_turn_repair)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
@@ -210,4 +222,28 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / n_words <= 0.25 AND upper_ / word_chars <= 0.4 AND n_dup_lines / n_lines <= 0.6
   AND (lang IS NULL OR lang NOT IN ('en', 'fr', 'de', 'es') OR stop / n_words >= 0.02) AS kept FROM f""",
+    "op11_turn_repair": rf"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS f FROM o, tab),
+m AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS n FROM f WHERE f <> 0),
+p AS (SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) AS k, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(text), n)),
+q AS (SELECT *, NOT blank AND k > 1 AS dup, NOT blank AND k = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM p),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM q GROUP BY conv_id),
+trans AS (SELECT * FROM (VALUES ('', 's', []), ('', 'u', []), ('s', 'u', []), ('a', 'u', []), ('u', 'a', []), ('', 'a', ['user:']), ('s', 'a', ['user:']), ('a', 'a', ['user:']), ('u', 'u', ['assistant:'])) AS v(a, b, gap)),
+ways AS (SELECT conv_id, i, NULL AS b, 'D' AS letter, 4 AS cost, NULL AS line FROM q UNION ALL
+  SELECT conv_id, i, r, 'K', 3 * cut::INT, role || ':' || text FROM q WHERE NOT blank AND NOT dup AND r IN ('s', 'u', 'a') UNION ALL
+  SELECT conv_id, i, v.x[1], 'R', 3 + 3 * cut::INT, v.x || ':' || text FROM q, (VALUES ('user'), ('assistant')) AS v(x) WHERE NOT blank AND NOT dup),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '' AS s, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM stats UNION ALL
+  SELECT d.conv_id, w.i, coalesce(w.b, d.s), min({{'cost': d.best.cost + w.cost + 3 * coalesce(len(t.gap), 0)::INT, 'audit': d.best.audit || repeat('I', coalesce(len(t.gap), 0)) || w.letter,
+    'lines': CASE WHEN w.b IS NULL THEN d.best.lines ELSE list_append(list_concat(d.best.lines, t.gap), w.line) END}})
+  FROM dp d JOIN ways w ON w.conv_id IS NOT DISTINCT FROM d.conv_id AND w.i = d.i + 1 LEFT JOIN trans t ON t.a = d.s AND t.b = w.b WHERE w.b IS NULL OR t.a IS NOT NULL GROUP BY ALL),
+ends AS (SELECT d.conv_id, min({{'cost': best.cost + CASE s WHEN 'u' THEN 3 WHEN 's' THEN 6 ELSE 0 END, 'audit': best.audit || CASE s WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+    'lines': list_concat(best.lines, CASE s WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END)}}) AS e
+  FROM dp d JOIN stats ON stats.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = n GROUP BY d.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
