@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, jaccard, mixing, pii, quality, shards, tokens, turns, urls, warc
+from quire.llm import chat, decontaminate, jaccard, mixing, phrases, pii, quality, shards, tokens, turns, urls, warc
 from quire.llm.common import read
 
 RULES = [
@@ -82,6 +82,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.groupBy("conv_id").agg(*numbers, *texts)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, totals = phrases.mine(read(spark, sf_dir, "documents"))
+    return phrases.top(phrases.score(found, totals)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 # --- what SQL can check of op7, op8 and op10
 
 
@@ -104,7 +109,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("taken") <= 2 * F.col("size")).alias("within"))
 
 
-QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix, op11_turn_repair)}
+QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix, op11_turn_repair, op13_collocations)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
@@ -246,4 +251,13 @@ ends AS (SELECT d.conv_id, min({{'cost': best.cost + CASE s WHEN 'u' THEN 3 WHEN
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM p, LATERAL unnest(range(1, 6)) AS t(k), LATERAL unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+stay AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f AS g WHERE g.lang = f.lang AND g.k > f.k AND g.f >= f.f AND contains(' ' || g.phrase || ' ', ' ' || f.phrase || ' '))),
+cuts AS (SELECT s.lang, s.phrase, s.f AS a, c AS cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * s.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS ws FROM stay) AS s, LATERAL unnest(range(1, k)) AS t(c) JOIN f AS x ON x.lang = s.lang AND x.phrase = array_to_string(ws[1 : c], ' ') JOIN f AS y ON y.lang = s.lang AND y.phrase = array_to_string(ws[c + 1 :], ' ') JOIN n ON n.lang = s.lang),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM worst WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= {phrases.TOP}""",
 }
