@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, jaccard, mixing, phrases, pii, quality, shards, tokens, turns, urls, warc
+from quire.llm import chat, decontaminate, jaccard, language, mixing, phrases, pii, quality, shards, tokens, turns, urls, warc
 from quire.llm.common import read
 
 RULES = [
@@ -82,12 +82,17 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.groupBy("conv_id").agg(*numbers, *texts)
 
 
+def op12_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, totals = phrases.mine(read(spark, sf_dir, "documents"))
     return phrases.top(phrases.score(found, totals)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-# --- what SQL can check of op7, op8 and op10
+# --- what SQL can check of op7, op8, op10 and op12
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +114,15 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("taken") <= 2 * F.col("size")).alias("within"))
 
 
-QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix, op11_turn_repair, op13_collocations)}
+def language_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op12 holds out and what it can't tell, and whether its other answers are languages that it learned."""
+    documents = read(spark, sf_dir, "documents")
+    learned = documents.select(F.col("lang").alias("lang_pred")).distinct()
+    out = op12_language_codes(spark, sf_dir).join(learned.withColumn("known", F.lit(True)), "lang_pred", "left")
+    return out.select("doc_id", "held_out", (F.col("lang_pred") == language.UNDETERMINED).alias("undetermined"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+QUERIES = {f.__name__: f for f in (pii_base, shard_totals, mix_targets, language_split, op1_url_reputation, op2_decontaminate, op3_warc, op4_jaccard_join, op5_chat_rotation, op6_token_counts, op7_personal_data, op8_histogram_shards, op9_quality_rules, op10_cube_mix, op11_turn_repair, op12_language_codes, op13_collocations)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
@@ -139,8 +152,18 @@ _KINDS = " UNION ALL ".join((
     _spans_of("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
 ))
 
+_CRC_TABLE = "tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i)))"
+
+
+def _crc(key: str) -> str:
+    """CRC-32 of ASCII text, by ``t`` of the table."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
 
 SQL = {
+    "language_split": f"""
+WITH {_CRC_TABLE}
+SELECT doc_id, coalesce({_crc('doc_id::VARCHAR')} % 4 = 2, false) AS held_out, NOT coalesce(regexp_matches(text, '\\p{{L}}'), false) AS undetermined, coalesce(regexp_matches(text, '\\p{{L}}'), false) AS known FROM documents, tab""",
     "pii_base": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_KINDS}),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
@@ -228,9 +251,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / n_words <= 0.25 AND upper_ / word_chars <= 0.4 AND n_dup_lines / n_lines <= 0.6
   AND (lang IS NULL OR lang NOT IN ('en', 'fr', 'de', 'es') OR stop / n_words >= 0.02) AS kept FROM f""",
     "op11_turn_repair": rf"""
-WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
+WITH RECURSIVE {_CRC_TABLE},
 o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
-f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS f FROM o, tab),
+f AS (SELECT *, {_crc('key')} % 20 AS f FROM o, tab),
 m AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS n FROM f WHERE f <> 0),
 p AS (SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) AS k, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank
   FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(text), n)),
