@@ -67,41 +67,94 @@ def match_cost(chars: int, room: float) -> float:
     return (chars - room) / chars if chars > room else (room - chars) / room / 2
 
 
+UNIT = 10**9
+NEVER = 1 << 60
+CELLS = 1 << 22  # of the tables of pages that are filled together
+
+
 def align_lines(lines: list[str], boxes: list) -> tuple[float, dict[int, list[str]], int]:
-    """Cheapest monotone pairing of lines and boxes: (cost, texts per box, pairs made) (JN-11).
+    """Cheapest monotone pairing of lines and boxes: (cost, texts per box, pairs made) (JN-11)."""
+    return align_many([(lines, boxes)])[0]
+
+
+def align_many(pages: list[tuple[list[str], list]]) -> list[tuple[float, dict[int, list[str]], int]]:
+    """``align_lines`` of many pages, of like size and up to CELLS cells together.
 
-    Rows of the table are filled along anti-chains of boxes; a pairing wins ties over leaving out a line, that
-    over leaving out a box. Lines left out go to the box paired before them, else to the first.
+    Costs are whole multiples of 1 / UNIT, so that ways of equal cost are equal in whatever order it is summed. A pairing
+    wins ties over leaving out a line, that over leaving out a box. Lines left out go to the box paired
+    before them, else to the first.
     """
-    n, m = len(lines), len(boxes)
-    if not n or not m:
-        return 0.0, {}, 0
-    area = [max(1e-6, abs(b[2] - b[0]) * abs(b[3] - b[1])) for b in boxes]
-    scale = max(1, sum(map(len, lines))) / sum(area)
-    room = [a * scale for a in area]
-    cost = np.full((n + 1, m + 1), math.inf)
-    move = np.zeros((n + 1, m + 1), np.int8)
-    cost[0, 0] = 0.0
-    for j in range(m):
-        cost[0, j + 1], move[0, j + 1] = cost[0, j] + SKIP_BOX, 2
-    for i, line in enumerate(lines):
-        cost[i + 1, 0], move[i + 1, 0] = cost[i, 0] + SKIP_LINE, 1
-        for j in range(m):
-            options = (cost[i, j] + match_cost(len(line), room[j]), cost[i, j + 1] + SKIP_LINE, cost[i + 1, j] + SKIP_BOX)
-            best = min(range(3), key=options.__getitem__)
-            cost[i + 1, j + 1], move[i + 1, j + 1] = options[best], best
-    steps, i, j = [], n, m
-    while i or j:
-        k = int(move[i, j])
-        steps.append((k, i - 1, j - 1))
-        i, j = i - (k != 2), j - (k != 1)
-    texts, last, pairs = {}, 0, 0
-    for k, i, j in reversed(steps):
-        if k == 0:
-            last, pairs = j, pairs + 1
-        if k < 2:
-            texts.setdefault(last, []).append(lines[i])
-    return float(cost[n, m]), texts, pairs
+    out: list = [(0.0, {}, 0)] * len(pages)
+    todo = sorted((i for i, (lines, boxes) in enumerate(pages) if lines and boxes), key=lambda i: (len(pages[i][0]) + len(pages[i][1]), len(pages[i][0])))
+    while todo:
+        n = m = size = 0
+        while size < len(todo):
+            lines, boxes = pages[todo[size]]
+            n, m = max(n, len(lines)), max(m, len(boxes))
+            if size and (size + 1) * (n + m + 1) * (n + 1) > CELLS:
+                break
+            size += 1
+        for i, got in zip(todo[:size], _sweep([pages[i] for i in todo[:size]])):
+            out[i] = got
+        todo = todo[size:]
+    return out
+
+
+def _sweep(pages: list[tuple[list[str], list]]) -> list[tuple[float, dict[int, list[str]], int]]:
+    """Tables of all pages filled one anti-diagonal at a time, whose cells don't depend on each other (MATH-01, MATH-02)."""
+    size = len(pages)
+    ns, ms = np.array([len(p[0]) for p in pages]), np.array([len(p[1]) for p in pages])
+    n, m = int(ns.max()), int(ms.max())
+    chars, room = np.ones((size, n)), np.ones((size, m))
+    for k, (lines, boxes) in enumerate(pages):
+        area = [max(1e-6, abs(b[2] - b[0]) * abs(b[3] - b[1])) for b in boxes]
+        scale = max(1, sum(map(len, lines))) / math.fsum(area)  # the same in any order of boxes
+        chars[k, : len(lines)] = [max(1, len(x)) for x in lines]
+        room[k, : len(boxes)] = [max(1.0, a * scale) for a in area]
+    move = np.zeros((n + m + 1, size, n + 1), np.int8)
+    total = np.zeros(size, np.int64)
+    # cost[:, i] of a diagonal d is that of i lines and d - i boxes
+    before = last = np.full((size, n + 1), NEVER)
+    for d in range(n + m + 1):
+        cost = np.full((size, n + 1), NEVER)
+        lo, hi = max(0, d - m), min(n, d)
+        if d == 0:
+            cost[:, 0] = 0
+        else:
+            a = max(lo, 1)
+            cost[:, a : hi + 1] = last[:, a - 1 : hi] + round(UNIT * SKIP_LINE)
+            move[d, :, a : hi + 1] = 1
+            b = min(hi, d - 1)
+            other = last[:, lo : b + 1] + round(UNIT * SKIP_BOX)
+            less = other < cost[:, lo : b + 1]
+            cost[:, lo : b + 1][less] = other[less]
+            move[d, :, lo : b + 1][less] = 2
+            if a <= b:
+                c, r = chars[:, a - 1 : b], room[:, d - b - 1 : d - a][:, ::-1]
+                other = before[:, a - 1 : b] + np.rint(UNIT * np.where(c > r, (c - r) / c, (r - c) / r / 2)).astype(np.int64)
+                less = other <= cost[:, a : b + 1]
+                cost[:, a : b + 1][less] = other[less]
+                move[d, :, a : b + 1][less] = 0
+        mine = np.flatnonzero(ns + ms == d)
+        total[mine] = cost[mine, ns[mine]]
+        before, last = last, cost
+    # all pages walk back together
+    i, j, box = ns.copy(), ms.copy(), np.full((size, n), -1)
+    for _ in range(n + m):
+        k = move[i + j, np.arange(size), i]
+        on = i + j > 0
+        pair = np.flatnonzero(on & (k == 0))
+        box[pair, i[pair] - 1] = j[pair] - 1
+        i, j = i - (on & (k != 2)), j - (on & (k != 1))
+    pairs = (box >= 0).sum(axis=1)
+    box = np.maximum(np.maximum.accumulate(box, axis=1), 0)  # boxes of pairs only grow
+    out = []
+    for k, (lines, _) in enumerate(pages):
+        texts: dict[int, list[str]] = {}
+        for line, at in zip(lines, box[k].tolist()):
+            texts.setdefault(at, []).append(line)
+        out.append((float(total[k] / UNIT), texts, int(pairs[k])))
+    return out
 
 
 WHOLE_PAGE = (0.0, 0.0, 1.0, 1.0)
@@ -109,22 +162,37 @@ WHOLE_PAGE = (0.0, 0.0, 1.0, 1.0)
 
 def align_page(boxes: list, text: str | list[str]) -> list[tuple[tuple, str]]:
     """Lines of a text bound to the boxes of a page in the order, rows or columns first, that costs less (JN-10)."""
-    lines = [x for x in (s.strip() for s in (text.split("\n") if isinstance(text, str) else text)) if x]
-    if not boxes:
-        return [(WHOLE_PAGE, "\n".join(lines))] if lines else []
-    if not lines:
-        return [(b, "") for b in boxes]
-    orders = [row_major(boxes)]
-    if (other := column_major(boxes)) != orders[0]:
-        orders.append(other)
-    tried = [(align_lines(lines, [boxes[i] for i in o]), o) for o in orders]
-    (_, texts, pairs), order = min(tried, key=lambda t: t[0][0])
-    if (not pairs and len(lines) > 1) or (len(lines) == 1 and len(boxes) >= 5):
-        return [(WHOLE_PAGE, "\n".join(lines))]
-    out = [""] * len(boxes)
-    for k, parts in texts.items():
-        out[order[k]] = " ".join(parts).strip()
-    return list(zip(boxes, out))
+    return align_pages([(boxes, text)])[0]
+
+
+def align_pages(pages: list[tuple[list, str | list[str]]]) -> list[list[tuple[tuple, str]]]:
+    """``align_page`` of many pages: both orders of all of them are aligned together."""
+    lines = [[x for x in (s.strip() for s in (text.split("\n") if isinstance(text, str) else text)) if x] for _, text in pages]
+    tries, of = [], []
+    for k, (boxes, _) in enumerate(pages):
+        if boxes and lines[k]:
+            rows, columns = row_major(boxes), column_major(boxes)
+            for order in [rows] if rows == columns else [rows, columns]:
+                tries.append((lines[k], [boxes[i] for i in order]))
+                of.append((k, order))
+    best: dict[int, tuple] = {}
+    for (k, order), got in zip(of, align_many(tries)):
+        if k not in best or got[0] < best[k][0][0]:
+            best[k] = (got, order)
+    out = []
+    for k, (boxes, _) in enumerate(pages):
+        if k not in best:
+            out.append([(b, "") for b in boxes] if boxes else [(WHOLE_PAGE, "\n".join(lines[k]))] if lines[k] else [])
+            continue
+        (_, texts, pairs), order = best[k]
+        if (not pairs and len(lines[k]) > 1) or (len(lines[k]) == 1 and len(boxes) >= 5):
+            out.append([(WHOLE_PAGE, "\n".join(lines[k]))])
+            continue
+        found = [""] * len(boxes)
+        for at, parts in texts.items():
+            found[order[at]] = " ".join(parts).strip()
+        out.append(list(zip(boxes, found)))
+    return out
 
 
 def merge_pages(pages: list[list[str]]) -> list[list[str]]:

@@ -28,6 +28,11 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
     One exchange on the keys and a sort inside partitions; groups stream past, many to an Arrow batch, so small
     groups cost no set-up each. A group is a page, or a document's page edges: never more than one fits.
     """
+    return by_groups(df, keys, order, lambda groups: (row for key, rows in groups for row in kernel(key, rows)), schema, 1)
+
+
+def by_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[list[tuple[tuple, list[tuple]]]], Iterable[tuple]], schema: str, most: int = 4096) -> DataFrame:
+    """``by_group`` for kernels that take a list of (key, rows), groups of about ``most`` rows together."""
     fields = [f.split() for f in schema.split(", ")]
     n = len(keys)
 
@@ -40,11 +45,19 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         out: list[tuple] = []
+        groups: list[tuple[tuple, list[tuple]]] = []
+        waiting = 0
         for key, group in groupby(rows(), key=lambda r: r[:n]):
-            out.extend(kernel(key, list(group)))
+            groups.append((key, list(group)))
+            waiting += len(groups[-1][1])
+            if waiting >= most:
+                out.extend(kernel(groups))
+                groups, waiting = [], 0
             if len(out) >= 4096:
                 yield batch(out)
                 out = []
+        if groups:
+            out.extend(kernel(groups))
         if out:
             yield batch(out)
 
@@ -94,15 +107,15 @@ def greedy_match(truth: DataFrame, found: DataFrame, threshold: float = 0.3) ->
 def align(boxes: DataFrame, texts: DataFrame) -> DataFrame:
     """Text of a page (doc_id, page_index, llm_text) bound to its boxes (JN-10)."""
 
-    def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
-        text = "\n".join(r[8] for r in rows if r[2] == 1 and r[8])
-        out = k.align_page([_box(r, 4) for r in rows if r[2] == 0], text)
-        return [(*key, i, *box, t) for i, (box, t) in enumerate(out)]
+    def kernel(groups: list[tuple[tuple, list[tuple]]]) -> Iterator[tuple]:
+        pages = [([_box(r, 4) for r in rows if r[2] == 0], "\n".join(r[8] for r in rows if r[2] == 1 and r[8])) for _, rows in groups]
+        for (key, _), found in zip(groups, k.align_pages(pages)):
+            yield from ((*key, i, *box, t) for i, (box, t) in enumerate(found))
 
     none = F.lit(None).cast("double")
     left = boxes.select(*PAGE, F.lit(0).alias("side"), "block_index", *_BOX, F.lit(None).cast("string").alias("llm_text"))
     right = texts.select(*PAGE, F.lit(1).alias("side"), F.lit(0).cast("long").alias("block_index"), *[none.alias(c) for c in _BOX], "llm_text")
-    return by_group(left.union(right), list(PAGE), ["side", "block_index", "llm_text"], kernel, f"{_AT}, x0 double, y0 double, x1 double, y1 double, text string")
+    return by_groups(left.union(right), list(PAGE), ["side", "block_index", "llm_text"], kernel, f"{_AT}, x0 double, y0 double, x1 double, y1 double, text string")
 
 
 def cross_page_merge(blocks: DataFrame) -> DataFrame:

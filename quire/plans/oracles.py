@@ -19,12 +19,13 @@ m AS (SELECT DISTINCT doc_id, page_index, 0::BIGINT AS k, []::BIGINT[] AS used,
     FROM m JOIN t ON m.doc_id = t.doc_id AND m.page_index = t.page_index AND t.k = m.k + 1 LEFT JOIN f ON f.doc_id = t.doc_id AND f.page_index = t.page_index))"""
 
 # parts of a page, each split at its widest gap until none can be
-_COLUMNS = f"""WITH RECURSIVE {V.BLOCKS},
-p AS (SELECT doc_id, page_index, '' AS path, list({{'m': (x0 + x1) / 2, 'i': block_index, 'x': x0, 'y': y0}} ORDER BY (x0 + x1) / 2, block_index) AS ms FROM blocks GROUP BY doc_id, page_index
+_PARTS = f"""p AS (SELECT doc_id, page_index, '' AS path, list({{'m': (x0 + x1) / 2, 'i': block_index, 'x': x0, 'y': y0}} ORDER BY (x0 + x1) / 2, block_index) AS ms FROM blocks GROUP BY doc_id, page_index
   UNION ALL SELECT doc_id, page_index, path || c.s, c.ms FROM (SELECT *, unnest([{{'s': '0', 'ms': ms[1:cut]}}, {{'s': '1', 'ms': ms[cut + 1:]}}]) AS c
     FROM (SELECT *, list_position(gaps, list_max(gaps)) AS cut FROM (SELECT *, [ms[k + 1].m - ms[k].m for k in range(1, len(ms))] AS gaps FROM p)) WHERE len(ms) >= 4 AND gaps[cut] >= 0.2::DOUBLE AND cut >= 2 AND cut <= len(ms) - 2)),
-leaf AS (SELECT doc_id, page_index, path, unnest(ms) AS b FROM (SELECT *, list_position(gaps, list_max(gaps)) AS cut FROM (SELECT *, [ms[k + 1].m - ms[k].m for k in range(1, len(ms))] AS gaps FROM p)) WHERE NOT coalesce(len(ms) >= 4 AND gaps[cut] >= 0.2::DOUBLE AND cut >= 2 AND cut <= len(ms) - 2, false))
-SELECT doc_id, page_index, b.i AS block_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY path, b.y, b.x, CASE WHEN path = '' THEN 0 ELSE b.m END, b.i) - 1 AS column_rank FROM leaf"""
+leaf AS (SELECT doc_id, page_index, path, unnest(ms) AS b FROM (SELECT *, list_position(gaps, list_max(gaps)) AS cut FROM (SELECT *, [ms[k + 1].m - ms[k].m for k in range(1, len(ms))] AS gaps FROM p)) WHERE NOT coalesce(len(ms) >= 4 AND gaps[cut] >= 0.2::DOUBLE AND cut >= 2 AND cut <= len(ms) - 2, false)),
+ranks AS (SELECT doc_id, page_index, b.i AS block_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY path, b.y, b.x, CASE WHEN path = '' THEN 0 ELSE b.m END, b.i) - 1 AS column_rank FROM leaf)"""
+
+_COLUMNS = f"WITH RECURSIVE {V.BLOCKS}, {_PARTS} SELECT * FROM ranks"
 
 _MERGE = f"""WITH RECURSIVE {V.BLOCKS},
 e0 AS (SELECT doc_id, page_index, min(block_index) FILTER ({V.strip('text')} <> '') AS fi, max(block_index) AS li, arg_min(text, block_index) FILTER ({V.strip('text')} <> '') AS ft, arg_max(text, block_index) AS lt FROM blocks GROUP BY ALL),
@@ -35,6 +36,29 @@ r AS (SELECT DISTINCT doc_id, NULL::BIGINT AS page_index, 0::BIGINT AS k, NULL::
 SELECT b.doc_id, b.page_index, b.block_index, CASE WHEN b.block_index = r.li AND r.carry IS NOT NULL THEN '' WHEN b.block_index = r.fi AND r.head IS NOT NULL THEN r.head ELSE b.text END AS text
 FROM blocks b JOIN r ON r.doc_id = b.doc_id AND r.page_index = b.page_index"""
 
+# both orders of a page's boxes; the table of each, a cell at a time; the way back through the cheaper one
+_ALIGN = f"""WITH RECURSIVE {V.BOXES}, {_PARTS},
+bx AS MATERIALIZED (SELECT b.*, column_rank, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_index) - 1 AS i FROM b JOIN ranks USING (doc_id, page_index, block_index)),
+bl AS (SELECT doc_id, page_index, list({{'i': i, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY y0, x0, i) AS rows_, list({{'i': i, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY column_rank) AS columns_ FROM bx GROUP BY ALL),
+tx AS (SELECT doc_id, page_index, list({V.strip('text')} ORDER BY block_index) AS lines FROM a WHERE {V.strip('text')} <> '' GROUP BY ALL),
+pg AS MATERIALIZED (SELECT *, len(lines) AS n, len(rows_) AS m FROM bl JOIN tx USING (doc_id, page_index)),
+ins AS MATERIALIZED (SELECT *, [greatest(1, length(x)) FOR x IN lines] AS chars, [greatest(1.0::DOUBLE, greatest(1e-6::DOUBLE, abs(x.x1 - x.x0) * abs(x.y1 - x.y0)) * (greatest(1, list_sum([length(l) FOR l IN lines])) / list_aggregate([greatest(1e-6::DOUBLE, abs(y.x1 - y.x0) * abs(y.y1 - y.y0)) FOR y IN boxes], 'fsum'))) FOR x IN boxes] AS room
+  FROM (SELECT doc_id, page_index, n, m, lines, 0 AS o, rows_ AS boxes FROM pg UNION ALL SELECT doc_id, page_index, n, m, lines, 1, columns_ FROM pg WHERE rows_ <> columns_)),
+dp AS (SELECT doc_id, page_index, o, 1::BIGINT AS t, [0::BIGINT] AS c, [0] AS mv FROM ins UNION ALL
+  SELECT doc_id, page_index, o, t + 1, list_append(c, least(pair, line, box)), list_append(mv, CASE WHEN pair <= line AND pair <= box THEN 0 WHEN line <= box THEN 1 ELSE 2 END)
+  FROM (SELECT doc_id, page_index, o, t, c, mv, CASE WHEN i > 0 AND j > 0 THEN c[t - m - 1] + round(1e9::DOUBLE * CASE WHEN chars[i] > room[j] THEN (chars[i] - room[j]) / chars[i] ELSE (room[j] - chars[i]) / room[j] / 2 END)::BIGINT ELSE 1::BIGINT << 60 END AS pair,
+      CASE WHEN i > 0 THEN c[t - m] + 1000000000 ELSE 1::BIGINT << 60 END AS line, CASE WHEN j > 0 THEN c[t] + 400000000 ELSE 1::BIGINT << 60 END AS box
+    FROM (SELECT dp.*, n, m, chars, room, t // (m + 1) AS i, t % (m + 1) AS j FROM dp JOIN ins USING (doc_id, page_index, o) WHERE t < (n + 1) * (m + 1)))),
+best AS MATERIALIZED (SELECT doc_id, page_index, o, mv, boxes, lines, n, m FROM dp JOIN ins USING (doc_id, page_index, o) WHERE t = (n + 1) * (m + 1) QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY c[-1], o) = 1),
+bk AS (SELECT doc_id, page_index, n AS i, m AS j, NULL::BIGINT AS line, NULL::BIGINT AS box FROM best UNION ALL
+  SELECT doc_id, page_index, i - (k <> 2)::INT, j - (k <> 1)::INT, CASE WHEN k <> 2 THEN i END, CASE WHEN k = 0 THEN j END FROM (SELECT bk.doc_id, bk.page_index, i, j, mv[i * (m + 1) + j + 1] AS k FROM bk JOIN best ON bk.doc_id = best.doc_id AND bk.page_index = best.page_index WHERE i > 0 OR j > 0)),
+put AS (SELECT doc_id, page_index, line, coalesce(max(box) OVER (PARTITION BY doc_id, page_index ORDER BY line), 1) AS box FROM bk WHERE line IS NOT NULL),
+cn AS (SELECT doc_id, page_index, count(box) AS pairs FROM bk GROUP BY ALL),
+whole AS (SELECT doc_id, page_index, array_to_string(lines, chr(10)) AS text FROM best JOIN cn USING (doc_id, page_index) WHERE (pairs = 0 AND n > 1) OR (n = 1 AND m >= 5) UNION ALL SELECT doc_id, page_index, array_to_string(lines, chr(10)) FROM tx ANTI JOIN bl USING (doc_id, page_index)),
+got AS (SELECT put.doc_id, put.page_index, boxes[box].i AS i, string_agg(lines[line], ' ' ORDER BY line) AS text FROM put JOIN best ON put.doc_id = best.doc_id AND put.page_index = best.page_index GROUP BY ALL)
+SELECT doc_id, page_index, 0::BIGINT AS block_index, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 1.0::DOUBLE AS x1, 1.0::DOUBLE AS y1, text FROM whole UNION ALL
+SELECT bx.doc_id, bx.page_index, bx.i, x0, y0, x1, y1, coalesce(got.text, '') FROM (SELECT * FROM bx ANTI JOIN whole USING (doc_id, page_index)) AS bx LEFT JOIN got ON got.doc_id = bx.doc_id AND got.page_index = bx.page_index AND got.i = bx.i"""
+
 _CELL = f"sq <> '' AND (contains(sq, '|') OR (length(sq) <= 24 AND x1 - x0 < 0.35::DOUBLE AND {V.AREA} < 0.08::DOUBLE))"
 _TABLE = f"""WITH RECURSIVE {V.BLOCKS}, q AS (SELECT *, {V.squeeze('text')} AS sq FROM blocks),
 c AS MATERIALIZED (SELECT *, (y0 + y1) / 2 AS y, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_index) AS k, count(*) OVER (PARTITION BY doc_id, page_index) AS n FROM q WHERE {_CELL}),
@@ -93,6 +117,7 @@ def more(trust, translate) -> dict[str, str]:
     return {
         "greedy_iou_match": f"{_MATCH} SELECT doc_id, page_index, block_index, match_index, iou FROM m WHERE k > 0",
         "recall_report": f"{_MATCH} SELECT count(*) AS gt_blocks, count(match_index) AS matched, count(match_index) / greatest(1, count(*)) AS block_recall, coalesce(avg(iou) FILTER (match_index IS NOT NULL), 0.0)::DOUBLE AS average_iou FROM m WHERE k > 0",
+        "align_lines": _ALIGN,
         "column_major_order": _COLUMNS,
         "cross_page_merge": _MERGE,
         "table_grid": _TABLE,

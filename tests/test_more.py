@@ -1,5 +1,6 @@
 """Operators without SQL of their own, and joins of heavy keys, against plain Python."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -110,5 +111,48 @@ def test_alignment_costs_least_of_all_monotone_pairings():
         area = [max(1e-6, b[2] * b[3]) for b in boxes]
         room = [a * sum(map(len, lines)) / sum(area) for a in area]
         cost, texts, _ = kernels.align_lines(lines, boxes)
-        assert abs(cost - cheapest(lines, room, 0, 0)) < 1e-9
+        assert abs(cost - cheapest(lines, room, 0, 0)) < 1e-7
         assert sorted(t for ts in texts.values() for t in ts) == sorted(lines)
+
+
+def test_alignment_of_many_pages_is_that_of_each(monkeypatch):
+    """Pages of unlike sizes fill their tables together, in one batch or several."""
+    rng = random.Random(4)
+    pages = []
+    for _ in range(80):
+        lines = ["x" * rng.randrange(0, 40) for _ in range(rng.randrange(0, 30))]
+        pages.append((lines, [(0.0, 0.0, rng.random(), rng.random()) for _ in range(rng.choice([0, 1, 2, 5, 25]))]))
+
+    def plain(lines, boxes):
+        """The table cell by cell."""
+        if not lines or not boxes:
+            return 0.0, {}, 0
+        whole = lambda x: round(kernels.UNIT * x)
+        area = [max(1e-6, b[2] * b[3]) for b in boxes]
+        room = [a * (max(1, sum(map(len, lines))) / math.fsum(area)) for a in area]
+        table = {(0, 0): (0, ())}
+        for i in range(len(lines) + 1):
+            for j in range(len(boxes) + 1):
+                tries = []
+                if i and j:
+                    c, way = table[i - 1, j - 1]
+                    tries.append((c + whole(kernels.match_cost(len(lines[i - 1]), room[j - 1])), (*way, (i - 1, j - 1))))
+                if i:
+                    c, way = table[i - 1, j]
+                    tries.append((c + whole(kernels.SKIP_LINE), (*way, (i - 1, None))))
+                if j:
+                    c, way = table[i, j - 1]
+                    tries.append((c + whole(kernels.SKIP_BOX), way))
+                if tries:
+                    table[i, j] = min(tries, key=lambda t: t[0])
+        cost, way = table[len(lines), len(boxes)]
+        texts, last = {}, 0
+        for i, j in way:
+            last = last if j is None else j
+            texts.setdefault(last, []).append(lines[i])
+        return cost / kernels.UNIT, texts, sum(j is not None for _, j in way)
+
+    want = [plain(*p) for p in pages]
+    for cells in (1, 4000, 1 << 22):
+        monkeypatch.setattr(kernels, "CELLS", cells)
+        assert kernels.align_many(pages) == want
