@@ -708,6 +708,18 @@ def streamed_history(spark, sf):
     return out.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("job_id", "r.status", "r.position", "r.failed_page")
 
 
+@query("""SELECT o_orderkey AS id, epoch_ms(o_orderdate + INTERVAL 30 DAY) AS ended FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= (SELECT max(o_orderdate) FROM orders)""")
+def streamed_expiry(spark, sf):
+    """STM-07: orders as artifacts that live for 30 days, by timers; those whose end the stream's clock has passed."""
+    from quire.streaming import jobs as st
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).cast("timestamp").alias("expires_at"))
+    path = shared_dir(spark, "artifacts")
+    o.write.parquet(path)
+    stream = spark.readStream.schema(o.schema).parquet(path)  # in one micro-batch: files needn't follow the clock
+    return st.replay(stream, st.expiry, "expiry", "append").drop("batch")
+
+
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS client, event_id AS seq, epoch_us(ts) AS at_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT DISTINCT client, NULL::BIGINT AS seq, 0::BIGINT AS k, []::BIGINT[] AS times, NULL::BOOLEAN AS admitted FROM e
   UNION ALL SELECT client, seq, k, CASE WHEN len(times) < 3 THEN list_append(times, at_) ELSE times END, len(times) < 3 FROM (SELECT e.client, e.seq, e.k, e.at_, [x for x in r.times if x > e.at_ - 86400000000] AS times FROM r JOIN e ON e.client = r.client AND e.k = r.k + 1))

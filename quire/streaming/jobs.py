@@ -9,11 +9,13 @@ from __future__ import annotations
 import logging
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -27,7 +29,9 @@ def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 JOB = "job_id long, status string, position long, duration_s double, failed_page long"
-JOB_STATE = "status string, position long, last_seq long, duration_s double, duration_seq long, failed_page long, failed_seq long"
+#: The state store that ``transformWithState`` needs; ``replay`` sets it while its query runs.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -43,27 +47,81 @@ def _status(kind: str, status: str | None) -> str:
     return "error" if kind == "ocr.job.cancelled" or status in ("error", "cancelled") else "complete"
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = list(state.get) if state.exists else [None, None, None, None, None, None, None]
-    for t in batches:
-        for r in t.sort_values("seq").itertuples(index=False):
-            seq = int(r.seq)
-            s[1] = seq if s[1] is None else min(s[1], seq)
-            if s[2] is None or seq > s[2]:
-                s[0], s[2] = _status(r.kind, r.status), seq
-            if r.kind == "ocr.job.completed":
-                if pd.notna(r.duration_s) and (s[4] is None or seq > s[4]):
-                    s[3], s[4] = round(float(r.duration_s), 2), seq
-                if pd.notna(r.failed_page) and (s[6] is None or seq > s[6]):
-                    s[5], s[6] = int(r.failed_page), seq
-    state.update(tuple(s))
-    yield pd.DataFrame([(key[0], s[0], s[1], s[3], s[5])], columns=["job_id", "status", "position", "duration_s", "failed_page"])
-
-
-def job_history(log: DataFrame) -> DataFrame:
-    """The batch fold, event by event, in update mode (STM-02). Rows carry seq, so a late one changes nothing newer."""
+class _History(StatefulProcessor):
+    """A job's status in one value, its latest facts in a map; both go ``idle`` milliseconds after their last change, if given."""
+
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", "status string, position long, last_seq long", self.idle)
+        self.facts = handle.getMapState("facts", "name string", "seq long, value double", self.idle)
+
+    def _keep(self, name: str, rows: pd.DataFrame) -> None:
+        """The newest of these facts, unless the state has a newer one."""
+        if len(rows):
+            seq, value = rows.loc[rows["seq"].idxmax()]
+            if not self.facts.containsKey((name,)) or self.facts.getValue((name,))[0] < seq:
+                self.facts.updateValue((name,), (int(seq), float(value)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, position, last = self.job.get() if self.job.exists() else (None, None, None)
+        for t in rows:
+            newest = t.loc[t["seq"].idxmax()]
+            position = int(t["seq"].min()) if position is None else min(position, int(t["seq"].min()))
+            if last is None or newest["seq"] > last:
+                status, last = _status(newest["kind"], newest["status"]), int(newest["seq"])
+            ended = t[t["kind"] == "ocr.job.completed"]
+            for name in ("duration_s", "failed_page"):
+                self._keep(name, ended.loc[ended[name].notna(), ["seq", name]])
+        self.job.update((status, position, last))
+        fact = lambda name: self.facts.getValue((name,))[1] if self.facts.containsKey((name,)) else None
+        took, page = fact("duration_s"), fact("failed_page")
+        out = (key[0], status, position, None if took is None else round(took, 2), None if page is None else int(page))
+        yield pd.DataFrame([out], columns=["job_id", "status", "position", "duration_s", "failed_page"]).astype({"failed_page": "Int64"})
+
+
+def job_history(log: DataFrame, idle: int | None = None) -> DataFrame:
+    """The batch fold, event by event, in update mode (STM-02). Rows carry seq, so a late one changes nothing newer.
+
+    Each frame is folded as it comes, so a job's rows never meet. ``idle``: milliseconds after which a job without news is forgotten.
+    """
     jobs = log.where("kind like 'ocr.job.%'").select("job_id", "seq", "kind", "status", "duration_s", "failed_page")
-    return jobs.groupBy("job_id").applyInPandasWithState(_fold, JOB, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
+    return jobs.groupBy("job_id").transformWithStateInPandas(_History(idle), JOB, "Update", "ProcessingTime" if idle else "None")
+
+
+class _Expiry(StatefulProcessor):
+    """When each artifact ends, with a timer for it; a later row of it moves both."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ends = handle.getValueState("ends", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = max(int(t["ends"].max()) for t in rows)
+        if self.ends.exists():
+            before = self.ends.get()[0]
+            if before >= at:
+                return
+            self.handle.deleteTimer(before)
+        self.ends.update((at,))
+        self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ends.clear()
+        yield pd.DataFrame([(key[0], expiredTimerInfo.getExpiryTimeInMs())], columns=["id", "ended"])
+
+
+def expiry(artifacts: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(id, ended) of artifacts (id, created_at, expires_at) once the stream's clock has passed their end (STM-07).
+
+    The clock is the watermark of created_at. An artifact that has ended leaves the state; a null end never comes, and
+    of several rows of one the latest end counts.
+    """
+    rows = artifacts.where("expires_at IS NOT NULL").withWatermark("created_at", late)
+    rows = rows.select("id", "created_at", F.unix_millis("expires_at").alias("ends"))
+    return rows.groupBy("id").transformWithStateInPandas(_Expiry(), "id long, ended long", "Append", "EventTime")
 
 
 def rate_limiter(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -176,10 +234,21 @@ def progress(listen: Callable[[str, dict], None]) -> StreamingQueryListener:
     return Progress()
 
 
-def replay(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB, on disk."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+def replay(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
     """A stream's folded rows once all that is there has been read, as a table in the shared folder (availableNow).
 
-    In update mode a key has a row for each micro-batch that changed it; ``batch`` tells the last.
+    From a ``checkpoint`` it goes on where the last query stopped. In update mode a key has a row for each micro-batch that changed it; ``batch`` tells the last.
     """
     spark = stream.sparkSession
     out = shared_dir(spark, name)
@@ -188,8 +257,9 @@ def replay(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], name: str,
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b{batch}")
 
     folded = fold(stream)
-    q = folded.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_dir(spark, f"{name}_log")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with rocks(spark):
+        q = folded.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}_log")).trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(StructType([*folded.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/*")
 
 
