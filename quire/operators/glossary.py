@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import squeeze
+from quire.operators import metric
 from quire.session import materialise, rank
 
 
@@ -208,36 +209,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-12)
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | None = None, vector: str = "vector", max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine top k of each query over terms that pass its filters (JN-13, JN-14).
+    """Exact cosine top k of each query over terms that pass its filters (JN-13, JN-14), by an index over chords.
 
-    ``queries``: query_id, qvec, and lang to filter by where not null. Up to ``max_queries`` are broadcast and terms
-    are scored where they lie. More are dealt by hash into blocks of about that size, terms into slices, and each block
-    meets each slice in a join, so none is left out. Each task keeps partial top lists: k rows per query are shuffled.
+    ``queries``: query_id, qvec, and lang to filter by where not null; they go out in blocks of about ``max_queries``.
     """
-    q = queries.select("query_id", "qvec", F.col("lang").alias("_qlang"), _norm(F.col("qvec")).alias("_qnorm"))
-    terms = terms.withColumn("_norm", _norm(F.col(vector)))  # once a vector, not once a pair
-    fits = F.col("_qlang").isNull() | (F.col("_qlang") == F.col("lang"))
-    n = queries.limit(max_queries + 1).count()
-    if n <= max_queries:
-        met = terms.join(F.broadcast(q), fits)
-    else:
-        blocks, slices = (-(-df.count() // max_queries) for df in (queries, terms))
-        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-        q = q.withColumn("_block", dealt("query_id", blocks)).withColumn("_slice", every(slices))
-        t = terms.withColumn("_slice", dealt("term_id", max(slices, 1))).withColumn("_block", every(blocks))
-        met = t.join(q, (t["_block"] == q["_block"]) & (t["_slice"] == q["_slice"]) & fits)
-    dot = F.aggregate(F.zip_with("qvec", vector, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = met.select("query_id", "term_id", (dot / (F.col("_qnorm") * F.col("_norm") + 1e-12)).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return metric.search(metric.build(terms, vector), queries, k, max_queries, least)
 
 
 def suffix_ids(rows: DataFrame, id_: str = "id", pos: str = "pos") -> DataFrame:
