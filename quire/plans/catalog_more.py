@@ -162,14 +162,32 @@ def lexicon_tei(spark, sf):
 # --- answers, transcripts, uploads
 
 
-@query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_index) - 1 AS item, CASE WHEN block_index = 2 THEN NULL ELSE x0 END AS x0, CASE WHEN block_index = 2 THEN NULL ELSE x1 END AS x1, CASE WHEN {V.strip('text')} <> '' THEN text END AS text, CASE WHEN block_index = 2 THEN 'missing_or_bad_bbox' WHEN {V.strip('text')} = '' THEN 'empty_content' END AS reason FROM blocks")
-def grounded_answers(spark, sf):
-    """SRC-08, PRJ-03, PRJ-04: blocks found in chatty answers; one in a page has a broken box."""
+_GROUNDED = f"""WITH {V.BLOCKS} SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_index) - 1 AS item, CASE WHEN block_index = 2 THEN NULL ELSE x0 END AS x0, CASE WHEN block_index = 2 THEN NULL ELSE x1 END AS x1,
+  CASE WHEN {V.strip('text')} <> '' THEN text END AS text, CASE WHEN block_index = 2 THEN 'missing_or_bad_bbox' WHEN {V.strip('text')} = '' THEN 'empty_content' END AS reason FROM blocks"""
+
+
+def _answers(spark, sf) -> DataFrame:
+    """Pages as chatty answers; one block in a page has a broken box."""
     box = F.array(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     item = F.struct("block_index", F.when(F.col("block_index") == 2, F.slice(box, 1, 3)).otherwise(box).alias("bbox"), "text")
     answer = F.concat(F.lit("Here you are [8]:\n```json\n"), F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda r: F.struct(r["bbox"].alias("bbox"), r["text"].alias("text")))), F.lit("\n```"))
-    a = V.blocks(spark, sf).groupBy("doc_id", "page_index").agg(answer.alias("answer")).withColumn("width", F.lit(1000.0)).withColumn("height", F.lit(1000.0))
-    return D.grounded_blocks(a).select("doc_id", "page_index", "item", "x0", "x1", "text", "reason")
+    return V.blocks(spark, sf).groupBy("doc_id", "page_index").agg(answer.alias("answer")).withColumn("width", F.lit(1000.0)).withColumn("height", F.lit(1000.0))
+
+
+@query(_GROUNDED)
+def grounded_answers(spark, sf):
+    """SRC-08, PRJ-03, PRJ-04: blocks found in chatty answers."""
+    return D.grounded_blocks(_answers(spark, sf)).select("doc_id", "page_index", "item", "x0", "x1", "text", "reason")
+
+
+@query(f"SELECT *, NULL::VARCHAR AS error FROM ({_GROUNDED})")
+def grounded_scan(spark, sf):
+    """UDF-04: the answers written to files and read by the data source."""
+    from quire.sources import grounded
+
+    path = shared_dir(spark, "answers")
+    grounded.write_answers(_answers(spark, sf), path)
+    return grounded.read_grounded(spark, path).select("doc_id", "page_index", "item", "x0", "x1", "text", "reason", "error")
 
 
 @query(f"WITH {V.BLOCKS} SELECT doc_id, page_index, x0 * 800 / 800 AS x0, y1 * 600 / 600 AS y1, text, 'text' AS label FROM blocks WHERE {V.strip('text')} <> '' AND block_index <> 5")

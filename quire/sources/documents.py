@@ -58,45 +58,54 @@ def layout_blocks(payload: Column, page: int = 0) -> Column:
     return F.flatten(F.transform(rows, lambda p, i: F.transform(F.filter(p, keep), lambda x: block(i, x))))
 
 
+BOX_KEYS, TEXT_KEYS = ("bbox", "bbox_2d", "box", "bounding_box", "coordinates"), ("text", "content", "text_content", "value")
+
+
+def grounded_items(answer: str) -> list[dict]:
+    """Items (bbox, text, label, reason) of the JSON in a model's answer (SRC-08)."""
+    from quire.operators.kernels import find_json
+
+    v = find_json(answer)
+    if isinstance(v, dict):
+        v = next((v[k] for k in ("results", "blocks", "layout", "layout_details", "items") if isinstance(v.get(k), list)), [v])
+    out = []
+    for x in v or []:
+        if not isinstance(x, dict):
+            out.append({"reason": "not_dict"})
+            continue
+        b = next((x[k] for k in BOX_KEYS if isinstance(x.get(k), list) and len(x[k]) == 4), None)
+        t = next((x[k] for k in TEXT_KEYS if isinstance(x.get(k), str) and x[k].strip()), None)
+        try:
+            b = [float(c) for c in b] if b else None
+        except (TypeError, ValueError):
+            b = None
+        out.append({"bbox": b, "text": t, "label": x.get("label"), "reason": "missing_or_bad_bbox" if b is None else "empty_content" if t is None else None})
+    return out
+
+
+def placed_boxes(items: DataFrame, *more: str) -> DataFrame:
+    """Items with their boxes in fractions of the page, and the reason where they are dropped."""
+    at = lambda i: F.get("bbox", F.lit(i))
+    got = items.withColumn("box", from_pixels(Box(at(0), at(1), at(2), at(3)), F.col("width"), F.col("height")))
+    bad = F.when(F.col("box").isNull() & F.col("item").isNotNull(), "invalid_bbox_coords")
+    return got.select("doc_id", "page_index", "item", "box.*", "text", "label", F.coalesce("reason", bad).alias("reason"), *more)
+
+
 def grounded_blocks(answers: DataFrame) -> DataFrame:
     """Blocks of a model's JSON answers, and the reason where an item is dropped (SRC-08, PRJ-04).
 
     ``answers``: doc_id, page_index, answer, width, height. Only finding the JSON in prose is Python; the boxes are
     normalised by expressions.
     """
-    from quire.operators.kernels import find_json
-
-    boxes, texts = ("bbox", "bbox_2d", "box", "bounding_box", "coordinates"), ("text", "content", "text_content", "value")
-
-    def rows(answer: str | None) -> list[dict]:
-        v = find_json(answer or "")
-        if isinstance(v, dict):
-            v = next((v[k] for k in ("results", "blocks", "layout", "layout_details", "items") if isinstance(v.get(k), list)), [v])
-        out = []
-        for x in v or []:
-            if not isinstance(x, dict):
-                out.append({"reason": "not_dict"})
-                continue
-            b = next((x[k] for k in boxes if isinstance(x.get(k), list) and len(x[k]) == 4), None)
-            t = next((x[k] for k in texts if isinstance(x.get(k), str) and x[k].strip()), None)
-            try:
-                b = [float(c) for c in b] if b else None
-            except (TypeError, ValueError):
-                b = None
-            out.append({"bbox": b, "text": t, "label": x.get("label"), "reason": "missing_or_bad_bbox" if b is None else "empty_content" if t is None else None})
-        return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in parts:
-            found = [(r.doc_id, r.page_index, i, r.width, r.height, x.get("bbox"), x.get("text"), x.get("label"), x.get("reason")) for r in t.itertuples() for i, x in enumerate(rows(r.answer))]
+            found = [(r.doc_id, r.page_index, i, r.width, r.height, x.get("bbox"), x.get("text"), x.get("label"), x.get("reason")) for r in t.itertuples() for i, x in enumerate(grounded_items(r.answer or ""))]
             yield pd.DataFrame(found, columns=["doc_id", "page_index", "item", "width", "height", "bbox", "text", "label", "reason"])
 
     kind = "doc_id long, page_index long, item long, width double, height double, bbox array<double>, text string, label string, reason string"
-    got = answers.select("doc_id", "page_index", "answer", F.col("width").cast("double"), F.col("height").cast("double")).mapInPandas(run, kind)
-    at = lambda i: F.get("bbox", F.lit(i))
-    box = from_pixels(Box(at(0), at(1), at(2), at(3)), F.col("width"), F.col("height"))
-    got = got.withColumn("box", box)
-    return got.select("doc_id", "page_index", "item", "box.*", "text", "label", F.coalesce("reason", F.when(F.col("box").isNull(), "invalid_bbox_coords")).alias("reason"))
+    slim = answers.select("doc_id", "page_index", "answer", F.col("width").cast("double"), F.col("height").cast("double"))
+    return placed_boxes(slim.mapInPandas(run, kind))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
