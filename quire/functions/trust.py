@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,53 +71,46 @@ def calibrate(raw: Column, a: Column | float | None, b: Column | float | None) -
     return F.coalesce(s, r)
 
 
-def fit_platt(rows: DataFrame, raw: str, target: str, rate: float = 0.1, rounds: int = 200, tol: float = 1e-7, most: int = 100_000) -> tuple[float, float]:
+def fit_platt(rows: DataFrame, raw: str, target: str, rate: float = 0.1, rounds: int = 200, tol: float = 1e-7) -> tuple[float, float]:
     """Slope and offset of a sigmoid by gradient descent with backtracking from (1, 0) (MATH-04).
 
-    Rows of the same raw and target are counted together first. Up to ``most`` such pairs the steps are taken on the
-    driver; beyond, each is one aggregate over the counts: loss and gradient at four halvings of the step at once. (1, 0)
-    where there are no rows.
+    Rows of the same raw and target are counted together once; each step is one aggregate over the counts: loss
+    and gradient at four halvings of the step at once. The driver gets those sums, at every size. (1, 0) where there are no rows.
     """
     x, y = F.col(raw).cast("double"), F.col(target).cast("double")
     pairs = rows.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
-    pairs = materialise(pairs, "pairs")
-    known = pairs.limit(most + 1).toArrow() if most else None
-    here = known is not None and known.num_rows <= most
-    if here:
-        px, py, pn = (known.column(i).to_numpy() for i in range(3))
+    pairs = materialise(pairs, "pairs").persist()  # small beside the rows, read once a step, and on disk if lost
 
     def sums(points: list[tuple[float, float]]) -> list[tuple[float, float, float]]:
         """(loss, gradient of a, gradient of b) at each point."""
-        if here:
-            out = []
-            for a, b in points:
-                p = np.clip(1 / (1 + np.exp(-(a * px + b))), 1e-12, 1 - 1e-12)
-                each = (-(py * np.log(p) + (1 - py) * np.log(1 - p)), (p - py) * px, p - py)
-                out.append(tuple(float((pn * v).sum() / pn.sum()) if len(pn) else None for v in each))
-            return out
-        cols, n = [], F.sum("n")
-        for a, b in points:
-            p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), 1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))))
-            cols += [F.sum(F.col("n") * v) / n for v in (-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)), (p - F.col("y")) * F.col("x"), p - F.col("y"))]
-        got = pairs.agg(*cols).first()
-        return [tuple(got[3 * i : 3 * i + 3]) for i in range(len(points))]
-
-    a, b = 1.0, 0.0
-    now = sums([(a, b)])[0]
-    if now[0] is None:
-        return a, b
-    for _ in range(rounds):
-        steps = [rate / 2**k for k in range(4)]
-        while True:
-            tried = sums([(a - s * now[1], b - s * now[2]) for s in steps])
-            good = next((i for i, t in enumerate(tried) if t[0] <= now[0]), None)
-            if good is not None or steps[-1] <= 1e-10:
+        # points come as one literal array, not in the expressions, so every step runs the same generated code
+        at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(points)]))
+        each = pairs.select("x", "y", "n", at.alias("p"))
+        p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), 1 / (1 + F.exp(-(F.col("p.a") * F.col("x") + F.col("p.b"))))))
+        values = (-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)), (p - F.col("y")) * F.col("x"), p - F.col("y"))
+        got = each.groupBy("p.i").agg(*[F.sum(F.col("n") * v) / F.sum("n") for v in values]).collect()
+        return [tuple(r)[1:] for r in sorted(got, key=lambda r: r[0])]
+
+    try:
+        a, b = 1.0, 0.0
+        first = sums([(a, b)])
+        if not first:
+            return a, b
+        now = first[0]
+        for _ in range(rounds):
+            steps = [rate / 2**k for k in range(4)]
+            while True:
+                tried = sums([(a - s * now[1], b - s * now[2]) for s in steps])
+                good = next((i for i, t in enumerate(tried) if t[0] <= now[0]), None)
+                if good is not None or steps[-1] <= 1e-10:
+                    break
+                steps = [s / 16 for s in steps]
+            if good is None or now[0] - tried[good][0] < tol:
                 break
-            steps = [s / 16 for s in steps]
-        if good is None or now[0] - tried[good][0] < tol:
-            break
-        a, b, now = a - steps[good] * now[1], b - steps[good] * now[2], tried[good]
-    return a, b
+            a, b, now = a - steps[good] * now[1], b - steps[good] * now[2], tried[good]
+        return a, b
+    finally:
+        pairs.unpersist()
 
 
 def trust_score(conf: Column, level: Column, watermark: Column, mismatch: Column) -> Column:

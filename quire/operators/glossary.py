@@ -5,6 +5,9 @@ entries: glossary_id, pos, source, target, case_sensitive; glossaries: id, name,
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.text import squeeze
 from quire.operators import metric
-from quire.session import materialise, rank
+from quire.session import materialise, rank, rank_within
 
 
 def clean_entries(entries: DataFrame) -> DataFrame:
@@ -101,50 +104,120 @@ class LexiconStore(Protocol):
     def health(self) -> DataFrame: ...
 
 
+class Conflict(Exception):
+    """Another writer was first."""
+
+
 class ParquetLexicon:
-    """A lexicon in two Parquet tables, each change a new version of the small one; entries are appended by glossary."""
+    """A lexicon in Parquet: entries in folders that are written once, and versions of the small table of glossaries.
 
-    def __init__(self, spark: SparkSession, path: str, embed: Column | None = None) -> None:
-        self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
-        self.version = 0
+    A version is a folder and a file of its number that names it; who creates that file first has made the version,
+    atomically, and any other writer then tries again on top of it. Stores on one path see each other's changes, and a reader
+    keeps to one version. Entries belong to the save that wrote them, so those of a deleted glossary never come back
+    under its id; what a lost writer left behind is never named.
+    """
 
-    META = "id string, name string, enabled boolean, priority int, grp string"
+    META = "id string, name string, enabled boolean, priority int, grp string, save string"
+    TRIES = 10
 
-    def list_glossaries(self) -> DataFrame:
-        meta = self._meta()
-        return glossary_list(self._entries(), meta) if self.version else meta
+    def __init__(self, spark: SparkSession, path: str, embed: Column | None = None) -> None:
+        self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
 
-    def _meta(self) -> DataFrame:
-        return self.spark.read.schema(self.META).parquet(f"{self.path}/meta/{self.version}") if self.version else self.spark.createDataFrame([], self.META)
+    # the log of versions: a file each
+
+    def _hadoop(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    @property
+    def version(self) -> int:
+        """The number of the last version, 0 before the first."""
+        files, p = self._hadoop(f"{self.path}/log")
+        return max((int(f.getPath().getName()) for f in files.listStatus(p)), default=0) if files.exists(p) else 0
+
+    def _meta(self, version: int | None = None) -> DataFrame:
+        version = self.version if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], self.META)
+        for _ in range(self.TRIES):
+            files, p = self._hadoop(f"{self.path}/log/{version}")
+            stream = files.open(p)
+            try:
+                name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if name.endswith("\n"):  # whole: its writer may only just have made it
+                return self.spark.read.schema(self.META).parquet(f"{self.path}/meta/{name.strip()}")
+            time.sleep(0.5)
+        raise OSError(f"version {version} of {self.path} is broken")
+
+    def _change(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """The next version: ``change`` of the last one, made again if another writer was first."""
+        for _ in range(self.TRIES):
+            version = self.version
+            name = uuid.uuid4().hex
+            change(self._meta(version)).coalesce(1).write.parquet(f"{self.path}/meta/{name}")
+            files, p = self._hadoop(f"{self.path}/log/{version + 1}")
+            try:
+                stream = files.create(p, False)
+            except Exception as e:
+                if "AlreadyExists" not in str(e):
+                    raise
+                continue
+            stream.write(bytearray(f"{name}\n".encode()))
+            stream.close()
+            return
+        raise Conflict(f"{self.path} was changed by others {self.TRIES} times in a row")
 
     def _entries(self) -> DataFrame:
-        e = self.spark.read.parquet(f"{self.path}/entries")
-        return e.join(self._meta().select(F.col("id").alias("glossary_id")), "glossary_id", "left_semi")
+        meta = self._meta().select(F.col("id").alias("glossary_id"), "save")
+        files, p = self._hadoop(f"{self.path}/entries")
+        if not files.exists(p):
+            return self.spark.createDataFrame([], "glossary_id string, pos long, source string, target string, case_sensitive boolean")
+        return self.spark.read.parquet(f"{self.path}/entries").join(meta, ["glossary_id", "save"], "left_semi").drop("save")
 
-    def _put(self, meta: DataFrame) -> None:
-        meta.write.parquet(f"{self.path}/meta/{self.version + 1}")
-        self.version += 1
+    def list_glossaries(self) -> DataFrame:
+        return glossary_list(self._entries(), self._meta().drop("save"))
 
     def get_glossary(self, glossary_id: str) -> DataFrame:
-        return self._meta().where(F.col("id") == glossary_id)
+        return self._meta().where(F.col("id") == glossary_id).drop("save")
 
     def save_glossary(self, entries: DataFrame, glossary_id: str, name: str, group: str = "default", priority: int = 0) -> None:
-        if self.get_glossary(glossary_id).count():
-            raise ValueError(f"glossary {glossary_id!r} exists")
-        save(entries.withColumn("glossary_id", F.lit(glossary_id)), f"{self.path}/entries", name, self.embed)
-        self._put(self._meta().union(self.spark.createDataFrame([(glossary_id, name.strip(), True, priority, group)], self.META)))
+        name = name.strip()
+        self.save_glossaries(entries.withColumn("glossary_id", F.lit(glossary_id)), self.spark.createDataFrame([(glossary_id, name, priority, group)], "id string, name string, priority int, grp string"))
+
+    def save_glossaries(self, entries: DataFrame, glossaries: DataFrame) -> None:
+        """Any number of new glossaries (id, name, priority, grp) with their entries (glossary_id and so on), in one write."""
+        if glossaries.where(~F.length(F.trim("name")).between(1, 200) | F.col("name").isNull()).count():
+            raise ValueError("a glossary's name has 1 to 200 characters")
+        save_ = uuid.uuid4().hex
+        named = entries.join(glossaries.select(F.col("id").alias("glossary_id"), F.trim("name").alias("glossary_name")), "glossary_id")
+        out = clean_entries(named)
+        out = out if self.embed is None else out.withColumn("vector", self.embed)
+        out.write.parquet(f"{self.path}/entries/save={save_}")
+        new = glossaries.select("id", F.trim("name").alias("name"), F.lit(True).alias("enabled"), F.col("priority").cast("int"), "grp", F.lit(save_).alias("save"))
+
+        def add(meta: DataFrame) -> DataFrame:
+            both = meta.unionByName(new)
+            twice = both.groupBy("id").count().where("count > 1").first()
+            if twice:
+                raise ValueError(f"glossary {twice[0]!r} exists")
+            return both
+
+        self._change(add)
 
     def toggle_glossary(self, glossary_id: str, enabled: bool) -> None:
-        self._put(toggle(self._meta(), glossary_id, enabled))
+        self._change(lambda meta: toggle(meta, glossary_id, enabled))
 
     def reorder_glossaries(self, ids: list[str]) -> None:
-        self._put(reorder(self._meta(), ids, strict=False).select(*self._meta().columns))
+        self._change(lambda meta: reorder(meta, ids, strict=False).select(*meta.columns))
 
     def delete_glossary(self, glossary_id: str) -> bool:
         """Whether there was one; its entries stay on disk and are no longer seen."""
         found = bool(self.get_glossary(glossary_id).count())
         if found:
-            self._put(self._meta().where(F.col("id") != glossary_id))
+            self._change(lambda meta: meta.where(F.col("id") != glossary_id))
         return found
 
     def exact_lookup(self, queries: DataFrame) -> DataFrame:
@@ -218,6 +291,7 @@ def nearest(terms: DataFrame, queries: DataFrame, k: int = 3, least: float | Non
 
 
 def suffix_ids(rows: DataFrame, id_: str = "id", pos: str = "pos") -> DataFrame:
-    """Repeated ids get _1, _2, in order of arrival (SET-10). Ids that occur once, as nearly all do, take no part in the sort."""
-    k = F.row_number().over(Window.partitionBy(id_).orderBy(pos)) - 1
-    return rows.withColumn("unique_id", F.concat(F.col(id_), F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise("")))
+    """Repeated ids get _1, _2, in order of arrival (SET-10). An id may hold any share of the rows: it is ranked range by range."""
+    k = F.col("_k")
+    ranked = rank_within(rows, id_, [F.col(pos)], "_k")
+    return ranked.withColumn("unique_id", F.concat(F.col(id_), F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise(""))).drop("_k")

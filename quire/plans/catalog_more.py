@@ -611,19 +611,23 @@ def refined(spark, sf):
 
 
 @query(f"""WITH {V.ENTRIES}, t0 AS (SELECT DISTINCT glossary_id AS id FROM entries), t AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM t0),
-s AS (SELECT id, k, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS priority, k <> 2 AS enabled FROM t WHERE k <> 0)
-SELECT s.id, priority::INT AS priority, enabled, count(*) AS entry_count FROM s JOIN entries e ON e.glossary_id = s.id GROUP BY ALL""")
+s AS (SELECT id, k, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS priority, k <> 2 AS enabled FROM t)
+SELECT s.id, priority::INT AS priority, enabled, count(*) AS entry_count, count(*) FILTER (pos % 2 = 0) AS even_pos FROM s JOIN entries e ON e.glossary_id = s.id WHERE k <> 0 OR pos % 2 = 0 GROUP BY ALL""")
 def lexicon_store(spark, sf):
-    """UDF-06, SET-05, SET-06, SET-07, SRT-09, AGG-10: glossaries saved, one deleted, one switched off, two reordered."""
-    e = V.entries(spark, sf)
+    """UDF-06, SET-05, SET-06, SET-07, SRT-09, AGG-10: glossaries saved by one store, one of them deleted and saved again with
+    half of its entries by another, one switched off, two reordered, and all read by a third."""
+    e, path = V.entries(spark, sf), shared_dir(spark, "lexicon")
     ids = sorted(r[0] for r in e.select("glossary_id").distinct().collect())
-    store = G.ParquetLexicon(spark, shared_dir(spark, "lexicon"))
-    for i in ids:
-        store.save_glossary(e.where(F.col("glossary_id") == i).drop("glossary_id"), i, i)
-    store.delete_glossary(ids[0])
-    store.toggle_glossary(ids[2], False)
-    store.reorder_glossaries([ids[1], ids[2]])
-    return store.list_glossaries().select("id", "priority", "enabled", "entry_count")
+    one, two = G.ParquetLexicon(spark, path), G.ParquetLexicon(spark, path)
+    every = e.select(F.col("glossary_id").alias("id"), F.col("glossary_id").alias("name"), F.lit(0).alias("priority"), F.lit("default").alias("grp")).distinct()
+    one.save_glossaries(e, every)
+    two.delete_glossary(ids[0])
+    one.toggle_glossary(ids[2], False)
+    two.save_glossary(e.where((F.col("glossary_id") == ids[0]) & (F.col("pos") % 2 == 0)).drop("glossary_id"), ids[0], ids[0])
+    one.reorder_glossaries([ids[1], ids[2]])
+    three = G.ParquetLexicon(spark, path)
+    even = three._entries().groupBy(F.col("glossary_id").alias("id")).agg(F.count_if(F.col("pos") % 2 == 0).alias("even_pos"))
+    return three.list_glossaries().select("id", "priority", "enabled", "entry_count").join(even, "id")
 
 
 @query(f"WITH {V.ENTRIES} SELECT pos, source, target FROM entries WHERE glossary_id = 'PROMO'")
@@ -700,9 +704,18 @@ def model_failures(spark, sf):
 # --- calibration, streams
 
 
-@query()
+_SIGMOID = "greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, 1 / (1 + exp(-({a} * x + {b})))))"
+_PLATT = """sum(n * -(y * ln({p}) + (1 - y) * ln(1 - {p}))) / sum(n) AS loss, sum(n * ({p} - y) * x) / sum(n) AS ga, sum(n * ({p} - y)) / sum(n) AS gb"""
+
+
+@query(f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT least(1.0::DOUBLE, n_chars / 2000.0::DOUBLE) AS x, quality::DOUBLE AS y, count(*)::DOUBLE AS n FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY 1, 2),
+steps AS MATERIALIZED (SELECT k, 0.1::DOUBLE / (1::BIGINT << k) AS s FROM range(32) AS t(k)),
+st AS (SELECT 0 AS r, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, {_PLATT.format(p=_SIGMOID.format(a='1.0::DOUBLE', b='0.0::DOUBLE'))} FROM pairs UNION ALL
+  SELECT r + 1, na, nb, nl, na_, nb_ FROM (SELECT r, old, na, nb, loss AS nl, ga AS na_, gb AS nb_, row_number() OVER (ORDER BY k) AS first FROM
+    (SELECT r, k, any_value(old) AS old, na, nb, {_PLATT.format(p=_SIGMOID.format(a='na', b='nb'))} FROM (SELECT r, st.loss AS old, k, a - s * ga AS na, b - s * gb AS nb FROM st, steps WHERE r < 200) AS c, pairs GROUP BY r, k, na, nb) WHERE loss <= old) WHERE first = 1 AND old - nl >= 1e-7)
+SELECT arg_max(a, r) AS a, arg_max(b, r) AS b FROM st""")
 def platt_fit(spark, sf):
-    """MATH-04: slope and offset over the labels table; each step is one aggregate, no row reaches the driver."""
+    """MATH-04: slope and offset over the labels table; each step is one aggregate, and the driver gets sums alone."""
     a, b = trust.fit_platt(C._calibration(spark, sf), "raw", "target")
     return spark.createDataFrame([(a, b)], "a double, b double")
 

@@ -78,3 +78,17 @@ def rank(df: DataFrame, order: list, name: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     placed = ranges.withColumn(name, within).join(table, "_range")
     return placed.withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")
+
+
+def rank_within(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """Number the rows of each key from 0 in an order. Keys are cut where a range of the sort ends, so none is one task.
+
+    Only a key that goes on from an earlier range has rows before it: one a range at most, and those counts are sent along.
+    """
+    ranges = materialise(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    along = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(along))
+    before = F.broadcast(counts.where("_before > 0").select(F.col(key).alias("_key"), F.col("_range").alias("_at"), "_before"))  # a row per range
+    within = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    met = ranges.withColumn(name, within).join(before, (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.withColumn(name, F.col(name) - 1 + F.coalesce("_before", F.lit(0))).drop("_range", "_at", "_key", "_before")
