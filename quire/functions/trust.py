@@ -79,7 +79,8 @@ def fit_platt(rows: DataFrame, raw: str, target: str, rate: float = 0.1, rounds:
     """
     x, y = F.col(raw).cast("double"), F.col(target).cast("double")
     pairs = rows.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
-    pairs = materialise(pairs, "pairs").persist()  # small beside the rows, read once a step, and on disk if lost
+    pairs = materialise(pairs, "pairs")
+    pairs = pairs.coalesce(pairs.count() // 1_000_000 + 1).persist()  # read once a step, and on disk if lost
 
     def sums(points: list[tuple[float, float]]) -> list[tuple[float, float, float]]:
         """(loss, gradient of a, gradient of b) at each point."""

@@ -396,6 +396,22 @@ def sanitize_prompt(text: str, most: int = PROMPT_CHARS) -> str:
     return text if len(text) <= most else text[:most] + CUT_MARK
 
 
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def respell(text: str, new: dict[str, str]) -> str:
+    """Words replaced by their lower-case form, casing kept."""
+
+    def fix(m: re.Match) -> str:
+        w = m[0]
+        to = new.get(w.lower())
+        if to is None:
+            return w
+        return to.upper() if w.isupper() and len(w) > 1 else to.capitalize() if w[0].isupper() else to
+
+    return WORD.sub(fix, text)
+
+
 class Speller:
     """Known words indexed by what is left when one letter goes, so a look-up costs a word's length, not the alphabet's."""
 
@@ -435,16 +451,9 @@ class Speller:
         return self.seen[low]
 
     def correct(self, text: str) -> str:
-        """Unknown words with exactly one known word at edit distance one are replaced, casing kept (STR-31)."""
-
-        def fix(m: re.Match) -> str:
-            w = m[0]
-            new = self.correction(w.lower())
-            if new is None:
-                return w
-            return new.upper() if w.isupper() and len(w) > 1 else new.capitalize() if w[0].isupper() else new
-
-        return re.sub(r"[^\W\d_]+", fix, text)
+        """Unknown words with exactly one known word at edit distance one are replaced (STR-31)."""
+        low = {w.lower() for w in WORD.findall(text)}
+        return respell(text, {w: new for w in low if (new := self.correction(w))})
 
 
 # Keys whose values are masked, in reports where they contain a word, in errors where they are one.

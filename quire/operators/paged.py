@@ -16,6 +16,7 @@ from quire.functions.classify import is_table_cell
 from quire.functions.geometry import Box
 from quire.operators import kernels as k
 from quire.operators.blocks import PAGE
+from quire.session import materialise
 
 _BOX = ["x0", "y0", "x1", "y1"]
 _KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
@@ -208,25 +209,61 @@ def repair_blocks(blocks: DataFrame, retry: Callable[[str], tuple[str, float]],
     return done.unionByName(blocks.where(~low).withColumn("attempts", F.lit(0).cast("long")))
 
 
-MAX_WORDS = 2_000_000
 MAX_TERMS = 100_000
 FOLDED = 64  # so few terms become one expression of built-in functions
+SENT = 200_000  # so few corrections are sent along with the texts' words
+
+
+def without_one(word: Column) -> Column:
+    """The word and what is left of it when one letter goes: words one edit apart have one of these in common."""
+    n = F.length(word)
+    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    return F.array_distinct(F.when(n > 0, F.concat(F.array(word), shorter)).otherwise(F.array(word)))
+
+
+def one_apart(a: Column, b: Column) -> Column:
+    """One letter more, less, other, or two neighbours swapped."""
+    other = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    at = lambda c, k: F.substring(c, F.get(other, F.lit(k)), F.lit(1))
+    swapped = (F.length(a) == F.length(b)) & (F.size(other) == 2) & (F.get(other, F.lit(1)) - F.get(other, F.lit(0)) == 1) & (at(a, 0) == at(b, 1)) & (at(a, 1) == at(b, 0))
+    return (F.levenshtein(a, b) == 1) | swapped
+
+
+def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, new) of the ``word`` rows that aren't known and have exactly one known word at one edit.
+
+    Both sides are indexed by what is left without one letter and meet there, so the dictionary may have any size and no word
+    is held against all of it.
+    """
+    known = materialise(words.select("word").where("word IS NOT NULL").distinct(), "known")
+    lost = unknown.select("word").distinct().join(known, "word", "left_anti")
+    index = known.select(F.col("word").alias("new"), F.explode(without_one(F.col("word"))).alias("key"))
+    tried = lost.select("word", F.explode(without_one(F.col("word"))).alias("key"))
+    near = tried.join(index, "key").where(one_apart(F.col("word"), F.col("new"))).select("word", "new").distinct()
+    return near.groupBy("word").agg(F.count("*").alias("n"), F.first("new").alias("new")).where("n = 1").select("word", "new")
 
 
 def spell(texts: DataFrame, words: DataFrame, text: str = "text", word: str = "word") -> DataFrame:
-    """Texts with certain misspellings replaced (STR-31); the dictionary is sent along, behind a check of its size."""
-    known = [r[0] for r in words.select(word).distinct().limit(MAX_WORDS + 1).collect()]
-    if len(known) > MAX_WORDS:
-        raise ValueError(f"a dictionary has at most {MAX_WORDS} words")
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    """Texts with certain misspellings replaced, casing kept (STR-31).
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        speller = k.Speller(shared.value)
-        for s in batches:
-            yield s.map(lambda x: None if x is None else speller.correct(x))
+    Corrections are made once for each different word of all texts and joined to the words of each; a text with some
+    gets its own few along.
+    """
+
+    @F.pandas_udf("array<string>")
+    def different(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else sorted({w.lower() for w in k.WORD.findall(x)}))
 
-    return texts.withColumn(text, run(F.col(text)))
+    @F.pandas_udf("string")
+    def run(s: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([x if x is None or f is None else k.respell(x, {p["word"]: p["new"] for p in f}) for x, f in zip(s, found)], dtype=object)
+
+    rows = materialise(texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", different(F.col(text))), "texts")
+    each = rows.select("_row", F.explode("_words").alias("word"))
+    fixes = materialise(corrections(each, words.select(F.col(word).alias("word"))), "corrections")
+    few = fixes.limit(SENT + 1).count() <= SENT
+    hits = each.join(F.broadcast(fixes) if few else fixes, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "new")).alias("_fixes"))
+    return rows.join(hits, "_row", "left").withColumn(text, run(F.col(text), F.col("_fixes"))).select(*[F.col(f"`{c}`") for c in texts.columns])
 
 
 def apply_glossary(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:

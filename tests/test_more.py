@@ -198,3 +198,21 @@ def test_alignment_of_many_pages_is_that_of_each(monkeypatch):
     for cells in (1, 4000, 1 << 22):
         monkeypatch.setattr(kernels, "CELLS", cells)
         assert kernels.align_many(pages) == want
+
+
+def test_spelling_by_a_joined_index_equals_the_speller(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
+    known = {word() for _ in range(400)}
+    texts = [" ".join(rng.choice([str.lower, str.upper, str.capitalize])(word()) + rng.choice(["", ",", "1", "_x", "²"]) for _ in range(30)) for _ in range(60)] + [None, "", "123"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "i int, text string, word string").repartition(3)
+    words = spark.createDataFrame([(w,) for w in sorted(known)] * 2 + [(None,)], "word string")
+    speller = kernels.Speller(known)
+    want = sorted((i, None if t is None else speller.correct(t)) for i, t in [*enumerate(texts), (0, texts[0])] if t is not None)
+    for sent in (paged.SENT, 0):
+        monkeypatch.setattr(paged, "SENT", sent)
+        out = paged.spell(df, words)
+        assert out.columns == df.columns
+        got = [(r.i, r.text) for r in out.collect()]
+        assert sorted(g for g in got if g[1] is not None) == want and len(got) == len(texts) + 1
+    assert any(g != t for (_, g), t in zip(want, [texts[0]]))
