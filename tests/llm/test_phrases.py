@@ -70,10 +70,13 @@ def test_empty(spark):
 def test_bitmaps():
     rng = np.random.default_rng(3)
     ids = rng.integers(-1, 5, 1000)
-    owner, block, bits = phrases.bitmaps(ids)
-    assert all(phrases.popcounts(owner, bits, 5) == [(ids == k).sum() for k in range(5)])
-    moved = phrases.shift(owner, block, bits)
-    assert phrases.popcounts(moved[0], moved[2], 5).sum() == (ids >= 0).sum()
+    maps = phrases.Bitmaps(ids)
+    assert all(maps.popcounts(5) == [(ids == k).sum() for k in range(5)])
+    moved = maps.shifted()
+    assert all(moved.popcounts(5) == maps.popcounts(5))
+    for k in range(5):
+        bits = {int(c % moved.blocks) * 64 + i for c, x in zip(moved.code, moved.bits) if c // moved.blocks == k for i in range(64) if int(x) >> i & 1}
+        assert bits == {int(i) + 1 for i in np.flatnonzero(ids == k)}
     p, w, n = phrases.extensions(ids, ids)
     want = collections.Counter((a, b) for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0)
     assert dict(zip(zip(p, w), n)) == want
