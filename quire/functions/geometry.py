@@ -142,3 +142,20 @@ def line_slices(text: Column, box: Box) -> Column:
     lines = F.when(tall, split).otherwise(given)
     k = F.size(lines)
     return F.transform(lines, lambda t, i: F.struct(t.alias("text"), (box.y0 + h * i / k).alias("y0"), (box.y0 + h * (i + 1) / k).alias("y1")))
+
+
+def detected_boxes(boxes: Column, width: Column, height: Column) -> Column:
+    """struct(boxes, nan, inf): a detector's pixel boxes as fractions of the page, in reading order (EXT-01).
+
+    Boxes with a NaN are dropped and counted, then those with an infinity, then what has no area once clamped to the page.
+    A box without four numbers has no area; a null list is empty.
+    """
+    all_ = F.coalesce(boxes, F.array().cast("array<array<double>>"))
+    any_ = lambda f: lambda b: F.exists(b, lambda v: F.coalesce(f(v), F.lit(False)))
+    nan, inf = any_(F.isnan), any_(lambda v: F.abs(v) == float("inf"))
+    finite = F.filter(all_, lambda b: ~nan(b) & ~inf(b) & (F.size(b) == 4) & F.forall(b, lambda v: v.isNotNull()))
+    side = lambda b, k, by: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get(b, F.lit(k)) / by))
+    placed = F.transform(finite, lambda b: F.struct(side(b, 1, height).alias("y0"), side(b, 0, width).alias("x0"), side(b, 2, width).alias("x1"), side(b, 3, height).alias("y1")))
+    kept = F.sort_array(F.filter(placed, lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"])))
+    ordered = F.transform(kept, lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1")))
+    return F.struct(ordered.alias("boxes"), F.size(F.filter(all_, nan)).alias("nan"), F.size(F.filter(all_, lambda b: ~nan(b) & inf(b))).alias("inf"))

@@ -50,6 +50,18 @@ def risk_level(text: Column, *signals: Column) -> Column:
     return F.when(strip(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.least(F.lit(3), 2 * n))
 
 
+def cross_checked(level: Column, text: Column, second: Column, error: Column, threshold: float = 0.4) -> Column:
+    """A level raised by two where another reading of the block differs by more than ``threshold`` of its length.
+
+    A check that failed or gave no text can't be told from one that would have differed: none becomes low, others stay.
+    Blank text isn't checked.
+    """
+    failed = error.isNotNull() | second.isNull()
+    differs = F.coalesce(normalised_distance(text, second) > threshold, F.lit(False))
+    raised = F.when(failed, F.greatest(level, F.lit(1))).when(differs, F.least(F.lit(3), level + 2)).otherwise(level)
+    return F.when(strip(F.coalesce(text, F.lit(""))) == "", 0).otherwise(raised)
+
+
 def normalised_distance(a: Column, b: Column, most: int = 1024) -> Column:
     """Edit distance over the longer length, of the first ``most`` characters (STR-14)."""
     x, y = F.substring(a, 1, most), F.substring(b, 1, most)

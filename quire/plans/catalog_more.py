@@ -5,6 +5,8 @@ Files are written to the shared folder from the standard tables by Spark and rea
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -686,6 +688,70 @@ def stub_models(spark, sf):
     return c.select("conv_id", "turn", *STUBS, errors)
 
 
+@query(f"""WITH {V.BLOCKS},
+q AS (SELECT *, (CASE block_index WHEN 3 THEN 'nan'::DOUBLE ELSE x0 END) * 1000 AS p0, y0 * 800 AS q0, (CASE block_index WHEN 5 THEN x0 - 0.01::DOUBLE ELSE x1 END) * 1000 AS p1, (CASE block_index WHEN 4 THEN 'inf'::DOUBLE WHEN 6 THEN 3.0::DOUBLE ELSE y1 END) * 800 AS q1,
+  page_index // 8 AS batch, max(page_index) OVER (PARTITION BY doc_id, page_index // 8) - min(page_index) OVER (PARTITION BY doc_id, page_index // 8) + 1 AS n FROM blocks),
+pg AS (SELECT doc_id, page_index, any_value(CASE WHEN doc_id % 50 = 7 THEN 'predictions_mismatch' WHEN doc_id % 50 = 8 THEN 'no device' END) AS fault, any_value(CASE WHEN doc_id % 50 IN (7, 8) THEN 1 WHEN doc_id % 50 = 9 THEN 2 ELSE 1 END)::BIGINT AS tries,
+  count(*) FILTER (isnan(p0))::INT AS nan, count(*) FILTER (isinf(q1))::INT AS inf,
+  list({{'y0': least(1.0::DOUBLE, q0 / 800), 'x0': least(1.0::DOUBLE, p0 / 1000), 'x1': least(1.0::DOUBLE, p1 / 1000), 'y1': least(1.0::DOUBLE, q1 / 800)}}) FILTER (NOT isnan(p0) AND NOT isinf(q1) AND p1 > p0 AND q1 > q0) AS boxes FROM q GROUP BY doc_id, page_index)
+SELECT doc_id, page_index, fault, tries, CASE WHEN fault IS NULL THEN nan ELSE 0 END::INT AS nan, CASE WHEN fault IS NULL THEN inf ELSE 0 END::INT AS inf, CASE WHEN fault IS NULL THEN [[b.x0, b.y0, b.x1, b.y1] for b in list_sort(coalesce(boxes, []))] ELSE [] END AS boxes FROM pg""")
+def detected_boxes(spark, sf):
+    """EXT-01: a stub that answers with the boxes of a page's blocks in pixels, some broken; batches that lack a page, fail, or need a second try."""
+    box = F.array(F.when(F.col("block_index") == 3, float("nan")).otherwise(F.col("x0")) * 1000, F.col("y0") * 800, F.when(F.col("block_index") == 5, F.col("x0") - 0.01).otherwise(F.col("x1")) * 1000,
+                  F.when(F.col("block_index") == 4, float("inf")).when(F.col("block_index") == 6, 3.0).otherwise(F.col("y1")) * 800)
+    pages = V.blocks(spark, sf).groupBy("doc_id", "page_index").agg(F.collect_list(box).alias("boxes"))
+    pages = pages.select("doc_id", "page_index", F.floor(F.col("page_index") / 8).alias("batch"), F.to_json(F.struct("doc_id", "boxes"), {"ignoreNullFields": "false"}).alias("image"), F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
+
+    def detector():
+        seen = set()
+
+        def f(images):
+            read = [json.loads(x) for x in images]
+            doc = read[0]["doc_id"]
+            if doc % 50 == 8:
+                raise RuntimeError("no device")
+            if doc % 50 == 9 and images[0] not in seen:
+                seen.add(images[0])
+                return [[] for _ in images]
+            out = [[[float(v) for v in b] for b in r["boxes"]] for r in read]
+            return out[:-1] if doc % 50 == 7 else out
+
+        return f
+
+    out = D.detect(pages, detector)
+    return out.select("doc_id", "page_index", "fault", "tries", "nan", "inf", F.transform("boxes", lambda b: F.array(b["x0"], b["y0"], b["x1"], b["y1"])).alias("boxes"))
+
+
+@query(f"""WITH {V.BLOCKS}, lv AS (SELECT blocks.*, h.level FROM blocks JOIN ({C.SQL['hallucination_level']}) AS h USING (doc_id, page_index, block_index)),
+two AS (SELECT *, CASE block_index % 4 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) // 3) WHEN 2 THEN reverse(text) END AS second, least(length(text), 1024) AS la FROM lv),
+di AS (SELECT *, CASE WHEN second = '' AND text = '' THEN 0 WHEN second = '' OR text = '' THEN 1 ELSE levenshtein(left(text, 1024), left(second, 1024)) / greatest(length(left(text, 1024)), length(left(second, 1024))) END AS dist FROM two)
+SELECT doc_id, page_index, block_index, CASE WHEN {V.strip('text')} = '' THEN 0 WHEN second IS NULL THEN greatest(level, 1) WHEN dist > 0.4 THEN least(3, level + 2) ELSE level END AS level FROM di""")
+def cross_checked_level(spark, sf):
+    """STR-16: a second reader that agrees, drops two thirds, turns the text round, or fails."""
+    b = V.blocks(spark, sf)
+    level = trust.risk_level(F.col("text"), trust.gave_up(F.col("text")), trust.repeats(F.col("text")), ~trust.plausible_length(F.col("text"), geometry.Box.of().area, F.lit(500000)))
+
+    def reader():
+        def f(text, k):
+            if k % 4 == 3:
+                raise TimeoutError("no answer")
+            return text if k % 4 == 0 else text[: len(text) // 3] if k % 4 == 1 else text[::-1]
+
+        return f
+
+    b = D.with_model(b.withColumn("first", level), ["text", "block_index"], "second", "string", reader)
+    return b.select("doc_id", "page_index", "block_index", trust.cross_checked(F.col("first"), F.col("text"), F.col("second"), F.col("second_error")).alias("level"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN NULL ELSE '{"line":' || l_linenumber || ',"rates":[' || l_discount || ',' || l_tax || '],"notes":{"flag":"' || l_returnflag || '"}}' END AS json, CASE WHEN bad THEN 'number is not finite' END AS fault
+FROM (SELECT *, l_linenumber = 3 OR l_orderkey % 5 = 0 AS bad FROM lineitem)""")
+def json_values(spark, sf):
+    """PRJ-23: nested values as JSON, and a fault where a number deep inside isn't finite."""
+    rate = F.when(F.col("l_linenumber") == 3, float("nan")).when(F.col("l_orderkey") % 5 == 0, float("-inf")).otherwise(F.col("l_tax"))
+    value = F.struct(F.col("l_linenumber").alias("line"), F.array("l_discount", rate).alias("rates"), F.create_map(F.lit("flag"), "l_returnflag").alias("notes"))
+    return X.safe_json(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")), "value")
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN length(text) END::INT AS n, CASE WHEN turn % 2 = 1 THEN 'odd turn' END AS n_error FROM conversations")
 def model_failures(spark, sf):
     """A model's failures are values of their rows."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,3 +224,47 @@ def with_model(df: DataFrame, inputs: list[str], output: str, kind: str, model:
 
     tmp = df.withColumn("_m", run(*[F.col(c) for c in inputs]))
     return tmp.withColumn(output, F.col("_m.value")).withColumn(f"{output}_error", F.col("_m.error")).drop("_m")
+
+
+def detect(pages: DataFrame, detector: Callable[[], Callable[[list], list]], tries: int = 4) -> DataFrame:
+    """Boxes of pages (doc_id, page_index, batch, image, width, height) by an injected detector of whole batches (EXT-01).
+
+    A batch of a document goes to the detector at once. One whose answer hasn't a list for each page, or that fails, gives its
+    pages no boxes and ``fault``; one without a single box is tried again, as a detector that has just started may see nothing. What
+    comes back is put in fractions of the page and in order by expressions.
+    """
+    from quire.functions.geometry import detected_boxes
+
+    def usable(b) -> bool:
+        return b is not None and len(b) == 4 and all(v is not None and math.isfinite(v) for v in b) and b[2] > b[0] and b[3] > b[1]
+
+    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = detector()
+        for g in groups:
+            out, faults, times = [], [], []
+            for images in g.column("images").to_pylist():
+                found, fault, n = [None] * len(images), None, 0
+                try:
+                    while n < tries:
+                        n += 1
+                        found = [None if b is None else [[None if v is None else float(v) for v in x] for x in b] for b in f(images)]
+                        if len(found) != len(images):
+                            found, fault = [None] * len(images), "predictions_mismatch"
+                        if fault or any(usable(x) for b in found for x in b or []):
+                            break
+                except Exception as e:  # a failing batch must not fail the others
+                    found, fault = [None] * len(images), str(e)
+                out.append(found)
+                faults.append(fault)
+                times.append(n)
+            kinds = (pa.list_(pa.list_(pa.list_(pa.float64()))), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(g.column(c) for c in ("doc_id", "batch", "pages")), *(pa.array(c, k) for c, k in zip((out, faults, times), kinds))], names=["doc_id", "batch", "pages", "found", "fault", "tries"])
+
+    one = F.struct("page_index", "width", "height", "image")
+    groups = pages.groupBy("doc_id", "batch").agg(F.sort_array(F.collect_list(one)).alias("g"))
+    page = "struct<page_index:bigint,width:double,height:double>"
+    groups = groups.select("doc_id", F.col("batch").cast("long"), F.transform("g", lambda r: F.struct(r["page_index"].cast("long").alias("page_index"), r["width"].cast("double").alias("width"), r["height"].cast("double").alias("height"))).alias("pages"), F.transform("g", lambda r: r["image"]).alias("images"))
+    got = groups.mapInArrow(run, f"doc_id long, batch long, pages array<{page}>, found array<array<array<double>>>, fault string, tries long")
+    rows = got.select("doc_id", "fault", "tries", F.inline(F.arrays_zip("pages", "found"))).select("doc_id", "pages.*", "found", "fault", "tries")
+    placed = rows.withColumn("_d", detected_boxes(F.col("found"), F.col("width"), F.col("height")))
+    return placed.select("doc_id", "page_index", "_d.boxes", "_d.nan", "_d.inf", "fault", "tries")

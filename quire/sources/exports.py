@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, NullType, ShortType, StringType, StructType
 from pyspark.sql.window import Window
 
 from quire.functions.text import escape_html
@@ -143,6 +144,30 @@ def finite(c: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("number is not finite")).cast("double")).otherwise(c)
 
 
+def unsafe(c: Column, kind: DataType) -> Column:
+    """Whether a value holds a number that JSON has no form for, however deep; kinds that JSON lacks are refused at once (PRJ-23)."""
+    if isinstance(kind, (StringType, BooleanType, ByteType, ShortType, IntegerType, LongType, NullType)):
+        return F.lit(False)
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.exists(c, lambda x: unsafe(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        return F.coalesce(F.exists(F.map_values(c), lambda x: unsafe(x, kind.valueType)), F.lit(False))
+    if isinstance(kind, StructType):
+        out = F.lit(False)
+        for f in kind.fields:
+            out = out | unsafe(c[f.name], f.dataType)
+        return out
+    raise TypeError(f"{kind.simpleString()} is not a kind of value that JSON has")
+
+
+def safe_json(df: DataFrame, column: str) -> DataFrame:
+    """``json`` of a column, or ``fault`` where it can't be written; the other columns as they are."""
+    bad = unsafe(F.col(column), df.schema[column].dataType)
+    return df.withColumn("json", F.when(~bad, F.to_json(column))).withColumn("fault", F.when(bad, "number is not finite")).drop(column)
+
+
 def markdown_lines(c: Column) -> Column:
     """Lines of Markdown with their kind, for writers of other formats (SNK-05)."""
     kind = lambda x: F.when(x.rlike(r"^#{1,6}\s"), "heading").when(x.rlike(r"^\s*[-*+]\s"), "bullet").when(x.rlike(r"^\s*\d+\.\s"), "number").when(x.rlike(r"^---+$"), "break").when(x == "", "blank").otherwise("text")
