@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -70,33 +71,36 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-_BASE = 0x9E3779B97F4A7C15
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 PIECE = 1 << 20
-_powers = [np.empty(0, np.uint64)] * 2
+_LENGTH = np.uint64(0xA24BAED4963EE407)
+
+
+@lru_cache(1 << 18)
+def _long_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and places of the words of some lower-case bytes: polynomials over all words at once.
+    """64-bit hashes and places of the words of some lower-case bytes.
 
-    A running sum of bytes times powers of an odd base gives each word's polynomial as a difference, moved to
-    the word's own start by an inverse power.
+    A word of up to eight bytes is the number that they are, mixed, so no two share a hash but by its length; a longer one has a
+    digest, as no sum of its letters would tell all words apart.
     """
-    n = len(data)
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[k] = np.multiply.accumulate(np.full(max(n, PIECE + 4096), b, np.uint64))
-    a = np.frombuffer(data, np.uint8)
-    gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACES[a]
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = _SPACES[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers[1][starts] if len(starts) else np.empty(0, np.uint64)
-    return _mix(h + (ends - starts).astype(np.uint64)), starts
+    size = ends - starts
+    # eight bytes from every place, of which a word keeps its own
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))[starts].astype(np.uint64)
+    eight &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64))
+    h = _mix(_mix(eight) + size.astype(np.uint64) * _LENGTH)
+    for k in np.flatnonzero(size > 8).tolist():
+        h[k] = _long_hash(data[starts[k] : ends[k]])
+    return h, starts
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -767,8 +771,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     come more than once where ids repeat, at most once a task; that only repeats links.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
-    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key")
-    some = slim.join(ids.hint("merge"), "id")  # as many ids as classes: dealt, at every size
+    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key").hint("merge")  # as many ids as classes: dealt, at every size
+    repeated = materialise(docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "repeated")
+    if repeated.limit(1).count():
+        # of ids with several rows, which may be of many classes, each class meets its own row alone
+        several = slim.join(repeated, "id", "left_semi").withColumn("key", _key(F.col("t"))).where("key is not null").dropDuplicates(["id", "key"])
+        some = slim.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key").union(several.join(ids, ["id", "key"]).select("t", "task", "key"))
+    else:
+        some = slim.join(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

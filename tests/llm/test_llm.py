@@ -206,6 +206,34 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_words_are_told_apart_at_any_length(spark):
+    """Thue-Morse words and their complements have equal polynomials modulo any power of two; they share nothing."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 17)]
+    texts = []
+    for n in (1 << 10, 1 << 11, 1 << 14, 100_000, 1 << 17):
+        texts += ["".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])]
+    texts += ["a", "a\x00", "a\x00\x00", "\x00", "abcdefgh", "abcdefghi", "éééé", "éééée"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: (1, i) for i in range(len(texts))}
+    whole = "x" * 9 + " " + " ".join(texts) + " ab"
+    h, starts = jaccard.word_hashes(whole.encode())
+    assert len(set(h.tolist())) == len(texts) + 2 and [whole.encode()[a : a + 1] for a in starts][:2] == [b"x", b"a"]
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that share an id meet their own class, not those of all the others."""
+    texts = noisy(21, 300, 60, 3) + noisy(22, 40, 30, 0) + noisy(23, 30, 50, 2)
+    ids = [7] * 300 + [8] * 40 + list(range(100, 130))
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], DOCS)
+    part = brute_components(texts)
+    first = {}
+    for k, (_, c) in part.items():
+        first[c] = min(first.get(c, 10**9), ids[k])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(d).collect())
+    assert got == sorted((ids[k], n, first[c]) for k, (n, c) in part.items())
+    assert jaccard.keep_first(d).count() == len({c for _, c in part.values()})
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_regions_split_by_pivots_equal_brute_force(spark, monkeypatch, rounds):
     shared = " ".join(f"common{i}" for i in range(60))
