@@ -89,29 +89,38 @@ def repeated_words(words: Column) -> Column:
     return F.when(n >= 3, F.get(found, F.lit(0))).otherwise(F.lit(0).cast("long"))
 
 
+def _free(df: DataFrame) -> str:
+    """A suffix that no column of ``df`` has, whatever the case."""
+    tag = "_"
+    while any(c.lower().endswith(tag) for c in df.columns):
+        tag += "_"
+    return tag
+
+
 def measure(df: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Add the base measures, the ratios and ``base_failed``. No shuffle, no Python."""
-    own = df.columns
+    own, tag = df.columns, _free(df)
     base = base_columns(F.col(text))
-    out = df.select("*", *[c.alias(k) for k, c in base.items()])
-    keep = [c for c in own if c not in _MEASURES]
-    n = F.size("_words").cast("long")
+    out = df.select("*", *[c.alias(k + tag) for k, c in base.items()])
+    keep = [F.col(f"`{c}`") for c in own if c not in _MEASURES]
+    words, lines_, chars, symbols, upper = (F.col(f"`{k}{tag}`") for k in base)
+    n = F.size(words).cast("long")
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    hits = F.size(F.filter("_words", lambda w: F.lower(w).isin(stop)))
+    hits = F.size(F.filter(words, lambda w: F.lower(w).isin(stop)))
     known = F.col(lang).isin(*STOP_WORDS) if lang and lang in own else F.lit(True)
     some = n > 0
-    lines = F.size("_lines")
-    dup = (lines - F.size(F.array_distinct("_lines"))).cast("long")
+    lines = F.size(lines_)
+    dup = (lines - F.size(F.array_distinct(lines_))).cast("long")
     out = out.select(
         *keep,
         n.alias("n_words"),
-        F.col("_chars").alias("word_chars"),
-        F.col("_symbols").alias("n_symbols"),
+        chars.alias("word_chars"),
+        symbols.alias("n_symbols"),
         dup.alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.when(some, F.col("_chars") / n).alias("mean_word_chars"),
-        F.when(some, F.col("_symbols") / n).alias("symbols_per_word"),
-        F.when(some, F.col("_upper") / F.col("_chars")).alias("upper_per_char"),
+        repeated_words(words).alias("n_repeat_words"),
+        F.when(some, chars / n).alias("mean_word_chars"),
+        F.when(some, symbols / n).alias("symbols_per_word"),
+        F.when(some, upper / chars).alias("upper_per_char"),
         F.when(lines > 0, dup / lines).alias("dup_line_ratio"),
         F.when(some & known, hits / n).alias("stop_word_ratio"),
     )
@@ -143,8 +152,8 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str | None = "lang", ru
     """
     measured = measure(df, text, lang)
     own = [c for c in measured.columns if c not in _MEASURES]
-    made = F.struct(*[F.col(c) for c in measured.columns if c in _MEASURES])
-    out = measured.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(made)).alias("_made")).select(*[F.col(f"`{c}`") for c in own], "_made.*")
+    made, name = F.struct(*[F.col(c) for c in measured.columns if c in _MEASURES]), "made" + _free(measured)
+    out = measured.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(made)).alias(name)).select(*[F.col(f"`{c}`") for c in own], f"{name}.*")
     out = out.withColumn("failed_rules", compile_rules(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 

@@ -45,11 +45,10 @@ def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from the last entry of each document's prefix table, its length, and what fits the limit."""
     import public_tokenizers
 
-    """Counts from the last entry of each document's prefix table."""
-    out = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), prefixes=True)
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", F.size("ends").cast("long").alias("n_prefixes"))
+    return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), numbered=True)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,7 @@ class Counter:
         self.inner: dict[str, list[int]] = {}
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids[0] if self.exact else -1
         self.marks = {m: self.encode(m) for m in ".,;:!?"}
+        self.widest = max(map(len, self.tokenizer.get_vocab()), default=1)
 
     def encode(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -155,27 +156,39 @@ class Counter:
         return base + (self.inside(open_[0])[cut] if len(open_[0]) <= INSIDE else self.chunk_counts([open_[0][:cut]])[0])
 
     def fit(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Length of the longest prefix within ``budget`` tokens; of a chunk of over INSIDE characters only its start is tried."""
+        """Length of the longest prefix within ``budget`` tokens.
+
+        The chunk that it ends in is looked up at all its prefixes. In one of over INSIDE characters, as a text without white
+        space is, bisection with the library finds a prefix that fits while one more character doesn't; as
+        counts may dip where tokens merge, the INSIDE prefixes behind it are tried too.
+        """
         ends, totals = table if table is not None else self.table(text)
         done = int(np.searchsorted(totals, budget, "right"))
         if done == len(ends):
             return len(text)
         base, start = (int(totals[done - 1]), int(ends[done - 1])) if done else (0, 0)
         open_ = _CHUNK.search(text, start)
-        if len(open_[0]) > INSIDE:
-            return open_.start()
-        counts = self.inside(open_[0])
-        return open_.start() + max(k for k, n in enumerate(counts) if base + n <= budget)
-
-
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        chunk, room = open_[0], budget - base
+        if len(chunk) <= INSIDE:
+            return open_.start() + max(k for k, n in enumerate(self.inside(chunk)) if n <= room)
+        # a token has at most so many characters, so far fewer tokens than these don't reach further
+        low, high = 0, min(len(chunk), 4 * (room + 1) * self.widest)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.encode(chunk[:middle]) <= room else (low, middle)
+        near = range(low + 1, min(len(chunk), low + INSIDE) + 1)
+        counts = self.tokenizer.encode_batch_fast([chunk[:k] for k in near], add_special_tokens=False)
+        return open_.start() + max([low, *(k for k, e in zip(near, counts) if len(e.ids) <= room)])
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool = False, doc_id: str = "doc_id", text: str = "text", numbered: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, fit_chars) per row.
 
     ``fit_chars`` is the longest prefix within ``limit`` tokens, null for an over-long text of a tokenizer without tables.
-    ``prefixes`` adds ends and totals, the count at the end of every chunk.
+    ``prefixes`` adds ends and totals, the count at the end of every chunk; ``numbered`` only how many there are.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"] + ["ends", "totals"] * prefixes
+    names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"] + ["n_prefixes"] * numbered + ["ends", "totals"] * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
@@ -188,14 +201,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool
                     totals.append(n), fits.append(len(t) if n <= limit else None)
                     ends.append([len(t)] if t else []), sums.append([n] if t else [])
                     continue
-                if prefixes:
+                if prefixes or numbered:
                     table = counter.table(t)
                     n = int(table[1][-1]) if len(table[1]) else 0
                 else:
                     core = t.strip(" \t\n\v\f\r")
                     n = sum(counter.chunk_counts(_GAP.split(core))) if core else 0
                 totals.append(n)
-                if prefixes:
+                if prefixes or numbered:
                     fits.append(counter.fit(t, limit, table) if n > limit else len(t))
                     ends.append(table[0]), sums.append(table[1])
                 elif n > limit:
@@ -204,10 +217,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool
                     fits.append(len(t))
             n = np.array(totals, np.int64)
             cols = [batch.column(0), batch.column(2), pa.array(n), pa.array(n > limit), pa.array(fits, pa.int64())]
+            if numbered:
+                cols.append(pa.array([len(x) for x in ends], pa.int64()))
             if prefixes:
                 cols += [pa.array(x, pa.list_(pa.int64())) for x in (ends, sums)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = slim.schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", ends array<long>, totals array<long>" * prefixes
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", n_prefixes long" * numbered + ", ends array<long>, totals array<long>" * prefixes
     return slim.mapInArrow(run, schema)

@@ -388,7 +388,7 @@ def test_special_strings_and_budgets(counter):
         cut = counter.fit(text, budget)
         assert cut == max(k for k in range(len(text) + 1) if counter.encode(text[:k]) <= budget)
     assert counter.fit("word", 0) == 0
-    assert counter.fit("a " + "é" * 5000, 2) == 2
+    assert counter.fit("a " + "é" * 5000, 2) == 2 + max(k for k in range(600) if counter.encode("é" * k) <= 1)
 
 
 def test_a_tokenizer_without_chunks_is_asked_for_whole_texts(spark):
@@ -412,6 +412,28 @@ def test_token_query_columns(spark, counter):
     assert out[3].over_limit and not out[2].over_limit and list(out[2].totals)[-1] == out[2].n_tokens
 
 
+@pytest.mark.parametrize("chunk", ["".join(chr(0x4E00 + i * 7919 % 20000) for i in range(900)), "ab12" * 300, "x" * 900, "é" * 700, "a.b,c" * 150, "日本語テキスト" * 120])
+def test_budgets_inside_long_chunks(chunk):
+    """Texts without white space: the longest prefix within a budget, against counting every prefix."""
+    import public_tokenizers
+
+    counter = tokens.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    all_ = [counter.encode(chunk[:k]) for k in range(len(chunk) + 1)]
+    for budget in (0, 1, 2, 5, 50, 200, all_[-1] - 1, all_[-1], all_[-1] + 3):
+        want = max(k for k, n in enumerate(all_) if n <= budget)
+        assert counter.fit(chunk, budget) == want
+        assert counter.fit(f"one two {chunk} three", budget + 2) == (want + 8 if all_[-1] > budget else 8 + len(chunk) + (6 if all_[-1] + 1 <= budget else 1)), budget
+
+
+def test_budget_of_a_text_without_spaces():
+    import public_tokenizers
+
+    counter = tokens.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    text = "".join(chr(0x4E00 + i * 31 % 20000) for i in range(6000))
+    fit = counter.fit(text, 2048)
+    assert counter.encode(text[:fit]) <= 2048 < counter.encode(text[: fit + 1]) and fit > 500
+
+
 # --- 7 personal data
 
 
@@ -559,6 +581,20 @@ def test_rules_keep_prose_and_drop_junk(spark, sf):
     assert {r.doc_id for r in quality.good_documents(junk).collect()} == {2}
 
 
+def test_rules_with_columns_of_any_name(spark):
+    """Columns named as the operator's own, or as its results, in any case."""
+    text = "the cat sat on the mat and it was good " * 10
+    df = docs(spark, [text, None])
+    names = ["_words", "_lines", "_chars", "_symbols", "_upper", "_made", "_WORDS_", "made__", "kept", "n_words", "a.b"]
+    for c in names:
+        df = df.withColumn(c, F.lit("mine"))
+    plain = [tuple(r) for r in quality.apply_rules(docs(spark, [text, None])).select("doc_id", "n_words", "kept").collect()]
+    out = quality.apply_rules(df)
+    assert [tuple(r) for r in out.select("doc_id", "n_words", "kept").collect()] == plain
+    assert {r["_words"] for r in out.collect()} == {"mine"} and {r["a.b"] for r in out.collect()} == {"mine"}
+    assert quality.good_documents(df).columns == df.columns
+
+
 # --- 10 mixing
 
 
