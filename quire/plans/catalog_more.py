@@ -258,22 +258,20 @@ def model_lists(spark, sf):
     return p.select("p_type", F.array_join(D.model_ids(answer), "|").alias("ids"))
 
 
-@query("SELECT doc_id, least(1.0::DOUBLE, n_chars / 3000.0::DOUBLE) AS raw, CASE doc_id % 4 WHEN 0 THEN 0.90 WHEN 1 THEN 0.65 WHEN 2 THEN 0.30 ELSE 0.10 END::DOUBLE AS target FROM documents WHERE doc_id % 7 > 0")
+@query("SELECT doc_id, n_chars / 3000.0::DOUBLE AS raw, CASE doc_id % 4 WHEN 0 THEN 0.90 WHEN 1 THEN 0.65 WHEN 2 THEN 0.30 ELSE 0.10 END::DOUBLE AS target FROM documents WHERE doc_id % 7 > 0 AND n_chars / 3000.0::DOUBLE <= 1")
 def calibration_grades(spark, sf):
-    """MATH-09: grades outside 1 to 4 are dropped."""
-    d = table(spark, sf, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 3000.0).alias("raw_confidence"), F.when(F.col("doc_id") % 7 == 0, 9).otherwise(F.col("doc_id") % 4 + 1).alias("quality_score"))
-    got = D.calibration_records(d.withColumn("quality_score", F.col("quality_score")))
-    keyed = d.where(F.col("quality_score").isin(1, 2, 3, 4)).select("doc_id", F.col("raw_confidence").alias("raw"), "quality_score")
-    grades = got.select("target").distinct()
-    target = F.element_at(F.array(*[F.lit(x) for x in (0.90, 0.65, 0.30, 0.10)]), F.col("quality_score").cast("int"))
-    return keyed.select("doc_id", "raw", target.alias("target")).join(grades, "target", "left_semi").select("doc_id", "raw", "target")
+    """MATH-09: grades outside 1 to 4 and confidences over 1 are dropped."""
+    d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 3000.0).alias("raw_confidence"), F.when(F.col("doc_id") % 7 == 0, 9).otherwise(F.col("doc_id") % 4 + 1).alias("quality_score"))
+    return D.calibration_records(d)
 
 
-@query("SELECT 'region' AS name, 'PAR1' AS head UNION ALL SELECT 'nation', 'PAR1'")
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
 def decoded_pages(spark, sf):
-    """SRC-01 with an injected decoder."""
-    one = lambda name: D.decode_pages(spark, f"{sf}/{name}.parquet", lambda data: [(0, data[:4])]).select(F.lit(name).alias("name"), F.decode("image", "UTF-8").alias("head"))
-    return one("region").union(one("nation"))
+    """SRC-01: documents in files, their lines as pages of an injected decoder."""
+    path = shared_dir(spark, "binary")
+    spread(table(spark, sf, "documents")).where("text IS NOT NULL").select(F.col("text").alias("value")).write.text(path)
+    pages = D.decode_pages(spark, path, lambda data: enumerate(data.removesuffix(b"\n").split(b"\n")))
+    return pages.where("error IS NULL").groupBy(F.decode("image", "UTF-8").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {V.BLOCKS}, p AS (SELECT DISTINCT doc_id, page_index FROM blocks) SELECT doc_id, page_index, floor((row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1) / 3)::BIGINT AS batch FROM p")
@@ -511,11 +509,11 @@ def inline_marks(spark, sf):
     return _part(spark, sf).select("p_partkey", F.concat(F.get(out, F.lit(0)), F.get(out, F.lit(1)), F.lit(";"), F.get(out, F.lit(2))).alias("runs"))
 
 
-@query("SELECT doc_id AS page_index, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents")
+@query("SELECT doc_id AS page_index, sha256(text) AS lines FROM documents")
 def page_text_keys(spark, sf):
     """STR-45."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.split("text", "\n").alias("lines"))
-    return P.normal_page_text(d).select("page_index", F.size("lines").cast("long").alias("lines"))
+    return P.normal_page_text(d).select("page_index", F.sha2(F.array_join("lines", "\n"), 256).alias("lines"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE turn % 4 WHEN 1 THEN 'short' ELSE '' END AS feedback FROM conversations""")
@@ -863,7 +861,7 @@ def streamed_queue(spark, sf):
     return out.select("job_id", (F.col("seq") % 10).alias("step"), "status")
 
 
-@query("SELECT 'a' AS sink, count(*) AS rows FROM events UNION ALL SELECT 'c', count(*) FROM events")
+@query(f"WITH {V.LOG} SELECT sink, seq FROM log, (VALUES ('a'), ('c')) AS v(sink)")
 def streamed_fan_out(spark, sf):
     """STM-03: of three subscribers one fails and the others see every row."""
     from quire.streaming import jobs as st
@@ -876,4 +874,4 @@ def streamed_fan_out(spark, sf):
     keep = lambda name: lambda batch: batch.select(F.lit(name).alias("sink"), "seq").write.mode("append").parquet(root)
     q = st.fan_out(stream, {"a": keep("a"), "b": broken, "c": keep("c")}, shared_dir(spark, "fan")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(root).groupBy("sink").agg(F.count("*").alias("rows"))
+    return spark.read.parquet(root).select("sink", "seq")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.operators import blocks as B
 from quire.operators import jobs as J
-from quire.session import spread, table
+from quire.session import rank, spread, table
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +26,7 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with one test item: those take turns in order of id, so each takes part whatever its id is."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     n = max(1, items.count())
-    items = items.withColumn("_turn", F.row_number().over(Window.orderBy("item_id", "item")) - 1)
+    items = rank(items, ["item_id", "item"], "_turn")
     turn = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n))
     return spread(table(spark, sf, "documents")).select("doc_id", "text", turn.alias("_turn")).join(items, "_turn").drop("_turn")
 

@@ -33,13 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
 def _root(spark: SparkSession) -> str:
     """The folder of a session's intermediate tables, under ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master gets a folder under /tmp and a cluster one in its warehouse, never a folder
-    local to one machine.
+    Where that is unset, a local master gets a folder under /tmp and a cluster one in its warehouse, unless that lies on the
+    driver's own disk, where executors wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.sparkContext.master.startswith("local")
         base = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local and (base.startswith("file:") or "://" not in base):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     return f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
 
 

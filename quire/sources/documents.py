@@ -179,10 +179,11 @@ def model_ids(payload: Column) -> Column:
 
 
 def calibration_records(df: DataFrame) -> DataFrame:
-    """Grades 1 to 4 as targets, malformed records dropped (MATH-09). ``df``: raw_confidence, quality_score."""
+    """Grades 1 to 4 as targets, malformed records dropped (MATH-09). ``df``: raw_confidence, quality_score; other columns stay."""
     target = F.element_at(F.array(*[F.lit(x) for x in (0.90, 0.65, 0.30, 0.10)]), F.col("quality_score").cast("int"))
     ok = F.col("raw_confidence").between(0, 1) & F.col("quality_score").isin(1, 2, 3, 4)
-    return df.where(ok).select(F.col("raw_confidence").alias("raw"), target.alias("target"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("raw_confidence", "quality_score", "raw", "target")]
+    return df.where(ok).select(*rest, F.col("raw_confidence").alias("raw"), target.alias("target"))
 
 
 # --- seams: what the caller injects
