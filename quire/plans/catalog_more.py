@@ -750,6 +750,23 @@ def json_values(spark, sf):
     return X.safe_json(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")), "value")
 
 
+@query(f"""WITH {V.BLOCKS}, r AS (SELECT doc_id, page_index, block_index, trunc(greatest(0.0::DOUBLE, x0 - 0.005::DOUBLE) * 64)::BIGINT AS l, trunc(greatest(0.0::DOUBLE, y0 - 0.005::DOUBLE) * 48)::BIGINT AS t_, trunc(least(1.0::DOUBLE, x1 + 0.005::DOUBLE) * 64)::BIGINT AS r, trunc(least(1.0::DOUBLE, y1 + 0.005::DOUBLE) * 48)::BIGINT AS b FROM blocks),
+px AS (SELECT *, flatten([[CASE WHEN y < 24 THEN 200 ELSE (x * 7 + y * 13 + doc_id) % 256 END for x in range(l, r)] for y in range(t_, b)]) AS v FROM r),
+sd AS (SELECT *, r - l AS w, b - t_ AS h, CASE WHEN len(v) > 0 THEN list_aggregate(v, 'stddev_pop') END AS deviation FROM px)
+SELECT doc_id, page_index, block_index, deviation::DOUBLE AS deviation, CASE WHEN deviation >= 12 THEN list_sum(v)::BIGINT END AS pixels, CASE WHEN deviation >= 12 THEN trunc(w * least(16.0::DOUBLE, greatest(256 / w, 256 / h)))::BIGINT END AS to_width FROM sd""")
+def page_crops(spark, sf):
+    """EXT-07: blocks cut out of pages whose upper half is blank."""
+    from quire.operators import crops
+
+    b = V.blocks(spark, sf)
+    pixel = lambda i: F.lpad(F.hex(F.when(F.floor(i / 64) < 24, 200).otherwise((i % 64 * 7 + F.floor(i / 64) * 13 + F.col("doc_id")) % 256)), 2, "0")
+    gray = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(64 * 48 - 1)), pixel), ""))
+    pages = b.select("doc_id", "page_index").distinct().select("doc_id", "page_index", F.lit(64).alias("width"), F.lit(48).alias("height"), gray.alias("gray"))
+    got = crops.crop_boxes(pages, b)
+    total = F.aggregate(F.sequence(F.lit(1), F.length("crop")), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substring("crop", i, F.lit(1))), 16, 10).cast("long"))
+    return got.select("doc_id", "page_index", "block_index", "deviation", F.when(F.col("crop").isNotNull(), total).alias("pixels"), "to_width")
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN length(text) END::INT AS n, CASE WHEN turn % 2 = 1 THEN 'odd turn' END AS n_error FROM conversations")
 def model_failures(spark, sf):
     """A model's failures are values of their rows."""

@@ -88,3 +88,31 @@ def test_json_values_deep_inside(spark):
     for bad in ("binary('x')", "current_timestamp()", "map(1, 2)", "array(struct(current_date() AS d))"):
         with pytest.raises(TypeError):
             X.safe_json(spark.range(1).selectExpr(f"{bad} AS v"), "v")
+
+
+def test_crops(spark):
+    import numpy as np
+
+    from quire.operators import crops
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (30, 50)).astype(np.uint8)
+    image[:10] = 7
+    boxes = [(0, 0.0, 0.0, 1.0, 0.3), (1, 0.2, 0.5, 0.4, 0.9), (2, 0.5, 0.5, 0.5, 0.5), (3, -1.0, 0.9, 2.0, 3.0), (4, 0.9, 0.9, 0.1, 0.1), (5, 0.4, 0.3, 0.43, 0.6)]
+    pages = spark.createDataFrame([(1, 0, 50, 30, bytearray(image.tobytes())), (2, 0, 1, 1, bytearray(b"x"))], "doc_id long, page_index long, width long, height long, gray binary")
+    b = spark.createDataFrame([(1, 0, *x) for x in boxes] + [(9, 9, 0, 0.0, 0.0, 1.0, 1.0)], "doc_id long, page_index long, block_index long, x0 double, y0 double, x1 double, y1 double")
+    got = {r.block_index: r for r in crops.crop_boxes(pages, b).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5}
+    for k, x0, y0, x1, y1 in boxes:
+        l, t, r, d = (int(max(0.0, x0 - 0.005) * 50), int(max(0.0, y0 - 0.005) * 30), int(min(1.0, x1 + 0.005) * 50), int(min(1.0, y1 + 0.005) * 30))
+        part = image[t:d, l:r] if r > l and d > t else np.empty(0)
+        if not part.size:
+            assert (got[k].deviation, got[k].crop) == (None, None)
+            continue
+        assert abs(got[k].deviation - part.std()) < 1e-9
+        assert (got[k].crop is None) == (part.std() < 12) and (got[k].crop is None or bytes(got[k].crop) == part.tobytes())
+    assert got[0].crop is None and got[1].crop is not None
+    scale = min(16.0, max(256 / 11, 256 / 13))
+    assert (got[1].to_width, got[1].to_height) == (int((got[1].right - got[1].left) * min(16.0, max(256 / (got[1].right - got[1].left), 256 / (got[1].bottom - got[1].top)))), int((got[1].bottom - got[1].top) * min(16.0, scale)))
+    rows = spark.createDataFrame([(0.05, 3.0), (0.005, 3.0), (0.1, 3.0), (0.05, 1.5), (0.05, 12.0), (None, 3.0)], "ink double, stroke double")
+    assert [r[0] for r in rows.select(crops.handwritten(F.col("ink"), F.col("stroke"))).collect()] == [True, False, False, False, False, False]
