@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import materialise
+
 # Possessive forms of the base patterns: the same matches, without backtracking on long runs. A match may
 # start inside a run of its characters only where the match before it has ended (\G).
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -104,19 +106,40 @@ RANK = ("email", "ip", "card", "phone", "ssn", "name")
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string,before:string,base:boolean>>"
 
 
+BLOCK = 256
+
+
+def running(values: Column, f, zero: int) -> Column:
+    """``f`` of all numbers up to each one, in blocks: a fold that grows an array copies it at every step, so none may grow long."""
+
+    def fold(x: Column) -> Column:
+        start = F.struct(F.lit(zero).cast("long").alias("now"), F.array().cast("array<bigint>").alias("all"))
+
+        def step(acc: Column, v: Column) -> Column:
+            now = f(acc["now"], v.cast("long"))
+            return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+        return F.aggregate(x, start, step, lambda acc: acc["all"])
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda i: fold(F.slice(v, i, F.lit(BLOCK))))
+
+    def joined(inside: Column) -> Column:
+        ends = fold(F.transform(inside, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(zero).cast("long"))))
+        before = F.concat(F.array(F.lit(zero).cast("long")), ends)
+        return F.flatten(F.zip_with(inside, F.slice(before, 1, F.size(inside)), lambda b, o: F.transform(b, lambda x: f(o, x))))
+
+    # one-element arrays keep what is used twice made once
+    return F.get(F.transform(F.transform(F.array(values), blocks), joined), F.lit(0))
+
+
 def _spans(t: Column, k: Kind) -> Column:
     """Valid matches of one kind with their places and the 48 characters before each."""
     matches = F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))
     pieces = F.split(t, k.pattern, -1)
     pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     # where each match ends: a running sum over lengths, then one span for each match
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["p"]) + F.length(x["m"])
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["ends"], F.array(end.cast("long"))).alias("ends"))
-
-    ends = F.aggregate(pairs, zero, step, lambda acc: acc["ends"])
+    ends = running(F.transform(pairs, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, b: a + b, 0)
 
     def span(x: Column, end: Column) -> Column:
         return F.struct(
@@ -138,8 +161,26 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     base = F.concat(*[_spans(F.col("t"), k) for k in KINDS if k.base])
     loose = F.concat(*[_spans(F.col("t"), k) for k in KINDS if not k.base])
     out = slim.select("doc_id", base.alias("base"), loose.alias("loose"))
-    free = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("loose", free)
+    few = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    many = (F.size("loose").cast("long") * F.size("base")) > BLOCK * BLOCK
+    return out.withColumn("loose", F.when(F.size("loose") == 0, F.col("loose")).when(many, _apart(F.col("base"), F.col("loose"))).otherwise(few))
+
+
+def _apart(base: Column, loose: Column) -> Column:
+    """Loose spans that overlap no base span: of both sorted by start, the farthest base end so far and the next base start decide."""
+    never = (1 << 62) - 1
+    item = lambda s, side, i: F.struct(s["start"].alias("at"), F.lit(side).alias("side"), s["end"].alias("end"), i.cast("int").alias("i"))
+    items = F.sort_array(F.concat(F.transform(base, lambda b, i: item(b, 0, i)), F.transform(loose, lambda c, i: item(c, 1, i))))
+
+    def free(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: F.when(x["side"] == 0, x["end"]).otherwise(0)), F.greatest, 0)
+        comes = F.reverse(running(F.transform(F.reverse(s), lambda x: F.when(x["side"] == 0, x["at"]).otherwise(never)), F.least, never))
+        bounds = F.zip_with(reach, comes, lambda r, c: F.struct(r.alias("reach"), c.alias("comes")))
+        places = F.zip_with(s, bounds, lambda x, b: F.when((x["side"] == 1) & (b["reach"] <= x["at"]) & (b["comes"] >= x["end"]), x["i"]))
+        return F.sort_array(F.array_compact(places))
+
+    kept = F.get(F.transform(F.array(items), free), F.lit(0))
+    return F.transform(kept, lambda i: F.get(loose, i))
 
 
 def votes(s: Column, lists: Lists = LISTS) -> dict[str, Column]:
@@ -246,7 +287,7 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lists: Lists = LISTS) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as structs)."""
-    found = extract(docs, doc_id, text)
+    found = materialise(extract(docs, doc_id, text), "candidates")  # spans alone; extracted once
     model = fit(count_patterns(found, lists))
     added = F.filter("loose", lambda s: score(s, model, lists) >= 0.0)
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

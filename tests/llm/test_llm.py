@@ -499,6 +499,27 @@ def test_gazetteers_are_parameters(spark):
     assert pii.find(d.limit(0)).count() == 0
 
 
+def test_running_sums_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>")
+    got = {r.i: (r.s, r.m) for r in df.select("i", pii.running(F.col("v"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("v"), F.greatest, 0).alias("m")).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == ([sum(r[: k + 1]) for k in range(len(r))], [max(r[: k + 1]) for k in range(len(r))])
+
+
+def test_loose_spans_beside_many_base_spans(spark, monkeypatch):
+    """Both ways to find the loose spans that overlap no base span agree."""
+    rng = random.Random(3)
+    parts = ["ann@x.org", "+1 555 123 4567", "555-1234", "123-45-6789", "Mr. Smith", "10.0.0.1", "4111 1111 1111 1111", "word", "415.555.2671"]
+    texts = [" ".join(rng.choice(parts) + rng.choice(["", ",", "-1"]) for _ in range(n)) for n in (3, 40, 400)] + [None, "", "555-1234"]
+    results = []
+    for block in (256, 1):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        results.append(sorted((r.doc_id, str(r.base), str(r.loose)) for r in pii.extract(docs(spark, texts)).collect()))
+    assert results[0] == results[1] and any("ssn" in r[2] for r in results[0])
+
+
 # --- 8 shards
 
 
