@@ -645,15 +645,19 @@ def blocks_of(work: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) that connect what is linked, from regions (task, key, n, first), split by pivots until tasks fit.
 
-    Sets of regions that fit a task go to it at once; only those of larger regions are written.
+    Texts are read once for all sets. Without larger regions they go to their tasks at once; else they are written, as
+    those of larger regions are needed again.
     """
     sums = materialise(members.groupBy("task").agg(F.sum("n").alias("total"), F.lit(None).cast("long").alias("before")), "totals")
-    large, few = sums.where(F.col("total") > SHARE), sums.where(F.col("total") <= SHARE).select("task")
-    whole = sets_of(docs, members.join(few, "task").select("key", "task", "first"), doc_id, text).select("task", F.lit(2).alias("side"), "key", "s")
-    total = members.join(few, "task").agg(F.sum("n")).first()[0] or 0
+    large = sums.where(F.col("total") > SHARE)
+    wanted = members.join(sums.select("task", (F.col("total") > SHARE).alias("large")), "task").select("key", "task", "first", "large")
+    made = sets_of(docs, wanted, doc_id, text)
+    total = sums.where(F.col("total") <= SHARE).agg(F.sum("total")).first()[0] or 0
+    side = lambda df: df.select("task", F.lit(2).alias("side"), "key", "s")
     if not large.limit(1).count():
-        return materialise(_solved(whole, total), "links")
-    work = materialise(sets_of(docs, members.join(large.select("task"), "task").select("key", "task", "first"), doc_id, text), "sets")
+        return materialise(_solved(side(made), total), "links")
+    made = materialise(made, "sets")
+    whole, work = side(made.where("NOT large")), made.where("large").drop("large")
     links, ready = [], []
     own = work.select("task", "key", "n").distinct()
     sets = work
@@ -765,39 +769,39 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(task, key, n, s) for rows (task, key, first): sets made anew from the document of smallest id.
+    """(task, key, n, s, large) for rows (task, key, first, large): sets made anew from the document of smallest id.
 
     Documents without an id can't be joined by it; all of them are looked at and joined by class. A class may
     come more than once where ids repeat, at most once a task; that only repeats links.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
-    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key").hint("merge")  # as many ids as classes: dealt, at every size
+    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key", "large").hint("merge")  # as many ids as classes: dealt, at every size
     repeated = materialise(docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "repeated")
     if repeated.limit(1).count():
         # of ids with several rows, which may be of many classes, each class meets its own row alone
         several = slim.join(repeated, "id", "left_semi").withColumn("key", _key(F.col("t"))).where("key is not null").dropDuplicates(["id", "key"])
-        some = slim.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key").union(several.join(ids, ["id", "key"]).select("t", "task", "key"))
+        some = slim.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key", "large").union(several.join(ids, ["id", "key"]).select("t", "task", "key", "large"))
     else:
         some = slim.join(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            tasks, keys, sets = [], [], []
-            for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0))):
+            tasks, keys, sets, flags = [], [], [], []
+            for task, want, flag, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), shingle_sets(_texts(batch, 0))):
                 if len(s):
                     key = key_of(s)
                     if (want is None or want == key) and key not in seen:
                         if len(seen) < 500_000:
                             seen.add(key)
-                        tasks.append(task), keys.append(key), sets.append(s)
+                        tasks.append(task), keys.append(key), sets.append(s), flags.append(flag)
             sizes = [len(s) for s in sets]
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["task", "key", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(flags, pa.bool_())], ["task", "key", "n", "s", "large"])
 
-    kind = "task long, key binary, n long, s array<long>"
-    made = some.select("t", "task", "key").mapInArrow(make, kind)
-    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("binary").alias("key")).mapInArrow(make, kind)
-    more = nameless.drop("task").join(wanted.where("first is null").select("task", "key"), "key").select("task", "key", "n", "s")
+    kind = "task long, key binary, n long, s array<long>, large boolean"
+    made = some.select("t", "task", "key", "large").mapInArrow(make, kind)
+    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("boolean").alias("large")).mapInArrow(make, kind)
+    more = nameless.drop("task", "large").join(wanted.where("first is null").select("task", "key", "large"), "key").select("task", "key", "n", "s", "large")
     return made.union(more)
