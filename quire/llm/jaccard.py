@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from quire.llm.common import heavy_keys, materialise, salted_join
+from quire.llm.common import heavy_keys, marked, marks, materialise, salted_join
 
 SHINGLE = 5
 SMALL = 32
@@ -338,6 +338,9 @@ def candidates(rows: DataFrame) -> DataFrame:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
                 continue
+            new = np.ones(len(cols[0]), bool)  # tasks that saw copies of one class give the same rows
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            cols = [c[new] for c in cols]
             end = (cols[0][-1], cols[1][-1])
             cut = int(np.searchsorted(cols[0], end[0]))
             cut += int(np.searchsorted(cols[1][cut:], end[1]))
@@ -713,7 +716,9 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     classes = seen.where("kind = 0 and n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("node").alias("node"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
     hot = frequent(seen.where("kind = 1"))
-    edges = materialise(candidates(prefixes(docs, hot, text)), "stars")
+    # a class's shingles come from the document of its smallest id; marks may let copies pass, which changes nothing
+    named, rest = marked(docs.select(doc_id, text), doc_id, marks(classes.select("first"), "first"))
+    edges = materialise(candidates(prefixes(named.union(rest.where(F.col(f"`{doc_id}`").isNull())), hot, text)), "stars")
 
     # ends that are shingles are no classes and fall away here
     members = materialise(components(edges).join(classes, "node").select("key", F.col("label").alias("task"), "n", "first"), "members")
@@ -776,13 +781,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
     ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key", "large").hint("merge")  # as many ids as classes: dealt, at every size
+    known = marked(slim, "id", marks(ids, "id"))[0]  # only these texts are dealt
     repeated = materialise(docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "repeated")
     if repeated.limit(1).count():
         # of ids with several rows, which may be of many classes, each class meets its own row alone
-        several = slim.join(repeated, "id", "left_semi").withColumn("key", _key(F.col("t"))).where("key is not null").dropDuplicates(["id", "key"])
-        some = slim.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key", "large").union(several.join(ids, ["id", "key"]).select("t", "task", "key", "large"))
+        several = known.join(repeated, "id", "left_semi").withColumn("key", _key(F.col("t"))).where("key is not null").dropDuplicates(["id", "key"])
+        some = known.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key", "large").union(several.join(ids, ["id", "key"]).select("t", "task", "key", "large"))
     else:
-        some = slim.join(ids, "id")
+        some = known.join(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

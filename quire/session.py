@@ -56,14 +56,25 @@ def clean_up(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Unlike a cached or locally checkpointed frame it survives the loss of any executor.
+    Unlike a cached or locally checkpointed frame it survives the loss of any executor. What the write shuffled is freed with it,
+    so the steps of a job hold their tables and the shuffle of one step on disk, not those of all.
     """
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, tag)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before) if before else spark.conf.unset(FREED)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def rank(df: DataFrame, order: list, name: str) -> DataFrame:

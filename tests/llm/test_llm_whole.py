@@ -22,3 +22,38 @@ def test_keep_first_with_repeated_and_missing_ids(spark):
         rest = [r for r in got if r[0] is not None or not r[1].startswith("f")]
         assert sorted(rest, key=str) == sorted([(1, a), (5, c), (7, b), (7, e), (8, ""), (8, words("g")), (None, "")], key=str)
         assert len(got) == len(rest) + 1
+
+
+def test_marks_let_every_key_pass(spark):
+    from quire.llm.common import marked, marks
+
+    df = spark.createDataFrame([(i,) for i in [None, *range(-500, 5000)]], "`doc.id` long")
+    hit, rest = marked(df, "doc.id", marks(spark.range(0, 5000, 7), "id"))
+    hit, rest = [r[0] for r in hit.collect()], [r[0] for r in rest.collect()]
+    assert set(range(0, 5000, 7)) <= set(hit) and None in rest and len(hit) < 800 and len(hit) + len(rest) == 5501
+
+
+def test_chains_of_copies_are_not_made(spark):
+    from quire.llm import jaccard
+
+    # five classes that may not link by the place of their shingle: a chain, as of a group of over 32 rows, would tie them
+    rows = [(7, 0, node, (100 << 32) + 20) for node in range(5)]
+    rows = spark.createDataFrame(rows * 9, "shingle long, salt long, node long, place long")
+    assert jaccard.candidates(rows).count() == 0
+
+
+def test_a_write_frees_what_it_shuffled(spark):
+    import time
+
+    from quire.session import FREED, materialise
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    out = materialise(spark.range(10_000).repartition(4, "id"), "freed")
+    end = time.time() + 10  # they go in the background
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(FREED, None) is None and out.count() == 10_000
