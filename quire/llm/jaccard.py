@@ -761,7 +761,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     name = lambda c: F.col(f"`{c}`")
     hot = F.coalesce(name(doc_id).isin(heavy), F.lit(False)) if heavy else F.lit(False)
     plain = kept.where("id is not null").join(many, "id", "left_anti").select(F.col("id").alias("_id"))
-    first = docs.where(~hot).join(plain.hint("merge"), name(doc_id) == F.col("_id"), "left_semi")
+    # most documents stay: only rows that may go, or share an id, are dealt to be looked up
+    doubtful = ids.where("id is not null").join(plain, F.col("id") == F.col("_id"), "left_anti").select("id")
+    asked, sure = marked(docs, doc_id, marks(doubtful, "id"))
+    first = sure.where(name(doc_id).isNotNull()).union(asked.where(~hot).join(plain.hint("merge"), name(doc_id) == F.col("_id"), "left_semi"))
     if not many.limit(1).count() and not ids.where("id is null and rows > 0").limit(1).count():
         return first
     some = docs.where(name(doc_id).isNull() | hot).union(docs.where(~hot).join(many.select(F.col("id").alias("_id")), name(doc_id) == F.col("_id"), "left_semi"))
