@@ -269,7 +269,7 @@ def calibration_grades(spark, sf):
 def decoded_pages(spark, sf):
     """SRC-01: documents in files, their lines as pages of an injected decoder."""
     path = shared_dir(spark, "binary")
-    spread(table(spark, sf, "documents")).where("text IS NOT NULL").select(F.col("text").alias("value")).write.text(path)
+    spread(table(spark, sf, "documents")).where("text IS NOT NULL").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 10_000).text(path)  # a file is read whole
     pages = D.decode_pages(spark, path, lambda data: enumerate(data.removesuffix(b"\n").split(b"\n")))
     return pages.where("error IS NULL").groupBy(F.decode("image", "UTF-8").alias("line")).agg(F.count("*").alias("n"))
 

@@ -116,3 +116,20 @@ def test_crops(spark):
     assert (got[1].to_width, got[1].to_height) == (int((got[1].right - got[1].left) * min(16.0, max(256 / (got[1].right - got[1].left), 256 / (got[1].bottom - got[1].top)))), int((got[1].bottom - got[1].top) * min(16.0, scale)))
     rows = spark.createDataFrame([(0.05, 3.0), (0.005, 3.0), (0.1, 3.0), (0.05, 1.5), (0.05, 12.0), (None, 3.0)], "ink double, stroke double")
     assert [r[0] for r in rows.select(crops.handwritten(F.col("ink"), F.col("stroke"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_many_small_pages_leave_in_few_frames(spark, tmp_path):
+    import time
+
+    for name, n in (("good", 100_000), ("bad", 3)):
+        (tmp_path / name).write_bytes(b"\n".join(b"%d" % i for i in range(n)))
+
+    def decoder(data):
+        yield from enumerate(data.split(b"\n"))
+        if len(data) < 10:
+            raise ValueError("broken")
+
+    began = time.time()
+    rows = D.decode_pages(spark, str(tmp_path), decoder).groupBy(F.element_at(F.split("path", "/"), -1).alias("file"), "error").agg(F.count("*"), F.sum(F.col("image").cast("string").cast("long") - F.col("page_index"))).collect()
+    assert sorted(map(tuple, rows), key=str) == [("bad", "broken", 1, None), ("bad", None, 3, 0), ("good", None, 100_000, 0)]
+    assert time.time() - began < 30
