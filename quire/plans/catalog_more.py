@@ -829,7 +829,7 @@ def streamed_expiry(spark, sf):
     path = shared_dir(spark, "artifacts")
     o.write.parquet(path)
     stream = spark.readStream.schema(o.schema).parquet(path)  # in one micro-batch: files needn't follow the clock
-    return st.replay(stream, st.expiry, "expiry", "append").drop("batch")
+    return st.replay(stream, lambda s: st.expiry(s, keys=1 << 14), "expiry", "append").drop("batch")
 
 
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS client, event_id AS seq, epoch_us(ts) AS at_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
