@@ -184,10 +184,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def chunk_documents(docs: DataFrame, most: int = 4000) -> DataFrame:
-    """(doc_id, chunk_index, chunk) (STR-23)."""
+    """(doc_id, chunk_index, chunk) (STR-23), for a few documents of a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             rows = [(d, i, c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(k.chunks(t or "", most))]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "chunk_index", "chunk"])

@@ -105,3 +105,20 @@ def test_glossaries_of_over_a_million_entries(spark, tmp_path):
     assert S.read_table(pairs, "source", "target").count() == 1_000_001
     with pytest.raises(ValueError):
         S.read(spark, "csv", str(tmp_path / "big"), max_entries=1_000_000)
+
+
+def test_chunks_of_a_batch_leave_in_parts():
+    import pyarrow as pa
+
+    from quire.operators import paged
+
+    class Docs:  # stands for a frame: what its batches become
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, kind):  # noqa: N802
+            batch = pa.record_batch({"doc_id": list(range(1_000)), "text": [f"a{i}. " * 9 for i in range(999)] + [None]})
+            return list(run(iter([batch])))
+
+    parts = paged.chunk_documents(Docs(), 20)
+    assert len(parts) == 4 and [i for p in parts for i in sorted(set(p["doc_id"].to_pylist()))][:999] == list(range(999))
