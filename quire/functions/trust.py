@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,43 @@ def gave_up(text: Column) -> Column:
     return out
 
 
+def _repeating(texts: list[str], window: int) -> np.ndarray:
+    """Of each text, whether some window of it occurs three times: windows of all, hashed with their text's place and sorted."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
+    m = max(0, len(codes) - window + 1)
+    h = (own[:m] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    for k in range(window):
+        h = (h + codes[k : k + m] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    inside = own[:m] == own[window - 1 :]
+    h, own = h[inside], own[:m][inside]
+    s = np.sort(h)
+    found = np.zeros(len(texts), bool)
+    found[own[np.isin(h, s[2:][s[2:] == s[:-2]])]] = True
+    return found
+
+
 def repeats(text: Column, window: int = 6) -> Column:
     """Some substring of ``window`` characters occurs three times, overlaps counted (STR-12).
 
-    The text is split into characters once and windows are hashed from them, as a substring would walk the text from its
-    start for each. Sorted hashes with an equal one two places on: linearithmic. Windows are told apart by 64-bit hashes.
+    Windows of some 2^18 characters of texts at a time are told apart by 64-bit hashes. Linearithmic.
     """
-    n = F.length(text)
-    letters = F.split(text, "")
 
-    def hashes(s: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(s) - window), lambda i: F.xxhash64(*[F.get(s, i + k) for k in range(window)])))
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        out, group, size = np.zeros(len(texts), bool), [], 0
+        for i, t in enumerate(texts):
+            if t is not None and len(t) >= 3 * window:
+                group.append((i, t))
+                size += len(t)
+            if group and (size >= 1 << 18 or i == len(texts) - 1):
+                out[[j for j, _ in group]] = _repeating([x for _, x in group], window)
+                group, size = [], 0
+        return pd.Series(out)
 
-    all_ = F.get(F.transform(F.array(letters), hashes), F.lit(0))
-    found = F.transform(F.array(all_), lambda s: F.exists(F.zip_with(s, F.slice(s, 3, F.greatest(F.size(s), F.lit(1))), lambda a, b: a == b), lambda x: x))
-    return F.coalesce(F.when(n >= 3 * window, F.get(found, F.lit(0))), F.lit(False))
+    return run(text)
 
 
 def plausible_length(text: Column, area: Column, pixels: Column, least: float = 1e-4) -> Column:
@@ -57,7 +81,7 @@ def cross_checked(level: Column, text: Column, second: Column, error: Column, th
     Blank text isn't checked.
     """
     failed = error.isNotNull() | second.isNull()
-    differs = F.coalesce(normalised_distance(text, second) > threshold, F.lit(False))
+    differs = F.coalesce(beyond(text, second, threshold), F.lit(False))
     raised = F.when(failed, F.greatest(level, F.lit(1))).when(differs, F.least(F.lit(3), level + 2)).otherwise(level)
     return F.when(strip(F.coalesce(text, F.lit(""))) == "", 0).otherwise(raised)
 
@@ -72,6 +96,48 @@ def normalised_distance(a: Column, b: Column, most: int = 1024) -> Column:
     )
 
 
+def _beyond(a: str, b: str, share: float) -> bool:
+    """Whether the edit distance is over ``share`` of the longer length: a column of the table at a time as bits of a number (Myers 1999).
+
+    What is left of ``b`` can lower the distance by one a character, so most pairs are decided before its end.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    n = len(a)
+    if a == b or (n - len(b)) / n > share:
+        return a != b
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    ones, top, d = (1 << n) - 1, 1 << n - 1, n
+    plus, minus = ones, 0
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        x = at.get(c, 0)
+        vertical = x | minus
+        x = (((x & plus) + plus) ^ plus) | x
+        up, down = minus | ~(x | plus) & ones, plus & x
+        d += 1 if up & top else -1 if down & top else 0
+        if (d - left) / n > share:
+            return True
+        up, down = up << 1 & ones | 1, down << 1 & ones
+        plus, minus = down | ~(vertical | up) & ones, up & vertical
+    return d / n > share
+
+
+def beyond(a: Column, b: Column, share: float, most: int = 1024) -> Column:
+    """``normalised_distance`` is over ``share`` (not below 0), without the distance itself: equal texts and lengths too far apart don't reach Python."""
+    x, y = F.substring(a, 1, most), F.substring(b, 1, most)
+    p, q = F.length(x), F.length(y)
+    far = (F.greatest(p, q) - F.least(p, q)) / F.greatest(p, q, F.lit(1)) > share
+
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or v is None else _beyond(u, v, share) for u, v in zip(s, t)], dtype="object")
+
+    near = (x != y) & ~far
+    return F.when(x.isNull() | y.isNull(), None).when(x == y, False).when(far, True).otherwise(run(F.when(near, x), F.when(near, y)))
+
+
 def calibrate(raw: Column, a: Column | float | None, b: Column | float | None) -> Column:
     """Clamped raw through a sigmoid; without parameters the clamped raw (MATH-03)."""
     r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))

@@ -158,6 +158,7 @@ def script(c: Column) -> Column:
     """struct(script, confidence): the script of most letters and its share; kana and hangul are named CJK (STR-17).
 
     Letters are counted per range, and beyond all ranges by their script property. Of equals the one seen first wins.
+    A text whose letters are all of the Latin range is counted once.
     """
     spans = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in k.SCRIPTS.values())
     counts = []
@@ -172,7 +173,10 @@ def script(c: Column) -> Column:
         named = F.when(top["name"].isin("Hiragana", "Katakana", "Hangul"), "CJK").otherwise(top["name"])
         return F.struct(F.when(total > 0, named).alias("script"), F.when(total > 0, top["n"] / total).alias("confidence"))
 
-    return F.get(F.transform(F.array(F.array(*counts)), best), F.lit(0))
+    lo, hi = k.SCRIPTS["Latin"]
+    some = c.rlike(r"\p{L}")
+    latin = F.struct(F.when(some, "Latin").alias("script"), F.when(some, 1.0).alias("confidence"))
+    return F.when(~c.rlike(f"[\\p{{L}}&&[^\\x{{{lo:x}}}-\\x{{{hi:x}}}]]"), latin).otherwise(F.get(F.transform(F.array(F.array(*counts)), best), F.lit(0)))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -737,8 +737,8 @@ def cross_checked_level(spark, sf):
 
         return f
 
-    b = D.with_model(b.withColumn("first", level), ["text", "block_index"], "second", "string", reader)
-    return b.select("doc_id", "page_index", "block_index", trust.cross_checked(F.col("first"), F.col("text"), F.col("second"), F.col("second_error")).alias("level"))
+    b = D.with_model(b, ["text", "block_index"], "second", "string", reader)
+    return b.select("doc_id", "page_index", "block_index", trust.cross_checked(level, F.col("text"), F.col("second"), F.col("second_error")).alias("level"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN NULL ELSE '{"line":' || l_linenumber || ',"rates":[' || l_discount || ',' || l_tax || '],"notes":{"flag":"' || l_returnflag || '"}}' END AS json, CASE WHEN bad THEN 'number is not finite' END AS fault

@@ -130,3 +130,39 @@ def test_blocks_of_documents_without_a_language(spark):
     d = spark.createDataFrame([(5, "a\nb\nc\nd\ne\nf", None, "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
     row = B.blocks_view(d).where("block_index = 5").first()
     assert row.text is None and row.x0 is None and row.y1 == 1.0
+
+
+def test_distance_beyond_a_share_as_by_the_distance_itself(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quire.functions import trust
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abß😀 ") for _ in range(n))
+    pairs = [(None, "a"), ("a", None), ("", ""), ("", "a"), ("a", ""), ("x" * 1024 + "a", "x" * 1024 + "b")]
+    for n in [*range(1, 40), 64, 65, 130, 1300]:
+        a = word(n)
+        pairs += [(a, a[::-1]), (a, a), (a, word(n)), (a, "".join(c for c in a if r.random() < 0.7) + "b"), (a[: n // 3], a)]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    for share in (0.0, 0.25, 0.4, 0.6):
+        rows = d.select("a", "b", trust.beyond(F.col("a"), F.col("b"), share).alias("got"), (trust.normalised_distance(F.col("a"), F.col("b")) > share).alias("want"))
+        assert not [r for r in rows.collect() if r.got != r.want]
+
+
+def test_repeats_as_by_counting(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from quire.functions import trust
+
+    r = random.Random(4)
+    texts = [None, "", "a" * 17, "a" * 18, "😀" * 18] + ["".join(r.choice("ab😀"[: 2 + i % 2]) for _ in range(i)) for i in range(12, 150)] + [t * 3 for t in ("abcdef", "abcde", "äöüßéè")]
+    texts += ["".join(map(chr, range(0x100, 0x100 + 300_000))).replace("\ud800", ""), "".join(f"{i:06d}" for i in range(60_000))]
+    texts = [t and "".join(c for c in t if not 0xD800 <= ord(c) < 0xE000) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for i, t, got in d.select("i", "t", trust.repeats(F.col("t"))).collect():
+        assert got == (t is not None and len(t) >= 18 and max(Counter(t[k : k + 6] for k in range(len(t) - 5)).values()) >= 3), i
