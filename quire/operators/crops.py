@@ -52,23 +52,31 @@ def crop_boxes(pages: DataFrame, boxes: DataFrame, padding: float = PADDING, lea
     lists = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     met = pages.select(*PAGE, F.col("width").cast("int"), F.col("height").cast("int"), "gray").join(lists, list(PAGE))
 
+    def cut(page: dict, out: dict[str, list]) -> int:
+        """The rows of a page's boxes; the size of their crops."""
+        width, height = page["width"], page["height"]
+        gray, size = np.frombuffer(page["gray"], np.uint8).reshape(height, width), 0
+        where = rectangles(np.array([x["box"] for x in page["boxes"]], float), width, height, padding)
+        for x, (l, t, r, d), dev in zip(page["boxes"], where.tolist(), deviations(gray, where).tolist()):
+            crop = to = None
+            if dev == dev and not (blank > 0 and dev < blank):
+                w, h = r - l, d - t
+                scale = min(MOST_SCALE, max(least_side / w, least_side / h)) if min(w, h) < least_side else 1.0
+                crop, to = gray[t:d, l:r].tobytes(), (int(w * scale), int(h * scale))
+                size += len(crop)
+            row = (page["doc_id"], page["page_index"], x["block_index"], l, t, r, d, dev if dev == dev else None, crop, *(to or (None, None)))
+            for values, v in zip(out.values(), row):
+                values.append(v)
+        return size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for page in b.to_pylist():
-                width, height = page["width"], page["height"]
-                gray = np.frombuffer(page["gray"], np.uint8).reshape(height, width)
-                where = rectangles(np.array([x["box"] for x in page["boxes"]], float), width, height, padding)
-                rows = []
-                for x, (l, t, r, d), dev in zip(page["boxes"], where.tolist(), deviations(gray, where).tolist()):
-                    row = {"doc_id": page["doc_id"], "page_index": page["page_index"], "block_index": x["block_index"], "left": l, "top": t, "right": r, "bottom": d}
-                    if dev == dev:
-                        row["deviation"] = dev
-                        if not (blank > 0 and dev < blank):
-                            w, h = r - l, d - t
-                            scale = min(MOST_SCALE, max(least_side / w, least_side / h)) if min(w, h) < least_side else 1.0
-                            row |= {"crop": gray[t:d, l:r].tobytes(), "to_width": int(w * scale), "to_height": int(h * scale)}
-                    rows.append(row)
-                yield pa.RecordBatch.from_pylist(rows, schema=CROP)
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            out, size = {c: [] for c in CROP.names}, 0
+            for row in range(b.num_rows):
+                size += cut({c: b.column(c)[row].as_py() for c in b.schema.names}, out)
+                if size > 1 << 24 or row == b.num_rows - 1:  # a batch of its own costs more than a small page
+                    yield pa.RecordBatch.from_pydict(out, schema=CROP)
+                    out, size = {c: [] for c in CROP.names}, 0
 
     return met.mapInArrow(run, CROP_DDL)
 

@@ -133,3 +133,14 @@ def test_many_small_pages_leave_in_few_frames(spark, tmp_path):
     rows = D.decode_pages(spark, str(tmp_path), decoder).groupBy(F.element_at(F.split("path", "/"), -1).alias("file"), "error").agg(F.count("*"), F.sum(F.col("image").cast("string").cast("long") - F.col("page_index"))).collect()
     assert sorted(map(tuple, rows), key=str) == [("bad", "broken", 1, None), ("bad", None, 3, 0), ("good", None, 100_000, 0)]
     assert time.time() - began < 30
+
+
+def test_crops_of_many_pages_leave_together(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import crops
+
+    pages = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("page_index"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.unhex(F.lit("00ff00ff")).alias("gray")).coalesce(1)
+    b = pages.select("doc_id", "page_index", F.explode(F.expr("array(0L, 1L)")).alias("block_index"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    got = crops.crop_boxes(pages, b)
+    assert got.select("doc_id", "block_index").distinct().count() == 1200 and got.where("hex(crop) = '00FF00FF' and deviation = 127.5").count() == 1200
