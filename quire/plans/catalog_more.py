@@ -682,8 +682,7 @@ STUBS = {
 def stub_models(spark, sf):
     """EXT-01 to EXT-16, UDF-04, UDF-05, UDF-10: each seam with a stub over a whole table."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    for name, (kind, stub, _) in STUBS.items():
-        c = D.with_model(c, ["text"], name, kind, stub)
+    c = D.with_models(c, ["text"], {name: (kind, stub) for name, (kind, stub, _) in STUBS.items()})
     errors = F.nullif(F.concat_ws("", *[F.col(f"{n}_error") for n in STUBS]), F.lit("")).alias("errors")
     return c.select("conv_id", "turn", *STUBS, errors)
 

@@ -224,21 +224,32 @@ def with_model(df: DataFrame, inputs: list[str], output: str, kind: str, model:
 
     The seam of recognisers, translators, embedders, judges and crops (EXT-*, UDF-05, UDF-10).
     """
+    return with_models(df, inputs, {output: (kind, model)})
 
-    @F.pandas_udf(f"value {kind}, error string")
+
+def with_models(df: DataFrame, inputs: list[str], models: dict[str, tuple[str, Callable[[], Callable]]]) -> DataFrame:
+    """``with_model`` for several models (output: type, model) of the same inputs, which share a Python worker: one each would stay up at once."""
+
+    @F.pandas_udf(", ".join(f"`{name}` {kind}, `{name}_error` string" for name, (kind, _) in models.items()))
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        f = model()
+        made = {name: model() for name, (_, model) in models.items()}
         for cols in parts:
-            out = []
-            for row in zip(*(cols if isinstance(cols, tuple) else (cols,))):
-                try:
-                    out.append((f(*row), None))
-                except Exception as e:  # an error is a value here, not a lost task
-                    out.append((None, str(e)))
-            yield pd.DataFrame(out, columns=["value", "error"])
+            cols, out = cols if isinstance(cols, tuple) else (cols,), {}
+            for name, f in made.items():
+                values, errors = [], []
+                for row in zip(*cols):
+                    value = error = None
+                    try:
+                        value = f(*row)
+                    except Exception as e:  # an error is a value here, not a lost task
+                        error = str(e)
+                    values.append(value)
+                    errors.append(error)
+                out |= {name: values, f"{name}_error": errors}
+            yield pd.DataFrame(out)
 
     tmp = df.withColumn("_m", run(*[F.col(c) for c in inputs]))
-    return tmp.withColumn(output, F.col("_m.value")).withColumn(f"{output}_error", F.col("_m.error")).drop("_m")
+    return tmp.withColumns({c: F.col(f"_m.`{c}`") for name in models for c in (name, f"{name}_error")}).drop("_m")
 
 
 def detect(pages: DataFrame, detector: Callable[[], Callable[[list], list]], tries: int = 4) -> DataFrame:

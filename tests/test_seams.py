@@ -144,3 +144,20 @@ def test_crops_of_many_pages_leave_together(spark):
     b = pages.select("doc_id", "page_index", F.explode(F.expr("array(0L, 1L)")).alias("block_index"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
     got = crops.crop_boxes(pages, b)
     assert got.select("doc_id", "block_index").distinct().count() == 1200 and got.where("hex(crop) = '00FF00FF' and deviation = 127.5").count() == 1200
+
+
+def test_models_share_a_worker(spark):
+    from quire.sources import documents as D
+
+    def fails():
+        def f(t):
+            raise ValueError(f"no {t}")
+
+        return f
+
+    df = spark.createDataFrame([("ab",), (None,)], "text string").coalesce(1)
+    out = D.with_models(df, ["text"], {"n": ("int", lambda: lambda t: len(t)), "v": ("array<double>", lambda: lambda t: [1.0]), "bad": ("string", fails)})
+    assert out.columns == ["text", "n", "n_error", "v", "v_error", "bad", "bad_error"]
+    rows = out.collect()
+    assert tuple(rows[0]) == ("ab", 2, None, [1.0], None, None, "no ab") and rows[1].n is None and rows[1].n_error and rows[1].v == [1.0]
+    assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1
