@@ -83,6 +83,11 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _few(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of a few documents, as all of one as strings may be many times what is wanted in memory."""
+    return (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -142,7 +147,7 @@ def fit(documents: DataFrame, id_: str = "doc_id", text: str = "text", lang: str
     def counted(batches):
         """Occurrences of each bucket on the positive side of every bit, and in all."""
         seen = np.zeros((BUCKETS, bits + 1), np.int64)
-        for b in batches:
+        for b in _few(batches):
             for l, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 side = np.append(code[place[l]] > 0, True).astype(np.int64)
                 for g in grams(t):
@@ -163,7 +168,7 @@ def fit(documents: DataFrame, id_: str = "doc_id", text: str = "text", lang: str
 
     def right(batches):
         """How often each bit is right on each language."""
-        for b in batches:
+        for b in _few(batches):
             langs = b.column("lang").to_pylist()
             hits = [(first.code[place[l]] * first.margins(t) > 0).astype(int).tolist() for l, t in zip(langs, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hits, pa.list_(pa.int64()))], names=["lang", "hits"])
@@ -179,7 +184,7 @@ def identify(documents: DataFrame, model: Model, id_: str = "doc_id", text: str
     """(id, held_out, lang_pred, score, ambiguous, runner_up) of every document; only its text is judged."""
 
     def judged(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for t in b.column("text").to_pylist():
                 if t is None or not model.languages:

@@ -78,3 +78,13 @@ def test_codewords():
         assert len(rows) == n and len(columns) == code.shape[1] and (np.abs(code.sum(axis=0)) < n).all()
         least = min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i])
         assert least >= (2 ** (n - 2) if n <= language.EXHAUSTIVE else 4 + code.shape[1] // 5)
+
+
+def test_a_batch_is_judged_a_few_documents_at_a_time():
+    import pyarrow as pa
+
+    from quire.llm import language
+
+    b = pa.RecordBatch.from_pydict({"id": list(range(300))})
+    parts = list(language._few(iter([b, b.slice(0, 0), b])))
+    assert max(p.num_rows for p in parts) <= 128 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(300), *range(300)]
