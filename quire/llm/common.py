@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import materialise, rank, shared_dir, spread
+from quire.session import materialise, rank, shared_dir, small_table, spread
 
-__all__ = ["heavy_keys", "lower_ascii", "marked", "marks", "materialise", "rank", "read", "salted_join", "shared_dir"]
+__all__ = ["few", "heavy_keys", "lower_ascii", "marked", "marks", "materialise", "rank", "read", "salted_join", "shared_dir", "small_table"]
 
 #: Places of a table of marks, 16 MB in 4,096 rows whatever the input.
 MARKS, PAGE = 1 << 27, 1 << 15
@@ -20,6 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(df) if table in ("documents", "pages") else df
 
 
+def few(batches: Iterator[pa.RecordBatch], most: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, some at a time: what a kernel makes of 10,000 texts may be many times what a worker should hold."""
+    return (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

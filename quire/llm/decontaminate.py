@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import few, materialise
 
 WINDOW = 10
 #: Words of one automaton: about 100 bytes each for the vocabulary, three edges of 12 bytes and two states of 12.
@@ -241,7 +241,7 @@ def _with_hits(docs: DataFrame, benchmark: Benchmark, text: str) -> DataFrame:
 def _hits(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = shared.value
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 spans, found = sam.match(words_of(t.as_py() or b""))
@@ -269,7 +269,7 @@ def digest(docs: DataFrame, benchmark: Benchmark, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = None if many else shared.value
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for i, t in enumerate(batch.column(1)):
                 words = words_of(t.as_py() or b"")
@@ -319,7 +319,7 @@ def clean(docs: DataFrame, benchmark: Benchmark, max_coverage: float = 0.2, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = None if many else shared.value
-        for batch in batches:
+        for batch in few(batches):
             done = []
             for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
                 words = words_of(t or b"")

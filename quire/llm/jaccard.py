@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from quire.llm.common import heavy_keys, marked, marks, materialise, salted_join
+from quire.llm.common import few, heavy_keys, marked, marks, materialise, salted_join
 
 SHINGLE = 5
 SMALL = 32
@@ -55,6 +55,8 @@ SAMPLE = 64
 HOT_SHINGLES = 1_000_000
 PIVOTS = 8
 SALTED = 4_096
+#: Shingles that a task of ``signatures`` holds before it counts those that came again.
+WAITING = 6_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ PIECE = 1 << 20
 _LENGTH = np.uint64(0xA24BAED4963EE407)
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def _long_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
@@ -167,19 +169,24 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
     return (x.as_py() for x in batch.column(column))
 
 
+def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that come more than once, in order, and how often. Sorts ``hashes`` in place, so it holds no copy of them."""
+    hashes.sort()
+    edges = np.diff((hashes[1:] == hashes[:-1]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts = np.flatnonzero(edges == 1)
+    return hashes[starts], np.flatnonzero(edges == -1) - starts + 1
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Kind 0: (id, n, key, node) of each document. Kind 1: (node: shingle, n: sets with it) as seen by one task, from 2."""
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
     names = ["kind", "id", "n", "key", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, size, counts, id_type = set(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64)), None
+        seen, waiting, size, counts, id_type = set(), np.empty(WAITING, np.int64), 0, (np.empty(0, np.int64), np.empty(0, np.int64)), None
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            if not waiting:
-                return counts
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            keys, n = keys[n > 1], n[n > 1]
+            keys, n = repeated(waiting[:size])
             if len(counts[0]):
                 keys, where = np.unique(np.concatenate((counts[0], keys)), return_inverse=True)
                 n = np.bincount(where, np.concatenate((counts[1], n)), len(keys)).astype(np.int64)
@@ -188,7 +195,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 keys, n = keys[top], n[top]
             return keys, n
 
-        for batch in batches:
+        for batch in few(batches):
             n, keys, id_type = [], [], batch.column(0).type
             for s in shingle_sets(_texts(batch, 1)):
                 n.append(len(s))
@@ -197,10 +204,11 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 if len(s) and key not in seen:
                     if len(seen) < 500_000:
                         seen.add(key)
-                    waiting.append(s)
-                    size += len(s)
-                if size > 6_000_000:
-                    counts, waiting, size = merged(), [], 0
+                    if size + len(s) > WAITING:
+                        counts, size = merged(), 0
+                    if len(s) <= WAITING:  # no shingle of a set comes again in it
+                        waiting[size : size + len(s)] = s
+                        size += len(s)
             nodes = [None if k is None else node_of(k) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names)
         keys, n = merged()
@@ -233,7 +241,7 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], text: str = "t
         seen, (late, level) = set(), shared.value
         maybe = np.zeros(1 << 22, bool)
         maybe[late & (len(maybe) - 1)] = True
-        for batch in batches:
+        for batch in few(batches):
             out, nodes, places, ranks = [], [], [], []
             for s in shingle_sets(_texts(batch, 0)):
                 if not len(s) or (key := key_of(s)) in seen:
@@ -795,7 +803,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataF
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in few(batches):
             tasks, keys, sets, flags = [], [], [], []
             for task, want, flag, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), shingle_sets(_texts(batch, 0))):
                 if len(s):

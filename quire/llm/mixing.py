@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import heavy_keys, materialise, rank, salted_join
+from quire.llm.common import heavy_keys, materialise, rank, salted_join, small_table
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -188,7 +188,7 @@ def source_table(by: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: floa
         want = targets([(r["source"], r["source_size"]) for r in known], weights, total, cap)
         order = sorted((r for r in known if r["source"] is not None), key=lambda r: r["source"].encode()) + [r for r in known if r["source"] is None]
         rows = [("" if r["source"] is None else "=" + r["source"], i, r["source_size"], float(want[r["source"]])) for i, r in enumerate(order)]
-        return spark.createDataFrame(rows, "skey string, sid long, source_size long, target double"), True
+        return small_table(spark, rows, skey=pa.string(), sid=pa.int64(), source_size=pa.int64(), target=pa.float64()), True
     ranked = rank(by.select(_key(F.col("source")).alias("skey"), F.col("source").isNull().alias("none"), "source_size"), ["none", "skey"], "sid")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     ranked = materialise(ranked.select("skey", "sid", "source_size", weight.alias("weight")), "sources")

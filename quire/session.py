@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few rows that the driver made, sent as Arrow: rows of Python objects would start further Python workers on all executors."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items())}))
+
+
 def _root(spark: SparkSession) -> str:
     """The folder of a session's intermediate tables, under ``spark.checkpoint.dir``.
 
@@ -87,7 +94,7 @@ def rank(df: DataFrame, order: list, name: str) -> DataFrame:
     for r, n in sorted(ranges.groupBy("_range").count().collect()):
         starts.append((r, total))
         total += n
-    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start long"))  # a row per range
+    table = F.broadcast(small_table(df.sparkSession, starts, _range=pa.int32(), _start=pa.int64()))  # a row per range
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     placed = ranges.withColumn(name, within).join(table, "_range")
     return placed.withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")

@@ -57,3 +57,54 @@ def test_a_write_frees_what_it_shuffled(spark):
     while files() - before and time.time() < end:
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(FREED, None) is None and out.count() == 10_000
+
+
+def test_repeated_hashes_are_counted_in_place():
+    import tracemalloc
+
+    import numpy as np
+
+    for n, values in [(0, 1), (1, 1), (2, 1), (2, 9), (1000, 40), (1000, 5000)]:
+        hashes = np.random.default_rng(n + values).integers(-values, values, n)
+        keys, times = np.unique(hashes, return_counts=True)
+        got = jaccard.repeated(hashes)
+        assert [x.tolist() for x in got] == [keys[times > 1].tolist(), times[times > 1].tolist()]
+    many = np.random.default_rng(1).integers(0, 1 << 62, 1_000_000)
+    tracemalloc.start()
+    jaccard.repeated(many)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < many.nbytes  # unique made several copies
+
+
+def test_kernels_take_some_texts_of_a_batch_at_a_time(spark):
+    import pyarrow as pa
+
+    from quire.llm.common import few
+
+    batch = pa.table({"x": list(range(2_500))}).to_batches()[0]
+    parts = list(few(iter([batch, batch.slice(0, 0), batch])))
+    assert max(p.num_rows for p in parts) <= 1_000 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(2_500)] * 2
+    d = spark.range(0, 2_500, 1, 1).selectExpr("id", "concat('a b c d e ', id) AS t")
+    seen = jaccard.signatures(d, "id", "t")
+    assert seen.where("kind = 0").count() == 2_500 and seen.where("kind = 1").collect()[0]["n"] == 2_500
+
+
+def test_tables_of_the_driver_start_no_python_on_executors(spark):
+    import pyarrow as pa
+
+    from quire.llm import mixing
+    from quire.session import rank, small_table
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    by = spark.createDataFrame([("a", 10, 2), (None, 4, 1), ("b", 0, 1)], "source string, source_size long, n long")
+    table, small = mixing.source_table(by)
+    assert small and "LocalRelation" in plan(table) and "RDD" not in plan(table)
+    assert table.dtypes == [("skey", "string"), ("sid", "bigint"), ("source_size", "bigint"), ("target", "double")]
+    assert sorted((r.skey, r.sid, r.source_size) for r in table.collect()) == [("", 2, 4), ("=a", 0, 10), ("=b", 1, 0)]
+    assert small_table(spark, [], x=pa.int32()).count() == 0
+    ranked = rank(spark.range(50).repartition(3), ["id"], "at")
+    assert "ExistingRDD" not in plan(ranked) and "LogicalRDD" not in plan(ranked)
+    assert [(r.id, r["at"]) for r in ranked.orderBy("id").collect()] == [(i, i) for i in range(50)]
