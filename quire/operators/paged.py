@@ -132,7 +132,7 @@ def cross_page_merge(blocks: DataFrame) -> DataFrame:
     def kernel(key: tuple, rows: list[tuple]) -> list[tuple]:
         pages = [list(g) for _, g in groupby(rows, key=lambda r: r[1])]
         merged = k.merge_pages([[r[3] or "" for r in p] for p in pages])
-        return [(*r[:3], t) for p, ts in zip(pages, merged) for r, t in zip(p, ts)]
+        return [(*r[:3], t if t or r[3] is not None else None) for p, ts in zip(pages, merged) for r, t in zip(p, ts)]  # no text stays none
 
     moved = by_group(b.where(edge).select(*PAGE, "block_index", "text"), ["doc_id"], ["page_index", "block_index"], kernel, f"{_AT}, text string")
     out = blocks.join(moved.withColumnRenamed("text", "_text"), [*PAGE, "block_index"], "left")
