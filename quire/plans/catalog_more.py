@@ -712,7 +712,7 @@ def detected_boxes(spark, sf):
             if doc % 50 == 9 and images[0] not in seen:
                 seen.add(images[0])
                 return [[] for _ in images]
-            out = [[[float(v) for v in b] for b in r["boxes"]] for r in read]
+            out = [[[None if v is None else float(v) for v in b] for b in r["boxes"]] for r in read]
             return out[:-1] if doc % 50 == 7 else out
 
         return f
