@@ -551,7 +551,8 @@ def export_html(spark, sf):
     kind = F.when(F.col("role") == "header", "page_header").when(F.col("role") == "footer", "page_footer").when(F.col("role") == "page_number", "page_number").when(F.col("role") == "figure", "figure").when(F.col("kind") == "heading", "section_header").when(F.col("kind") == "list_item", "list_item").otherwise("paragraph")
     b = b.withColumn("node_type", kind)
     id_ = F.substring(F.sha2(F.concat_ws("/", *[F.col(c) for c in KEY]), 256), 1, 16)
-    b = b.withColumn("html", X.render_block(F.col("node_type"), F.col("text"), id_, [F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    html = X.render_block(F.col("node_type"), F.col("text"), id_, [F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    b = b.withColumn("html", F.when(F.col("text").isNotNull(), html))  # a block without text has no box either
     return X.html(b)
 
 
