@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quire.functions.geometry import Box
 from quire.functions.text import capitals, letters, squeeze, strip, words
 
-# What starts a list item, a key-value line, a numeric expression.
+# What starts a list item, a key-value line (only a newline ends a line), a numeric expression.
 LIST_ITEM = r"^\s*(?:[-*•◦–—]|\(?\d+[).]|\(?[A-Za-z][).])\s+"
-KEY_VALUE = r"^\s*([^:\n]{1,50}):\s*(\S.+)$"
+KEY_VALUE = r"(?d)^\s*([^:\n]{1,50}):\s*(\S.+)$"
 COLUMNS = r"\t+|\|+|\s{2,}"
 NUMERIC = r"^[\d\s.,:/\-+$€£%()#№]+$"
 

@@ -32,3 +32,13 @@ def test_missing_blocks_are_those_of_sql(spark, folder, name):
     cols = [d[0] for d in rel.description]
     order = [cols.index(c) for c in sorted(cols)]
     assert names == sorted(cols) and got and got == sorted(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
+
+
+def test_only_a_newline_ends_a_line(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions.classify import structure_kind
+
+    rows = [("Key: value x\ry",), ("Key: value u v",), ("Key: value n\x85l",), ("Key: value",), ("Key: value\nmore text",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(structure_kind(F.col("t"))).collect()]
+    assert got[:4] == ["key_value"] * 4 and got[4] != "key_value"
