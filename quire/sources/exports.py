@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, NullType, ShortType, StringType, StructType
 from pyspark.sql.window import Window
 
-from quire.functions.text import escape_html
+from quire.functions.text import escape_html, strip
 from quire.operators.blocks import PAGE, page_text
 
 FORMATS = ("text", "markdown", "json", "docling", "mineru")
@@ -26,7 +26,7 @@ def export(pages: DataFrame, format: str) -> DataFrame:  # noqa: A002
         body = F.array_join(F.transform("rows", lambda r: r["page_text"]), "\n\n")
     elif format == "markdown":
         parts = F.transform("rows", lambda r: F.concat(F.lit("## Page "), (r["page_index"] + 1).cast("string"), F.lit("\n\n"), r["page_text"]))
-        body = F.concat(F.regexp_replace(F.array_join(parts, "\n\n"), r"(?U)^\s+|\s+$", ""), F.lit("\n"))
+        body = F.concat(strip(F.array_join(parts, "\n\n")), F.lit("\n"))
     else:
         page = lambda r: F.struct(r["page_index"].alias("page_index"), F.split(r["page_text"], "\n").alias("lines"), r["page_text"].alias("text"))
         name = "document" if format == "docling" else "pages"
