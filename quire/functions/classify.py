@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quire.functions.geometry import Box
 from quire.functions.text import capitals, letters, squeeze, strip, words
 
-# What starts a list item, a key-value line (only a newline ends a line), a numeric expression.
-LIST_ITEM = r"^\s*(?:[-*•◦–—]|\(?\d+[).]|\(?[A-Za-z][).])\s+"
-KEY_VALUE = r"(?d)^\s*([^:\n]{1,50}):\s*(\S.+)$"
-COLUMNS = r"\t+|\|+|\s{2,}"
-NUMERIC = r"^[\d\s.,:/\-+$€£%()#№]+$"
+# What starts a list item, a key-value line (only a newline ends a line), a numeric expression. A vertical tab
+# is no white space and U+0085 ends no line, as in SQL.
+_S = r"\t\n\f\r "
+LIST_ITEM = rf"^[{_S}]*(?:[-*•◦–—]|\(?\d+[).]|\(?[A-Za-z][).])[{_S}]+"
+KEY_VALUE = rf"(?d)^[{_S}]*([^:\n]{{1,50}}):[{_S}]*([^{_S}].+)$"
+COLUMNS = rf"\t+|\|+|[{_S}]{{2,}}"
+NUMERIC = rf"^[\d{_S}.,:/\-+$€£%()#№]+\z"
 
 
 def _columns(t: Column) -> Column:
@@ -80,7 +82,7 @@ def layout_role(text: Column, kind: Column, box: Box) -> Column:
     low, region = F.lower(t), box.region
     return (
         F.when((region == "header") & (t != "") & (F.length(t) <= 120), "header")
-        .when((region == "footer") & (t.rlike(r"^\p{Nd}+$") | low.startswith("page ") | low.startswith("p. ")), "page_number")
+        .when((region == "footer") & (t.rlike(r"^\p{Nd}+\z") | low.startswith("page ") | low.startswith("p. ")), "page_number")
         .when((region == "footer") & (t != "") & (F.length(t) <= 140), "footer")
         .when(low.rlike(r"^(?:figure |fig\. |table |caption:)"), "caption")
         .when((kind == "heading") & (box.y0 < 0.28), "title_block")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.classify import is_table_cell
 from quire.functions.geometry import Box
+from quire.functions.text import strip
 from quire.operators import kernels as k
 from quire.operators.blocks import PAGE
 from quire.session import materialise
@@ -125,7 +126,7 @@ def cross_page_merge(blocks: DataFrame) -> DataFrame:
     Only the first non-blank and the last block of a page can change, so only those reach the kernel.
     """
     page = Window.partitionBy(*PAGE)
-    blank = F.trim(F.regexp_replace("text", r"(?U)\s", "")) == ""
+    blank = strip(F.col("text")) == ""
     b = blocks.withColumn("_first", F.min(F.when(~blank, F.col("block_index"))).over(page)).withColumn("_last", F.max("block_index").over(page))
     edge = (F.col("block_index") == F.col("_first")) | (F.col("block_index") == F.col("_last"))
 

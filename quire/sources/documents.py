@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import Box, from_pixels
 from quire.functions.text import squeeze, strip
+from quire.operators.kernels import SPACE
 
 
 def page_ranges(spec: Column) -> Column:
@@ -76,7 +77,7 @@ def grounded_items(answer: str) -> list[dict]:
             out.append({"reason": "not_dict"})
             continue
         b = next((x[k] for k in BOX_KEYS if isinstance(x.get(k), list) and len(x[k]) == 4), None)
-        t = next((x[k] for k in TEXT_KEYS if isinstance(x.get(k), str) and x[k].strip()), None)
+        t = next((x[k] for k in TEXT_KEYS if isinstance(x.get(k), str) and x[k].strip(SPACE)), None)
         try:
             b = [float(c) for c in b] if b else None
         except (TypeError, ValueError):
