@@ -6,7 +6,8 @@ linked pair must share: of its n shingles in one fixed order, one of the first n
 rest is done by pivots:
 
 1. Documents with equal sets are one class (128-bit key); classes are joined from here on.
-2. Each class emits its first shingles, frequent ones ordered last. A group that shares one is spanned by
+2. Each class emits its first shingles. Those met in the first places of two classes are ordered after all others, and
+   frequent ones last: classes that have only a phrase in common then share none. A group that shares one is spanned by
    stars: in groups of at most SMALL between classes whose lengths and places allow a link, in larger ones
    between classes whose lengths do. A group gives fewer edges than it has rows, and the groups of frequent
    shingles are dealt over several tasks. What stars connect is a region: all links lie inside regions.
@@ -57,6 +58,8 @@ PIVOTS = 8
 SALTED = 4_096
 #: Shingles that a task of ``signatures`` holds before it counts those that came again.
 WAITING = 6_000_000
+#: Bits that tell which shingles were met twice, 32 MB, and shingles of all sets for each task that finds them.
+MET, DEALT = 1 << 28, 2_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -228,36 +231,100 @@ def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.minimum(np.log2(n[order] + 1) * 2, 100).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def _ordered(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray], met: np.ndarray | None = None) -> Iterator[list[tuple]]:
+    """Of some texts at a time (node, n, take, s, rank) of each set, once per task: its shingles in order, of rank 0 if neither met
+    nor frequent, and how many of them a linked set must share one of."""
+    seen, (late, level) = set(), hot
+    maybe = np.zeros(1 << 22, bool)
+    maybe[late & (len(maybe) - 1)] = True
+    for batch in few(batches):
+        out = []
+        for s in shingle_sets(_texts(batch, 0)):
+            if not len(s) or (key := key_of(s)) in seen:
+                continue
+            if len(seen) < 500_000:
+                seen.add(key)
+            n = len(s)
+            rank = np.zeros(n, np.uint8)
+            if met is not None:
+                at = s & (8 * len(met) - 1)
+                rank[:] = (met[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            some = np.flatnonzero(maybe[s & (len(maybe) - 1)])
+            if len(some):
+                at = np.minimum(np.searchsorted(late, s[some]), len(late) - 1)
+                rank[some] = np.where(late[at] == s[some], level[at], rank[some])
+            if rank.any():
+                order = np.argsort(rank, kind="stable")
+                s, rank = s[order], rank[order]
+            out.append((node_of(key), n, n - (4 * n + 4) // 5 + 1, s, rank))
+        yield out
+
+
+def met_twice(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shingles: int, text: str = "text") -> np.ndarray:
+    """Bits at the hashes of shingles that come twice among the first of all sets, of each twice as many as ``prefixes`` takes.
+
+    With these ordered last, a set of which half of them are nowhere else shares none of those taken. ``shingles`` is their
+    number in all sets; bits are at most MET. They only order what is compared.
+    """
+    size = min(MET, max(1 << 20, 1 << (max(1, shingles // 4) - 1).bit_length()))
+    buckets = min(4_096, max(8, 1 << (max(1, shingles // DEALT) - 1).bit_length()))
+    each = size // buckets
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    slim = docs.select(F.col(text).cast("binary").alias("t"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _ordered(batches, shared.value):
+            first = [s[: 2 * take][rank[: 2 * take] == 0] for _, _, take, s, rank in some]
+            if first:
+                s = np.concatenate(first)
+                bucket = (s & (size - 1)) // each
+                s = s[np.argsort(bucket.astype(np.int16), kind="stable")]
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+                parts = [(k, s[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "s"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
+        total: dict[int, int] = {}
+
+        def settle(k: int) -> None:
+            s = np.concatenate(held.pop(k, [np.empty(0, np.int64)]))
+            bits.setdefault(k, np.zeros(each, bool))[repeated(s)[0] & (each - 1)] = True
+            total[k] = 0
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(data.as_buffer(), np.int64).copy()
+                held.setdefault(k, []).append(s)
+                total[k] = total.get(k, 0) + len(s)
+                if total[k] > 8 * DEALT:  # what comes again after this goes unseen, which changes no link
+                    settle(k)
+        for k in bits | held:
+            settle(k)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits[k], bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
+    dealt = slim.mapInArrow(deal, "bucket int, s binary").repartition(buckets, "bucket")
+    rows = materialise(dealt.mapInArrow(mark, "bucket int, bits binary"), "met_twice").toArrow()
+    out = np.zeros(size // 8, np.uint8)
+    for k, data in zip(rows.column("bucket").to_pylist(), rows.column("bits")):
+        out[k * each // 8 : (k + 1) * each // 8] = np.frombuffer(data.as_buffer(), np.uint8)
+    return out
+
+
+def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], text: str = "text", met: np.ndarray | None = None) -> DataFrame:
     """(shingle, salt, node, place): the first n - ceil(0.8 n) + 1 shingles of each set, once per task.
 
     ``place`` holds n in its upper and the shingle's place in its lower 32 bits. A shingle of over SALTED sets is
     dealt over as many salts, from 1, as keep a group near that size; others have salt 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot, met))
     slim = docs.select(F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, (late, level) = set(), shared.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[late & (len(maybe) - 1)] = True
-        for batch in few(batches):
-            out, nodes, places, ranks = [], [], [], []
-            for s in shingle_sets(_texts(batch, 0)):
-                if not len(s) or (key := key_of(s)) in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(key)
-                n = len(s)
-                take = n - (4 * n + 4) // 5 + 1
-                some = np.flatnonzero(maybe[s & (len(maybe) - 1)])
-                rank = np.zeros(n, np.uint8)
-                if len(some):
-                    at = np.minimum(np.searchsorted(late, s[some]), len(late) - 1)
-                    rank[some] = np.where(late[at] == s[some], level[at], 0)
-                    order = np.argsort(rank, kind="stable")[:take]
-                    s, rank = s[order], rank[order]
-                out.append(s[:take]), ranks.append(rank[:take]), nodes.append(node_of(key)), places.append((n << 32) + np.arange(take))
+        for some in _ordered(batches, *shared.value):
+            out, ranks = [s[:take] for _, _, take, s, _ in some], [rank[:take] for _, _, take, _, rank in some]
+            nodes, places = [x[0] for x in some], [(n << 32) + np.arange(take) for _, n, take, _, _ in some]
             if out:
                 node = np.repeat(np.array(nodes, np.int64), [len(x) for x in out])
                 salts = (np.exp2(np.concatenate(ranks) / 2.0) / SALTED).astype(np.int64)
@@ -656,20 +723,19 @@ def blocks_of(work: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) that connect what is linked, from regions (task, key, n, first), split by pivots until tasks fit.
 
-    Texts are read once for all sets. Without larger regions they go to their tasks at once; else they are written, as
-    those of larger regions are needed again.
+    Sets of regions that fit go to their tasks at once and are solved first, so they are never on disk twice; only those of
+    larger regions are written, as they are needed again.
     """
     sums = materialise(members.groupBy("task").agg(F.sum("n").alias("total"), F.lit(None).cast("long").alias("before")), "totals")
-    large = sums.where(F.col("total") > SHARE)
-    wanted = members.join(sums.select("task", (F.col("total") > SHARE).alias("large")), "task").select("key", "task", "first", "large")
-    made = sets_of(docs, wanted, doc_id, text)
-    total = sums.where(F.col("total") <= SHARE).agg(F.sum("total")).first()[0] or 0
-    side = lambda df: df.select("task", F.lit(2).alias("side"), "key", "s")
+    fit, large = sums.where(F.col("total") <= SHARE), sums.where(F.col("total") > SHARE)
+    repeated = materialise(docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "repeated")
+    made = lambda some: sets_of(docs, members.join(some.select("task"), "task").select("key", "task", "first"), repeated, doc_id, text)
+    total = fit.agg(F.sum("total")).first()[0] or 0
+    solved = materialise(_solved(made(fit).select("task", F.lit(2).alias("side"), "key", "s"), total), "links")
     if not large.limit(1).count():
-        return materialise(_solved(side(made), total), "links")
-    made = materialise(made, "sets")
-    whole, work = side(made.where("NOT large")), made.where("large").drop("large")
-    links, ready = [], []
+        return solved
+    work = materialise(made(large), "sets")
+    links, ready = [solved], []
     own = work.select("task", "key", "n").distinct()
     sets = work
     for turn in range(ROUNDS + 1):
@@ -704,9 +770,9 @@ def links_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> Dat
     for more in ready[1:]:
         dealt = dealt.union(more)
     dealt = materialise(dealt, "tasks")
-    total += dealt.join(work.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
+    total = dealt.join(work.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
     full = dealt.join(work.select("key", "s"), "key").select("task", "side", "key", "s")
-    out = _solved(whole.union(full), total)
+    out = _solved(full, total)
     for more in links:
         out = out.union(more)
     return materialise(out, "links")
@@ -726,7 +792,9 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     hot = frequent(seen.where("kind = 1"))
     # a class's shingles come from the document of its smallest id; marks may let copies pass, which changes nothing
     named, rest = marked(docs.select(doc_id, text), doc_id, marks(classes.select("first"), "first"))
-    edges = materialise(candidates(prefixes(named.union(rest.where(F.col(f"`{doc_id}`").isNull())), hot, text)), "stars")
+    one = named.union(rest.where(F.col(f"`{doc_id}`").isNull()))
+    met = met_twice(one, hot, classes.agg(F.sum("n")).first()[0] or 0, text)
+    edges = materialise(candidates(prefixes(one, hot, text, met)), "stars")
 
     # ends that are shingles are no classes and fall away here
     members = materialise(components(edges).join(classes, "node").select("key", F.col("label").alias("task"), "n", "first"), "members")
@@ -784,41 +852,40 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return first.union(one.join(wanted, on, "left_semi").select("_row.*"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(task, key, n, s, large) for rows (task, key, first, large): sets made anew from the document of smallest id.
+def sets_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(task, key, n, s) for rows (task, key, first): sets made anew from the document of smallest id.
 
-    Documents without an id can't be joined by it; all of them are looked at and joined by class. A class may
+    ``repeated`` has the ids of several rows. Documents without an id can't be joined by it; all of them are looked at and joined by class. A class may
     come more than once where ids repeat, at most once a task; that only repeats links.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"))
-    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key", "large").hint("merge")  # as many ids as classes: dealt, at every size
+    ids = wanted.where("first is not null").select(F.col("first").alias("id"), "task", "key").hint("merge")  # as many ids as classes: dealt, at every size
     known = marked(slim, "id", marks(ids, "id"))[0]  # only these texts are dealt
-    repeated = materialise(docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "repeated")
     if repeated.limit(1).count():
         # of ids with several rows, which may be of many classes, each class meets its own row alone
         several = known.join(repeated, "id", "left_semi").withColumn("key", _key(F.col("t"))).where("key is not null").dropDuplicates(["id", "key"])
-        some = known.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key", "large").union(several.join(ids, ["id", "key"]).select("t", "task", "key", "large"))
+        some = known.join(repeated, "id", "left_anti").join(ids, "id").select("t", "task", "key").union(several.join(ids, ["id", "key"]).select("t", "task", "key"))
     else:
         some = known.join(ids, "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in few(batches):
-            tasks, keys, sets, flags = [], [], [], []
-            for task, want, flag, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), shingle_sets(_texts(batch, 0))):
+            tasks, keys, sets = [], [], []
+            for task, want, s in zip(*(batch.column(i).to_pylist() for i in (1, 2)), shingle_sets(_texts(batch, 0))):
                 if len(s):
                     key = key_of(s)
                     if (want is None or want == key) and key not in seen:
                         if len(seen) < 500_000:
                             seen.add(key)
-                        tasks.append(task), keys.append(key), sets.append(s), flags.append(flag)
+                        tasks.append(task), keys.append(key), sets.append(s)
             sizes = [len(s) for s in sets]
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(flags, pa.bool_())], ["task", "key", "n", "s", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["task", "key", "n", "s"])
 
-    kind = "task long, key binary, n long, s array<long>, large boolean"
-    made = some.select("t", "task", "key", "large").mapInArrow(make, kind)
-    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("boolean").alias("large")).mapInArrow(make, kind)
-    more = nameless.drop("task", "large").join(wanted.where("first is null").select("task", "key", "large"), "key").select("task", "key", "n", "s", "large")
+    kind = "task long, key binary, n long, s array<long>"
+    made = some.select("t", "task", "key").mapInArrow(make, kind)
+    nameless = slim.where("id is null").select("t", F.lit(None).cast("long").alias("task"), F.lit(None).cast("binary").alias("key")).mapInArrow(make, kind)
+    more = nameless.drop("task").join(wanted.where("first is null").select("task", "key"), "key").select("task", "key", "n", "s")
     return made.union(more)

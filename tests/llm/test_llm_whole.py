@@ -108,3 +108,63 @@ def test_tables_of_the_driver_start_no_python_on_executors(spark):
     ranked = rank(spark.range(50).repartition(3), ["id"], "at")
     assert "ExistingRDD" not in plan(ranked) and "LogicalRDD" not in plan(ranked)
     assert [(r.id, r["at"]) for r in ranked.orderBy("id").collect()] == [(i, i) for i in range(50)]
+
+
+def phrased(spark, texts: int = 400, phrases: int = 200):
+    """Texts of words of their own, with two phrases each that some other texts have too; the last two are near copies."""
+    import random
+
+    r = random.Random(5)
+    out = []
+    for i in range(texts):
+        words = [f"w{i}x{k}" for k in range(80)]
+        for at in (10, 40):
+            p = r.randrange(phrases)
+            words[at : at + 6] = [f"p{p}q{k}" for k in range(6)]
+        out.append((i, " ".join(words)))
+    out.append((texts, out[-1][1] + " more"))
+    return spark.createDataFrame(out, "doc_id long, text string").repartition(100)
+
+
+def test_a_common_phrase_makes_no_region(spark, monkeypatch):
+    sizes = []
+    links_of = jaccard.links_of
+    monkeypatch.setattr(jaccard, "links_of", lambda docs, members, *a: sizes.append(members.count()) or links_of(docs, members, *a))
+    d = phrased(spark)
+    got = {r.doc_id: r.component_id for r in jaccard.join(d).collect()}
+    assert got == {i: min(i, 399) for i in range(401)}
+    assert sizes == [2]
+
+
+def test_sets_of_regions_that_fit_are_not_written(spark, monkeypatch):
+    written = []
+    materialise = jaccard.materialise
+
+    def counted(df, tag):
+        out = materialise(df, tag)
+        written.extend([out.count()] * (tag == "sets"))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    monkeypatch.setattr(jaccard, "SHARE", 500)
+    base = [f"a{k}" for k in range(100)]
+    large = [(i, " ".join([*base[:i], f"b{i}", *base[i + 1 :]])) for i in range(20)]
+    small = [(100 + 2 * i + j, " ".join([f"c{i}x{k}" for k in range(100)] + ["more"] * j)) for i in range(30) for j in range(2)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(large + small, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(20)} | {100 + 2 * i + j: 100 + 2 * i for i in range(30) for j in range(2)}
+    assert written == [20]
+
+
+def test_shingles_met_twice_are_all_marked(spark):
+    """Of shingles that two sets have among their first, each has its bit, whatever the number of buckets."""
+    import numpy as np
+
+    d = phrased(spark)
+    none = np.empty(0, np.int64), np.empty(0, np.uint8)
+    sets = [s for s in jaccard.shingle_sets(r.text.encode() for r in d.collect())]
+    first = np.concatenate([s[: 2 * (len(s) - (4 * len(s) + 4) // 5 + 1)] for s in sets])
+    twice = jaccard.repeated(first.copy())[0]
+    assert len(twice) > 50
+    for n in (1, 100_000_000):
+        bits = np.unpackbits(jaccard.met_twice(d, none, n), bitorder="little")
+        assert bits[twice & (len(bits) - 1)].all() and bits.sum() <= len(twice)
