@@ -75,13 +75,13 @@ def risk_level(text: Column, *signals: Column) -> Column:
 
 
 def cross_checked(level: Column, text: Column, second: Column, error: Column, threshold: float = 0.4) -> Column:
-    """A level raised by two where another reading of the block differs by more than ``threshold`` of its length.
+    """A level raised by two where another reading of the block, compared whole, differs by more than ``threshold`` of its length.
 
     A check that failed or gave no text can't be told from one that would have differed: none becomes low, others stay.
     Blank text isn't checked.
     """
     failed = error.isNotNull() | second.isNull()
-    differs = F.coalesce(beyond(text, second, threshold), F.lit(False))
+    differs = F.coalesce(beyond(text, second, threshold, most=None), F.lit(False))
     raised = F.when(failed, F.greatest(level, F.lit(1))).when(differs, F.least(F.lit(3), level + 2)).otherwise(level)
     return F.when(strip(F.coalesce(text, F.lit(""))) == "", 0).otherwise(raised)
 
@@ -124,9 +124,12 @@ def _beyond(a: str, b: str, share: float) -> bool:
     return d / n > share
 
 
-def beyond(a: Column, b: Column, share: float, most: int = 1024) -> Column:
-    """``normalised_distance`` is over ``share`` (not below 0), without the distance itself: equal texts and lengths too far apart don't reach Python."""
-    x, y = F.substring(a, 1, most), F.substring(b, 1, most)
+def beyond(a: Column, b: Column, share: float, most: int | None = 1024) -> Column:
+    """``normalised_distance`` is over ``share`` (not below 0), without the distance itself: equal texts and lengths too far apart don't reach Python.
+
+    Without ``most`` whole texts are compared.
+    """
+    x, y = (c if most is None else F.substring(c, 1, most) for c in (a, b))
     p, q = F.length(x), F.length(y)
     far = (F.greatest(p, q) - F.least(p, q)) / F.greatest(p, q, F.lit(1)) > share
 

@@ -722,8 +722,8 @@ def detected_boxes(spark, sf):
 
 
 @query(f"""WITH {V.BLOCKS}, lv AS (SELECT blocks.*, h.level FROM blocks JOIN ({C.SQL['hallucination_level']}) AS h USING (doc_id, page_index, block_index)),
-two AS (SELECT *, CASE block_index % 4 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) // 3) WHEN 2 THEN reverse(text) END AS second, least(length(text), 1024) AS la FROM lv),
-di AS (SELECT *, CASE WHEN second = '' AND text = '' THEN 0 WHEN second = '' OR text = '' THEN 1 ELSE levenshtein(left(text, 1024), left(second, 1024)) / greatest(length(left(text, 1024)), length(left(second, 1024))) END AS dist FROM two)
+two AS (SELECT *, CASE block_index % 4 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) // 3) WHEN 2 THEN reverse(text) END AS second FROM lv),
+di AS (SELECT *, CASE WHEN second = '' AND text = '' THEN 0 WHEN second = '' OR text = '' THEN 1 ELSE levenshtein(text, second) / greatest(length(text), length(second)) END AS dist FROM two)
 SELECT doc_id, page_index, block_index, CASE WHEN {V.strip('text')} = '' THEN 0 WHEN second IS NULL THEN greatest(level, 1) WHEN dist > 0.4 THEN least(3, level + 2) ELSE level END AS level FROM di""")
 def cross_checked_level(spark, sf):
     """STR-16: a second reader that agrees, drops two thirds, turns the text round, or fails."""
