@@ -58,8 +58,8 @@ PIVOTS = 8
 SALTED = 4_096
 #: Shingles that a task of ``signatures`` holds before it counts those that came again.
 WAITING = 6_000_000
-#: Bits that tell which shingles were met twice, 32 MB, and shingles of all sets for each task that finds them.
-MET, DEALT = 1 << 28, 2_000_000
+#: Bits that tell which shingles were met twice, 16 MB, and shingles of all sets for each task that finds them.
+MET, DEALT = 1 << 27, 1_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -295,7 +295,7 @@ def met_twice(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shingles: int
 
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = np.frombuffer(data.as_buffer(), np.int64).copy()
+                s = np.frombuffer(data.as_buffer(), np.int64)
                 held.setdefault(k, []).append(s)
                 total[k] = total.get(k, 0) + len(s)
                 if total[k] > 8 * DEALT:  # what comes again after this goes unseen, which changes no link
